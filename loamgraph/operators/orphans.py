@@ -1,10 +1,11 @@
 """References to records that do not exist, from signed counts of change deltas.
 
 Every `nodes` row is two deltas of its key's existence, +1 at `indexed_at` and -1 at `removed_at`; every end of an edge
-is a reference at the edge's `indexed_at`. A key with references and an existence count of zero at that time is an
-orphan. The count at a time is the sum of the key's deltas up to it, taken in two levels: whole periods before, and the
-instants inside the period. All groups are (key, period), so a key that holds a third of all rows is spread over
-periods, and rows are combined per (key, instant) before any of them is shuffled twice.
+is a reference at the edge's `indexed_at`. A reference is an orphan if the deltas of its key up to then sum to zero.
+Keys travel as a 128-bit hash, so that a reference costs 16 bytes, however long the ids are. A key with at most
+`FEW` deltas carries them as one short array, and its references find them by one join (the side with the references is
+split by AQE where a key is hot). A key with more has its sums taken in two levels, whole periods before and the instants
+inside the period, in groups of (key, period), with rows combined per (key, instant) before they are shuffled.
 
 Defined results: rows of `nodes` with a null id or indexed_at assert nothing; a row whose `removed_at` is not after its
 `indexed_at` never exists; an edge with `resolved` false is no reference; an end that is null is none; an edge without
@@ -18,55 +19,72 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PERIOD_DAYS = 7
+FEW = 64
+KEY = ["k1", "k2"]
+
+
+def _key(c: str) -> list:
+    return [F.xxhash64(c).alias("k1"), F.xxhash64(F.lit(1), c).alias("k2")]
 
 
 def references(edges: DataFrame) -> DataFrame:
-    """(edge_id, relation, side, id, ts): one row per non-null end of an edge that isn't unresolved."""
+    """(edge_id, relation, ts, side, id): one row per non-null end of an edge that isn't unresolved."""
     return (
         edges.where(F.coalesce("resolved", F.lit(True)) & F.col("indexed_at").isNotNull())
-        .select("edge_id", "relation", F.col("indexed_at").alias("ts"), F.explode(F.create_map(F.lit("source"), "source", F.lit("target"), "target")).alias("side", "id"))
+        .select("edge_id", "relation", F.col("indexed_at").alias("ts"), F.explode(F.array(F.struct(F.lit("source").alias("side"), F.col("source").alias("id")), F.struct(F.lit("target").alias("side"), F.col("target").alias("id")))).alias("x"))
+        .select("edge_id", "relation", "ts", "x.side", "x.id")
         .where("id is not null")
-    )
+    )
 
 
 def deltas(nodes: DataFrame) -> DataFrame:
-    """(id, ts, d): +1 where a record begins to exist, -1 where it ends."""
+    """(k1, k2, ts, d): +1 where a record begins to exist, -1 where it ends."""
     ok = nodes.where("id is not null and indexed_at is not null and (removed_at is null or removed_at > indexed_at)")
-    return ok.select("id", F.explode(F.array(F.struct(F.col("indexed_at").alias("ts"), F.lit(1).alias("d")), F.struct(F.col("removed_at").alias("ts"), F.lit(-1).alias("d")))).alias("x")).select("id", "x.ts", "x.d").where("ts is not null")
+    both = F.array(F.struct(F.col("indexed_at").alias("ts"), F.lit(1).cast("long").alias("d")), F.struct(F.col("removed_at").alias("ts"), F.lit(-1).cast("long").alias("d")))
+    return ok.select(*_key("id"), F.explode(both).alias("x")).select(*KEY, "x.ts", "x.d").where("ts is not null")
+
 
+def _few(refs: DataFrame, changes: DataFrame) -> DataFrame:
+    """Orphans among references whose keys have few deltas, or none."""
+    own = changes.groupBy(*KEY).agg(F.collect_list(F.struct("ts", "d")).alias("x"))
+    past = F.filter("x", lambda c: c["ts"] <= F.col("ts"))
+    count = F.aggregate(past, F.lit(0).cast("long"), lambda a, c: a + c["d"])
+    return refs.join(own, KEY, "left").where(F.col("x").isNull() | (count <= 0)).withColumn("known", F.coalesce(F.size(past) > 0, F.lit(False))).drop("x")
 
-def orphan_instants(refs: DataFrame, changes: DataFrame) -> DataFrame:
-    """(id, ts, known): instants at which a key is referenced without existing; `known` if it existed before."""
+
+def _many(refs: DataFrame, changes: DataFrame) -> DataFrame:
+    """The same for keys with many deltas."""
     period = F.floor(F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")) / PERIOD_DAYS).cast("int")
+    zero = F.lit(0).cast("long")
     at = (
-        refs.select("id", "ts", F.lit(0).alias("d"), F.lit(0).alias("up"), F.lit(1).alias("r"))
-        .unionByName(changes.select("id", "ts", "d", F.greatest("d", F.lit(0)).alias("up"), F.lit(0).alias("r")))
-        .groupBy("id", "ts")
+        refs.select(*KEY, "ts", zero.alias("d"), zero.alias("up"), F.lit(1).alias("r"))
+        .unionByName(changes.select(*KEY, "ts", "d", F.greatest("d", zero).alias("up"), F.lit(0).alias("r")))
+        .groupBy(*KEY, "ts", period.alias("period"))
         .agg(F.sum("d").alias("d"), F.sum("up").alias("up"), F.max("r").alias("r"))
-        .withColumn("period", period)
     )
-    moved = changes.select("id", "d", F.greatest("d", F.lit(0)).alias("up"), period.alias("period")).groupBy("id", "period").agg(F.sum("d").alias("d"), F.sum("up").alias("up"))
-    asked = at.where("r = 1").select("id", "period").distinct().select("id", "period", F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("up"))
-    w = Window.partitionBy("id").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*KEY).orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
     base = (
-        moved.unionByName(asked).groupBy("id", "period").agg(F.sum("d").alias("d"), F.sum("up").alias("up"))
-        .select("id", "period", F.coalesce(F.sum("d").over(w), F.lit(0)).alias("base"), F.coalesce(F.sum("up").over(w), F.lit(0)).alias("ever"))
+        at.groupBy(*KEY, "period").agg(F.sum("d").alias("d"), F.sum("up").alias("up"))
+        .select(*KEY, "period", F.coalesce(F.sum("d").over(w), zero).alias("base"), F.coalesce(F.sum("up").over(w), zero).alias("ever"))
     )
-    inside = Window.partitionBy("id", "period").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = at.select("id", "period", "ts", "r", F.sum("d").over(inside).alias("d"), F.sum("up").over(inside).alias("up")).where("r = 1")
-    return counted.join(base, ["id", "period"]).where("d + base = 0").select("id", "ts", (F.col("up") + F.col("ever") > 0).alias("known"))
+    inside = Window.partitionBy(*KEY, "period").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = at.select(*KEY, "period", "ts", "r", F.sum("d").over(inside).alias("d"), F.sum("up").over(inside).alias("up")).where("r = 1")
+    found = counted.join(base, [*KEY, "period"]).where("d + base <= 0").select(*KEY, "ts", (F.col("up") + F.col("ever") > 0).alias("known"))
+    return refs.join(found, [*KEY, "ts"])
 
 
-def orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(edge_id, side, relation, id, ts, state): each orphan reference once; state removed (existed before) or missing
+def orphans(edges: DataFrame, nodes: DataFrame, few: int = FEW) -> DataFrame:
+    """(edge_id, side, relation, ts, state): each orphan reference once; state removed (existed before) or missing
     (never seen, or only later)."""
-    refs = references(edges)
-    found = orphan_instants(refs, deltas(nodes))
-    return (
-        refs.join(found, ["id", "ts"])
-        .dropDuplicates(["edge_id", "side"])
-        .select("edge_id", "side", "relation", "id", "ts", F.when(F.col("known"), "removed").otherwise("missing").alias("state"))
-    )
+    refs = references(edges).select("edge_id", "relation", "ts", "side", *_key("id"))
+    changes = deltas(nodes)
+    busy = changes.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") > few).select(*KEY)
+    if busy.isEmpty():
+        found = _few(refs, changes)
+    else:
+        cols = ["edge_id", "relation", "ts", "side", *KEY, "known"]
+        found = _few(refs.join(busy, KEY, "left_anti"), changes.join(busy, KEY, "left_anti")).select(cols).unionByName(_many(refs.join(busy, KEY, "left_semi"), changes.join(busy, KEY, "left_semi")).select(cols))
+    return found.dropDuplicates(["edge_id", "side"]).select("edge_id", "side", "relation", "ts", F.when(F.col("known"), "removed").otherwise("missing").alias("state"))
 
 
 def orphan_report(edges: DataFrame, nodes: DataFrame) -> DataFrame:
