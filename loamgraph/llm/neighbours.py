@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 K = 5
 DIM = 64
@@ -204,18 +203,21 @@ def search_leaf(v: np.ndarray, ids: list[str], own: np.ndarray, k: int, max_leaf
     return best, cos
 
 
-def neighbours(
+def _search(
     df: DataFrame, id_col: str, vec_col: str, k: int = K, dim: int = DIM, trees: int = TREES, probes: int = PROBES, margin: float = PROBE_MARGIN, leaf_rows: int = LEAF_ROWS, max_leaf: int = MAX_LEAF, sample_rows: int = SAMPLE_ROWS, seed: int = 11
-) -> DataFrame:
-    """(id, neighbour, rank, cosine): for every usable row its k most similar other rows, as far as the forest finds
-    them (approximate; the README has the measured recall)."""
+) -> tuple[DataFrame, DataFrame]:
+    """(key, near_key, rank, cosine) and (key, id): the lists by 64-bit keys of the ids, and what the keys stand for."""
     spark = df.sparkSession
     base = usable(df, id_col, vec_col, dim).withColumn("h", F.xxhash64("v"))
+    again = base.groupBy(F.xxhash64("id").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key")
+    if not again.isEmpty():
+        keyed = base.withColumn("key", F.xxhash64("id"))
+        once = keyed.join(again, "key", "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("h"))).where("r = 1")
+        base = keyed.join(again, "key", "left_anti").select("id", "v", "h").unionByName(once.select("id", "v", "h"))
     counts = base.groupBy("h").agg(F.count("*").alias("n"))
     total, many = counts.agg(F.sum("n"), F.count_if(F.col("n") > k + 1)).first()
-    out = T.StructType([T.StructField("id", T.StringType()), T.StructField("neighbour", T.StringType()), T.StructField("rank", T.IntegerType()), T.StructField("cosine", T.DoubleType())])
     if not total:
-        return spark.createDataFrame([], out)
+        return spark.createDataFrame([], "key bigint, near_key bigint, rank int, cosine double"), spark.createDataFrame([], "key bigint, id string")
     searched, rest = base, None
     if many:
         crowd = base.join(counts.where(F.col("n") > k + 1).select("h"), "h", "left_semi")
@@ -251,18 +253,25 @@ def neighbours(
     merged = hits.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
     # one entry per neighbour, the best k: lists hold at most k times the leaves asked
     distinct = F.aggregate("near", F.array().cast("array<struct<c:double,r:int,key:bigint>>"), lambda acc, x: F.when((F.size(acc) >= k) | F.exists(acc, lambda y: y["key"] == x["key"]), acc).otherwise(F.concat(acc, F.array(x))))
-    pairs = merged.select("key", F.posexplode(distinct).alias("rank", "x")).select("key", F.col("rank").alias("rank0"), F.col("x.key").alias("near_key"), (-F.col("x.c")).alias("cosine"))
-    names = searched.select(F.xxhash64("id").alias("key"), "id")
-    found = (
-        pairs.join(names, "key")
-        .join(names.select(F.col("key").alias("near_key"), F.col("id").alias("neighbour")), "near_key")
-        .select("id", "neighbour", (F.col("rank0") + 1).alias("rank"), "cosine")
-    )
+    found = merged.select("key", F.posexplode(distinct).alias("rank0", "x")).select("key", F.col("x.key").alias("near_key"), (F.col("rank0") + 1).alias("rank"), (-F.col("x.c")).alias("cosine"))
     if rest is not None:
-        found = found.unionByName(rest.join(last, "h").select("id", "like").join(found.withColumnRenamed("id", "like"), "like").select("id", "neighbour", "rank", "cosine"))
-    return found
+        like = rest.join(last, "h").select(F.xxhash64("id").alias("copy"), F.xxhash64("like").alias("key"))
+        found = found.unionByName(like.join(found, "key").select(F.col("copy").alias("key"), "near_key", "rank", "cosine"))
+    return found, base.select(F.xxhash64("id").alias("key"), "id")
 
 
-def neighbour_pairs(found: DataFrame) -> DataFrame:
-    """(point_lo, point_hi): each pair of which one is among the other's neighbours, once."""
-    return found.select(F.least("id", "neighbour").alias("point_lo"), F.greatest("id", "neighbour").alias("point_hi")).distinct()
+def neighbours(df: DataFrame, id_col: str, vec_col: str, **options) -> DataFrame:
+    """(id, neighbour, rank, cosine): for every usable row its k most similar other rows, as far as the forest finds
+    them (approximate; the README has the measured recall)."""
+    found, names = _search(df, id_col, vec_col, **options)
+    near = names.select(F.col("key").alias("near_key"), F.col("id").alias("neighbour"))
+    return found.join(names, "key").join(near, "near_key").select("id", "neighbour", "rank", "cosine")
+
+
+def neighbour_pairs(df: DataFrame, id_col: str, vec_col: str, **options) -> DataFrame:
+    """(point_lo, point_hi): each pair of which one is among the other's neighbours, once. Pairs are made unique while
+    they are still pairs of keys."""
+    found, names = _search(df, id_col, vec_col, **options)
+    pairs = found.select(F.least("key", "near_key").alias("key"), F.greatest("key", "near_key").alias("near_key")).distinct()
+    near = names.select(F.col("key").alias("near_key"), F.col("id").alias("other"))
+    return pairs.join(names, "key").join(near, "near_key").select(F.least("id", "other").alias("point_lo"), F.greatest("id", "other").alias("point_hi"))

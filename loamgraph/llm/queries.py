@@ -4,18 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loamgraph.llm import mixing, neighbours, packing
+from loamgraph.llm import docpairs, handwritten, mixing, neighbours, packing
 from loamgraph.session import table
 
 
 def p2_found(spark, d):
-    return neighbours.neighbour_pairs(neighbours.neighbours(table(spark, d, "vectors"), "point_id", "vector"))
+    return neighbours.neighbour_pairs(table(spark, d, "vectors"), "point_id", "vector")
 
 
 def p2_neighbours(spark, d):
     return neighbours.neighbours(table(spark, d, "vectors"), "point_id", "vector")
 
 
+def p4_found(spark, d):
+    return docpairs.pairs(table(spark, d, "chunks")).where("levels = 0").select("chunk_id")
+
+
+def p4_pairs(spark, d):
+    return docpairs.pairs(table(spark, d, "chunks"))
+
+
+def p6_found(spark, d):
+    return handwritten.classify(table(spark, d, "files"), table(spark, d, "packages")).where("kind is not null").select("file_id")
+
+
+def p6_files(spark, d):
+    return handwritten.classify(table(spark, d, "files"), table(spark, d, "packages")).select("file_id", "file_path", "kind", "s.*")
+
+
 def p8_containers(spark, d):
     return packing.pack(table(spark, d, "documents"))
 
@@ -34,6 +50,8 @@ def p9_shares(spark, d):
 
 QUERIES = {
     "p2_found": p2_found, "p2_neighbours": p2_neighbours,
+    "p4_found": p4_found, "p4_pairs": p4_pairs,
+    "p6_found": p6_found, "p6_files": p6_files,
     "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares,
 }
 SQL: dict[str, str] = {}
