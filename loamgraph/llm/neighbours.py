@@ -29,7 +29,7 @@ K = 5
 DIM = 64
 TREES = 2
 PROBES = 1
-PROBE_MARGIN = 0.12
+PROBE_MARGIN = 0.04
 LEAF_ROWS = 6000
 MAX_LEAF = 24_000
 SAMPLE_ROWS = 32_768

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loamgraph.llm import docpairs, handwritten, mixing, neighbours, packing
+from loamgraph.llm import credentials, docpairs, handwritten, mixing, neighbours, packing
 from loamgraph.session import table
 
 
@@ -16,6 +16,14 @@ def p2_neighbours(spark, d):
     return neighbours.neighbours(table(spark, d, "vectors"), "point_id", "vector")
 
 
+def p3_found(spark, d):
+    return credentials.credentials(table(spark, d, "files")).select("file_id", "line_no").distinct()
+
+
+def p3_redacted(spark, d):
+    return credentials.redacted(table(spark, d, "files"))
+
+
 def p4_found(spark, d):
     return docpairs.pairs(table(spark, d, "chunks")).where("levels = 0").select("chunk_id")
 
@@ -50,6 +58,7 @@ def p9_shares(spark, d):
 
 QUERIES = {
     "p2_found": p2_found, "p2_neighbours": p2_neighbours,
+    "p3_found": p3_found, "p3_redacted": p3_redacted,
     "p4_found": p4_found, "p4_pairs": p4_pairs,
     "p6_found": p6_found, "p6_files": p6_files,
     "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares,
