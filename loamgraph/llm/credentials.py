@@ -203,15 +203,23 @@ def masked(text: str, hits: list[Hit]) -> str:
     return "".join([*out, text[at:]])
 
 
-FORMULAS = [trigrams.required(p) for p in RULES.values()]
-NEEDED = sorted(set().union(*(trigrams.trigrams(f) for f in FORMULAS)))
+INDEX = trigrams.Index([trigrams.required(p) for p in RULES.values()])
 
 
-def candidates(files: DataFrame) -> DataFrame:
-    """(file_id, file_path, ext, text, mask): files that some rule can match, by the trigram index."""
-    src = files.where("text is not null").select("file_id", "file_path", F.lower(F.coalesce("ext", F.regexp_extract("file_path", r"(\.[^./]+)$", 1))).alias("ext"), "text")
-    indexed = trigrams.index(src, "text", NEEDED)
-    return indexed.withColumn("mask", trigrams.candidates(indexed, FORMULAS, NEEDED)).drop("entries").where("mask <> 0")
+def _texts(files: DataFrame) -> DataFrame:
+    return files.where("text is not null").select("file_id", "file_path", F.lower(F.coalesce("ext", F.regexp_extract("file_path", r"(\.[^./]+)$", 1))).alias("ext"), "text")
+
+
+def index(files: DataFrame) -> DataFrame:
+    """(trigram, file_id, piece): the postings of the trigrams that some rule needs."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(t, i, n) for i, text in zip(b.column("file_id").to_pylist(), b.column("text").to_pylist()) for n, e in enumerate(INDEX.entries(text)) for t, bit in INDEX.bit.items() if e & bit]
+            cols = list(zip(*rows)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["trigram", "file_id", "piece"])
+
+    return _texts(files).mapInArrow(run, "trigram string, file_id bigint, piece int")
 
 
 def credentials(files: DataFrame) -> DataFrame:
@@ -219,16 +227,15 @@ def credentials(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids, paths, lines, rules = [], [], [], []
-            for i, path, ext, text, mask in zip(*(c.to_pylist() for c in b.columns)):
-                for line, rule in sorted({(text.count("\n", 0, h.start) + 1, h.rule) for h in find(text, ext or "", mask)}):
-                    ids.append(i)
-                    paths.append(path)
-                    lines.append(line)
-                    rules.append(rule)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(paths, pa.string()), pa.array(lines, pa.int32()), pa.array(rules, pa.string())], ["file_id", "file_path", "line_no", "rule"])
+            rows = []
+            for i, path, ext, text in zip(*(c.to_pylist() for c in b.columns)):
+                mask = INDEX.candidates(text)
+                if mask:
+                    rows += [(i, path, line, rule) for line, rule in sorted({(text.count("\n", 0, h.start) + 1, h.rule) for h in find(text, ext or "", mask)})]
+            cols = list(zip(*rows)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], ["file_id", "file_path", "line_no", "rule"])
 
-    return candidates(files).mapInArrow(run, "file_id bigint, file_path string, line_no int, rule string")
+    return _texts(files).mapInArrow(run, "file_id bigint, file_path string, line_no int, rule string")
 
 
 def redacted(files: DataFrame) -> DataFrame:
@@ -237,10 +244,12 @@ def redacted(files: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for i, path, ext, text, mask in zip(*(c.to_pylist() for c in b.columns)):
-                if hits := find(text, ext or "", mask):
+            for i, path, ext, text in zip(*(c.to_pylist() for c in b.columns)):
+                mask = INDEX.candidates(text)
+                hits = find(text, ext or "", mask) if mask else []
+                if hits:
                     rows.append((i, path, len({h.start for h in hits}), masked(text, hits)))
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], ["file_id", "file_path", "found", "text"])
 
-    return candidates(files).mapInArrow(run, "file_id bigint, file_path string, found int, text string")
+    return _texts(files).mapInArrow(run, "file_id bigint, file_path string, found int, text string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loamgraph.llm import credentials, docpairs, handwritten, mixing, neighbours, packing
+from loamgraph.llm import credentials, docpairs, handwritten, mixing, neighbours, packing, subjects
 from loamgraph.session import table
 
 
@@ -56,7 +56,20 @@ def p9_shares(spark, d):
     return mixing.mix_report(mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")), table(spark, d, "mix_targets"))
 
 
+def _subjects(spark, d):
+    return subjects.assign(table(spark, d, "documents"), table(spark, d, "subjects"), table(spark, d, "subject_labels"))
+
+
+def p10_found(spark, d):
+    return _subjects(spark, d).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark, d):
+    return subjects.composition(_subjects(spark, d))
+
+
 QUERIES = {
+    "p10_found": p10_found, "p10_composition": p10_composition,
     "p2_found": p2_found, "p2_neighbours": p2_neighbours,
     "p3_found": p3_found, "p3_redacted": p3_redacted,
     "p4_found": p4_found, "p4_pairs": p4_pairs,

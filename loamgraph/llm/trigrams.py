@@ -11,8 +11,7 @@ from __future__ import annotations
 import re._constants as C
 import re._parser as P
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import numpy as np
 
 Formula = bool | str | tuple
 MAX_STRINGS = 24
@@ -110,46 +109,39 @@ def trigrams(f: Formula) -> set[str]:
     return set().union(*(trigrams(x) for x in f[1:])) if isinstance(f, tuple) else set()
 
 
-def pieces(text: Column) -> Column:
-    """A text cut into overlapping pieces."""
-    n = F.length(text)
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / PIECE), F.lit(0)).cast("int")), lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE + OVERLAP)))
-
-
-def bits(piece: Column, needed: list[str]) -> Column:
-    """The index entry of one piece: bit i % 62 of word i // 62 says whether it has trigram i."""
-    low = F.lower(piece)
-    words = []
-    for w in range(0, len(needed), 62):
-        word = F.lit(0).cast("long")
-        for i, t in enumerate(needed[w : w + 62]):
-            word = word.bitwiseOR(F.when(F.contains(low, F.lit(t)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-        words.append(word)
-    return F.array(*words)
-
-
-def satisfied(entry: Column, f: Formula, needed: list[str]) -> Column:
-    """Whether an index entry satisfies a formula."""
-    if f is True:
-        return F.lit(True)
-    if isinstance(f, str):
-        i = needed.index(f)
-        return F.element_at(entry, i // 62 + 1).bitwiseAND(F.lit(1 << (i % 62))) != 0
-    parts = [satisfied(entry, x, needed) for x in f[1:]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = (out & p) if f[0] == "and" else (out | p)
-    return out
-
-
-def index(df: DataFrame, text: str, needed: list[str]) -> DataFrame:
-    """Adds `entries`: the index entries of the pieces of `text`."""
-    return df.withColumn("entries", F.transform(pieces(F.coalesce(F.col(text), F.lit(""))), lambda p: bits(p, needed)))
-
-
-def candidates(df: DataFrame, formulas: list[Formula], needed: list[str]) -> Column:
-    """A mask of the patterns that some piece may match (from `entries`)."""
-    mask = F.lit(0).cast("long")
-    for i, f in enumerate(formulas):
-        mask = mask.bitwiseOR(F.when(F.exists("entries", lambda e, f=f: satisfied(e, f, needed)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    return mask
+class Index:
+    """Index entries as bit masks over the needed trigrams. Text is looked at as bytes in lower case; a byte beyond ASCII
+    counts as its lower seven bits, which may add a candidate but never loses one (patterns' literals are ASCII)."""
+
+    def __init__(self, formulas: list[Formula]) -> None:
+        self.formulas = formulas
+        self.needed = sorted(set().union(*(trigrams(f) for f in formulas)))
+        self.bit = {t: 1 << i for i, t in enumerate(self.needed)}
+        self.table = np.full(1 << 21, -1, np.int16)
+        for i, t in enumerate(self.needed):
+            a, b, c = t.encode("ascii")
+            self.table[a | b << 7 | c << 14] = i
+
+    def entry(self, piece: str) -> int:
+        x = (np.frombuffer(piece.lower().encode("utf-8", "replace"), np.uint8) & 127).astype(np.int32)
+        if len(x) < 3:
+            return 0
+        hit = self.table[x[:-2] | x[1:-1] << 7 | x[2:] << 14]
+        mask = 0
+        for i in np.flatnonzero(np.bincount(hit[hit >= 0], minlength=1)):
+            mask |= 1 << int(i)
+        return mask
+
+    def entries(self, text: str) -> list[int]:
+        """One for each overlapping piece of a text."""
+        return [self.entry(text[i : i + PIECE + OVERLAP]) for i in range(0, max(1, len(text)), PIECE)]
+
+    def satisfied(self, entry: int, f: Formula) -> bool:
+        if isinstance(f, tuple):
+            return (all if f[0] == "and" else any)(self.satisfied(entry, x) for x in f[1:])
+        return True if f is True else bool(entry & self.bit[f])
+
+    def candidates(self, text: str) -> int:
+        """Bit i: pattern i may match some piece."""
+        entries = self.entries(text)
+        return sum(1 << i for i, f in enumerate(self.formulas) if any(self.satisfied(e, f) for e in entries))
