@@ -36,6 +36,8 @@ LONGEST = 4
 LEAST_DOCS = 3
 PURITY = 0.5
 PURITY_WORD = 0.6
+COMMON_DOCS = 15
+COMMON_SHARE = 0.35
 SHARE = 0.25
 FUNCTIONS = ("lexicon", "description", "section", "address", "source", "label")
 ALIASES = {"legal": "law", "food": "cooking", "sports": "sport", "health": "medicine", "medical": "medicine", "programming": "software", "farming": "agriculture", "travel": "transport", "transportation": "transport", "space": "astronomy", "banking": "finance", "money": "finance", "teaching": "education", "life science": "biology"}  # fixed values: other spellings of labels
@@ -75,8 +77,8 @@ def grams(words: list[str]) -> list[str]:
     return [" ".join(words[i : i + n]) for n in range(1, LONGEST + 1) for i in range(len(words) - n + 1)]
 
 
-def learn(docs: list[tuple[list[list[str]], frozenset[str]]], subjects: list[str], rounds: int = 5) -> dict[str, str]:
-    """{word sequence: subject} from (sentences, labels) of documents. A sentence belongs to each label of its document
+def learn(docs: list[tuple[list[list[str]], frozenset[str]]], subjects: list[str], rounds: int = 5) -> dict[str, tuple[str, float]]:
+    """{word sequence: (subject, share)} from (sentences, labels) of documents. A sentence belongs to each label of its document
     by as much as its three most telling sequences say."""
     texts = [([list(dict.fromkeys(grams(s))) for s in sents], labels) for sents, labels in docs]
     support: Counter = Counter(g for sents, _ in texts for g in {g for s in sents for g in s})
@@ -104,15 +106,19 @@ def learn(docs: list[tuple[list[list[str]], frozenset[str]]], subjects: list[str
                         counts[g][x] += v
         weight = {g: {x: v / sum(c.values()) for x, v in c.items()} for g, c in counts.items()}
         telling = {g: max(w.values()) for g, w in weight.items()}
+    # words that go with every subject are those of sentence patterns; a phrase neither begins nor ends with one
+    common = {g for g, w in weight.items() if " " not in g and support[g] >= COMMON_DOCS and max(w.values()) < COMMON_SHARE}
     out = {}
     for g, w in weight.items():
+        if g.split(" ", 1)[0] in common or g.rsplit(" ", 1)[-1] in common:
+            continue
         best = max(w, key=lambda x: (w[x], x))
         if best in subjects and w[best] >= (PURITY if " " in g else PURITY_WORD):
-            out[g] = best
+            out[g] = (best, w[best])
     return out
 
 
-def learn_twice(labelled: list, unlabelled: list, subjects: list[str]) -> dict[str, str]:
+def learn_twice(labelled: list, unlabelled: list, subjects: list[str]) -> dict[str, tuple[str, float]]:
     """A lexicon from the labelled documents; where they are fewer than the bound, once more with unlabelled ones that
     the first lexicon speaks clearly about, for the phrases that no labelled document has often enough."""
     first = learn(labelled, subjects)
@@ -127,17 +133,20 @@ def learn_twice(labelled: list, unlabelled: list, subjects: list[str]) -> dict[s
     return learn([*labelled, *more], subjects) if more else first
 
 
-def concerned(sentence: list[str], lexicon: dict[str, str]) -> set[str]:
-    """Subjects of a sentence: longest sequences first, no word twice."""
-    found, used, n = set(), [False] * len(sentence), len(sentence)
+def concerned(sentence: list[str], lexicon: dict[str, tuple[str, float]]) -> set[str]:
+    """Subjects of a sentence: longest sequences first, no word twice; a subject with less than half the weight of the
+    strongest one is a chance word of that one's phrase."""
+    score: dict[str, float] = defaultdict(float)
+    used, n = [False] * len(sentence), len(sentence)
     for size in range(min(LONGEST, n), 0, -1):
         for i in range(n - size + 1):
             if not any(used[i : i + size]):
-                s = lexicon.get(" ".join(sentence[i : i + size]))
-                if s:
-                    found.add(s)
+                hit = lexicon.get(" ".join(sentence[i : i + size]))
+                if hit:
+                    score[hit[0]] += hit[1] * size
                     used[i : i + size] = [True] * size
-    return found
+    top = max(score.values(), default=0.0)
+    return {s for s, v in score.items() if v >= top / 2}
 
 
 def normal_label(label: str | None, subjects: dict[str, str]) -> str | None:
@@ -224,7 +233,7 @@ def assign(docs: DataFrame, subjects: DataFrame, labels: DataFrame, label_rows:
     lexicon = learn_twice([(s, ls) for s, ls, _, _ in examples], others, names)
     words = {w: s for s in names for w in {x.lower() for x in WORD.findall(known[s])} if sum(bool(re.search(rf"\b{w}\b", t.lower())) for t in known.values()) == 1 and len(w) > 4}
     if not lexicon:
-        lexicon = words
+        lexicon = {w: (s, 1.0) for w, s in words.items()}
     address = tendencies([(repo, ls) for _, ls, repo, _ in examples], names)
     kind = tendencies([(src, ls) for _, ls, _, src in examples], names)
     shared = spark.sparkContext.broadcast((lexicon, words, address, kind))
