@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loamgraph.llm import credentials, docpairs, handwritten, mixing, neighbours, packing, subjects
+from loamgraph.llm import credentials, docpairs, handwritten, mixing, neighbours, packing, subjects, syntax
 from loamgraph.session import table
 
 
+def p1_found(spark, d):
+    return syntax.verdicts(table(spark, d, "files")).where("not valid").select("file_id")
+
+
+def p1_report(spark, d):
+    return syntax.report(syntax.verdicts(table(spark, d, "files")))
+
+
+def p1_chunks(spark, d):
+    return syntax.broken_chunks(syntax.verdicts(table(spark, d, "files")), table(spark, d, "chunks"))
+
+
 def p2_found(spark, d):
     return neighbours.neighbour_pairs(table(spark, d, "vectors"), "point_id", "vector")
 
@@ -70,6 +82,7 @@ def p10_composition(spark, d):
 
 QUERIES = {
     "p10_found": p10_found, "p10_composition": p10_composition,
+    "p1_found": p1_found, "p1_report": p1_report, "p1_chunks": p1_chunks,
     "p2_found": p2_found, "p2_neighbours": p2_neighbours,
     "p3_found": p3_found, "p3_redacted": p3_redacted,
     "p4_found": p4_found, "p4_pairs": p4_pairs,

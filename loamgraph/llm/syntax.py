@@ -22,6 +22,8 @@ from loamgraph.llm.derivatives import EMPTY, Grammar
 
 LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "jsx", ".ts": "typescript", ".tsx": "tsx", ".json": "json"}
 CONFLICT = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?:\s|$)")
+GENERIC = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\b)")  # beside elements, type parameters of a function show themselves so
+ANGLES = re.compile(r">{1,3}=?")
 RESTRICTED = frozenset(("return", "break", "continue", "yield"))
 
 
@@ -99,6 +101,15 @@ class _Script:
         v = self.g.memo.get(state << 10 | t)
         return self.g.derive(state, t) if v is None else v
 
+    def angles(self, state: int, op: str) -> int:
+        """Closing angle brackets may be one operator or the ends of several type lists: the union of both languages."""
+        ways = [self.try_(state, op)]
+        for i in range(1, len(op)):
+            s = self.try_(state, op[:i])
+            if s:
+                ways.append(self.angles(s, op[i:]))
+        return self.g.alt(ways)
+
     def verdict(self) -> Verdict:
         text, n, g, try_ = self.text, len(self.text), self.g, self.try_
         state, at, newline, last = g.fresh(), 0, False, ""
@@ -190,9 +201,11 @@ class _Script:
                 else:
                     kind = "ERR"
             if not kind and c == ">":
-                kind = next((k for k in (">>>=", ">>>", ">>=", ">>", ">=", ">") if text.startswith(k, at) and try_(state, k)), ">")
+                kind = ANGLES.match(text, at)[0]
+                if len(kind) > 1 and not self.angles(state, kind):
+                    kind = ">"
                 end = at + len(kind)
-            if not kind and c == "<" and self.jsx and not try_(state, "<"):
+            if not kind and c == "<" and self.jsx and (not try_(state, "<") or (try_(state, "OPEN") and not GENERIC.match(text, at))):
                 s = state
                 if not try_(s, "OPEN") and newline:
                     s = try_(s, "ASI")
@@ -222,7 +235,7 @@ class _Script:
                 s = try_(state, "ASI")
                 nxt = try_(s, kind) if s else EMPTY
             if not nxt and not (newline and last == "throw") and not (newline and kind == "=>"):
-                nxt = try_(state, kind)
+                nxt = self.angles(state, kind) if c == ">" and len(kind) > 1 else try_(state, kind)
             if not nxt and (newline or kind == "}") and (s := try_(state, "ASI")):
                 nxt = try_(s, kind)
                 if not nxt and kind in ("/", "ERR") and c == "/":
