@@ -10,6 +10,8 @@ from loamgraph.operators import answer as A
 from loamgraph.operators import graph as G
 from loamgraph.operators import history as H
 from loamgraph.operators import index as I
+from loamgraph.operators import parse as P
+from loamgraph.operators import resolve as RS
 from loamgraph.operators import retrieve as R
 from loamgraph.operators import search as S
 from loamgraph.operators import text as T
@@ -317,7 +319,7 @@ def query_term(spark, d):
 
 
 @query("""with q as (select chunk_id as qid, 'who calls ' || symbol_name || ' and is it private' as question, symbol_name, lower(chunk_type) as t from chunks where chunk_id is not null and symbol_name is not null group by all)
- select qid, round(0.5 + 0.4 + case when t = 'function' then 0.3 else 0 end, 6) as ranking_score from q""")
+ select qid, cast(round(0.5 + 0.4 + case when t = 'function' then 0.3 else 0 end, 6) as double) as ranking_score from q""")
 def score_chunks(spark, d):
     c = table(spark, d, "chunks").where("chunk_id is not null and symbol_name is not null").select(F.col("chunk_id").alias("qid"), F.concat(F.lit("who calls "), "symbol_name", F.lit(" and is it private")).alias("question"), "symbol_name", F.lower("chunk_type").alias("t")).distinct()
     rel = F.when(F.col("t") == "function", "reverse_calls").otherwise("contains")
@@ -376,7 +378,7 @@ def answer_sources(spark, d):
 # one strategy at a time, in SQL too
 @query(f"""with {_EDG}, {_SYM}, tg as (select unnest(['atlas_mono.core.log.get_logger', 'BaseModel', 'object', 'Exception']) as target), dep as (select edg.target, 'reverse_' || relation as relation, sym.file as file_path, sym.fqn as symbol_name, sym.type as chunk_type, edg.ord from edg join tg using (target) join sym on edg.source = sym.fqn),
  once as (select * from dep qualify row_number() over (partition by target, file_path, symbol_name, relation order by ord) = 1), sc as (select *, round(0.5 + case when contains('who calls ' || lower(target), lower(symbol_name)) or contains('who calls ' || lower(target), lower(string_split(symbol_name, '.')[-1])) then 0.4 else 0 end + case when relation in ('reverse_calls', 'reverse_inherits', 'reverse_imports') then 0.3 else 0 end, 6) as ranking_score from once)
- select target, file_path, symbol_name, relation, ranking_score from sc qualify row_number() over (partition by target order by ranking_score desc, ord, file_path, symbol_name, relation) <= 12""")
+ select target, file_path, symbol_name, relation, cast(ranking_score as double) as ranking_score from sc qualify row_number() over (partition by target order by ranking_score desc, ord, file_path, symbol_name, relation) <= 12""")
 def dependency_rank(spark, d):
     names = ["atlas_mono.core.log.get_logger", "BaseModel", "object", "Exception"]
     q = spark.createDataFrame([(i, f"who calls {n}", "DEPENDENCY", n) for i, n in enumerate(names)], "qid long, question string, intent string, target string")
@@ -392,7 +394,7 @@ def text_chunks(spark, d):
     return T.text_chunks(table(spark, d, "documents"), "doc_id")
 
 
-@query("select count(*) as documents, count_if(trim(coalesce(text, '')) <> '') as with_text, sum(length(text)) as chars from documents")
+@query("select count(*) as documents, cast(count(*) filter (where trim(text) <> '') as bigint) as with_text, cast(sum(length(text)) as bigint) as chars from documents")
 def text_stats(spark, d):
     return table(spark, d, "documents").agg(F.count("*").alias("documents"), F.count_if(F.trim(F.coalesce("text", F.lit(""))) != "").alias("with_text"), F.sum(F.length("text").cast("long")).alias("chars"))
 
@@ -405,3 +407,86 @@ def question_history(spark, d):
 @query("select user_id, event_id, value from events where event_type = 'purchase' qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1")
 def last_assistant_turn(spark, d):
     return H.last_turn(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value"), "user_id", ["ts", "event_id"], "event_type", "purchase").select("user_id", "event_id", "value")
+
+
+# parsing ------------------------------------------------------------------------------------------------------------------
+def _facts(spark, d):
+    return P.facts(table(spark, d, "files"))
+
+
+@query()
+def ast_chunks(spark, d):
+    return _facts(spark, d).where("kind = 'chunk'").select("file_path", "fqn", "name", "type", "line", "text", "docstring")
+
+
+@query()
+def import_extract(spark, d):
+    return RS.import_table(_facts(spark, d))
+
+
+@query()
+def symbol_table(spark, d):
+    return RS.symbol_table(_facts(spark, d)).select("fqn", "name", "type", "file_path", "parent")
+
+
+@query()
+def raw_calls(spark, d):
+    return P.raw_calls(_facts(spark, d))
+
+
+def _edges_of(*relations):
+    def f(spark, d):
+        return RS.edges(_facts(spark, d)).where(F.col("relation").isin(*relations))
+
+    return f
+
+
+for _name in ("contains", "imports", "inherits", "decorates", "calls", "instantiates", "returns"):
+    QUERIES[f"edges_{_name}"] = _edges_of(_name)
+    QUERIES[f"edges_{_name}"].__name__ = f"edges_{_name}"
+
+
+@query()
+def call_resolution_stats(spark, d):
+    return RS.call_stats(RS.edges(_facts(spark, d)))
+
+
+@query()
+def parsed_nodes(spark, d):
+    return RS.nodes(_facts(spark, d))
+
+
+@query()
+def var_types(spark, d):
+    facts = _facts(spark, d)
+    return RS.bindings(facts, RS.symbol_table(facts), RS.import_table(facts))
+
+
+# names of edges, resolved against the table of symbols: SQL says the same
+_FILES = "fs as (select file_path, min(module) as module from ch where module is not null and file_path is not null group by 1)"
+
+
+@query(f"""with {_EDG}, {_SYM}, {_FILES}, imp as (select source as file_path, string_split(target, '.')[-1] as head, max_by(target, ord) as imported_fqn from edg where relation = 'imports' and source is not null and target is not null group by 1, 2),
+ nm as (select distinct e.file_path, module, string_split(target, '.')[-1] as name from edg e join fs using (file_path) where relation in ('calls', 'instantiates', 'inherits') and target is not null),
+ suf as (select name, min(fqn) as only_, count(*) as owners from (select fqn, array_to_string(list_slice(p, i, len(p)), '.') as name from (select fqn, string_split(fqn, '.') as p, unnest(range(2, len(string_split(fqn, '.')) + 1)) as i from sym)) group by 1 having count(*) = 1),
+ j as (select n.*, a.fqn as a, i.imported_fqn as b, d.fqn as d, s.only_ as e from nm n left join sym a on a.fqn = n.name left join imp i on i.file_path = n.file_path and i.head = n.name left join sym d on d.fqn = n.module || '.' || n.name left join suf s on s.name = n.name)
+ select file_path, name, coalesce(a, b, d, e, name) as target, coalesce(a, b, d, e) is not null as resolved, case when coalesce(a, b, d) is not null then 'high' when e is not null then 'medium' else 'low' end as confidence from j""")
+def resolve_simple(spark, d):
+    chunks, edges = I.latest_chunks(table(spark, d, "chunks")), I.latest_edges(table(spark, d, "edges"))
+    modules = chunks.where("module is not null and file_path is not null").groupBy("file_path").agg(F.min("module").alias("module"))
+    names = edges.where(F.col("relation").isin("calls", "instantiates", "inherits") & F.col("target").isNotNull()).select("file_path", N.last_part(F.col("target")).alias("name")).join(modules, "file_path")
+    imports = edges.where("relation = 'imports' and source is not null and target is not null").groupBy(F.col("source").alias("file_path"), N.last_part(F.col("target")).alias("local_name")).agg(F.max_by("target", "ord").alias("imported_fqn"))
+    return RS.resolve_simple(names, _sym(spark, d), imports).select("file_path", "name", "target", "resolved", "confidence")
+
+
+@query(f"""with recursive {_EDG}, {_SYM}, base as (select cls, min_by(target, ord) as base from (select source as cls, target, ord from edg where relation = 'inherits' and source is not null and target in (select fqn from sym where type = 'class') and target <> source) group by 1),
+ want as (select s.fqn as cls, m.attr from (select distinct fqn from sym where type = 'class') s, (select unnest(['__init__', 'rebuild_profile', 'collect_draft', 'merge_segment']) as attr) m),
+ walk as (select cls, attr, cls as at, 0 as level from want union all select w.cls, w.attr, b.base, w.level + 1 from walk w join base b on b.cls = w.at where w.level < 31 and b.base <> w.cls and not exists (select 1 from sym x where x.fqn = w.at || '.' || w.attr)),
+ hit as (select w.cls, w.attr, min_by(x.fqn, w.level) as target from walk w join sym x on x.fqn = w.at || '.' || w.attr group by 1, 2)
+ select w.cls, w.attr, coalesce(h.target, w.cls || '.' || w.attr) as target from want w left join hit h using (cls, attr)""")
+def resolve_self_method(spark, d):
+    sym, edges = _sym(spark, d), I.latest_edges(table(spark, d, "edges"))
+    classes = sym.where("type = 'class'")
+    bases = edges.where("relation = 'inherits' and source is not null and target <> source").join(classes.select(F.col("fqn").alias("target")), "target").groupBy(F.col("source").alias("cls")).agg(F.min_by("target", "ord").alias("base"))
+    wanted = classes.select(F.col("fqn").alias("cls"), F.explode(F.array(*[F.lit(x) for x in ("__init__", "rebuild_profile", "collect_draft", "merge_segment")])).alias("attr"))
+    return RS.resolve_self(wanted, sym, bases)
