@@ -18,7 +18,7 @@ NOT_FLOW = ["routing", "auth", "authentication", "connection", "database", "db"]
 DESIGN = ["architecture", "relationship", "interact", "registered", "registration", "structure", "design", "interaction", "dependency injection"]
 DEFINITION = ["defined", "definition", "implemented", "located", "show class", "where is"]
 BROAD = ["routing", "auth", "authentication", "connection", "flow", "architecture", "database"]
-STOP = ["where", "is", "find", "the", "what", "who", "how", "show", "explain"]
+STOP = ["what", "where", "how", "who", "find", "locate", "search", "explain", "defined"]
 INTENTS = ["DECORATOR_LOOKUP", "FILE_LOOKUP", "IMPORT_LOOKUP", "KEYWORD_SEARCH", "DEPENDENCY", "CALL_FLOW", "ARCHITECTURE", "SYMBOL_LOOKUP", "GENERAL"]
 
 

@@ -23,10 +23,10 @@ def edge_stats(edges: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(edges: DataFrame, symbols: DataFrame, limit: int | None = 20) -> DataFrame:
+def neighbours(edges: DataFrame, symbols: DataFrame, limit: int | None = 20, once: bool = False) -> DataFrame:
     """(symbol, rank, node, relation, direction, ord): undirected neighbours in the order of arrival; duplicates stay, an
-    edge from a symbol to itself counts once."""
-    e = latest_edges(edges).where("source is not null or target is not null")
+    edge from a symbol to itself counts once. `once`: the edges are known to hold each edge_id once."""
+    e = (edges if once else latest_edges(edges)).where("source is not null or target is not null")
     s = symbols.select("symbol").distinct()
     out = e.join(s, e.source == s.symbol).select("symbol", F.col("target").alias("node"), "relation", F.lit("out").alias("direction"), "ord", "edge_id")
     into = e.where("not (source <=> target)").join(s, F.col("target") == s.symbol).select("symbol", F.col("source").alias("node"), "relation", F.lit("in").alias("direction"), "ord", "edge_id")
@@ -41,17 +41,17 @@ def connected(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return neighbours(edges, symbols, None).where("node is not null").select("symbol", "node").distinct()
 
 
-def reverse_dependencies(edges: DataFrame, targets: DataFrame, symbols: DataFrame) -> DataFrame:
+def reverse_dependencies(edges: DataFrame, targets: DataFrame, symbols: DataFrame, once: bool = False) -> DataFrame:
     """(target, ord, fqn, type, file, line, relation): the definitions of all sources of edges to the targets."""
-    e = latest_edges(edges)
+    e = edges if once else latest_edges(edges)
     t = targets.select(F.col("symbol").alias("target")).distinct()
     return e.join(t, "target").join(symbols, e.source == symbols.fqn).select("target", e.edge_id, e.ord, "fqn", "type", "file", "line", F.concat(F.lit("reverse_"), "relation").alias("relation"))
 
 
-def graph_context(edges: DataFrame, symbols_wanted: DataFrame, symbols: DataFrame, limit: int = 10, per_neighbour: int = 5) -> DataFrame:
+def graph_context(edges: DataFrame, symbols_wanted: DataFrame, symbols: DataFrame, limit: int = 10, per_neighbour: int = 5, once: bool = False) -> DataFrame:
     """(graph_source, rank, symbol_name, relation, file_path, chunk_type, text): code of the neighbours. Neighbours are
     found by full name, or by own name where the graph has only that; those without code are left out."""
-    n = neighbours(edges, symbols_wanted, limit).where("node is not null")
+    n = neighbours(edges, symbols_wanted, limit, once).where("node is not null")
     full = symbols.select(F.col("fqn").alias("node"), F.lit(0).alias("pref"), "chunk_id", "file", "type", "text")
     own = symbols.where("not (name <=> fqn)").select(F.col("name").alias("node"), F.lit(1).alias("pref"), "chunk_id", "file", "type", "text")
     found = n.join(full.unionByName(own), "node")

@@ -15,6 +15,9 @@ from loamgraph.functions import intent as IN
 from loamgraph.functions import names as N
 from loamgraph.operators import graph as G
 from loamgraph.operators import search as S
+from loamgraph.operators import vector as V
+from loamgraph.operators.index import latest_edges
+from loamgraph.session import cut
 
 CONTEXT = ["qid", "file_path", "symbol_name", "chunk_type", "relation", "graph_source", "score", "line", "text", "seq"]
 ALIGNED = {
@@ -46,10 +49,26 @@ def _row(df: DataFrame, **cols) -> DataFrame:
 
 
 class Tables:
-    """What retrieval reads."""
+    """What retrieval reads. Symbols and edges are read by many strategies: their de-duplicated form is written once to the
+    shared folder instead of being made again in each plan."""
 
     def __init__(self, files: DataFrame, symbols: DataFrame, imports: DataFrame, decorators: DataFrame, edges: DataFrame) -> None:
-        self.files, self.symbols, self.imports, self.decorators, self.edges = files, symbols, imports, decorators, edges
+        self.files, self.imports, self.decorators = files, imports, decorators
+        self.symbols, _ = cut(symbols, "symbols")
+        self.edges, _ = cut(latest_edges(edges).select("edge_id", "source", "target", "relation", "ord"), "edges")
+
+
+def retrieve_context(symbols: DataFrame, q: DataFrame) -> DataFrame:
+    """(qid, rank, fqn, name, type, file, line, score, text) for questions (qid, question, k): definitions whose own name is
+    the first capitalised word, with score 1; where there are none, the k nearest by vector."""
+    named = q.withColumn("term", F.regexp_extract("question", "[A-Z][A-Za-z0-9_]*", 0))
+    names = [r["term"] for r in named.where("term <> ''").select("term").distinct().collect()]  # of a stated list of questions
+    cols = ["qid", "rank", "fqn", "name", "type", "file", "line", "score", "text"]
+    exact = S.symbol_chunks(symbols, names).join(F.broadcast(named), "term").select(cols)
+    rest = q.join(F.broadcast(exact.select("qid").distinct()), "qid", "left_anti")
+    near = V.hash_topk(symbols, "chunk_id", "text", rest.select(F.col("qid").alias("query"), "question"), 5).join(F.broadcast(rest.select(F.col("qid").alias("query"), "k")), "query").where("rank <= k")
+    vector = symbols.join(F.broadcast(near), "chunk_id").select(F.col("query").alias("qid"), "rank", "fqn", "name", "type", "file", "line", F.col("cosine").alias("score"), "text")  # at most k rows a question
+    return exact.unionByName(vector)
 
 
 def context(t: Tables, q: DataFrame) -> DataFrame:
@@ -80,10 +99,10 @@ def context(t: Tables, q: DataFrame) -> DataFrame:
     terms, df = asked("KEYWORD_SEARCH")
     if terms:
         out.append(_row(S.keyword_search(t.files, terms).join(F.broadcast(df), "term"), file_path=c("file_path"), symbol_name=c("symbol_name"), chunk_type=F.lit("keyword_match"), text=c("text"), seq=c("rank")))
-    # symbol rows, for every strategy that begins with a symbol; GENERAL and the fallbacks retrieve by exact own name
+    # symbol rows, for every strategy that begins with a symbol
     terms, df = asked("SYMBOL_LOOKUP", "CALL_FLOW", "ARCHITECTURE", "DEPENDENCY")
     if terms:
-        hits = S.search_symbols(t.symbols, terms).join(F.broadcast(df), "term")
+        hits, _ = cut(S.search_symbols(t.symbols, terms).join(F.broadcast(df), "term"), "hits")
         out.append(_row(hits, file_path=c("file"), symbol_name=c("fqn"), chunk_type=c("type"), line=c("line"), text=c("text"), seq=c("rank")))
         first = hits.where("rank = 1").select("qid", "term", "fqn")
         around = [("CALL_FLOW", 8), ("ARCHITECTURE", 10)]
@@ -91,20 +110,28 @@ def context(t: Tables, q: DataFrame) -> DataFrame:
             ids = [r["qid"] for r in by.get(name, [])]
             if ids:
                 own = first.where(c("qid").isin(ids)).select("qid", c("fqn").alias("graph_source"))
-                ctx = G.graph_context(t.edges, own.select(c("graph_source").alias("symbol")), t.symbols, limit)
+                ctx = G.graph_context(t.edges, own.select(c("graph_source").alias("symbol")), t.symbols, limit, once=True)
                 out.append(_row(own.join(ctx, "graph_source"), file_path=c("file_path"), symbol_name=c("symbol_name"), chunk_type=c("chunk_type"), relation=c("relation"), graph_source=c("graph_source"), text=c("text"), seq=F.lit(1_000_000) + c("rank") * 1000))
         ids = [r["qid"] for r in by.get("DEPENDENCY", [])]
         if ids:
             own = first.where(c("qid").isin(ids)).select("qid", "term", c("fqn").alias("graph_source"))
             targets = own.select("qid", "graph_source", F.explode(F.array_distinct(F.array("graph_source", "term"))).alias("target"))
-            deps = G.reverse_dependencies(t.edges, targets.select(c("target").alias("symbol")), t.symbols)
+            deps = G.reverse_dependencies(t.edges, targets.select(c("target").alias("symbol")), t.symbols, once=True)
             out.append(_row(targets.join(deps, "target"), file_path=c("file"), symbol_name=c("fqn"), chunk_type=c("type"), relation=c("relation"), graph_source=c("graph_source"), line=c("line"), seq=F.lit(2_000_000) + c("ord")))
-    general = [(r["qid"], r["question"]) for i in ("GENERAL", "ARCHITECTURE") for r in by.get(i, [])]
-    if general:
-        named = spark.createDataFrame(general, "qid long, question string").withColumn("term", F.regexp_extract("question", "[A-Z][A-Za-z0-9_]*", 0)).where("term <> ''").select("qid", "term")
-        names = [r["term"] for r in named.select("term").distinct().collect()]
-        got = S.symbol_chunks(t.symbols, names).join(F.broadcast(named), "term")
-        out.append(_row(got, file_path=c("file"), symbol_name=c("name"), chunk_type=c("type"), score=c("score"), line=c("line"), text=c("text"), seq=F.lit(3_000_000) + c("rank")))
+    # by exact own name, else by vector: GENERAL and ARCHITECTURE three rows, a symbol lookup without symbols two
+    wanted = [(r["qid"], r["question"], 3) for i in ("GENERAL", "ARCHITECTURE") for r in by.get(i, [])]
+    lookups = {r["qid"]: r for r in by.get("SYMBOL_LOOKUP", [])}
+    if lookups:
+        met = {r["qid"] for r in hits.where(c("qid").isin(list(lookups))).select("qid").distinct().collect()}
+        wanted += [(i, r["question"], 2) for i, r in lookups.items() if i not in met]
+    if wanted:
+        found, _ = cut(retrieve_context(t.symbols, spark.createDataFrame(wanted, "qid long, question string, k int")), "hits")
+        out.append(_row(found, file_path=c("file"), symbol_name=c("name"), chunk_type=c("type"), score=c("score"), line=c("line"), text=c("text"), seq=F.lit(3_000_000) + c("rank")))
+        ids = [r["qid"] for r in by.get("GENERAL", [])]
+        if ids:
+            own = found.where(c("qid").isin(ids)).select("qid", c("fqn").alias("graph_source"), c("rank").alias("hit"))
+            ctx = G.graph_context(t.edges, own.select(c("graph_source").alias("symbol")), t.symbols, 3, once=True)
+            out.append(_row(own.join(ctx, "graph_source"), file_path=c("file_path"), symbol_name=c("symbol_name"), chunk_type=c("chunk_type"), relation=c("relation"), graph_source=c("graph_source"), text=c("text"), seq=F.lit(4_000_000) + c("hit") * 100_000 + c("rank") * 1000))
     empty = spark.createDataFrame([], "qid long, file_path string, symbol_name string, chunk_type string, relation string, graph_source string, score double, line int, text string, seq long")
     for x in out:
         empty = empty.unionByName(x)

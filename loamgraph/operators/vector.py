@@ -29,6 +29,14 @@ def hash_embed(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
     return tf.join(norm, "key").select("key", "bucket", (F.col("tf") / F.col("norm")).alias("weight"))
 
 
+def hash_topk(corpus: DataFrame, key: str, text: str, queries: DataFrame, k: int, dim: int = DIM) -> DataFrame:
+    """(query, rank, key, cosine) for a stated, short list of queries (query, question): the k rows of largest cosine (to 6
+    decimals, then by key) among those that share a dimension. The queries' few dimensions are broadcast."""
+    q = hash_embed(queries, "query", "question", dim).select(F.col("key").alias("query"), "bucket", F.col("weight").alias("qw"))
+    hits = hash_embed(corpus, key, text, dim).join(F.broadcast(q), "bucket").groupBy("query", "key").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("cosine"))
+    return first(hits, "query", [F.col("cosine").desc(), "key"], k).select("query", "rank", F.col("key").alias(key), "cosine")
+
+
 def embed_with(df: DataFrame, text: str, model: Callable[[list[str]], list[list[float]]]) -> DataFrame:
     """Adds `embedding` by a model that takes and gives batches; null texts are embedded as empty ones."""
 

@@ -336,45 +336,131 @@ def _ranked(spark, d):
     return q, R.ranked(R.context(_tables(spark, d), q), q)
 
 
-@query()
+_NULLS = "cast(null as varchar)"
+
+
+def _listed(source: str, test: str, order: str, limit: int, intents: str, cols: str, term: str = "term") -> str:
+    """Context rows of the list strategies."""
+    own = f"select qid, {term} as term from qt where intent in ({intents})"
+    return f"select qid, {cols}, rank as seq from (select o.qid, x.*, row_number() over (partition by o.qid order by {order}) as rank from ({own}) o join {source} x on {test}) where rank <= {limit}"
+
+
+def _around(name: str, limit: int, own: str, seq: str) -> tuple[str, str]:
+    """Graph context around own(qid, graph_source, hit)."""
+    cte = f"""{name}_s as (select distinct graph_source as symbol from {own}), {name}_n as (select symbol, target as node, relation, ord, edge_id from edg join {name}_s on source = symbol union all select symbol, source, relation, ord, edge_id from edg join {name}_s on target = symbol where source is distinct from target),
+ {name}_t as (select *, row_number() over (partition by symbol order by ord, edge_id) as rank from {name}_n qualify row_number() over (partition by symbol order by ord, edge_id) <= {limit}),
+ {name}_c as (select * from (select t.symbol, t.rank, t.node, t.relation, code.* exclude (node) from {name}_t t join code on t.node = code.node) qualify row_number() over (partition by symbol, rank order by pref, chunk_id) <= 5)"""
+    rows = f"select o.qid, file as file_path, node as symbol_name, type as chunk_type, relation, o.graph_source, cast(null as double) as score, cast(null as integer) as line, text, {seq} as seq from {own} o join {name}_c c on c.symbol = o.graph_source"
+    return cte, rows
+
+
+_COLS = "{f} as file_path, {s} as symbol_name, {t} as chunk_type, {r} as relation, {g} as graph_source, {sc} as score, {l} as line, {x} as text"
+
+
+def _cols(f, s, t, r=_NULLS, g=_NULLS, sc="cast(null as double)", line="cast(null as integer)", x=_NULLS) -> str:
+    return _COLS.format(f=f, s=s, t=t, r=r, g=g, sc=sc, l=line, x=x)
+
+
+_TOK = "cast(('0x' || substr(md5(w), 1, 8)) as bigint) % 384"
+_FLOW = _around("cf", 8, "cf_own", "1000000 + c.rank * 1000")
+_ARCH = _around("ar", 10, "ar_own", "1000000 + c.rank * 1000")
+_GEN = _around("ge", 3, "ge_own", "4000000 + o.hit * 100000 + c.rank * 1000")
+_CTX = f"""{_EDG}, {_SYM}, {_DEC}, {_Q}, {_INTENT}, {_TERM},
+fi as ({SQL['scan_filter'].replace('select file_id, rel_path, ext', 'select file_id, rel_path, ord')}),
+imp as (select source as file, target as imported_fqn, string_split(target, '.')[-1] as local_name, ord, edge_id from edg where relation = 'imports' and source is not null and target is not null),
+pyf as (select file_id, rel_path, ord, text, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) as l from files where ext = '.py'),
+code as (select fqn as node, 0 as pref, chunk_id, file, type, text from sym union all select name, 1, chunk_id, file, type, text from sym where name is distinct from fqn),
+st as (select qid, term, intent from qt where intent in ('SYMBOL_LOOKUP', 'CALL_FLOW', 'ARCHITECTURE', 'DEPENDENCY')), ex as (select st.qid, s.* from st join sym s on s.fqn = st.term),
+sh as (select *, row_number() over (partition by qid order by ord, chunk_id) as rank from (select * from ex union all select st.qid, s.* from st join sym s on ({_SUB.replace('term', 'st.term')}) where st.qid not in (select qid from ex)) qualify row_number() over (partition by qid order by ord, chunk_id) <= 10),
+cf_own as (select qid, fqn as graph_source, 0 as hit from sh where rank = 1 and qid in (select qid from qt where intent = 'CALL_FLOW')), ar_own as (select qid, fqn as graph_source, 0 as hit from sh where rank = 1 and qid in (select qid from qt where intent = 'ARCHITECTURE')),
+rc as (select qid, question, case intent when 'SYMBOL_LOOKUP' then 2 else 3 end as k, regexp_extract(question, '[A-Z][A-Za-z0-9_]*', 0) as cap from qt where intent in ('GENERAL', 'ARCHITECTURE') or intent = 'SYMBOL_LOOKUP' and qid not in (select qid from sh)),
+rex as (select rc.qid, s.*, cast(1.0 as double) as score, row_number() over (partition by rc.qid order by ord, chunk_id) as rank from rc join sym s on s.name = rc.cap and rc.cap <> '' qualify row_number() over (partition by rc.qid order by ord, chunk_id) <= 5),
+rre as (select * from rc where qid not in (select qid from rex)),
+tq as (select qid, {_TOK} as b, count(*) as tf from (select qid, unnest(regexp_split_to_array(lower(question), '[^a-z0-9]+')) as w from rre) where w <> '' group by 1, 2), nq as (select qid, sqrt(sum(tf * tf)) as n from tq group by 1),
+tc as (select chunk_id, {_TOK} as b, count(*) as tf from (select chunk_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) as w from sym) where w <> '' group by 1, 2), nc as (select chunk_id, sqrt(sum(tf * tf)) as n from tc group by 1),
+vh as (select qid, chunk_id, round(sum((tc.tf / nc.n) * (tq.tf / nq.n)), 6) as cosine from tq join nq using (qid) join tc using (b) join nc using (chunk_id) group by 1, 2),
+vt as (select vh.*, row_number() over (partition by qid order by cosine desc, chunk_id) as rank from vh),
+rv as (select vt.qid, s.*, vt.cosine as score, vt.rank from vt join rre using (qid) join sym s using (chunk_id) where vt.rank <= rre.k),
+rh as (select qid, rank, fqn, name, type, file, line, score, text from rex union all select qid, rank, fqn, name, type, file, line, score, text from rv),
+ge_own as (select qid, fqn as graph_source, rank as hit from rh where qid in (select qid from qt where intent = 'GENERAL')),
+{_FLOW[0]}, {_ARCH[0]}, {_GEN[0]},
+dt as (select distinct qid, graph_source, target from (select qid, fqn as graph_source, unnest([fqn, term]) as target from sh join qt using (qid) where rank = 1 and intent = 'DEPENDENCY')),
+kx as (select o.qid, x.*, row_number() over (partition by o.qid order by x.ord, x.file_id) as rank, list_position(list_transform(l, lambda y: contains(lower(y), lower(trim(o.term)))), true) as pos, o.term from (select qid, term from qt where intent = 'KEYWORD_SEARCH') o join pyf x on contains(lower(x.text), lower(trim(o.term))) qualify row_number() over (partition by o.qid order by x.ord, x.file_id) <= 5),
+ctx as ({_listed('fi', 'contains(lower(x.rel_path), lower(trim(o.term)))', 'x.ord, x.file_id', 10, "'FILE_LOOKUP'", _cols('rel_path', 'rel_path', "'file'", x="'# File: ' || rel_path"))}
+ union all {_listed('imp', 'contains(lower(x.imported_fqn), lower(trim(o.term))) or contains(lower(x.local_name), lower(trim(o.term)))', 'x.ord, x.edge_id', 10, "'IMPORT_LOOKUP'", _cols('file', 'imported_fqn', "'import'", r="'imports'", x="'# File: ' || file || ' imports ' || imported_fqn || ' as ' || local_name"))}
+ union all {_listed('dkey', 'contains(lower(x.decorator), lower(trim(o.term)))', 'x.ord, x.chunk_id, x.decorator', 10, "'DECORATOR_LOOKUP'", _cols('file', 'target', 'type', r="'decorated_by_' || decorator", line='line'), "case when starts_with(trim(term), '@') then substring(trim(term), 2) else term end")}
+ union all select qid, {_cols('rel_path', "'keyword_' || term", "'keyword_match'", x="array_to_string(list_slice(l, greatest(pos - 2, 1), pos + 14), chr(10))")}, rank from kx where pos > 0
+ union all select qid, {_cols('file', 'fqn', 'type', line='line', x='text')}, rank from sh
+ union all {_FLOW[1]} union all {_ARCH[1]} union all {_GEN[1]}
+ union all select dt.qid, {_cols('s.file', 's.fqn', 's.type', r="'reverse_' || e.relation", g='dt.graph_source', line='s.line')}, 2000000 + e.ord from dt join edg e on e.target = dt.target join sym s on s.fqn = e.source
+ union all select qid, {_cols('file', 'name', 'type', sc='score', line='line', x='text')}, 3000000 + rank from rh),
+once as (select * from ctx qualify row_number() over (partition by qid, file_path, symbol_name, relation order by seq nulls first, text nulls first, line nulls first) = 1),
+scored as (select o.*, question, intent, cast(round(coalesce(score, 0.5) + case when length(symbol_name) > 0 and (contains(lower(question), lower(symbol_name)) or contains(lower(question), lower(string_split(symbol_name, '.')[-1]))) then 0.4 else 0 end
+ + case when intent = 'CALL_FLOW' and relation in ('calls', 'instantiates') or intent = 'ARCHITECTURE' and relation in ('inherits', 'imports') or intent = 'DEPENDENCY' and relation in ('calls', 'inherits', 'imports', 'reverse_calls', 'reverse_inherits', 'reverse_imports') then 0.3 else 0 end, 6) as double) as ranking_score from once o join qt using (qid)),
+ranked as (select *, cast(row_number() over (partition by qid order by ranking_score desc, seq, file_path nulls first, symbol_name nulls first, relation nulls first) as integer) as rank from scored qualify row_number() over (partition by qid order by ranking_score desc, seq, file_path nulls first, symbol_name nulls first, relation nulls first) <= 12)"""
+_TICK = "'`' || coalesce({0}, 'None') || '`'"
+_BLOCK = "chr(10) || 'FILE: ' || coalesce(file_path, 'None') || chr(10) || chr(10) || 'TYPE: ' || coalesce(chunk_type, 'None') || chr(10) || chr(10) || 'SYMBOL: ' || coalesce(symbol_name, 'None') || chr(10) || chr(10) || 'RELATION: ' || coalesce(relation, 'none') || chr(10) || chr(10) || 'CODE:' || chr(10) || chr(10) || substring(coalesce(text, ''), 1, 1200) || chr(10)"
+_BUD = f"blk as (select qid, rank, {_BLOCK} as block from ranked), bud as (select qid, rank, block, cast(sum(length(block)) over (partition by qid order by rank) as bigint) as used from blk)"
+
+
+@query(f"with {_CTX} select qid, rank, intent, file_path, symbol_name, chunk_type, relation, graph_source, ranking_score from ranked")
 def orchestrate_rank(spark, d):
     return _ranked(spark, d)[1].select("qid", "rank", "intent", "file_path", "symbol_name", "chunk_type", "relation", "graph_source", "ranking_score")
 
 
-@query()
+@query(f"""with {_CTX}, n as (select qid, count(*) as n, count(graph_source) as g from ctx group by 1), j as (select qid, intent, coalesce(n, 0) as n, coalesce(g, 0) as g from qt left join n using (qid))
+ select qid, intent, case intent {' '.join(f"when '{k}' then '{v[0]}'" for k, v in R.STRATEGY.items())} end as strategy, cast(case intent {' '.join(f"when '{k}' then case when {'g > 0' if k == 'CALL_FLOW' else 'n > 1' if k == 'DEPENDENCY' else 'n > 0'} then {v[1]} else {v[2]} end" for k, v in R.STRATEGY.items())} end as double) as confidence from j""")
 def intent_strategy(spark, d):
     q = _asked(spark)
     return R.confidence(q, R.context(_tables(spark, d), q))
 
 
-@query()
+@query(f"""with {_CTX}, k as (select qid, case when chunk_type = 'file' then 'file' when contains(relation, 'decorated') then 'decorator' when coalesce(line, 0) <> 0 then 'symbol' else 'vector' end as kind from once)
+ select qid, count(*) filter (where kind = 'file') as file_rows, count(*) filter (where kind = 'decorator') as decorator_rows, count(*) filter (where kind = 'symbol') as symbol_rows, count(*) filter (where kind = 'vector') as vector_rows from k group by 1""")
 def context_metrics(spark, d):
     q = _asked(spark)
     return R.metrics(R.ranked(R.context(_tables(spark, d), q), q, None))
 
 
-@query()
+@query(f"with {_CTX}, {_BUD} select qid, rank, used from bud where used <= 7000")
 def context_budget(spark, d):
     return A.within_budget(_ranked(spark, d)[1]).select("qid", "rank", "used")
 
 
-@query()
+@query(f"""with {_CTX}, {_BUD}, c as (select qid, string_agg(block, chr(10) || chr(10) order by rank) as context from bud where used <= 7000 group by 1)
+ select qid, 'Answer a question about a source-code repository from the context only.' || chr(10) || 'Intent: ' || intent || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question:' || chr(10) || question || chr(10) || chr(10)
+ || 'Name files and symbols as they are written in the context. Say so where the context does not tell. Parts: Definition, Files, Call Flow, Related Components, Summary.' || chr(10) as prompt from qt left join c using (qid)""")
 def prompt_text(spark, d):
     q, r = _ranked(spark, d)
     return A.prompts(r, q)
 
 
-@query()
+@query(f"""with {_CTX}, g as (select qid, list_sort(list(distinct file_path) filter (where file_path <> '')) as files, string_agg('- ' || {_TICK.format('graph_source')} || ' **' || relation || '** ' || {_TICK.format('symbol_name')} || ' (in ' || {_TICK.format('file_path')} || ')', chr(10) order by rank) filter (where relation <> '' and graph_source <> '') as flow from ranked group by 1),
+ t as (select * from ranked where rank = 1), n as (select chr(10) || chr(10) as nn)
+ select qid, case when t.rank is null then '### Definition:' || chr(10) || 'No context for the query: **' || qt.question || '**.' || chr(10) else '### Definition:' || chr(10) || {_TICK.format('symbol_name')} || ' in ' || {_TICK.format('file_path')} || nn || '### Files:' || chr(10) || array_to_string(list_transform(g.files, lambda f: '- `' || f || '`'), chr(10))
+ || nn || '### Call Flow:' || chr(10) || coalesce(flow, '- No relations in the context.') || nn || '### Related Components:' || chr(10) || '- ' || {_TICK.format('symbol_name')} || ' (type: ' || {_TICK.format('chunk_type')} || ')' || chr(10) || substring(coalesce(text, ''), 1, 600) || nn || '### Summary:' || chr(10) || len(g.files) || ' file(s) of context.' || chr(10) end as answer
+ from qt cross join n left join g using (qid) left join t using (qid)""")
 def fallback_answer(spark, d):
     q, r = _ranked(spark, d)
     return A.fallback(r, q)
 
 
-@query()
+@query(f"with {_CTX} select qid, rank, file_path, symbol_name, chunk_type, relation, graph_source, case when score is null then 'graph' else cast(score as varchar) end as score from ranked")
 def answer_sources(spark, d):
     return A.sources(_ranked(spark, d)[1])
 
 
+@query(f"with {_CTX} select qid, cast(rank as integer) as rank, fqn, name, round(score, 6) as score from rh")
+def retrieve_context(spark, d):
+    q = _asked(spark).where(F.col("intent").isin("GENERAL", "ARCHITECTURE"))
+    own = _asked(spark).where("intent = 'SYMBOL_LOOKUP'")
+    sym = _sym(spark, d)
+    terms = [r["term"] for r in own.collect()]
+    met = S.search_symbols(sym, terms, 1).select("term").distinct()
+    q = q.select("qid", "question", F.lit(3).alias("k")).unionByName(own.join(met, "term", "left_anti").select("qid", "question", F.lit(2).alias("k")))
+    return R.retrieve_context(sym, q).select("qid", "rank", "fqn", "name", F.round("score", 6).alias("score"))
+
+
 # one strategy at a time, in SQL too
 @query(f"""with {_EDG}, {_SYM}, tg as (select unnest(['atlas_mono.core.log.get_logger', 'BaseModel', 'object', 'Exception']) as target), dep as (select edg.target, 'reverse_' || relation as relation, sym.file as file_path, sym.fqn as symbol_name, sym.type as chunk_type, edg.ord from edg join tg using (target) join sym on edg.source = sym.fqn),
  once as (select * from dep qualify row_number() over (partition by target, file_path, symbol_name, relation order by ord) = 1), sc as (select *, round(0.5 + case when contains('who calls ' || lower(target), lower(symbol_name)) or contains('who calls ' || lower(target), lower(string_split(symbol_name, '.')[-1])) then 0.4 else 0 end + case when relation in ('reverse_calls', 'reverse_inherits', 'reverse_imports') then 0.3 else 0 end, 6) as ranking_score from once)
