@@ -18,6 +18,7 @@ PY_TOKEN = re.compile(
 )
 BLANK_LINE = re.compile(r"([ \t\f]*)(?:#[^\r\n]*)?(\r\n|\n|\r|\Z)")
 INDENT = re.compile(r"[ \t\f]*")
+MOST_OPEN, MOST_INDENTS = 200, 100  # limits of the language's own tokenizer
 AFTER_NUMBER = re.compile(r"(?:and|else|for|if|in|is|not|or)\b|(?![\w])")
 
 
@@ -64,6 +65,9 @@ class Python:
                     yield "ERR", at
                     return
                 if col > stack[-1][0]:
+                    if len(stack) >= MOST_INDENTS:
+                        yield "ERR", at
+                        return
                     stack.append((col, alt))
                     yield "INDENT", at
                 while col < stack[-1][0]:
@@ -100,6 +104,9 @@ class Python:
                 last = m[0]
                 if last in ("(", "[", "{"):
                     depth += 1
+                    if depth > MOST_OPEN + inside:
+                        yield "ERR", start
+                        return
                 elif last in (")", "]", "}") and depth:
                     depth -= 1
             elif kind == "number":

@@ -35,7 +35,7 @@ SAMPLE_CHARS = 20_000  # longer texts are not used for learning the lexicon
 LONGEST = 4
 LEAST_DOCS = 3
 PURITY = 0.5
-PURITY_WORD = 0.6
+PURITY_WORD = 0.8
 COMMON_DOCS = 15
 COMMON_SHARE = 0.35
 SHARE = 0.25
