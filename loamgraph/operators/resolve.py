@@ -61,19 +61,26 @@ def first_bases(facts: DataFrame, symtab: DataFrame, imports: DataFrame) -> Data
     return r.groupBy(F.col("fqn").alias("cls")).agg(F.min_by("target", "pos").alias("base"))
 
 
+def ancestors(bases: DataFrame, levels: int = MAX_LEVELS) -> DataFrame:
+    """(cls, up array<string>): the chain of first bases, nearest first, at most `levels - 1` of them, up to where it would come
+    back to the class. Chains double each round, so a round more doubles the levels."""
+    chain, _ = cut(bases.select("cls", F.array("base").alias("up")), "chain")
+    length = 1
+    while length < levels:
+        more = chain.select(F.col("cls").alias("tail"), F.col("up").alias("rest"))
+        chain, _ = cut(chain.withColumn("tail", F.element_at("up", -1)).join(more, "tail", "left").select("cls", F.when(F.col("rest").isNull() | (F.size("up") < length), F.col("up")).otherwise(F.concat("up", "rest")).alias("up")), "chain")
+        length *= 2
+    back = F.array_position("up", F.col("cls")).cast("int")
+    return chain.select("cls", F.slice("up", F.lit(1), F.when(back > 0, back - 1).otherwise(F.lit(levels - 1))).alias("up"))
+
+
 def resolve_self(wanted: DataFrame, symtab: DataFrame, bases: DataFrame) -> DataFrame:
     """(cls, attr) -> target: the attribute of the class or of the nearest base that has it, else of the class itself."""
-    have = symtab.select(F.col("fqn").alias("candidate"))
-    todo, _ = cut(wanted.select("cls", "attr").distinct().withColumn("at", F.col("cls")), "self")
-    every, found = todo, None
-    for level in range(MAX_LEVELS):
-        hit = todo.withColumn("candidate", F.concat_ws(".", "at", "attr")).join(have, "candidate").select("cls", "attr", F.col("candidate").alias("target"), F.lit(level).alias("level"))
-        found = hit if found is None else found.unionByName(hit)
-        todo, _ = cut(todo.withColumn("candidate", F.concat_ws(".", "at", "attr")).join(have, "candidate", "left_anti").join(bases.withColumnRenamed("cls", "at"), "at").select("cls", "attr", F.col("base").alias("at")).where("at <> cls"), "self")
-        if todo.isEmpty():
-            break
-    nearest = found.groupBy("cls", "attr").agg(F.min_by("target", "level").alias("target"))
-    return every.select("cls", "attr").join(nearest, ["cls", "attr"], "left").select("cls", "attr", F.coalesce("target", F.concat_ws(".", "cls", "attr")).alias("target"))
+    w = wanted.select("cls", "attr").distinct()
+    chain = F.concat(F.array("cls"), F.coalesce("up", F.array().cast("array<string>")))
+    tries = w.join(ancestors(bases), "cls", "left").select("cls", "attr", F.posexplode(chain).alias("level", "at")).withColumn("candidate", F.concat_ws(".", "at", "attr"))
+    nearest = tries.join(symtab.select(F.col("fqn").alias("candidate")), "candidate").groupBy("cls", "attr").agg(F.min_by("candidate", "level").alias("target"))
+    return w.join(nearest, ["cls", "attr"], "left").select("cls", "attr", F.coalesce("target", F.concat_ws(".", "cls", "attr")).alias("target"))
 
 
 def bindings(facts: DataFrame, symtab: DataFrame, imports: DataFrame) -> DataFrame:
