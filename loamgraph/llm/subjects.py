@@ -84,28 +84,43 @@ def learn(docs: list[tuple[list[list[str]], frozenset[str]]], subjects: list[str
     support: Counter = Counter(g for sents, _ in texts for g in {g for s in sents for g in s})
     keep = {g for g, n in support.items() if n >= LEAST_DOCS}
     texts = [([[g for g in s if g in keep] for s in sents], sorted(labels)) for sents, labels in texts]
-    weight: dict[str, dict[str, float]] = {}
-    telling: dict[str, float] = {}
+    # documents of one label, or none, say the same in every round
+    fixed: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
+    for sents, labels in texts:
+        if len(labels) < 2:
+            x = labels[0] if labels else ""
+            for s in sents:
+                for g in s:
+                    fixed[g][x] += 1.0
+    texts = [t for t in texts if len(t[1]) > 1]
+    share = lambda c: {x: v / z for z in [sum(c.values())] for x, v in c.items()}
+    weight = {g: share(c) for g, c in fixed.items()}
+    telling = {g: max(w.values()) for g, w in weight.items()}
+    first = True
     for _ in range(rounds):
         counts: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
         for sents, labels in texts:
-            even = {x: 1 / len(labels) for x in labels} if labels else {"": 1.0}
+            even = {x: 1 / len(labels) for x in labels}
             for s in sents:
                 shares = even
-                if len(labels) > 1 and weight:
-                    score = dict.fromkeys(labels, 0.0)
-                    for g in sorted((g for g in s if telling[g] > 0.3), key=lambda g: -telling[g])[:3]:
-                        for x in labels:
-                            score[x] += math.log(weight[g].get(x, 0.0) + 0.03)
+                strong = [] if first else sorted((g for g in s if telling.get(g, 0.0) > 0.3), key=lambda g: -telling[g])[:3]
+                if strong:
+                    score = {x: sum(math.log(weight[g].get(x, 0.0) + 0.03) for g in strong) for x in labels}
                     top = max(score.values())
                     e = {x: math.exp(v - top) for x, v in score.items()}
                     z = sum(e.values())
                     shares = {x: v / z for x, v in e.items()}
                 for g in s:
+                    c = counts[g]
                     for x, v in shares.items():
-                        counts[g][x] += v
-        weight = {g: {x: v / sum(c.values()) for x, v in c.items()} for g, c in counts.items()}
-        telling = {g: max(w.values()) for g, w in weight.items()}
+                        c[x] += v
+        for g, c in counts.items():
+            both = dict(fixed[g]) if g in fixed else {}
+            for x, v in c.items():
+                both[x] = both.get(x, 0.0) + v
+            weight[g] = share(both)
+            telling[g] = max(weight[g].values())
+        first = False
     # words that go with every subject are those of sentence patterns; a phrase neither begins nor ends with one
     common = {g for g, w in weight.items() if " " not in g and support[g] >= COMMON_DOCS and max(w.values()) < COMMON_SHARE}
     out = {}
