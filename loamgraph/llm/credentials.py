@@ -76,7 +76,7 @@ def name_kind(name: str) -> str | None:
     """password, secret or None, from the words of a name."""
     parts = [p.lower() for p in PART.findall(name)]
     parts = [p for p in parts if not p.isdigit() and len(p) > 1]
-    if not parts or any(p in NOT_SECRET for p in parts[-2:]) or (len(parts) > 2 and parts[0] in ("max", "min", "num")) or parts[0] in ("pub", "public"):
+    if not parts or parts[-1] in NOT_SECRET or (len(parts) > 2 and parts[0] in ("max", "min", "num")) or parts[0] in ("pub", "public"):
         return None
     if parts[-1] == "tokens" or ("public" in parts and "key" in parts):
         return None

@@ -88,7 +88,7 @@ def classify(files: DataFrame, packages: DataFrame) -> DataFrame:
         foreign = foreign | (away & (rel.rlike(rf"(?:^|/){q}/[^/]*(?:/|\.|$)") | origin))
     s = lambda c: F.col(f"s.{c}")
     js = F.col("ext") != ".py"
-    generated = (head.rlike(NOTICE) & ~head.rlike(NOT_NOTICE)) | ((s("numbered") > F.when(js, 0.22).otherwise(0.16)) & (s("lines") >= 8) & (s("shapes") < 0.62))
+    generated = (head.rlike(NOTICE) & ~head.rlike(NOT_NOTICE)) | ((s("numbered") > 0.16) & (s("lines") >= 8) & (s("shapes") < 0.45))
     minified = js & (s("max_line") > 300) & (s("mean_line") > 110) & (s("space") < 0.12) & (s("statements") > 2)
     data = F.col("ext").isin(*DATA_CODE) & (
         ((s("statements") <= 1) & (s("chars") > 400) & ((s("numbers") > 0.35) | (s("digits") > 0.3) | (s("encoded") > 0.5) | (s("escapes") > 0.5)))
