@@ -98,9 +98,9 @@ def classify(files: DataFrame, packages: DataFrame) -> DataFrame:
 
     # notices come and go, code stays
     body = F.xxhash64(F.regexp_replace(F.regexp_replace("text", r"(?m)^\s*(?:#|//).*$", ""), r"\s+", ""))
-    marked = marked.withColumn("body", F.when(code & (F.length(F.trim("text")) >= LEAST_COPY), body)).drop("text")
+    marked = marked.withColumn("has", code & (F.length(F.trim("text")) >= LEAST_COPY)).withColumn("body", F.when(F.col("has"), body).otherwise(F.xxhash64("file_path", F.lit(1)))).drop("text")  # rows without a body are spread
     homes = [h for _, h in known if h]
     source = (F.col("foreign") | F.col("repo").isin(homes)) if homes else F.col("foreign")
-    copies = marked.where(source & F.col("body").isNotNull()).select("body").distinct().withColumn("copied", ~(F.col("body").isNull()))
+    copies = marked.where(source & F.col("has")).select("body").distinct().withColumn("copied", F.lit(True))
     away = ~F.col("repo").isin(homes) if homes else F.lit(True)
-    return marked.join(copies, "body", "left").select("file_id", "repo", "file_path", "ext", F.when(F.col("foreign") | (F.coalesce("copied", F.lit(False)) & F.coalesce(away, F.lit(True))), "vendored").otherwise(F.col("kind")).alias("kind"), "s")
+    return marked.join(copies, "body", "left").select("file_id", "repo", "file_path", "ext", F.when(F.col("foreign") | (F.col("has") & F.coalesce("copied", F.lit(False)) & F.coalesce(away, F.lit(True))), "vendored").otherwise(F.col("kind")).alias("kind"), "s")

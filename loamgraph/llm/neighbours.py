@@ -227,8 +227,8 @@ def _search(
         searched = base.join(counts.where(F.col("n") > k + 1).select("h"), "h", "left_anti").select("id", "v", "h").unionByName(first.select("id", "v", "h"))
 
     leaves = max(1, -(-total // leaf_rows))
-    share = min(1.0, 1.2 * sample_rows / total)
-    sampled = base.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).select("v").limit(sample_rows).toArrow()
+    share = min(1.0, sample_rows / total)
+    sampled = base.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).select("v").limit(2 * sample_rows).toArrow()  # the limit is a bound that the share keeps away from
     sample = _unit(_vectors(sampled.column(0), dim)).astype(np.float32) if sampled.num_rows else np.zeros((0, dim), np.float32)
     leaves = min(leaves, max(1, len(sample) // MIN_SAMPLE_PER_LEAF))
     forest = spark.sparkContext.broadcast(Forest(sample, leaves, trees, seed))
