@@ -22,6 +22,10 @@ def p5_intervals(spark, d):
     return H.hierarchy(H.edge_links(table(spark, d, "edges"))).select("relation", "id", "root", "pre", (F.col("pre") + F.col("size") - 1).alias("last"), (F.col("size") - 1).alias("descendants"))
 
 
+def p5_descendants(spark, d):
+    return H.hierarchy(H.edge_links(table(spark, d, "edges"))).where("depth >= 0").select("relation", "id", (F.col("size") - 1).alias("descendants"))
+
+
 def p7_found(spark, d):
     return O.orphans(table(spark, d, "edges"), table(spark, d, "nodes")).select("edge_id", "side")
 
@@ -41,10 +45,11 @@ _REFS = """refs as (select distinct edge_id, relation, 'source' side, source id,
  union all select distinct edge_id, relation, 'target', target, indexed_at from edges where coalesce(resolved, true) and target is not null),
  bad as (select r.* from refs r where not exists (select 1 from nodes n where n.id = r.id and n.indexed_at <= r.ts and (n.removed_at is null or n.removed_at > r.ts)))"""
 
-QUERIES = {"p5_found": p5_found, "p5_paths": p5_paths, "p5_intervals": p5_intervals, "p7_found": p7_found, "p7_report": p7_report}
+QUERIES = {"p5_found": p5_found, "p5_paths": p5_paths, "p5_intervals": p5_intervals, "p5_descendants": p5_descendants, "p7_found": p7_found, "p7_report": p7_report}
 SQL = {
     "p5_found": f"with recursive {_LINKS} select e.relation, e.id, coalesce(t.root, '') as root, cast(coalesce(t.depth, -1) as integer) as depth from ends e left join tree t on e.relation = t.relation and e.id = t.id",
     "p5_paths": f"with recursive {_LINKS} select e.relation, e.id, coalesce(t.path, '') as path from ends e left join tree t on e.relation = t.relation and e.id = t.id",
+    "p5_descendants": f"with recursive {_LINKS}, up as (select relation, child as id, parent as anc from links union all select u.relation, u.id, l.parent from up u join tree t on t.relation = u.relation and t.id = u.anc join links l on l.relation = u.relation and l.child = u.anc), n as (select u.relation, anc as id, count(*) as descendants from up u join tree t on t.relation = u.relation and t.id = u.id group by 1, 2) select t.relation, t.id, coalesce(descendants, 0) as descendants from tree t left join n using (relation, id)",
     "p7_found": f"with {_REFS} select distinct edge_id, side from bad",
     "p7_report": f"""with {_REFS}, s as (select b.*, exists (select 1 from nodes n where n.id = b.id and n.indexed_at <= b.ts and (n.removed_at is null or n.removed_at > n.indexed_at)) known from bad b),
  r as (select relation, side, strftime(ts, '%Y-%m') as month, count(*) refs from refs group by 1, 2, 3),

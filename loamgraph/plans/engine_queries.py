@@ -124,6 +124,18 @@ def doc_stats(spark, d):
     return table(spark, d, "files").select("file_id", N.basename(F.col("file_path")).alias("base"), F.length("text").cast("long").alias("chars"))
 
 
+@query("select i.id as intent, regexp_replace(i.id, '^([^_]*)_', '\\1 ') as label, printf('%.0f%%', i.c * 100) as confidence from (select unnest([" + ", ".join(f"{{'id': '{k}', 'c': {v[1]}::double}}" for k, v in R.STRATEGY.items()) + "], recursive := true)) i")
+def display_format(spark, d):
+    rows = spark.createDataFrame([(k, v[1]) for k, v in R.STRATEGY.items()], "intent string, c double")
+    return rows.select("intent", N.intent_label(F.col("intent")).alias("label"), F.format_string("%.0f%%", F.col("c") * 100).alias("confidence"))
+
+
+@query("select 'nodes' as what, type as kind, count(*) as n from nodes group by 2 union all select 'edges', relation, count(*) from edges group by 2")
+def graph_scan(spark, d):
+    n = table(spark, d, "nodes").groupBy(F.col("type").alias("kind")).agg(F.count("*").alias("n")).select(F.lit("nodes").alias("what"), "kind", "n")
+    return n.unionByName(table(spark, d, "edges").groupBy(F.col("relation").alias("kind")).agg(F.count("*").alias("n")).select(F.lit("edges").alias("what"), "kind", "n"))
+
+
 # scans and index --------------------------------------------------------------------------------------------------------
 @query("select file_id, rel_path, ext from files where ext in ('.py', '.js', '.ts', '.tsx', '.jsx') and not regexp_matches(rel_path, '(^|/)(" + "|".join(x.replace(".", r"\.") for x in N.SKIPPED_FOLDERS) + ")/')")
 def scan_filter(spark, d):
@@ -218,7 +230,10 @@ def keyword_search(spark, d):
     return S.keyword_search(table(spark, d, "files"), TERMS).select("term", "file_path", "line", "text")
 
 
-@query()
+@query(rf"""with {_SYM}, j as (select fqn, file as file_path, line, string_split(replace(f.text, chr(13) || chr(10), chr(10)), chr(10)) as l from sym join (select file_path, text from files where ext = '.py') f on f.file_path = sym.file where sym.file like '%.py'),
+ r as (select *, list_slice(l, line + 1, len(l)) as rest, length(regexp_extract(l[line], '^[ \t\n\x0B\f\r]*')) as base from j),
+ p as (select *, list_position(list_transform(rest, lambda x: trim(x) <> '' and (length(regexp_extract(x, '^[ \t\n\x0B\f\r]*')) < base or length(regexp_extract(x, '^[ \t\n\x0B\f\r]*')) = base and regexp_matches(x, '^\s*(def |class |@|import |from )'))), true) as stop from r)
+ select fqn, file_path, line, case when line between 1 and len(l) then array_to_string(list_slice(l, line, line - 1 + case when stop > 0 then stop else len(rest) + 1 end), chr(10)) else '' end as block from p""")
 def python_block(spark, d):
     s = _sym(spark, d).where(F.endswith("file", F.lit(".py"))).select("fqn", F.col("file").alias("file_path"), "line")
     f = table(spark, d, "files").where("ext = '.py'").select("file_path", F.col("text").alias("source"))
@@ -480,6 +495,12 @@ def text_chunks(spark, d):
     return T.text_chunks(table(spark, d, "documents"), "doc_id")
 
 
+@query()
+def text_chunk_stats(spark, d):
+    c = T.text_chunks(table(spark, d, "documents"), "doc_id")
+    return c.agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("chunks"), F.max(F.length("text")).alias("longest"), F.max_by(F.substring("text", 1, 300), F.struct(-F.col("doc_id"), -F.col("chunk_id"))).alias("preview"))
+
+
 @query("select count(*) as documents, cast(count(*) filter (where trim(text) <> '') as bigint) as with_text, cast(sum(length(text)) as bigint) as chars from documents")
 def text_stats(spark, d):
     return table(spark, d, "documents").agg(F.count("*").alias("documents"), F.count_if(F.trim(F.coalesce("text", F.lit(""))) != "").alias("with_text"), F.sum(F.length("text").cast("long")).alias("chars"))

@@ -218,3 +218,35 @@ def test_queries_match_sql(spark, small):
         want = c.sql(f"select {', '.join(cols)} from ({m.SQL[name]})").fetchall()
         key = lambda r: tuple(str(x) for x in r)
         assert sorted(map(key, got.select(cols).collect())) == sorted(map(key, want)), name
+
+
+def test_stores(spark, tmp_path):
+    from loamgraph.sources import store as ST
+
+    nodes = spark.createDataFrame([("a", "file", "a.py")], ST.NODES)
+    edges = spark.createDataFrame([("a", "b", "calls", True, "high", "a.py", 1)], ST.EDGES)
+    with pytest.raises(FileNotFoundError):
+        ST.load_graph(spark, str(tmp_path / "none"))
+    ST.save_graph(nodes, edges, str(tmp_path / "g"))
+    assert [x.count() for x in ST.load_graph(spark, str(tmp_path / "none"), str(tmp_path / "g"))] == [1, 1]
+    (tmp_path / "g.json").write_text('{"nodes": [{"id": "a", "type": "file"}, {"id": "b"}], "edges": [{"source": "a", "target": "b", "relation": "calls"}]}')
+    assert [x.count() for x in ST.load_graph(spark, str(tmp_path / "g.json"))] == [2, 1]
+    ST.export_graph_json(nodes, edges, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j" / "edges")).count() == 1
+    ix = ST.load_indexes(spark, str(tmp_path / "i"))
+    assert set(ix) == set(ST.INDEXES) and ix["symbols"].count() == 0
+    v = ST.VectorStore(spark, str(tmp_path / "v"))
+    with pytest.raises(ValueError):
+        v.upsert(spark.createDataFrame([], "point_id string, embedding array<float>, text string, file_path string, chunk_type string, symbol_name string"))
+    v.create(2)
+    v.create(3)
+    point = lambda i, e, t: (i, e, t, "f", "class", "S")
+    schema = "point_id string, embedding array<float>, text string, file_path string, chunk_type string, symbol_name string"
+    v.upsert(spark.createDataFrame([point("1", [1.0, 0.0], "one"), point("2", [0.0, 1.0], "two")], schema))
+    v.upsert(spark.createDataFrame([point("2", [1.0, 0.1], "new")], schema))
+    assert [(r.point_id, r.text) for r in v.search([1.0, 0.0], 2).orderBy("rank").collect()] == [("1", "one"), ("2", "new")]
+    with pytest.raises(ValueError):
+        v.upsert(spark.createDataFrame([point("3", [1.0], "bad")], schema))
+    assert v.by_symbol("S").count() == 2
+    v.drop()
+    assert v.current() is None and v.read().count() == 0
