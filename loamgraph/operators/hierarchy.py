@@ -13,6 +13,9 @@ Plan, all in joins and aggregates whose number grows with the logarithm of the d
 2. heavy child of each parent: the largest subtree (ties: largest id); chains by pointer jumping along heavy edges.
 3. chains form a tree of depth <= log2(n); pointer jumping over it adds up depth and preorder offsets.
 
+Names are long and every round moves them, so all rounds work on 16-byte keys (a hash of relation and name); names come back
+in two joins at the end.
+
 Defined results: rows with a null relation or end are ignored; repeated links count once; a node with several
 parents keeps the smallest parent id; a node linked to itself is a cycle; nodes on or below a cycle get root '', depth -1
 and null chain fields; an empty input gives an empty result; other columns are ignored.
@@ -31,14 +34,19 @@ MAX_ROUNDS = 64  # 2^64 is beyond any depth
 SIBLINGS_PER_BUCKET = 50_000
 
 
+def _key(c: str) -> F.Column:
+    return F.unhex(F.md5(F.concat("relation", F.lit("\0"), F.col(c))))
+
+
 def parents(links: DataFrame) -> DataFrame:
-    """(relation, id, parent): one row per node; parent null at a root."""
+    """(key, up, relation, id, parent): one row per node; up and parent null at a root."""
     links = links.select("relation", "child", "parent").where("relation is not null and child is not null and parent is not null")
     return (
         links.select("relation", F.col("child").alias("id"), "parent")
         .unionByName(links.select("relation", F.col("parent").alias("id"), F.lit(None).cast("string").alias("parent")))
         .groupBy("relation", "id")
         .agg(F.min("parent").alias("parent"))
+        .select(_key("id").alias("key"), _key("parent").alias("up"), "relation", "id", "parent")
     )
 
 
@@ -59,81 +67,78 @@ class _Rounds:
 
 
 def _sizes(nodes: DataFrame) -> DataFrame:
-    """(relation, id, parent, size, cyclic)."""
+    """(key, up, size, cyclic)."""
     r = _Rounds()
-    state = r.step(nodes.select("relation", "id", "parent", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("size")))
+    state = r.step(nodes.select("key", "up", F.col("up").alias("anc"), F.lit(1).cast("long").alias("size")))
     left = state.where("anc is not null").count()
     for _ in range(MAX_ROUNDS):
         if not left:
             break
         open_ = state.where("anc is not null")
-        add = open_.groupBy("relation", F.col("anc").alias("id")).agg(F.sum("size").alias("add"))
-        up = state.select("relation", F.col("id").alias("anc"), F.col("anc").alias("anc2"))
-        moved = open_.join(up, ["relation", "anc"]).select("relation", "id", "parent", F.col("anc2").alias("anc"), "size")
-        state = r.step(
-            moved.unionByName(state.where("anc is null"))
-            .join(add, ["relation", "id"], "left")
-            .select("relation", "id", "parent", "anc", (F.col("size") + F.coalesce("add", F.lit(0))).alias("size"))
-        )
+        add = open_.groupBy(F.col("anc").alias("key")).agg(F.sum("size").alias("add"))
+        over = state.select(F.col("key").alias("anc"), F.col("anc").alias("anc2"))
+        moved = open_.join(over, "anc").select("key", "up", F.col("anc2").alias("anc"), "size")
+        state = r.step(moved.unionByName(state.where("anc is null")).join(add, "key", "left").select("key", "up", "anc", (F.col("size") + F.coalesce("add", F.lit(0))).alias("size")))
         before, left = left, state.where("anc is not null").count()
         if left == before:
             break
-    return state.select("relation", "id", "parent", "size", F.col("anc").isNotNull().alias("cyclic"))
+    return state.select("key", "up", "size", F.col("anc").isNotNull().alias("cyclic"))
 
 
 def _jump(df: DataFrame, sums: list[str]) -> DataFrame:
-    """Pointer jumping: `up` null means the row is its own top. Gives `top` and the `sums` added along the way."""
+    """Pointer jumping over (key, up): `up` null means the row is its own top. Gives `top` and the `sums` added on the way."""
     r = _Rounds()
-    state = r.step(df.select("relation", "id", F.coalesce("up", "id").alias("top"), F.col("up").isNull().alias("done"), *[F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.col(s)).cast("long").alias(s) for s in sums]))
+    own = F.col("up").isNull()
+    state = r.step(df.select("key", F.coalesce("up", "key").alias("top"), own.alias("done"), *[F.when(own, F.lit(0)).otherwise(F.col(s)).cast("long").alias(s) for s in sums]))
     for _ in range(MAX_ROUNDS):
         if state.where("not done").isEmpty():
             break
-        t = state.select("relation", F.col("id").alias("top"), F.col("top").alias("top2"), F.col("done").alias("done2"), *[F.col(s).alias(f"{s}2") for s in sums])
+        t = state.select(F.col("key").alias("top"), F.col("top").alias("top2"), F.col("done").alias("done2"), *[F.col(s).alias(f"{s}2") for s in sums])
         state = r.step(
-            state.where("not done").join(t, ["relation", "top"]).select("relation", "id", F.col("top2").alias("top"), F.col("done2").alias("done"), *[(F.col(s) + F.col(f"{s}2")).alias(s) for s in sums])
+            state.where("not done").join(t, "top").select("key", F.col("top2").alias("top"), F.col("done2").alias("done"), *[(F.col(s) + F.col(f"{s}2")).alias(s) for s in sums])
             .unionByName(state.where("done"))
         )
-    return state.select("relation", "id", "top", *sums)
+    return state.select("key", "top", *sums)
 
 
 def _sibling_offsets(light: DataFrame, n: int) -> DataFrame:
-    """For light children (relation, id, parent, size): the sizes of those before it under the same parent, by a
-    two-level prefix sum, so that no task holds all children of one parent."""
+    """For light children (key, up, size): the sizes of those before it under the same parent, by a two-level prefix sum, so
+    that no task holds all children of one parent."""
     buckets = max(1, -(-n // SIBLINGS_PER_BUCKET))
-    light = light.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(buckets)))
-    before = Window.partitionBy("relation", "parent").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = light.groupBy("relation", "parent", "b").agg(F.sum("size").alias("bs")).select("relation", "parent", "b", F.coalesce(F.sum("bs").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("relation", "parent", "b").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    return light.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["relation", "parent", "b"]).select("relation", "id", (F.col("base") + F.col("own")).alias("before"))
+    inside = Window.partitionBy("up", "b").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    light = light.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    own = F.coalesce(F.sum("size").over(inside), F.lit(0))
+    if buckets == 1:
+        return light.select("key", own.alias("before"))
+    before = Window.partitionBy("up").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = light.groupBy("up", "b").agg(F.sum("size").alias("bs")).select("up", "b", F.coalesce(F.sum("bs").over(before), F.lit(0)).alias("base"))
+    return light.withColumn("own", own).join(sums, ["up", "b"]).select("key", (F.col("base") + F.col("own")).alias("before"))
 
 
 def hierarchy(links: DataFrame) -> DataFrame:
-    """(relation, id, parent, root, depth, size, head, pos, pre); see the module's description."""
-    sized, _ = cut(_sizes(parents(links)), "sized")
+    """(relation, id, parent, root, depth, size, pos, pre, key, up, head); see the module's description. `key`, `up` and `head` are the
+    keys of the node, its parent and the head of its chain."""
+    nodes, _ = cut(parents(links), "nodes")
+    sized, _ = cut(_sizes(nodes), "sized")
     tree = sized.where("not cyclic").drop("cyclic")
-    heavy = tree.where("parent is not null").groupBy("relation", "parent").agg(F.max_by("id", F.struct("size", "id")).alias("heavy"), F.max("size").alias("heavy_size"))
-    marked = tree.join(heavy.select("relation", F.col("heavy").alias("id"), F.lit(True).alias("is_heavy")), ["relation", "id"], "left")
-    on_chain = _jump(marked.select("relation", "id", F.when(F.col("is_heavy"), F.col("parent")).alias("up"), F.lit(1).alias("pos")), ["pos"])
-    chained, _ = cut(marked.join(on_chain, ["relation", "id"]).select("relation", "id", "parent", "size", F.col("top").alias("head"), "pos"), "chained")
-
-    light = chained.where("id = head and parent is not null")
-    offsets = _sibling_offsets(light.select("relation", "id", "parent", "size"), light.count())
-    at = chained.select("relation", F.col("id").alias("parent"), F.col("head").alias("up"), F.col("pos").alias("ppos"))
+    heavy = tree.where("up is not null").groupBy("up").agg(F.max_by("key", F.struct("size", "key")).alias("heavy"), F.max("size").alias("heavy_size"))
+    marked = tree.join(heavy.select(F.col("heavy").alias("key"), F.lit(True).alias("is_heavy")), "key", "left")
+    on_chain = _jump(marked.select("key", F.when(F.col("is_heavy"), F.col("up")).alias("up"), F.lit(1).alias("pos")), ["pos"])
+    chained, _ = cut(tree.join(on_chain, "key").select("key", "up", "size", F.col("top").alias("head"), "pos"), "chained")
+
+    light = chained.where("key = head and up is not null")
+    offsets = _sibling_offsets(light.select("key", "up", "size"), light.count())
+    at = chained.select(F.col("key").alias("up"), F.col("head").alias("chain"), F.col("pos").alias("ppos"))
     chains = (
-        light.select("relation", "id", "parent")
-        .join(at, ["relation", "parent"])
-        .join(heavy.select("relation", "parent", "heavy_size"), ["relation", "parent"])
-        .join(offsets, ["relation", "id"])
-        .select("relation", "id", "up", (F.col("ppos") + 1).alias("depth"), (F.col("ppos") + 1 + F.col("heavy_size") + F.col("before")).alias("pre"))
-        .unionByName(chained.where("id = head and parent is null").select("relation", "id", F.lit(None).cast("string").alias("up"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("pre")))
-    )
-    tops = _jump(chains, ["depth", "pre"]).select("relation", F.col("id").alias("head"), F.col("top").alias("root"), F.col("depth").alias("hdepth"), F.col("pre").alias("hpre"))
-    whole = chained.join(tops, ["relation", "head"]).select(
-        "relation", "id", "parent", "root", (F.col("hdepth") + F.col("pos")).cast("int").alias("depth"), "size", "head", F.col("pos").cast("int").alias("pos"), (F.col("hpre") + F.col("pos")).alias("pre")
-    )
-    none = F.lit(None)
-    cyclic = sized.where("cyclic").select("relation", "id", "parent", F.lit("").alias("root"), F.lit(-1).alias("depth"), none.cast("long").alias("size"), none.cast("string").alias("head"), none.cast("int").alias("pos"), none.cast("long").alias("pre"))
-    return whole.unionByName(cyclic)
+        light.select("key", "up").join(at, "up").join(heavy.select("up", "heavy_size"), "up").join(offsets, "key")
+        .select("key", F.col("chain").alias("up"), (F.col("ppos") + 1).alias("depth"), (F.col("ppos") + 1 + F.col("heavy_size") + F.col("before")).alias("pre"))
+        .unionByName(chained.where("key = head and up is null").select("key", "up", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("pre")))
+    )
+    tops = _jump(chains, ["depth", "pre"]).select(F.col("key").alias("head"), F.col("top").alias("root_key"), F.col("depth").alias("hdepth"), F.col("pre").alias("hpre"))
+    roots = tops.select("root_key").distinct().join(nodes.select(F.col("key").alias("root_key"), F.col("id").alias("root")), "root_key")
+    named = tops.join(roots, "root_key")  # one row per chain
+    whole = chained.join(named, "head").select("key", "root", (F.col("hdepth") + F.col("pos")).cast("int").alias("depth"), "size", F.col("pos").cast("int").alias("pos"), (F.col("hpre") + F.col("pos")).alias("pre"), "head")
+    return nodes.join(whole, "key", "left").select("relation", "id", "parent", F.coalesce("root", F.lit("")).alias("root"), F.coalesce("depth", F.lit(-1)).alias("depth"), "size", "pos", "pre", "key", "up", "head")
 
 
 def paths(labels: DataFrame) -> DataFrame:
@@ -141,27 +146,20 @@ def paths(labels: DataFrame) -> DataFrame:
     chain segments above the node; there are at most log2(n) of them, hence as many rounds."""
     labels, _ = cut(labels, "labels")
     tree = labels.where("depth >= 0")
-    seg = tree.groupBy("relation", "head").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("seg"))
-    above = tree.select("relation", F.col("id").alias("hp"), F.col("head").alias("up"), F.col("pos").alias("ppos"))
-    heads = tree.where("id = head").select("relation", "head", F.col("parent").alias("hp"))
-    chains, _ = cut(heads.join(above, ["relation", "hp"], "left").join(seg, ["relation", "head"]).select("relation", "head", "up", "ppos", "seg"), "chains")
+    seg = tree.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("seg"))
+    above = tree.select(F.col("key").alias("up"), F.col("head").alias("chain"), F.col("pos").alias("ppos"))
+    heads = tree.where("key = head").select("head", "up")
+    chains, _ = cut(heads.join(above, "up", "left").join(seg, "head").select("head", "chain", "ppos", "seg"), "chains")
     empty = F.array().cast("array<string>")
-    done, path = cut(chains.where("up is null").select("relation", "head", "seg", empty.alias("prefix")), "level")
-    level, parts, old = done, [done], path
+    level, _ = cut(chains.where("chain is null").select("head", "seg", empty.alias("prefix")), "level")
+    whole = level
     for _ in range(MAX_ROUNDS):
-        up = level.select("relation", F.col("head").alias("up"), F.col("prefix").alias("p"), F.col("seg").alias("s"))
-        level, old = cut(chains.where("up is not null").join(up, ["relation", "up"]).select("relation", "head", "seg", F.concat("p", F.slice("s", F.lit(1), F.col("ppos") + 1)).alias("prefix")), "level")
+        over = level.select(F.col("head").alias("chain"), F.col("prefix").alias("p"), F.col("seg").alias("s"))
+        level, _ = cut(chains.where("chain is not null").join(over, "chain").select("head", "seg", F.concat("p", F.slice("s", F.lit(1), F.col("ppos") + 1)).alias("prefix")), "level")
         if level.isEmpty():
             break
-        parts.append(level)
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return (
-        labels.select("relation", "id", "head", "pos")
-        .join(whole, ["relation", "head"], "left")
-        .select("relation", "id", F.when(F.col("pos").isNotNull(), F.concat("prefix", F.slice("seg", F.lit(1), F.col("pos") + 1))).alias("path"))
-    )
+        whole = whole.unionByName(level)
+    return labels.select("relation", "id", "head", "pos").join(whole, "head", "left").select("relation", "id", F.when(F.col("pos").isNotNull(), F.concat("prefix", F.slice("seg", F.lit(1), F.col("pos") + 1))).alias("path"))
 
 
 def descendants(labels: DataFrame, of: DataFrame) -> DataFrame:
