@@ -16,7 +16,9 @@ from loamgraph.operators import parse as P
 from loamgraph.operators import resolve as RS
 from loamgraph.operators import retrieve as R
 from loamgraph.operators import search as S
-from loamgraph.session import table
+from loamgraph.operators import text as T
+from loamgraph.operators import vector as V
+from loamgraph.session import settings, table
 from loamgraph.sources.tree import read_tree
 
 
@@ -50,6 +52,37 @@ class Engine:
         RS.edges(facts).select(F.xxhash64("file_path", "pos", "relation", "target").alias("edge_id"), "source", "target", "relation", "resolved", "confidence", "file_path", F.col("pos").cast("long").alias("ord"), now.alias("indexed_at")).write.mode("overwrite").parquet(f"{out}/edges.parquet")
         return cls.from_tables(spark, out, model)
 
+    def health(self) -> dict:
+        """Status and settings."""
+        return {"status": "ok", **settings(self.spark).__dict__}
+
+    def documents(self, n: int = 10) -> tuple[int, list[tuple[str, int]]]:
+        """How many files there are, and path and length of the first ones."""
+        rows = self.files.orderBy("ord", "file_id").select("rel_path", F.length("text").alias("n")).limit(n).collect()
+        return self.files.count(), [(r["rel_path"], r["n"]) for r in rows]
+
+    def text_pieces(self) -> dict:
+        """Files, text chunks of them, and the beginning of the first."""
+        c = T.text_chunks(self.files, "file_id")
+        first = c.orderBy("file_id", "chunk_id").select(F.substring("text", 1, 300).alias("t")).first()
+        return {"documents": self.files.count(), "chunks": c.count(), "preview": first["t"] if first else None}
+
+    def code_chunks(self, path: str | None = None, n: int = 5) -> tuple[int, list[dict]]:
+        """How many chunks there are (of one file, if given), and the first ones."""
+        c = self.symbols if path is None else self.symbols.where(F.col("file") == path)
+        return c.count(), [r.asDict() for r in c.orderBy("ord", "chunk_id").limit(n).collect()]
+
+    def embed(self, text: str, n: int = 10) -> tuple[int, list[float]]:
+        """Dimensions, and the first entries of a text's vector."""
+        rows = V.hash_embed(self.spark.createDataFrame([(0, text)], "k int, t string"), "k", "t").collect()
+        v = [0.0] * V.DIM
+        for r in rows:
+            v[r["bucket"]] = r["weight"]
+        return V.DIM, v[:n]
+
+    def graph(self) -> tuple[DataFrame, DataFrame]:
+        return G.graph_nodes(self.nodes), I.latest_edges(self.edges)
+
     def summary(self) -> DataFrame:
         return I.index_summary(self.files, self.chunks, self.nodes, self.edges)
 

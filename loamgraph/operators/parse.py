@@ -34,6 +34,7 @@ def relative(module: str, dots: int, rest: str) -> str:
 class _Visitor:
     def __init__(self, source: str, module: str) -> None:
         self.source, self.module, self.rows = source.encode(), module, []
+        self.under = 0  # compound statements around the place
         self.starts = [0]
         for line in source.split("\n"):
             self.starts.append(self.starts[-1] + len(line.encode()) + 1)
@@ -68,10 +69,12 @@ class _Visitor:
             elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 self.function(node, path, cls)
             else:
+                self.under += 1
                 for field in ("body", "orelse", "finalbody"):
                     self.body(getattr(node, field, []) or [], path, cls)
                 for h in getattr(node, "handlers", []) or []:
                     self.body(h.body, path, cls)
+                self.under -= 1
 
     def fqn(self, path: list[str]) -> str:
         return ".".join([*([self.module] if self.module else []), *path])
@@ -97,8 +100,9 @@ class _Visitor:
         fqn = self.fqn(own)
         bases = [self.text(b) for b in node.bases if isinstance(b, (ast.Name, ast.Attribute))]
         decs = self.decorators(node, fqn, "class")
+        plain = not decs and not self.under and not path
         self.add("symbol", fqn=fqn, name=node.name, type="class", parent=cls, line=node.lineno, docstring=self.docstring(node), items=bases, text=None)
-        self.add("chunk", fqn=fqn, name=".".join(own), type="class", line=node.lineno, text=self.text(node), docstring=self.docstring(node), items=decs)
+        self.add("chunk", fqn=fqn, name=".".join(own), type="class", line=node.lineno, text=self.text(node), docstring=self.docstring(node), items=decs, value="direct" if plain else None)
         self.add("contains", fqn=fqn, parent=cls, type="class")
         for b in bases:
             self.add("base", fqn=fqn, value=b, line=node.lineno)
@@ -111,9 +115,10 @@ class _Visitor:
         plain = [*a.posonlyargs, *a.args, *a.kwonlyargs]
         params = [self.text(p) for p in plain]
         decs = self.decorators(node, fqn, kind)
+        direct = not decs and not self.under and len(path) < 2
         returns = self.text(node.returns) if node.returns else None
         self.add("symbol", fqn=fqn, name=node.name, type=kind, parent=cls, line=node.lineno, docstring=self.docstring(node), items=params, returns=returns)
-        self.add("chunk", fqn=fqn, name=".".join(own), type=kind, line=node.lineno, text=self.text(node), docstring=self.docstring(node), items=decs, returns=returns)
+        self.add("chunk", fqn=fqn, name=".".join(own), type=kind, line=node.lineno, text=self.text(node), docstring=self.docstring(node), items=decs, returns=returns, value="direct" if direct else None)
         self.add("contains", fqn=fqn, parent=cls, type=kind)
         self.scope(node.body, fqn, path, cls)
 
@@ -202,6 +207,17 @@ def facts(files: DataFrame) -> DataFrame:
     return src.mapInArrow(run, f"file_path string, module string, {DDL}")
 
 
+def chunks(facts_: DataFrame, mode: str = "full") -> DataFrame:
+    """Chunks of code. `reference` keeps only what stands directly in a module or a top-level class and has no decorators."""
+    c = facts_.where("kind = 'chunk'")
+    return c.where("value = 'direct'") if mode == "reference" else c
+
+
+def legacy_graph(code: str, path: str) -> list[tuple]:
+    """Facts of one piece of code on its own, as a module named legacy."""
+    return facts_of(code, "legacy")
+
+
 def raw_calls(facts_: DataFrame) -> DataFrame:
     """Unresolved calls by the bare function name."""
     return facts_.where("kind = 'call'").select("file_path", N.last_part(F.col("fqn")).alias("source"), F.col("value").alias("target"), F.lit("calls").alias("relation"), F.lit("low").alias("confidence"), "line", "pos")

@@ -523,7 +523,7 @@ def _facts(spark, d):
 
 @query()
 def ast_chunks(spark, d):
-    return _facts(spark, d).where("kind = 'chunk'").select("file_path", "fqn", "name", "type", "line", "text", "docstring")
+    return P.chunks(_facts(spark, d)).select("file_path", "fqn", "name", "type", "line", "text", "docstring")
 
 
 @query()

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,21 @@ def get_spark(app: str = "loamgraph", master: str | None = None, **conf: str) ->
     return b.getOrCreate()
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What may be set: the warehouse, the shared folder, and the name of a language model's key variable."""
+
+    warehouse: str
+    shared: str | None
+    model_key: str
+
+
+def settings(spark: SparkSession) -> Settings:
+    """From the session's configuration, keys spark.loamgraph.*, else defaults."""
+    get = spark.conf.get
+    return Settings(get("spark.loamgraph.warehouse", get("spark.sql.warehouse.dir")), get("spark.checkpoint.dir", None), get("spark.loamgraph.modelKey", "MODEL_API_KEY"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in `spark.checkpoint.dir`. Only a local master may fall back to a temporary one (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -109,6 +109,13 @@ def test_facts(facts):
     assert any(r.kind == "error" and "broken" in r.file_path for r in rows)
 
 
+def test_reference_chunks(facts):
+    names = {r.name for r in P.chunks(facts, "reference").collect()}
+    assert {"helper", "Child", "Child.go", "run"} <= names and not names & {"Base", "guarded", "Base.Inner", "Base.Inner.deep"}
+    assert {"Base", "guarded", "Base.Inner"} <= {r.name for r in P.chunks(facts).collect()}
+    assert any(r[0] == "call" for r in P.legacy_graph("def f(): g()", "x.py"))
+
+
 def test_edges(spark, facts):
     got = {(r.relation, r.source, r.target, r.resolved, r.confidence) for r in RS.edges(facts).collect()}
     for want in [
@@ -189,6 +196,8 @@ def test_engine_end_to_end(spark, tmp_path):
     assert a["intent"] == "DEPENDENCY" and any(s["relation"] == "reverse_calls" for s in a["sources"])
     assert e.search("symbols", "Base").count() >= 1 and e.search("files", "core").count() == 1 and e.search("text", "helper").count() >= 1
     assert e.neighbours("demo.pkg.core.Base").count() > 2
+    assert e.documents(2)[0] == 5 and len(e.documents(2)[1]) == 2 and e.text_pieces()["chunks"] >= 4 and e.code_chunks(n=2)[0] > 8
+    assert e.embed("a b")[0] == V.DIM and e.health()["status"] == "ok" and e.graph()[0].count() > 5
 
 
 def test_stream(spark, tmp_path):
