@@ -53,7 +53,7 @@ HASHES = re.compile(r"(?i)^(?:sha\d*[:-]|md5[:-]|\$2[aby]?\$|\$[156]\$|\$argon2|
 UUID = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 PATHLIKE = re.compile(r"^(?:[A-Za-z]:)?(?:\.{0,2}|~)[/\\][\w.\-/\\ ]*$")
 IDENT = re.compile(r"^[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*$")
-PIECES = re.compile(r"(?:\(\s*)?(?:[rRuUbB]{0,2})(\"[^\"\n]*\"|'[^'\n]*'|`[^`\n$]*`)(?:[ \t]*(?:\+|\\)?[ \t]*(?:#[^\n]*|//[^\n]*)?\r?\n?[ \t]*(?:\+[ \t]*)?[rRuUbB]{0,2}(?:\"[^\"\n]*\"|'[^'\n]*'))*")
+PIECES = re.compile(r"(?:\(\s*+)?(?:[rRuUbB]{0,2})(\"[^\"\n]*\"|'[^'\n]*'|`[^`\n$]*`)(?:[ \t]*+(?:[+\\][ \t]*+)?(?:#[^\n]*+|//[^\n]*+)?\r?\n?[ \t]*+(?:\+[ \t]*+)?[rRuUbB]{0,2}(?:\"[^\"\n]*\"|'[^'\n]*'))*")
 STRING = re.compile(r"\"([^\"\n]*)\"|'([^'\n]*)'|`([^`\n]*)`")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 CONFIG = (".env", ".ini", ".yaml", ".yml", ".toml", ".cfg", ".conf", ".properties")

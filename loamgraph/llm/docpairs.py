@@ -27,7 +27,7 @@ MAX_LEVELS = 32
 
 # Words and forms that document nothing.
 PLACEHOLDER = re.compile(
-    r"^\W*(?:to-?dos?|fix-?me|xxx|tb[da]|n/?a|none|null|wip|hack|placeholder|stub|lorem ipsum.*|\.{2,}|"
+    r"^\W*+(?:to-?dos?|fix-?me|xxx|tb[da]|n/?a|none|null|wip|hack|placeholder|stub|lorem ipsum.*|\.{2,}|"
     r"(?:todo|fixme|xxx)?\W*(?:please )?(?:write|add|insert|fill in|complete) ?(?:the |some |a |your )?(?:docs?|docstrings?|documentation|descriptions?|summary|comments?|text|me|this)?(?: here| later)?|"
     r"(?:todo|fixme|xxx)?\W*(?:please )?(?:document|describe|explain) ?(?:me|this|it)?(?: function| method)?(?: here| later)?|"
     r"(?:the |your |a )?(?:docstring|doc ?string|documentation|description|doc|docs|comment|summary|text)(?: line)?(?: goes| comes| belongs)?(?: here)?|"
@@ -36,7 +36,7 @@ PLACEHOLDER = re.compile(
     re.I,
 )
 DIRECTIVE = re.compile(
-    r"^\W*(?:noqa\b|type:\s*ignore|pylint\s*:|fmt\s*:|flake8|mypy\s*:|isort\s*:|ruff\s*:|yapf\s*:|black\s*:|pyright\s*:|pragma\b|nosec\b|nosonar\b|eslint\b|eslint-|@ts-|ts-(?:ignore|expect|nocheck)|tslint\s*:|jshint\b|jslint\b|globals?\s|"
+    r"^\W*+(?:noqa\b|type:\s*ignore|pylint\s*:|fmt\s*:|flake8|mypy\s*:|isort\s*:|ruff\s*:|yapf\s*:|black\s*:|pyright\s*:|pragma\b|nosec\b|nosonar\b|eslint\b|eslint-|@ts-|ts-(?:ignore|expect|nocheck)|tslint\s*:|jshint\b|jslint\b|globals?\s|"
     r"prettier-|istanbul\b|c8\b|v8\b|webpack|@formatter|@format\b|@flow|@jsx|@__PURE__|#__PURE__|sourceMappingURL|region\b|endregion\b|-\*-|!/|vim?\s*:|coding[:=]|cspell|biome-|deno-|stylelint)",
     re.I,
 )

@@ -256,7 +256,7 @@ class Python:
         return -1
 
 
-JSON_TOKEN = re.compile(r'[ \t\r\n]+|(?P<string>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<number>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w.])|(?P<word>true|false|null)(?!\w)|(?P<op>[\[\]{},:])')
+JSON_TOKEN = re.compile(r'[ \t\r\n]+|(?P<string>"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(?P<number>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w.])|(?P<word>true|false|null)(?!\w)|(?P<op>[\[\]{},:])')
 
 
 def json_tokens(text: str) -> Iterator[Token]:
@@ -281,12 +281,12 @@ JS_SPACE = re.compile(r"(?:[ \t\v\f\xa0﻿  -   　]+|//[^\n\r  ]*
 JS_TOKEN = re.compile(
     r"(?P<name>#?(?:[^\W\d]|\$|\\u[0-9a-fA-F]{4})(?:\w|\$|\\u[0-9a-fA-F]{4}|‌|‍)*)|"
     r"(?P<number>0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[oO][0-7](?:_?[0-7])*n?|0[bB][01](?:_?[01])*n?|(?:(?:0|[1-9](?:_?\d)*)(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?|(?:0|[1-9](?:_?\d)*)n)|"
-    r"(?P<string>\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*')|"
+    r"(?P<string>\"(?:[^\"\\\n\r]++|\\(?:\r\n|[\s\S]))*+\"|'(?:[^'\\\n\r]++|\\(?:\r\n|[\s\S]))*+')|"
     r"(?P<op>\.\.\.|=>|===|!==|==|!=|\*\*=|\*\*|<<=|<=|<<|&&=|\|\|=|\?\?=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|%=|&=|\|=|\^=|[-+*%&|^!~?:;,.=<(){}\[\]@])"
 )
 JS_BIGINT = re.compile(r"(?:0|[1-9](?:_?\d)*)n")
-REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/([A-Za-z]*)")
-TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)")
+REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]++|\\[^\n\r]|\[(?:[^\]\\\n\r]++|\\[^\n\r])*+\])++/([A-Za-z]*)")
+TEMPLATE = re.compile(r"(?:[^`\\$]++|\\[\s\S]|\$(?!\{))*+(`|\$\{)")
 JSX_TEXT = re.compile(r"[^{}<>]+")
 JSX_TAG = re.compile(r"[^\W\d][\w$-]*(?:[.:][^\W\d][\w$-]*)*")
 JSX_ATTR = re.compile(r"\"[^\"]*\"|'[^']*'")

@@ -2,7 +2,8 @@
 
 Defined results: the language follows the extension (lower-cased; from the path where `ext` is null), files of other
 extensions and null texts are not judged; an empty or blank code file is valid, an empty JSON text isn't; a byte order
-mark at the start is ignored; repeated rows are judged each; an empty table gives an empty result.
+mark at the start is ignored; brackets and elements more than 200 deep are taken as invalid (the limit of Python's own
+tokenizer, used for scripts as well); repeated rows are judged each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "jsx", ".ts": "typesc
 CONFLICT = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?:\s|$)")
 GENERIC = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\b)")  # beside elements, type parameters of a function show themselves so
 ANGLES = re.compile(r">{1,3}=?")
+OPENING, CLOSING = frozenset(("(", "[", "{", "HEAD")), frozenset((")", "]", "}", "TAIL"))
 RESTRICTED = frozenset(("return", "break", "continue", "yield"))
 
 
@@ -115,6 +117,7 @@ class _Script:
         state, at, newline, last = g.fresh(), 0, False, ""
         braces: list[str] = []  # "" an ordinary brace, "`" one of a template
         tags: list[str] = []
+        depth = 0
         opening = None  # OPEN or CLOSE while its name is awaited
         if text.startswith("﻿"):
             at = 1
@@ -244,6 +247,9 @@ class _Script:
                         kind, end = "REGEX", m.end()
             if not nxt:
                 return Verdict(False, "token", at)
+            depth += 1 if kind in OPENING else -1 if kind in CLOSING else 0
+            if depth + len(tags) > lexers.MOST_OPEN:
+                return Verdict(False, "token", at)
             if kind in ("{", "HEAD"):
                 braces.append("`" if kind == "HEAD" else "")
             elif kind == "TAIL" or (kind == "}" and braces):

@@ -75,6 +75,12 @@ def test_json_random(text):
     assert S.check(text, "json").valid == strict(text)
 
 
+@pytest.mark.parametrize("language", ["javascript", "tsx"])
+def test_deep_nesting(language):
+    assert S.check("x = " + "(" * 190 + "1" + ")" * 190, language).valid
+    assert not S.check("x = " + "[" * 5000 + "]" * 5000, language).valid
+
+
 def test_reasons():
     assert S.check("def f():\n", "python").reason == "truncated"
     v = S.check("x = 1\ny = = 2\n", "python")
