@@ -5,7 +5,8 @@
    of all rows. The trees are a few MB at most (sample_rows bounds them) and are sent to the tasks.
 2. Route: every vector is stored in its own leaf of each tree. The `probes` further leaves that it asks as well are those
    that a queue shared by all trees gives out first: the branches not taken with the smallest margin.
-3. Search: one leaf is one group: a block of exact cosines in single precision preselects, double precision reranks.
+3. Search: `block_leaves` neighbouring leaves of a tree are one group, so that a vector moves once however many of them it
+   asks. In each leaf a block of exact cosines in single precision preselects, double precision reranks.
 4. Merge: the lists of one vector from several leaves give its k best.
 
 Every row is indexed and every row is a query. Copies: of more than k + 1 rows with the same vector only the k + 1
@@ -28,9 +29,10 @@ from pyspark.sql import functions as F
 K = 5
 DIM = 64
 TREES = 2
-PROBES = 1
-PROBE_MARGIN = 0.04
+PROBES = 4
+PROBE_MARGIN = 0.12
 LEAF_ROWS = 6000
+BLOCK_LEAVES = 8
 MAX_LEAF = 24_000
 SAMPLE_ROWS = 32_768
 MIN_SAMPLE_PER_LEAF = 8
@@ -65,44 +67,49 @@ class Forest:
                 right = sample[own] @ w > b
                 rows[2 * i + 1], rows[2 * i + 2] = own[~right], own[right]
 
-    def descend(self, x: np.ndarray, t: int, node: np.ndarray, level: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """Leaves reached from `node`; on the way the margins and the branches not taken."""
-        margins, others = [], []
-        for _ in range(level, self.depth):
-            m = np.einsum("ij,ij->i", x, self.w[t][node]) - self.b[t][node]
+    def descend(self, x: np.ndarray, tree: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Leaves reached from `node`; for each level the margin and the branch not taken (infinite above `node`)."""
+        inner, node = len(self.w[0]), node.copy()
+        margins, others = np.full((len(x), self.depth), np.inf, np.float32), np.zeros((len(x), self.depth), np.int64)
+        for level in range(self.depth):
+            at = np.nonzero((node < inner) & (node < 2 ** (level + 1) - 1))[0]
+            own, t = node[at], tree[at]
+            m = np.einsum("ij,ij->i", x[at], self.w[t, own]) - self.b[t, own]
             right = m > 0
-            margins.append(np.abs(m))
-            others.append(2 * node + 2 - right)
-            node = 2 * node + 1 + right
+            margins[at, level], others[at, level] = np.abs(m), 2 * own + 2 - right
+            node[at] = 2 * own + 1 + right
         return node, margins, others
 
     def route(self, x: np.ndarray, probes: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, leaf, own): `own` marks the leaves that store the row, the others are only asked."""
+        """(row, leaf, own): `own` marks the leaves that store the row, the others are only asked. The queue of a row
+        holds the branches not taken in any tree; the one with the smallest margin comes out, and the branches not taken
+        below it go in, none before the branch that led there."""
         n, trees, inner = len(x), len(self.w), 2**self.depth - 1
         rows, leaves, own, margins, others = [], [], [], [], []
-        zero = np.zeros(n, np.int64)
         for t in range(trees):
-            leaf, m, o = self.descend(x, t, zero, 0)
+            leaf, m, o = self.descend(x, np.full(n, t), np.zeros(n, np.int64))
             rows.append(np.arange(n))
             leaves.append((leaf - inner) * trees + t)
             own.append(np.ones(n, bool))
-            margins += m
-            others += o
-        if probes and self.depth and n:
-            m, o = np.stack(margins, 1), np.stack(others, 1)
-            first = np.argsort(m, axis=1)[:, :probes]
-            for p in range(first.shape[1]):
-                at = first[:, p]
-                near = np.nonzero(m[np.arange(n), at] <= margin)[0]
-                for t in range(trees):
-                    mine = near[at[near] // self.depth == t]
-                    for level in range(self.depth):
-                        some = mine[at[mine] % self.depth == level]
-                        if len(some):
-                            leaf, _, _ = self.descend(x[some], t, o[some, at[some]], level + 1)
-                            rows.append(some)
-                            leaves.append((leaf - inner) * trees + t)
-                            own.append(np.zeros(len(some), bool))
+            margins.append(m)
+            others.append(o * trees + t)
+        if self.depth and n:
+            m, o = np.concatenate(margins, 1), np.concatenate(others, 1)
+            for _ in range(probes):
+                at = m.argmin(1)
+                least = m[np.arange(n), at]
+                near = np.nonzero(least <= margin)[0]
+                if not len(near):
+                    break
+                branch = o[near, at[near]]
+                m[near, at[near]] = np.inf
+                leaf, below, off = self.descend(x[near], branch % trees, branch // trees)
+                rows.append(near)
+                leaves.append((leaf - inner) * trees + branch % trees)
+                own.append(np.zeros(len(near), bool))
+                more, where = np.full((n, self.depth), np.inf, np.float32), np.zeros((n, self.depth), np.int64)
+                more[near], where[near] = np.maximum(below, least[near, None]), off * trees + (branch % trees)[:, None]
+                m, o = np.concatenate([m, more], 1), np.concatenate([o, where], 1)
         return np.concatenate(rows), np.concatenate(leaves), np.concatenate(own)
 
 
@@ -136,10 +143,23 @@ def _vectors(col: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return np.asarray(a.flatten(), dtype=np.float32).reshape(len(a), dim)
 
 
-def _binary(x: np.ndarray) -> pa.Array:
-    """A matrix of float32 as one binary per row."""
-    size = x.shape[1] * 4
-    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * size).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(x, np.float32).tobytes())])
+def _pack(key: np.ndarray, ids: pa.Array, v: np.ndarray, row: np.ndarray, leaf: np.ndarray, own: np.ndarray) -> bytes:
+    """Vectors of one group and the leaves they ask (`row` numbers the vectors), compressed; bytes of equal weight together."""
+    planes = np.ascontiguousarray(v, np.float32).view(np.uint8).reshape(len(v), -1, 4)
+    cols = [pa.Array.from_buffers(pa.binary(v.shape[1]), len(v), [None, pa.py_buffer(np.ascontiguousarray(planes[:, :, i]))]) for i in range(4)]
+    sink = pa.BufferOutputStream()
+    for t in (pa.table([pa.array(key), ids, *cols], ["key", "id", "0", "1", "2", "3"]), pa.table([pa.array(row.astype(np.int32)), pa.array(leaf.astype(np.int32)), pa.array(own)], ["row", "leaf", "own"])):
+        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(block: bytes, dim: int) -> tuple[np.ndarray, list[str | None], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    source = pa.BufferReader(block)
+    t, asks = pa.ipc.open_stream(source).read_all().combine_chunks(), pa.ipc.open_stream(source).read_all()
+    planes = [np.frombuffer(c.buffers()[1], np.uint8)[: len(c) * dim].reshape(len(c), dim) for c in (t.column(str(i)).chunk(0) for i in range(4))]
+    v = np.ascontiguousarray(np.stack(planes, 2)).view(np.float32)[:, :, 0]
+    return np.asarray(t.column("key")), t.column("id").to_pylist(), v, np.asarray(asks.column("row")), np.asarray(asks.column("leaf")), np.asarray(asks.column("own"))
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -181,11 +201,17 @@ def _topk(q: np.ndarray, p: np.ndarray, qi: np.ndarray, pi: np.ndarray, order: n
     return best, cos
 
 
-def search_leaf(v: np.ndarray, ids: list[str], own: np.ndarray, k: int, max_leaf: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def _order(ids: list[str] | np.ndarray) -> np.ndarray:
+    """Ranks of ids."""
+    order = np.empty(len(ids), np.int64)
+    order[np.argsort(ids if isinstance(ids, np.ndarray) else np.array(ids, dtype=object), kind="stable")] = np.arange(len(ids))
+    return order
+
+
+def search_leaf(v: np.ndarray, ids: list[str] | np.ndarray, own: np.ndarray, k: int, max_leaf: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """The k best stored rows of one leaf for each of its rows. A leaf beyond `max_leaf` is split until its parts fit."""
     unit = _unit(v)
-    order = np.empty(len(ids), np.int64)
-    order[np.argsort(np.array(ids, dtype=object), kind="stable")] = np.arange(len(ids))
+    order = _order(ids)
     best, cos = np.full((len(v), k), -1, np.int64), np.full((len(v), k), -2.0)
     rng, stack = np.random.default_rng(seed), [np.arange(len(v))]
     while stack:
@@ -204,7 +230,7 @@ def search_leaf(v: np.ndarray, ids: list[str], own: np.ndarray, k: int, max_leaf
 
 
 def _search(
-    df: DataFrame, id_col: str, vec_col: str, k: int = K, dim: int = DIM, trees: int = TREES, probes: int = PROBES, margin: float = PROBE_MARGIN, leaf_rows: int = LEAF_ROWS, max_leaf: int = MAX_LEAF, sample_rows: int = SAMPLE_ROWS, seed: int = 11
+    df: DataFrame, id_col: str, vec_col: str, k: int = K, dim: int = DIM, trees: int = TREES, probes: int = PROBES, margin: float = PROBE_MARGIN, leaf_rows: int = LEAF_ROWS, block_leaves: int = BLOCK_LEAVES, max_leaf: int = MAX_LEAF, sample_rows: int = SAMPLE_ROWS, seed: int = 11
 ) -> tuple[DataFrame, DataFrame]:
     """(key, near_key, rank, cosine) and (key, id): the lists by 64-bit keys of the ids, and what the keys stand for."""
     spark = df.sparkSession
@@ -236,20 +262,47 @@ def _search(
     def route(batches):
         f = forest.value
         for b in batches:
-            v = _vectors(b.column(1), dim)
-            rows, leaf, own = f.route(_unit(v).astype(np.float32), probes, margin)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), _binary(v[rows]), pa.array(leaf, pa.int32()), pa.array(own)], ["id", "v", "leaf", "own"])
+            v, ids, key = _vectors(b.column("v"), dim), b.column("id"), np.asarray(b.column("key"))
+            row, leaf, own = f.route(_unit(v).astype(np.float32), probes, margin)
+            group = leaf // trees // block_leaves * trees + leaf % trees
+            blocks = []
+            for g in np.unique(group):
+                at = np.nonzero(group == g)[0]
+                rows, again = np.unique(row[at], return_inverse=True)
+                stored = np.zeros(len(rows), bool)
+                stored[again[own[at]]] = True
+                names = ids.take(pa.array(rows, mask=~stored))  # only stored rows are put in order
+                blocks.append((int(g), _pack(key[rows], names, v[rows], again, leaf[at], own[at])))
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], ["group", "block"])
 
     def search(t: pa.Table) -> pa.Table:
-        v, own, key = _vectors(t.column("v"), dim), np.asarray(t.column("own")), np.asarray(t.column("key"))
-        best, cos = search_leaf(v, t.column("id").to_pylist(), own, k, max_leaf)
-        ok = best >= 0
-        off = pa.array(np.concatenate([[0], np.cumsum(ok.sum(1))]).astype(np.int32))
-        near = pa.ListArray.from_arrays(off, pa.StructArray.from_arrays([pa.array(-cos[ok]), pa.array(np.nonzero(ok)[1].astype(np.int32)), pa.array(key[best[ok]])], ["c", "r", "key"]))
-        return pa.Table.from_arrays([pa.array(key), near], ["key", "near"])
-
-    routed = searched.select("id", "v").mapInArrow(route, "id string, v binary, leaf int, own boolean")
-    hits = routed.withColumn("key", F.xxhash64("id")).groupBy("leaf").applyInArrow(search, "key bigint, near array<struct<c double, r int, key bigint>>")
+        parts = [_unpack(x.as_buffer(), dim) for x in t.column("block")]
+        start = np.cumsum([0] + [len(p[0]) for p in parts])
+        key, v = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
+        row = np.concatenate([p[3] + n for p, n in zip(parts, start)])
+        leaf, own = np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts])
+        order = _order([x or "" for p in parts for x in p[1]])
+        rows, nears, coss = [], [], []
+        for x in np.unique(leaf):
+            at = np.nonzero(leaf == x)[0]
+            best, cos = search_leaf(v[row[at]], order[row[at]], own[at], k, max_leaf)
+            ok = best >= 0
+            rows.append(np.broadcast_to(row[at][:, None], ok.shape)[ok])
+            nears.append(row[at][best[ok]])
+            coss.append(cos[ok])
+        rows, nears, coss = np.concatenate(rows), np.concatenate(nears), np.concatenate(coss)
+        _, first = np.unique(rows * len(key) + nears, return_index=True)  # each neighbour once, then the k best of all leaves
+        first = first[np.lexsort((order[nears[first]], -coss[first], rows[first]))]
+        rows, nears, coss = rows[first], nears[first], coss[first]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        rows, nears, coss, rank = (x[rank < k] for x in (rows, nears, coss, rank))
+        asked, n = np.unique(rows, return_counts=True)
+        off = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        near = pa.ListArray.from_arrays(off, pa.StructArray.from_arrays([pa.array(-coss), pa.array(rank.astype(np.int32)), pa.array(key[nears])], ["c", "r", "key"]))
+        return pa.Table.from_arrays([pa.array(key[asked]), near], ["key", "near"])
+
+    routed = searched.select("id", F.xxhash64("id").alias("key"), "v").mapInArrow(route, "group int, block binary")
+    hits = routed.groupBy("group").applyInArrow(search, "key bigint, near array<struct<c double, r int, key bigint>>")
     merged = hits.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
     # one entry per neighbour, the best k: lists hold at most k times the leaves asked
     distinct = F.aggregate("near", F.array().cast("array<struct<c:double,r:int,key:bigint>>"), lambda acc, x: F.when((F.size(acc) >= k) | F.exists(acc, lambda y: y["key"] == x["key"]), acc).otherwise(F.concat(acc, F.array(x))))

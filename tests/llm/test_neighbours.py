@@ -72,3 +72,25 @@ def test_small(spark, rows):
 def test_pairs(spark):
     df = spark.createDataFrame([(i, v, 1, 2, "x", True) for i, v in [("b", [1.0] * 8), ("a", [2.0] * 8)]], SCHEMA)
     assert [tuple(r) for r in N.neighbour_pairs(df, "id", "v", dim=8).collect()] == [("a", "b")]
+
+
+def test_queue_gives_out_several_leaves():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    f = N.Forest(x, 64, 2, 1)
+    rows, leaves, own = f.route(x[:200], N.PROBES, N.PROBE_MARGIN)
+    asked = [set(leaves[rows == i]) for i in range(200)]
+    assert [len(s) for s in asked] == list(np.bincount(rows, minlength=200)) and max(map(len, asked)) == 6  # no leaf twice
+    assert all((leaves[(rows == i) & own] % 2).tolist() == [0, 1] for i in range(200))
+    every = f.route(x[:3], 2 * 64, 9.0)
+    assert all(len(set(every[1][every[0] == i])) == 128 for i in range(3))
+
+
+def test_recall_between_many_borders(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 8)) * 0.5 + rng.standard_normal((30, 8)).repeat(100, 0)
+    rows = [(f"p{i:04}", [float(y) for y in r]) for i, r in enumerate(x)]
+    got, want = run(spark, rows, leaf_rows=50), brute(rows, 3)
+    found = sum(len(set(got[i]) & set(w)) for i, w in want.items()) / 9000
+    assert found > 0.9, found
