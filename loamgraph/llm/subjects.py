@@ -5,7 +5,7 @@
    maximisation, so a phrase ends up with the one it belongs to.
 2. Labelling functions vote on every (document, subject): the lexicon (at least a quarter of the sentences that concern
    any subject concern this one), the subjects' descriptions, the section headings, the address (what else is known about
-   the repository), the kind of source, and, where there is one, the hand-made label. Whole texts are read.
+   the repository), the kind of source (both counted over all labels), and, where there is one, the hand-made label. Whole texts are read.
 3. The votes of all documents are counted per subject and pattern (a bounded table: three values, six functions). On it,
    expectation-maximisation learns how often each function is right, without knowing the truth.
 4. A document has the subjects whose posterior probability is at least one half. The hand-made label helps to learn the
@@ -133,21 +133,6 @@ def learn(docs: list[tuple[list[list[str]], frozenset[str]]], subjects: list[str
     return out
 
 
-def learn_twice(labelled: list, unlabelled: list, subjects: list[str]) -> dict[str, tuple[str, float]]:
-    """A lexicon from the labelled documents; where they are fewer than the bound, once more with unlabelled ones that
-    the first lexicon speaks clearly about, for the phrases that no labelled document has often enough."""
-    first = learn(labelled, subjects)
-    more = []
-    for sents in unlabelled:
-        per = [x for x in (concerned(s, first) for s in sents) if x]
-        if len(per) >= 3:
-            count = Counter(s for x in per for s in x)
-            clear = frozenset(s for s, n in count.items() if n / len(per) >= SHARE)
-            if clear and len(clear) <= 3:
-                more.append((sents, clear))
-    return learn([*labelled, *more], subjects) if more else first
-
-
 def concerned(sentence: list[str], lexicon: dict[str, tuple[str, float]]) -> set[str]:
     """Subjects of a sentence: longest sequences first, no word twice; a subject with less than half the weight of the
     strongest one is a chance word of that one's phrase."""
@@ -178,19 +163,13 @@ def normal_label(label: str | None, subjects: dict[str, str]) -> str | None:
     return near[0] if len(near) == 1 else None
 
 
-def tendencies(values: list[tuple[str | None, frozenset[str]]], subjects: list[str], least: int = 8) -> dict[str, list[int]]:
-    """{value: vote by subject} where a value's documents have a subject clearly more, or less, often than others."""
-    n, base = len(values), Counter(s for _, ls in values for s in ls)
-    by: dict[str, list[frozenset[str]]] = defaultdict(list)
-    for v, ls in values:
-        if v is not None:
-            by[v].append(ls)
-    out = {}
-    for v, ls in by.items():
-        if len(ls) >= least:
-            rate = {s: sum(s in x for x in ls) / len(ls) for s in subjects}
-            out[v] = [1 if rate[s] > max(0.4, 3 * base[s] / n) else -1 if rate[s] < base[s] / n / 4 and len(ls) >= 30 else 0 for s in subjects]
-    return out
+def tendencies(facts: DataFrame, value: str, subjects: list[str], n: int, base: dict[str, int], least: int = 8) -> DataFrame:
+    """(value, votes by subject) where the labelled documents of a value have a subject clearly more, or less, often than
+    others; `n` and `base` count all labelled documents and those of each subject."""
+    by = facts.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"), *(F.count_if(F.array_contains("meant", s)).alias(f"c{i}") for i, s in enumerate(subjects))).where(F.col("n") >= least)
+    rate = lambda i: F.col(f"c{i}") / F.col("n")
+    votes = [F.when(rate(i) > max(0.4, 3 * base[s] / n), 1).when((rate(i) < base[s] / n / 4) & (F.col("n") >= 30), -1).otherwise(0) for i, s in enumerate(subjects)]
+    return by.select(value, F.array(*votes).alias(f"{value}_votes"))
 
 
 def em(patterns: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarray, float]:
@@ -234,30 +213,35 @@ def assign(docs: DataFrame, subjects: DataFrame, labels: DataFrame, label_rows:
         return spark.createDataFrame([], spec)
 
     by_doc = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))
-    # a bounded sample, labelled documents first, whole texts; ordered by a hash, so that it is the same every time
+    # the lexicon: a bounded sample of labelled documents, whole texts; ordered by a hash, so that it is the same every time
     order = [F.xxhash64("doc_id"), F.xxhash64("text")]
-    fit = lambda x, n: x.where(F.length("text") <= SAMPLE_CHARS).orderBy(*order).limit(n).select("text", "repo", "source", "labels").toArrow().to_pylist()
-    sample = fit(d.join(by_doc, "doc_id"), label_rows)
+    sample = d.join(by_doc, "doc_id").where(F.length("text") <= SAMPLE_CHARS).orderBy(*order).limit(label_rows).select("text", "labels").toArrow().to_pylist()
     examples = []
     for r in sample:
         ls = {normal_label(x, known) for x in r["labels"]} - {None}
         if ls:
-            examples.append((sentences(r["text"])[0], frozenset(ls - {""}), r["repo"], r["source"]))
-    spare = label_rows - len(sample)
-    others = [sentences(r["text"])[0] for r in fit(d.join(by_doc, "doc_id", "left_anti").withColumn("labels", F.lit(None).cast("array<string>")), spare)] if spare > 0 and examples else []
-    lexicon = learn_twice([(s, ls) for s, ls, _, _ in examples], others, names)
+            examples.append((sentences(r["text"])[0], frozenset(ls - {""})))
+    lexicon = learn(examples, names)
     words = {w: s for s in names for w in {x.lower() for x in WORD.findall(known[s])} if sum(bool(re.search(rf"\b{w}\b", t.lower())) for t in known.values()) == 1 and len(w) > 4}
     if not lexicon:
         lexicon = {w: (s, 1.0) for w, s in words.items()}
-    address = tendencies([(repo, ls) for _, ls, repo, _ in examples], names)
-    kind = tendencies([(src, ls) for _, ls, _, src in examples], names)
-    shared = spark.sparkContext.broadcast((lexicon, words, address, kind))
+    # addresses, sources and priors: all labels
+    def mean(batches):
+        for b in batches:
+            meant = [{normal_label(x, known) for x in ls} - {None} for ls in b.column("labels").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([sorted(x - {""}) if x else None for x in meant], pa.list_(pa.string()))], ["doc_id", "meant"])
+
+    meant = by_doc.mapInArrow(mean, f"doc_id {by_doc.schema['doc_id'].dataType.simpleString()}, meant array<string>").where("meant is not null")
+    facts, _ = cut(d.where("text is not null").select("doc_id", "repo", "source").join(meant, "doc_id"), "facts")
+    total, *each_ = facts.agg(F.count("*"), *(F.count_if(F.array_contains("meant", s)) for s in names)).first()
+    base = dict(zip(names, each_))
+    shared = spark.sparkContext.broadcast((lexicon, words))
 
     def vote(batches):
-        lexicon, words, address, kind = shared.value
+        lexicon, words = shared.value
         for b in batches:
             keys, votes, shares = [], [], []
-            for text, repo, source, lab in zip(*(b.column(c).to_pylist() for c in ("text", "repo", "source", "labels"))):
+            for text, lab in zip(*(b.column(c).to_pylist() for c in ("text", "labels"))):
                 sents, heads = sentences(text)
                 per = [concerned(s, lexicon) for s in sents]
                 any_ = sum(bool(x) for x in per)
@@ -265,16 +249,15 @@ def assign(docs: DataFrame, subjects: DataFrame, labels: DataFrame, label_rows:
                 said = Counter(words[w] for s in sents for w in s if w in words)
                 titled = {s for h in heads for s in concerned(h, lexicon)}
                 meant = {normal_label(x, known) for x in lab or []} - {None}
-                rep, src = address.get(repo), kind.get(source)
                 row, sh = [], []
-                for i, s in enumerate(names):
+                for s in names:
                     share = count[s] / any_ if any_ else 0.0
                     v = (
                         1 if any_ and share >= SHARE else -1,
                         1 if said[s] and said[s] == max(said.values()) else 0,
                         1 if s in titled else 0,
-                        rep[i] if rep else 0,
-                        src[i] if src else 0,
+                        0,  # address and source are added where they are joined
+                        0,
                         0 if not meant else 1 if s in meant else -1,
                     )
                     row.append(sum((x + 1) * 3**j for j, x in enumerate(v)))
@@ -287,9 +270,14 @@ def assign(docs: DataFrame, subjects: DataFrame, labels: DataFrame, label_rows:
     doc_type = d.schema["doc_id"].dataType.simpleString()
     src = d.join(by_doc, "doc_id", "left").where("text is not null").select(*cols, "labels")
     voted, _ = cut(src.mapInArrow(vote, f"doc_id {doc_type}, repo string, source string, lang string, votes array<int>, shares array<double>"), "votes")
+    if total:
+        for j, value in ((FUNCTIONS.index("address"), "repo"), (FUNCTIONS.index("source"), "source")):
+            known_votes = tendencies(facts, value, names, total, base)
+            voted = voted.join(known_votes, value, "left").withColumn("votes", F.coalesce(F.expr(f"zip_with(votes, {value}_votes, (x, y) -> x + y * {3**j})"), "votes")).drop(f"{value}_votes")
+        voted, _ = cut(voted, "votes")
     each = voted.select("doc_id", "repo", "source", "lang", F.posexplode(F.arrays_zip("votes", "shares")).alias("i", "v")).select("doc_id", "repo", "source", "lang", "i", F.col("v.votes").alias("pattern"), F.col("v.shares").alias("share"))
     table = each.groupBy("i", "pattern").agg(F.count("*").alias("n")).collect()  # at most subjects x 3^6 rows
-    prior = {s: max(0.02, sum(s in ls for _, ls, _, _ in examples) / max(1, len(examples))) for s in names}
+    prior = {s: max(0.02, base[s] / max(1, total)) for s in names}
     scored = []
     for i, s in enumerate(names):
         own = [(r["pattern"], r["n"]) for r in table if r["i"] == i]

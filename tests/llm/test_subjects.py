@@ -76,3 +76,22 @@ def test_em_learns_who_is_right():
     pat, counts = np.unique(votes, axis=0, return_counts=True)
     p, prior = S.em(pat, counts.astype(float), 0.3)
     assert abs(prior - 0.2) < 0.03 and p[0, 1, 2] > 0.9 and p[3, 1, 2] < 0.65
+
+
+def test_one_procedure_over_all_labels(spark, monkeypatch):
+    docs, truth = corpus(300, 2)
+    docs = [(*d[:2], "courts" if truth[d[0]] == {"law"} else "others", *d[3:]) for d in docs if "law" not in truth[d[0]] or truth[d[0]] == {"law"}]
+    hand = [d[0] for d in docs[:200]]
+    labels = [(i, x, "a") for i in hand for x in truth[i] or {"none"}]
+    learned, voted = [], []
+    learn, em = S.learn, S.em
+    monkeypatch.setattr(S, "learn", lambda d, *a: learned.append(len(d)) or learn(d, *a))
+    monkeypatch.setattr(S, "em", lambda pat, n, prior: voted.append((pat, prior)) or em(pat, n, prior))
+    run(spark, docs, labels, label_rows=20)
+    run(spark, docs, labels, label_rows=250)
+    assert learned == [20, 200]  # labelled documents only, once, few or many
+    names = sorted(NAMES)
+    for at, s in enumerate([*names, *names]):
+        pat, prior = voted[at]
+        assert prior == sum(s in truth[i] for i in hand) / 200
+        assert (1 in pat[:, S.FUNCTIONS.index("address")]) == (s == "law")
