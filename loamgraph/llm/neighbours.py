@@ -9,10 +9,12 @@
    asks. In each leaf a block of exact cosines in single precision preselects, double precision reranks.
 4. Merge: the lists of one vector from several leaves give its k best.
 
-Every row is indexed and every row is a query. Copies: of more than k + 1 rows with the same vector only the k + 1
-smallest ids are searched; the others provably have the same neighbours as the last of those and get them by a join, so
-a vector that a third of all rows share never fills a leaf. Rows left over in an oversized leaf (`max_leaf`) are split
-further in the task, by the same kind of split.
+Every row is indexed and every row gets its neighbours. Copies: rows whose directions agree to 6 decimals have a cosine of
+1 with each other, so of more than k + 1 such rows only the k + 1 smallest ids are searched for; the others have the same
+neighbours as the last of those and get them by a join. Of more than k + 1 rows with exactly one direction, whatever
+their lengths, only the k + 1 smallest ids are stored, as no list has room for more. So a direction that a third of all rows
+share never makes a quadratic leaf. Rows left over in an oversized leaf (`max_leaf`) are split further in the task, by
+the same kind of split.
 
 Defined results: null vectors, vectors of another length than `dim`, with null, NaN or infinite entries or of norm 0
 take no part, nor do null ids; a repeated id counts once (its smallest vector hash); order is by cosine rounded to 10
@@ -143,23 +145,23 @@ def _vectors(col: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return np.asarray(a.flatten(), dtype=np.float32).reshape(len(a), dim)
 
 
-def _pack(key: np.ndarray, ids: pa.Array, v: np.ndarray, row: np.ndarray, leaf: np.ndarray, own: np.ndarray) -> bytes:
+def _pack(key: np.ndarray, ids: pa.Array, v: np.ndarray, row: np.ndarray, leaf: np.ndarray, own: np.ndarray, asks: np.ndarray) -> bytes:
     """Vectors of one group and the leaves they ask (`row` numbers the vectors), compressed; bytes of equal weight together."""
     planes = np.ascontiguousarray(v, np.float32).view(np.uint8).reshape(len(v), -1, 4)
     cols = [pa.Array.from_buffers(pa.binary(v.shape[1]), len(v), [None, pa.py_buffer(np.ascontiguousarray(planes[:, :, i]))]) for i in range(4)]
     sink = pa.BufferOutputStream()
-    for t in (pa.table([pa.array(key), ids, *cols], ["key", "id", "0", "1", "2", "3"]), pa.table([pa.array(row.astype(np.int32)), pa.array(leaf.astype(np.int32)), pa.array(own)], ["row", "leaf", "own"])):
+    for t in (pa.table([pa.array(key), ids, *cols], ["key", "id", "0", "1", "2", "3"]), pa.table([pa.array(row.astype(np.int32)), pa.array(leaf.astype(np.int32)), pa.array(own), pa.array(asks)], ["row", "leaf", "own", "asks"])):
         with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_table(t)
     return sink.getvalue().to_pybytes()
 
 
-def _unpack(block: bytes, dim: int) -> tuple[np.ndarray, list[str | None], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(block: bytes, dim: int) -> tuple[np.ndarray, list[str | None], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     source = pa.BufferReader(block)
     t, asks = pa.ipc.open_stream(source).read_all().combine_chunks(), pa.ipc.open_stream(source).read_all()
     planes = [np.frombuffer(c.buffers()[1], np.uint8)[: len(c) * dim].reshape(len(c), dim) for c in (t.column(str(i)).chunk(0) for i in range(4))]
     v = np.ascontiguousarray(np.stack(planes, 2)).view(np.float32)[:, :, 0]
-    return np.asarray(t.column("key")), t.column("id").to_pylist(), v, np.asarray(asks.column("row")), np.asarray(asks.column("leaf")), np.asarray(asks.column("own"))
+    return np.asarray(t.column("key")), t.column("id").to_pylist(), v, np.asarray(asks.column("row")), np.asarray(asks.column("leaf")), np.asarray(asks.column("own")), np.asarray(asks.column("asks"))
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -171,13 +173,17 @@ def _unit(v: np.ndarray) -> np.ndarray:
 def _topk(q: np.ndarray, p: np.ndarray, qi: np.ndarray, pi: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For the rows `qi` of q their k best of the rows `pi` of p (never themselves): indexes into p, cosines. `order` ranks
     points by id. Preselection in single precision takes the best of each group of columns, so that the selection reads
-    the block once; what is kept is a superset of the k best, which double precision puts in order."""
+    the block once. Where the last one kept is within the error of single precision of the k-th best (many ties), the row
+    is done in double precision over all columns."""
     qf, pf = q.astype(np.float32), p[pi].astype(np.float32)
     best, cos = np.full((len(qi), k), -1, np.int64), np.full((len(qi), k), -2.0)
     keep, g = min(len(pi), k + 4), 64
+    error = 2 * ((q.shape[1] + 4) * 2.0**-24 + 1e-10)  # of a difference of two cosines, at most
+    exact = None
+    step = max(1, min(512, 12_000_000 // max(1, len(pi))))
     cols = -(-len(pi) // g) * g
-    for lo in range(0, len(qi), 512):
-        rows = qi[lo : lo + 512]
+    for lo in range(0, len(qi), step):
+        rows = qi[lo : lo + step]
         s = np.full((len(rows), cols), -9, np.float32)
         np.matmul(qf[rows], pf.T, out=s[:, : len(pi)]) if cols == len(pi) else s.__setitem__((slice(None), slice(0, len(pi))), qf[rows] @ pf.T)
         if cols // g > 2 * keep:  # the groups with the keep largest maxima hold the keep largest entries
@@ -190,13 +196,26 @@ def _topk(q: np.ndarray, p: np.ndarray, qi: np.ndarray, pi: np.ndarray, order: n
         n = min(s.shape[1], keep + 1)
         part = np.argpartition(-s, n - 1, axis=1)[:, :n]
         cand = np.take_along_axis(idx, part, 1)
-        there = np.take_along_axis(s, part, 1) > -5
+        kept = np.take_along_axis(s, part, 1)
+        there, high = kept > -5, -np.sort(-kept, axis=1)
         cand = np.where(there, pi[np.minimum(cand, len(pi) - 1)], -1)
         c = np.round(np.einsum("ij,ikj->ik", q[rows], p[cand]), 10)
         c = np.where((cand < 0) | (cand == rows[:, None]), -9.0, c)
         o = np.lexsort((order[cand], -c), axis=1)[:, :k]
         m = o.shape[1]
-        best[lo : lo + 512, :m], cos[lo : lo + 512, :m] = np.take_along_axis(cand, o, 1), np.take_along_axis(c, o, 1)
+        best[lo : lo + step, :m], cos[lo : lo + step, :m] = np.take_along_axis(cand, o, 1), np.take_along_axis(c, o, 1)
+        if len(pi) > keep:
+            wide = np.nonzero(high[:, keep - 1] >= high[:, k] - error)[0]
+            exact = p[pi] if exact is None and len(wide) else exact
+            for i in range(0, len(wide), 64 if len(pi) < 60_000 else 4):
+                some = wide[i : i + (64 if len(pi) < 60_000 else 4)]
+                cs = np.round(q[rows[some]] @ exact.T, 10)
+                cs[pi[None, :] == rows[some][:, None]] = -9.0
+                least = -np.partition(-cs, k - 1, axis=1)[:, k - 1]
+                for w, c1, low in zip(some, cs, least):
+                    at = np.nonzero(c1 >= low)[0]
+                    at = at[np.lexsort((order[pi[at]], -c1[at]))[:k]]
+                    best[lo + w], cos[lo + w] = pi[at], c1[at]
     best[cos < -2] = -1
     return best, cos
 
@@ -208,15 +227,17 @@ def _order(ids: list[str] | np.ndarray) -> np.ndarray:
     return order
 
 
-def search_leaf(v: np.ndarray, ids: list[str] | np.ndarray, own: np.ndarray, k: int, max_leaf: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """The k best stored rows of one leaf for each of its rows. A leaf beyond `max_leaf` is split until its parts fit."""
+def search_leaf(v: np.ndarray, ids: list[str] | np.ndarray, own: np.ndarray, k: int, max_leaf: int, seed: int = 7, asks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The k best stored rows of one leaf for each of its rows, or of those that ask. A leaf where more than `max_leaf` rows
+    ask is split until its parts fit."""
     unit = _unit(v)
     order = _order(ids)
     best, cos = np.full((len(v), k), -1, np.int64), np.full((len(v), k), -2.0)
     rng, stack = np.random.default_rng(seed), [np.arange(len(v))]
     while stack:
         rows = stack.pop()
-        if len(rows) > max_leaf:
+        asking = rows if asks is None else rows[asks[rows]]
+        if len(asking) > max_leaf:
             x = unit[rows].astype(np.float32)
             w, b = split(x, rng)
             right = x @ w > b
@@ -224,8 +245,8 @@ def search_leaf(v: np.ndarray, ids: list[str] | np.ndarray, own: np.ndarray, k:
                 stack += [rows[right], rows[~right]]
                 continue
         stored = rows[own[rows]]
-        if len(stored):
-            best[rows], cos[rows] = _topk(unit, unit, rows, stored, order, k)
+        if len(stored) and len(asking):
+            best[asking], cos[asking] = _topk(unit, unit, asking, stored, order, k)
     return best, cos
 
 
@@ -240,17 +261,31 @@ def _search(
         keyed = base.withColumn("key", F.xxhash64("id"))
         once = keyed.join(again, "key", "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("h"))).where("r = 1")
         base = keyed.join(again, "key", "left_anti").select("id", "v", "h").unionByName(once.select("id", "v", "h"))
-    counts = base.groupBy("h").agg(F.count("*").alias("n"))
+    # directions: exactly, and to so many decimals that the cosine of two equal ones is 1 at 10 decimals
+    scale, odd = 1e6 if dim < 100 else 1e7, np.random.default_rng(seed).integers(-(2**62), 2**62, dim) * 2 + 1
+
+    def direction(batches):
+        for b in batches:
+            d = _vectors(b.column("v"), dim).astype(np.float64)
+            d /= np.abs(d).max(1, keepdims=True)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array((np.rint(d * scale).astype(np.int64) * odd).sum(1))], [*b.schema.names[1:], "h"])
+
+    counts = base.select("v").mapInArrow(direction, "h bigint").groupBy("h").agg(F.count("*").alias("n"))
     total, many = counts.agg(F.sum("n"), F.count_if(F.col("n") > k + 1)).first()
     if not total:
         return spark.createDataFrame([], "key bigint, near_key bigint, rank int, cosine double"), spark.createDataFrame([], "key bigint, id string")
-    searched, rest = base, None
+    searched, rest = base.select("id", "v", F.lit(True).alias("asks")), None
     if many:
-        crowd = base.join(counts.where(F.col("n") > k + 1).select("h"), "h", "left_semi")
-        first = crowd.withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))).where(F.col("r") <= k + 1)
-        rest = crowd.select("id", "h").join(first.select("id"), "id", "left_anti")
-        last = first.where(F.col("r") == k + 1).select("h", F.col("id").alias("like"))
-        searched = base.join(counts.where(F.col("n") > k + 1).select("h"), "h", "left_anti").select("id", "v", "h").unionByName(first.select("id", "v", "h"))
+        crowded = counts.where(F.col("n") > k + 1).select("h")
+        turned = base.select("v", "id", F.col("v").alias("w")).mapInArrow(direction, "id string, w array<float>, h bigint").withColumnRenamed("w", "v")
+        top = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+        exact = F.transform("v", lambda x: x.cast("double") / F.col("top") + F.lit(0.0))
+        near = F.transform("d", lambda x: F.rint(x * F.lit(scale)) + F.lit(0.0))
+        rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("id"))
+        crowd = turned.join(crowded, "h", "left_semi").withColumn("top", top).withColumn("d", exact).withColumn("near", near).withColumn("r", rank("h", "near")).withColumn("stored", rank("h", "d") <= k + 1)
+        rest = crowd.where(F.col("r") > k + 1).select("id", "h", "near")
+        last = crowd.where(F.col("r") == k + 1).select("h", "near", F.col("id").alias("like"))
+        searched = turned.join(crowded, "h", "left_anti").select("id", "v", F.lit(True).alias("asks")).unionByName(crowd.where("stored").select("id", "v", (F.col("r") <= k + 1).alias("asks")))
 
     leaves = max(1, -(-total // leaf_rows))
     share = min(1.0, sample_rows / total)
@@ -263,7 +298,9 @@ def _search(
         f = forest.value
         for b in batches:
             v, ids, key = _vectors(b.column("v"), dim), b.column("id"), np.asarray(b.column("key"))
+            asks = np.asarray(b.column("asks").to_numpy(zero_copy_only=False))
             row, leaf, own = f.route(_unit(v).astype(np.float32), probes, margin)
+            row, leaf, own = (x[own | asks[row]] for x in (row, leaf, own))
             group = leaf // trees // block_leaves * trees + leaf % trees
             blocks = []
             for g in np.unique(group):
@@ -272,7 +309,7 @@ def _search(
                 stored = np.zeros(len(rows), bool)
                 stored[again[own[at]]] = True
                 names = ids.take(pa.array(rows, mask=~stored))  # only stored rows are put in order
-                blocks.append((int(g), _pack(key[rows], names, v[rows], again, leaf[at], own[at])))
+                blocks.append((int(g), _pack(key[rows], names, v[rows], again, leaf[at], own[at], asks[row[at]])))
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], ["group", "block"])
 
     def search(t: pa.Table) -> pa.Table:
@@ -280,12 +317,12 @@ def _search(
         start = np.cumsum([0] + [len(p[0]) for p in parts])
         key, v = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
         row = np.concatenate([p[3] + n for p, n in zip(parts, start)])
-        leaf, own = np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts])
+        leaf, own, asks = (np.concatenate([p[i] for p in parts]) for i in (4, 5, 6))
         order = _order([x or "" for p in parts for x in p[1]])
         rows, nears, coss = [], [], []
         for x in np.unique(leaf):
             at = np.nonzero(leaf == x)[0]
-            best, cos = search_leaf(v[row[at]], order[row[at]], own[at], k, max_leaf)
+            best, cos = search_leaf(v[row[at]], order[row[at]], own[at], k, max_leaf, asks=asks[at])
             ok = best >= 0
             rows.append(np.broadcast_to(row[at][:, None], ok.shape)[ok])
             nears.append(row[at][best[ok]])
@@ -301,14 +338,14 @@ def _search(
         near = pa.ListArray.from_arrays(off, pa.StructArray.from_arrays([pa.array(-coss), pa.array(rank.astype(np.int32)), pa.array(key[nears])], ["c", "r", "key"]))
         return pa.Table.from_arrays([pa.array(key[asked]), near], ["key", "near"])
 
-    routed = searched.select("id", F.xxhash64("id").alias("key"), "v").mapInArrow(route, "group int, block binary")
+    routed = searched.select("id", F.xxhash64("id").alias("key"), "v", "asks").mapInArrow(route, "group int, block binary")
     hits = routed.groupBy("group").applyInArrow(search, "key bigint, near array<struct<c double, r int, key bigint>>")
     merged = hits.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
     # one entry per neighbour, the best k: lists hold at most k times the leaves asked
     distinct = F.aggregate("near", F.array().cast("array<struct<c:double,r:int,key:bigint>>"), lambda acc, x: F.when((F.size(acc) >= k) | F.exists(acc, lambda y: y["key"] == x["key"]), acc).otherwise(F.concat(acc, F.array(x))))
     found = merged.select("key", F.posexplode(distinct).alias("rank0", "x")).select("key", F.col("x.key").alias("near_key"), (F.col("rank0") + 1).alias("rank"), (-F.col("x.c")).alias("cosine"))
     if rest is not None:
-        like = rest.join(last, "h").select(F.xxhash64("id").alias("copy"), F.xxhash64("like").alias("key"))
+        like = rest.join(last, ["h", "near"]).select(F.xxhash64("id").alias("copy"), F.xxhash64("like").alias("key"))
         found = found.unionByName(like.join(found, "key").select(F.col("copy").alias("key"), "near_key", "rank", "cosine"))
     return found, base.select(F.xxhash64("id").alias("key"), "id")
 

@@ -94,3 +94,34 @@ def test_recall_between_many_borders(spark):
     got, want = run(spark, rows, leaf_rows=50), brute(rows, 3)
     found = sum(len(set(got[i]) & set(w)) for i, w in want.items()) / 9000
     assert found > 0.9, found
+
+
+def test_one_direction_with_many_lengths(spark):
+    rng = np.random.default_rng(6)
+    turn = rng.permutation(120)
+    one = rng.integers(1, 9, 8)  # multiples of it are exact in single precision
+    rows = [(f"c{turn[i]:03}", [float(x) for x in one * (i + 1)]) for i in range(120)]
+    other = rng.standard_normal(8)  # multiples of this one are not
+    rows += [(f"e{turn[i]:03}", [float(np.float32(x * 1.37**(i % 60 - 30))) for x in other]) for i in range(120)]
+    rows += [(f"p{i}", [float(x) for x in rng.standard_normal(8)]) for i in range(30)]
+    assert run(spark, rows) == brute(rows, 3)
+
+
+def test_ties_beyond_the_preselection():
+    rng = np.random.default_rng(7)
+    v = np.concatenate([np.outer(rng.uniform(0.1, 9, 300), rng.integers(1, 9, 64)), rng.standard_normal((200, 64))]).astype(np.float32)
+    ids = [f"{i:03}" for i in rng.permutation(500)]
+    best, _ = N.search_leaf(v, ids, np.ones(500, bool), 5, 1000)
+    u = N._unit(v)
+    c = np.round(u @ u.T, 10)
+    for i in range(500):
+        assert [ids[j] for j in best[i]] == [ids[j] for j in sorted((j for j in range(500) if j != i), key=lambda j: (-c[i, j], ids[j]))[:5]], i
+
+
+def test_one_direction_makes_no_quadratic_leaf(spark, monkeypatch):
+    asked, topk = [], N._topk
+    monkeypatch.setattr(N, "_topk", lambda q, p, qi, pi, order, k: asked.append(len(qi)) or topk(q, p, qi, pi, order, k))
+    n, own = 300, np.ones(300, bool)
+    v = np.outer(np.arange(1, n + 1), np.ones(8)).astype(np.float32)
+    best, _ = N.search_leaf(v, [f"{i:03}" for i in range(n)], own, 3, 100, asks=np.arange(n) < 4)
+    assert asked == [4] and best[3].tolist() == [0, 1, 2] and (best[4:] == -1).all()
