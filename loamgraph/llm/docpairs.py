@@ -240,7 +240,13 @@ def js_docs(text: str) -> tuple[str | None, str | None]:
     return name, "\n".join(x[1:] if x.startswith(" ") else x for x in blocks)
 
 
-INHERIT = re.compile(r"\{?@inherit_?doc\}?|^\s*see (?:the )?(?:base|parent|super)[ -]?class\W*$", re.I)
+INHERIT = re.compile(r"^\W*+(?:[{@\\]*inherit_?doc\b|(?:docs?|documentation|docstring)? ?(?:is |are )?(?:inherited|see) (?:from |in )?(?:the |its )?(?:base|parent|super)[ -]?class)\W*$", re.I)
+
+
+def inherits(doc: str | None) -> bool:
+    """Whether all that a text says, apart from tags and tool directives, is that the documentation stands in a base class."""
+    lines = [x for x in (doc or "").split("\n") if INHERIT.match(x) or not (UNDERLINE.match(x) or TAG.match(x) or DIRECTIVE.match(x))]
+    return bool(lines) and all(map(INHERIT.match, lines))
 
 
 def own_documentation(text: str | None, symbol: str | None, path: str | None) -> tuple[str | None, str | None]:
@@ -255,9 +261,9 @@ def own_documentation(text: str | None, symbol: str | None, path: str | None) ->
     else:
         name, doc, comment = python_docs(text)
     name = symbol or name
-    if meaningful(doc, name):
+    if not inherits(doc) and meaningful(doc, name):
         return "docstring", doc.strip()
-    if meaningful(comment, name, True):
+    if not inherits(comment) and meaningful(comment, name, True):
         return "comment", comment.strip()
     return None, None
 

@@ -40,3 +40,29 @@ def test_table(spark):
     got = {(r.chunk_id, r.documented_by, r.levels) for r in D.pairs(df).collect()}
     assert got == {(1, 1, 0), (9, 9, 0), (2, 1, 1), (6, 1, 2)}
     assert D.pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+INHERITED = [
+    ("a.py", 'def f(x):\n    """{@inheritDoc}"""'), ("a.py", 'def f(x):\n    """See the base class."""'), ("a.py", "# see base class\ndef f(x): pass"), ("a.js", "/** {@inheritDoc} */\nfunction f() {}"), ("a.ts", "/**\n * @inheritdoc\n */\nf(): any {}"), ("a.ts", "/**\n * {@inheritDoc}\n * @param x\n * @override\n */\nf(x): any {}"), ("a.js", "// See the parent class.\nfunction f() {}"),
+]
+
+
+@pytest.mark.parametrize("path,text", INHERITED)
+def test_a_reference_to_the_base_is_no_documentation(path, text):
+    assert D.own_documentation(text, "merge_cache", path)[0] is None
+
+
+@pytest.mark.parametrize("text", [f"{{@inheritDoc}}\n\n{DOC}", f"See the base class.\n{DOC}", "See the base class for how stale entries are dropped."])
+def test_a_reference_and_more_is_documentation(text):
+    assert D.own_documentation(f'def f(x):\n    """{text}"""', None, "a.py")[0] == "docstring"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(*r, f"repositories/r/{r[4].split('.')[1]}.py", dt.datetime(2024, 1, 1), "k", "d", "b") for r in rows], SCHEMA)
+
+
+def test_reference_takes_the_documentation_of_the_base(spark):
+    rows = [(1, "class Base: pass", "class", "Base", "r.m.Base"), (2, f'def f(self):\n    """{DOC}"""', "method", "Base.f", "r.m.Base.f"), (3, f'def g(self):\n    """{DOC}"""', "method", "Base.g", "r.m.Base.g"), (4, "class Child(Base): pass", "class", "Child", "r.m.Child")]
+    rows += [(5, 'def f(self):\n    """{@inheritDoc}"""', "method", "Child.f", "r.m.Child.f"), (6, 'def g(self):\n    """See the base class."""', "method", "Child.g", "r.m.Child.g")]
+    got = {r.chunk_id: (r.documented_by, r.levels, r.documentation) for r in D.pairs(table(spark, rows)).collect()}
+    assert got == {2: (2, 0, DOC), 3: (3, 0, DOC), 5: (2, 1, DOC), 6: (3, 1, DOC)}
