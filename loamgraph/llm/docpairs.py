@@ -4,13 +4,15 @@
    its decorators, or between them and it) and, in Python, its docstring. It works on broken code too, as it parses no
    more than the signature and the first statement.
 2. Class hierarchies: the rows of classes give each class its bases; methods without usable documentation of their own
-   take that of the method they override, by joins that climb one level a round until nothing is left to resolve.
+   take that of the method they override, by joins that climb one level a round, through all bases, until nothing is left
+   to resolve. The nearest level counts, within a level the bases in the order they are written.
 3. What then has no documentation that says more than the name is dropped.
 
 Defined results: rows are taken by `chunk_type` in any letter case; null chunk_type, null text or null chunk_id give
 nothing; of repeated rows of one chunk_id the last indexed one counts (ties: the smaller text hash); a null symbol_name
 is read from the text; `docstring` is not trusted and not used; bases that can't be told apart are not climbed;
-cyclic bases end after `MAX_LEVELS` rounds; an empty table gives an empty result.
+a method visits
+each class once, which ends cyclic bases; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,8 +25,6 @@ from pyspark.sql import functions as F
 
 from loamgraph.session import cut
 
-MAX_LEVELS = 32
-
 # Words and forms that document nothing.
 PLACEHOLDER = re.compile(
     r"^\W*+(?:to-?dos?|fix-?me|xxx|tb[da]|n/?a|none|null|wip|hack|placeholder|stub|lorem ipsum.*|\.{2,}|"
@@ -320,21 +320,28 @@ def pairs(chunks: DataFrame) -> DataFrame:
         classes.select("fqn", "file_path", "repo", F.posexplode("bases").alias("i", "b")).withColumn("base", F.element_at(F.split("b", "\\."), -1))
         .join(here, ["file_path", "base"], "left").join(only, ["repo", "base"], "left")
         .withColumn("super", F.coalesce("f1", "f2")).where("super is not null and super <> fqn")
-        .groupBy("fqn").agg(F.min_by("super", "i").alias("super"))
+        .groupBy("fqn", "super").agg(F.min("i").alias("i"))
     )
     up, _ = cut(up, "supers")
     method = scanned.where("chunk_type = 'method' and fqn is not null and fqn like '%.%'")
     cls, name = F.regexp_replace("fqn", "\\.[^.]*$", ""), F.regexp_extract("fqn", "[^.]*$", 0)
     given = method.where("kind is not null").select(cls.alias("at"), name.alias("name"), F.struct("chunk_id", "kind", "documentation").alias("g")).groupBy("at", "name").agg(F.min("g").alias("g"))
-    open_ = method.where("kind is null").select("chunk_id", cls.alias("cls"), name.alias("name"), cls.alias("at"))
-    found = []
-    for level in range(1, MAX_LEVELS + 1):
-        step = open_.join(up.withColumnRenamed("fqn", "at"), "at").select("chunk_id", "cls", "name", F.col("super").alias("at")).where("at <> cls").join(given, ["at", "name"], "left")
-        step, _ = cut(step, "climb")
+    open_ = method.where("kind is null").select("chunk_id", cls.alias("cls"), name.alias("name"), cls.alias("at"), F.array().cast("array<int>").alias("way"))
+    found, visited, level = [], None, 0
+    while True:
+        level += 1
+        step = open_.join(up.withColumnRenamed("fqn", "at"), "at").select("chunk_id", "cls", "name", F.col("super").alias("at"), F.concat("way", F.array("i")).alias("way")).where("at <> cls")
+        step = step.groupBy("chunk_id", "cls", "name", "at").agg(F.min("way").alias("way"))
+        if visited is not None:
+            step = step.join(visited, ["chunk_id", "at"], "left_anti")
+        step, _ = cut(step.join(given, ["at", "name"], "left"), "climb")
         if step.isEmpty():
             break
-        found.append(step.where("g is not null").select("chunk_id", F.col("g.kind").alias("kind"), F.col("g.documentation").alias("documentation"), F.col("g.chunk_id").alias("documented_by"), F.lit(level).alias("levels")))
-        open_ = step.where("g is null").select("chunk_id", "cls", "name", "at")
+        hit = step.where("g is not null").groupBy("chunk_id").agg(F.min_by("g", "way").alias("g"))
+        found.append(hit.select("chunk_id", F.col("g.kind").alias("kind"), F.col("g.documentation").alias("documentation"), F.col("g.chunk_id").alias("documented_by"), F.lit(level).alias("levels")))
+        open_ = step.where("g is null").join(hit, "chunk_id", "left_anti").select("chunk_id", "cls", "name", "at", "way")
+        seen = step.select("chunk_id", "at")
+        visited = seen if visited is None else visited.unionByName(seen)
     if found:
         inherited = found[0]
         for f in found[1:]:

@@ -66,3 +66,21 @@ def test_reference_takes_the_documentation_of_the_base(spark):
     rows += [(5, 'def f(self):\n    """{@inheritDoc}"""', "method", "Child.f", "r.m.Child.f"), (6, 'def g(self):\n    """See the base class."""', "method", "Child.g", "r.m.Child.g")]
     got = {r.chunk_id: (r.documented_by, r.levels, r.documentation) for r in D.pairs(table(spark, rows)).collect()}
     assert got == {2: (2, 0, DOC), 3: (3, 0, DOC), 5: (2, 1, DOC), 6: (3, 1, DOC)}
+
+
+def test_all_bases_are_climbed(spark):
+    cls = lambda i, n, b="": (i, f"class {n}{b}: pass", "class", n, f"r.m.{n}")
+    doc = lambda i, n: (i, f'def f(self):\n    """{DOC}"""', "method", n, f"r.m.{n}")
+    bare = lambda i, n: (i, "def f(self): pass", "method", n, f"r.m.{n}")
+    rows = [cls(1, "Mixin"), cls(2, "Base"), doc(3, "Base.f"), cls(4, "A", "(Mixin, Base)"), bare(5, "A.f")]  # only the second base
+    rows += [cls(10, "Other"), doc(11, "Other.f"), cls(12, "B", "(Other, Base)"), bare(13, "B.f")]  # the first of two
+    rows += [cls(20, "Deep", "(Other)"), cls(21, "C", "(Deep, Base)"), bare(22, "C.f")]  # the nearest level
+    rows += [cls(30, "X", "(Y)"), cls(31, "Y", "(X, Z)"), cls(32, "Z", "(Base)"), bare(33, "X.f")]  # out of a cycle
+    got = {r.chunk_id: (r.documented_by, r.levels) for r in D.pairs(table(spark, rows)).where("levels > 0").collect()}
+    assert got == {5: (3, 1), 13: (11, 1), 22: (3, 1), 33: (3, 3)}
+
+
+def test_no_level_is_too_deep(spark):
+    rows = [(i, f"class C{i}{f'(C{i - 1})' if i else ''}: pass", "class", f"C{i}", f"r.m.C{i}") for i in range(36)]
+    rows += [(100, f'def f(self):\n    """{DOC}"""', "method", "C0.f", "r.m.C0.f"), (101, "def f(self): pass", "method", "C35.f", "r.m.C35.f")]
+    assert [(r.chunk_id, r.documented_by, r.levels) for r in D.pairs(table(spark, rows)).where("levels > 0").collect()] == [(101, 100, 35)]
