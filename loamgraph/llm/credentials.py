@@ -27,14 +27,14 @@ from loamgraph.llm import trigrams
 # Forms of credentials that are publicly documented or plainly marked, and words of names and placeholders.
 VENDOR = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{40,}|glpat-[\w-]{20,}|xox[abeoprs]-[\w-]{20,}|[a-z]{2,6}_(?:live|prod)_[A-Za-z0-9]{20,}|zbt-[0-9a-f]{8}-[A-Za-z0-9]{24,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{36}|ya29\.[\w-]{20,}|SG\.[\w-]{16,}\.[\w-]{16,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,})(?![A-Za-z0-9])"
 PEM = r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
-URL = r"[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s:/@\"'`<>]{0,80}:([^\s/@\"'`<>]{3,200})@(?=[\w\[])"
+URL = r"[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s:/@\"'`<>]*+:([^\s/@\"'`<>]{3,}+)@(?=[\w\[])"
 HEADER = r"(?i)(?<![a-z])(?:basic|bearer|token|apikey)[ \t]+([A-Za-z0-9+/._~\-]{16,}={0,2})"
 NAME_WORDS = r"(?:passw|passphrase|pass|pwd|[._-]pw|pw[._-]|secret|token|key|credential|auth)"
 KEYED = r"(?i)(?<![\w.$-])[\"']?([\w.$-]{0,60}" + NAME_WORDS + r"[\w.$-]{0,60})[\"']?[ \t]*(?::[ \t]*[A-Za-z_][\w.\[\]| ]{0,40}?)?[ \t]*(?:=>|:=|=|:)[ \t]*(?=([^\s=>]))"
-CONNECTION = r"(?i)(?<=[;\"'?&`])[ \t]*(?:password|pwd|passwd|secret|sharedaccesskey|accountkey|access_token|api_?key|token)=([^;\"'`\s&<>]{6,200})"
-SPOKEN = r"(?i)(?<![\w-])(?:pw|pwd|pass|passwd|password|passphrase|passcode|secret|token|api[ -]?key)[ \t]+(?:is|was|=|:|->)[ \t]+[\"'`]?([^\s\"'`,;]{6,200})|(?<![\w-])(?:pw|pwd|pass|passwd|password|passphrase):[ \t]*([^\s\"'`,;]{6,200})"
-LOGIN = r"(?i)(?:login|log in|credentials?|creds|account|sign in)\b[^\n]{0,60}?[: \t][ \t]*[\w.@-]{2,40}[ \t]*(?:/|:|\|)[ \t]*([^\s\"'`/]{6,200})"
-CURL = r"(?i)(?:-u|--user)[ =][\"']?[\w.@-]{1,60}:([^\s\"'`]{6,200})"
+CONNECTION = r"(?i)(?<=[;\"'?&`])[ \t]*(?:password|pwd|passwd|secret|sharedaccesskey|accountkey|access_token|api_?key|token)=([^;\"'`\s&<>]{6,}+)"
+SPOKEN = r"(?i)(?<![\w-])(?:pw|pwd|pass|passwd|password|passphrase|passcode|secret|token|api[ -]?key)[ \t]+(?:is|was|=|:|->)[ \t]+[\"'`]?([^\s\"'`,;]{6,}+)|(?<![\w-])(?:pw|pwd|pass|passwd|password|passphrase):[ \t]*([^\s\"'`,;]{6,}+)"
+LOGIN = r"(?i)(?:login|log in|credentials?|creds|account|sign in)\b[^\n]{0,60}?[: \t][ \t]*[\w.@-]{2,40}[ \t]*(?:/|:|\|)[ \t]*([^\s\"'`/]{6,}+)"
+CURL = r"(?i)(?:-u|--user)[ =][\"']?[\w.@-]{1,60}:([^\s\"'`]{6,}+)"
 RULES = {"vendor": VENDOR, "pem": PEM, "url": URL, "header": HEADER, "keyed": KEYED, "connection": CONNECTION, "spoken": SPOKEN, "login": LOGIN, "curl": CURL}
 COMPILED = {k: re.compile(v) for k, v in RULES.items()}
 
@@ -56,6 +56,8 @@ IDENT = re.compile(r"^[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*$")
 PIECES = re.compile(r"(?:\(\s*+)?(?:[rRuUbB]{0,2})(\"[^\"\n]*\"|'[^'\n]*'|`[^`\n$]*`)(?:[ \t]*+(?:[+\\][ \t]*+)?(?:#[^\n]*+|//[^\n]*+)?\r?\n?[ \t]*+(?:\+[ \t]*+)?[rRuUbB]{0,2}(?:\"[^\"\n]*\"|'[^'\n]*'))*")
 STRING = re.compile(r"\"([^\"\n]*)\"|'([^'\n]*)'|`([^`\n]*)`")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+# what a key block without END goes on with: armour headers, lines of key characters, and what stands around them in code
+KEY_LINES = re.compile(r"(?:\\[nr]|[\s\"'`,()#*;>|\\]|[A-Za-z-]++:[ ][^\n\\]*+|[A-Za-z0-9+/]{20,}+=*+|=[A-Za-z0-9+/]{4}(?![A-Za-z0-9])|\+(?=\s)|(?=[A-Za-z0-9]*[0-9+/=])[A-Za-z0-9+/]{2,}+=*+(?=[\"'`\\]|\s*$))*+", re.M)
 CONFIG = (".env", ".ini", ".yaml", ".yml", ".toml", ".cfg", ".conf", ".properties")
 CODE_JS = (".js", ".jsx", ".ts", ".tsx")
 
@@ -130,7 +132,10 @@ def find(text: str, ext: str, mask: int = -1) -> list[Hit]:
     if on["pem"]:
         for m in COMPILED["pem"].finditer(text):
             end = text.find("-----END", m.end())
-            body = (m.end(), end if 0 <= end - m.end() < 20_000 else min(len(text), m.end() + 4000))
+            following = text.find("-----BEGIN", m.end())
+            if end < 0 or 0 <= following < end:  # no END of its own: to the last line that looks like one of a key
+                end = KEY_LINES.match(text, m.end(), following if following >= 0 else len(text)).end()
+            body = (m.end(), end)
             flat = re.sub(r"\\[nr]|[\s\"'+,\\]", "", text[body[0] : body[1]])
             key = re.match(r"(?:[A-Za-z-]+:[^A-Za-z0-9]*[\w, -]*)?[A-Za-z0-9+/=]*", flat)[0]
             if len(key) >= 40 and entropy(key) > 3.5:
