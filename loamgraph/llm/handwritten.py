@@ -2,8 +2,8 @@
 
 All statistics are built-in expressions over the whole text, in the JVM, in one narrow pass: line lengths, shares of
 white space, letters and digits, the density of numeric literals and of numbered names, long encoded runs, and how few
-distinct line shapes there are. What layout can't show is looked up: a generator's notice in the comments at the head of
-a file, and the names of known packages (a bounded table) in the path or in a notice of origin. Copies without either are
+distinct line shapes there are. What layout can't show is looked up: a generator's notice in the comments at the head or
+the end of a file, and the names of known packages (a bounded table) in the path or in a notice of origin. Copies without either are
 found by a hash of the body (without white space and comment lines) among the files of the packages' own repositories and
 the copies already known.
 
@@ -71,6 +71,17 @@ def _head(text: str) -> F.Column:
     return F.array_join(F.filter(lines, lambda x: x.rlike(r"^\s*(?:#|//|/\*|\*|<!--)")), "\n")
 
 
+def _noticed(text: str) -> F.Column:
+    """Whether the comment lines before or after all code, of any number, or those at the head hold a generator's notice."""
+    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r", ""), "\n")
+    code = F.transform(lines, lambda x: (F.trim(x) != "") & ~x.rlike(r"^\s*(?:#|//|/\*|\*|<!--)"))
+    before, after = (F.array_position(c, F.lit(True)).cast("int") for c in (code, F.reverse(code)))
+    first = F.array_join(F.slice(lines, F.lit(1), F.when(before > 0, before - 1).otherwise(F.size(lines))), "\n")
+    last = F.array_join(F.when(after > 1, F.slice(lines, F.size(lines) - after + 2, after - 1)).otherwise(F.array().cast("array<string>")), "\n")
+    says = lambda c: c.rlike(NOTICE) & ~c.rlike(NOT_NOTICE)
+    return says(_head(text)) | says(first) | says(last)
+
+
 def classify(files: DataFrame, packages: DataFrame) -> DataFrame:
     """(file_id, repo, file_path, ext, kind, s): kind vendored, generated, minified or data, null for hand-written."""
     known = [(r["package"], r["home_repo"]) for r in packages.select("package", "home_repo").distinct().collect() if r["package"]]  # a small fixed table
@@ -88,7 +99,7 @@ def classify(files: DataFrame, packages: DataFrame) -> DataFrame:
         foreign = foreign | (away & (rel.rlike(rf"(?:^|/){q}/[^/]*(?:/|\.|$)") | origin))
     s = lambda c: F.col(f"s.{c}")
     js = F.col("ext") != ".py"
-    generated = (head.rlike(NOTICE) & ~head.rlike(NOT_NOTICE)) | ((s("numbered") > 0.16) & (s("lines") >= 8) & (s("shapes") < 0.45))
+    generated = _noticed("text") | ((s("numbered") > 0.16) & (s("lines") >= 8) & (s("shapes") < 0.45))
     minified = js & (s("max_line") > 300) & (s("mean_line") > 110) & (s("space") < 0.12) & (s("statements") > 2)
     data = F.col("ext").isin(*DATA_CODE) & (
         ((s("statements") <= 1) & (s("chars") > 400) & ((s("numbers") > 0.35) | (s("digits") > 0.3) | (s("encoded") > 0.5) | (s("escapes") > 0.5)))

@@ -41,3 +41,11 @@ def test_empty(spark):
     assert kinds(spark, [(1, "app", "a.py", CODE)]) == {1: None}
     files, packages = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], PACKAGES)
     assert H.classify(files, packages).count() == 0
+
+
+def test_notices_after_a_licence_and_at_the_end(spark):
+    code, note = "def total(rows):\n    return sum(rows)\n", "# This file was generated by schemac. Do not edit.\n"
+    licence = "# Permission is granted to use this.\n" * 30
+    rows = [(1, "r", "a.py", licence + note + code), (2, "r", "b.py", code + note), (3, "r", "c.py", code + "\n" + note + "\n"), (4, "r", "d.py", code * 8 + note + code), (5, "r", "e.py", licence + code), (6, "r", "f.py", note), (7, "r", "g.py", code * 8 + f"x = '''\n{note}'''\n")]
+    got = kinds(spark, rows)
+    assert [got.get(i) for i in range(1, 8)] == ["generated"] * 3 + [None, None, "generated", None]
