@@ -19,7 +19,6 @@ DESIGN = ["architecture", "relationship", "interact", "registered", "registratio
 DEFINITION = ["defined", "definition", "implemented", "located", "show class", "where is"]
 BROAD = ["routing", "auth", "authentication", "connection", "flow", "architecture", "database"]
 STOP = ["what", "where", "how", "who", "find", "locate", "search", "explain", "defined"]
-INTENTS = ["DECORATOR_LOOKUP", "FILE_LOOKUP", "IMPORT_LOOKUP", "KEYWORD_SEARCH", "DEPENDENCY", "CALL_FLOW", "ARCHITECTURE", "SYMBOL_LOOKUP", "GENERAL"]
 
 
 def has(c: Column, words: list[str]) -> Column:

@@ -28,7 +28,7 @@ def repo_identifier(c: Column) -> Column:
 
 
 def error_category(c: Column) -> Column:
-    """What went wrong while indexing, by the first rule whose words the message has."""
+    """What went wrong while indexing, by the first rule whose words the message has (fixed values)."""
     low = F.lower(c)
     return (
         F.when(F.contains(c, F.lit("Git clone failed")) | F.contains(c, F.lit("GitHub URL")), "clone_failed")

@@ -55,18 +55,24 @@ def decorators(chunks: DataFrame) -> DataFrame:
     )
 
 
-def class_hierarchy(edges: DataFrame) -> DataFrame:
-    """(fqn, base_classes, subclasses): bases are what a class's inherits edges name; a class is a subclass of the first
-    class (by arrival) that is called so, or whose dotted name ends so. The suffix test is an equi-join on all dotted
-    suffixes of the classes' names."""
+def class_links(edges: DataFrame) -> DataFrame:
+    """(fqn, role, other): role base for what a class's inherits edges name; role subclass for the classes of which it is the
+    first class (by arrival) that is called as their base, or whose dotted name ends so. One row per link, so that a base of
+    millions of classes is no row or task of its own. The suffix test is an equi-join on all dotted suffixes of the names."""
     inh = latest_edges(edges).where("relation = 'inherits' and source is not null and target is not null").select("source", "target", "ord").groupBy("source", "target").agg(F.min("ord").alias("ord"))
     classes = inh.groupBy(F.col("source").alias("fqn")).agg(F.min("ord").alias("first"))
     parts = F.split("fqn", r"\.")
     suffixes = classes.select("fqn", "first", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("suffix"))
     owner = suffixes.groupBy("suffix").agg(F.min_by("fqn", F.struct("first", "fqn")).alias("owner"))
-    subs = inh.join(owner, inh.target == owner.suffix).select(F.col("owner").alias("fqn"), F.col("source").alias("sub")).distinct().groupBy("fqn").agg(F.sort_array(F.collect_list("sub")).alias("subclasses"))
-    bases = inh.groupBy(F.col("source").alias("fqn")).agg(F.sort_array(F.collect_set("target")).alias("base_classes"))
-    return bases.join(subs, "fqn", "left").select("fqn", "base_classes", F.coalesce("subclasses", F.array().cast("array<string>")).alias("subclasses"))
+    subs = inh.join(owner, inh.target == owner.suffix).select(F.col("owner").alias("fqn"), F.lit("subclass").alias("role"), F.col("source").alias("other")).distinct()
+    return inh.select(F.col("source").alias("fqn"), F.lit("base").alias("role"), F.col("target").alias("other")).unionByName(subs)
+
+
+def class_hierarchy(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """(fqn, base_classes, subclasses) as sorted arrays for the classes (fqn) of `of`, a stated list."""
+    wanted = class_links(edges).join(of.select("fqn").distinct(), "fqn")
+    own = lambda role: F.sort_array(F.collect_list(F.when(F.col("role") == role, F.col("other"))))
+    return wanted.groupBy("fqn").agg(own("base").alias("base_classes"), own("subclass").alias("subclasses"))
 
 
 def index_summary(files: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +22,8 @@ from loamgraph.functions import names as N
 FIELDS = ["kind", "fqn", "name", "type", "parent", "line", "pos", "text", "docstring", "value", "items", "returns"]
 DDL = "kind string, fqn string, name string, type string, parent string, line int, pos int, text string, docstring string, value string, items array<string>, returns string"
 TYPES = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
+KINDS = frozenset(("chunk", "symbol", "import", "decorator", "base", "contains", "call", "assign", "return", "error"))
+USES = frozenset(("call", "assign", "return"))
 LINE = re.compile(r"^([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+(\w+)|^[ \t]*(?:from[ \t]+([.\w]+)[ \t]+import[ \t]+([\w, \t*]+)|import[ \t]+([\w., \t]+))")
 
 
@@ -32,12 +35,12 @@ def relative(module: str, dots: int, rest: str) -> str:
 
 
 class _Visitor:
-    def __init__(self, source: str, module: str) -> None:
-        self.source, self.module, self.rows = source.encode(), module, []
+    def __init__(self, source: str, module: str, kinds: frozenset[str]) -> None:
+        self.source, self.module, self.kinds, self.rows = source.encode("utf-8", "replace"), module, kinds, []
         self.under = 0  # compound statements around the place
         self.starts = [0]
         for line in source.split("\n"):
-            self.starts.append(self.starts[-1] + len(line.encode()) + 1)
+            self.starts.append(self.starts[-1] + len(line.encode("utf-8", "replace")) + 1)
         self.n = 0
 
     def text(self, node: ast.AST) -> str:
@@ -46,7 +49,8 @@ class _Visitor:
 
     def add(self, kind: str, **v) -> None:
         self.n += 1
-        self.rows.append(tuple({"kind": kind, "pos": self.n, **v}.get(f) for f in FIELDS))
+        if kind in self.kinds:
+            self.rows.append(tuple({"kind": kind, "pos": self.n, **v}.get(f) for f in FIELDS))
 
     def imports(self, tree: ast.AST) -> None:
         for node in ast.walk(tree):
@@ -62,19 +66,19 @@ class _Visitor:
                         self.add("import", name=a.asname or a.name, value=f"{base}.{a.name}" if base else a.name, type="symbol", line=node.lineno)
 
     def body(self, nodes: list[ast.stmt], path: list[str], cls: str | None) -> None:
-        """Definitions at module or class level, also under compound statements."""
-        for node in nodes:
+        """Definitions at module or class level, also under compound statements, however many follow each other as elif."""
+        stack = [(n, 0) for n in reversed(nodes)]
+        while stack:
+            node, under = stack.pop()
+            self.under += under
             if isinstance(node, ast.ClassDef):
                 self.klass(node, path, cls)
             elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 self.function(node, path, cls)
             else:
-                self.under += 1
-                for field in ("body", "orelse", "finalbody"):
-                    self.body(getattr(node, field, []) or [], path, cls)
-                for h in getattr(node, "handlers", []) or []:
-                    self.body(h.body, path, cls)
-                self.under -= 1
+                inner = [x for field in ("body", "orelse", "finalbody") for x in getattr(node, field, []) or []] + [x for h in getattr(node, "handlers", []) or [] for x in h.body]
+                stack += [(x, 1) for x in reversed(inner)]
+            self.under -= under
 
     def fqn(self, path: list[str]) -> str:
         return ".".join([*([self.module] if self.module else []), *path])
@@ -120,32 +124,38 @@ class _Visitor:
         self.add("symbol", fqn=fqn, name=node.name, type=kind, parent=cls, line=node.lineno, docstring=self.docstring(node), items=params, returns=returns)
         self.add("chunk", fqn=fqn, name=".".join(own), type=kind, line=node.lineno, text=self.text(node), docstring=self.docstring(node), items=decs, returns=returns, value="direct" if direct else None)
         self.add("contains", fqn=fqn, parent=cls, type=kind)
-        self.scope(node.body, fqn, path, cls)
-
-    def scope(self, nodes: list, fn: str, path: list[str], cls: str | None) -> None:
-        """Calls, assignments of calls and returns in order: an assignment binds before the call on its right side."""
-        for node in nodes:
-            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+        if self.kinds & USES:
+            self.scope(node.body, fqn, cls)
+
+    def scope(self, nodes: list, fn: str, cls: str | None) -> None:
+        """Calls, assignments of calls and returns in order: an assignment binds before the call on its right side. The nodes
+        to visit are kept in a list, so that long chains of operators don't nest calls."""
+        defs = (ast.FunctionDef, ast.AsyncFunctionDef)
+        stack = [(n, fn) for n in reversed(nodes)]
+        while stack:
+            node, at = stack.pop()
+            if isinstance(node, defs):
                 inner = f"{cls}.{node.name}" if cls else self.fqn([node.name])
-                self.scope(node.body, inner, path, cls)
+                stack += [(n, inner) for n in reversed(node.body)]
                 continue
             if isinstance(node, ast.ClassDef):
-                self.scope([x for x in node.body if not isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef))], fn, path, cls)
+                stack += [(n, at) for n in reversed(node.body) if not isinstance(n, defs)]
                 continue
             if isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name) and isinstance(node.value, ast.Call):
-                self.add("assign", fqn=fn, name=node.targets[0].id, value=self.text(node.value.func), parent=cls, line=node.lineno)
+                self.add("assign", fqn=at, name=node.targets[0].id, value=self.text(node.value.func), parent=cls, line=node.lineno)
             elif isinstance(node, ast.AnnAssign) and isinstance(node.target, ast.Name) and isinstance(node.value, ast.Call):
-                self.add("assign", fqn=fn, name=node.target.id, value=self.text(node.value.func), parent=cls, line=node.lineno)
+                self.add("assign", fqn=at, name=node.target.id, value=self.text(node.value.func), parent=cls, line=node.lineno)
             elif isinstance(node, ast.Return) and node.value is not None:
-                self.add("return", fqn=fn, value=self.text(node.value), parent=cls, line=node.lineno)
+                self.add("return", fqn=at, value=self.text(node.value), parent=cls, line=node.lineno)
             elif isinstance(node, ast.Call):
-                self.add("call", fqn=fn, value=self.text(node.func), parent=cls, line=node.lineno)
-            self.scope(list(ast.iter_child_nodes(node)), fn, path, cls)
+                self.add("call", fqn=at, value=self.text(node.func), parent=cls, line=node.lineno)
+            stack += [(n, at) for n in reversed(list(ast.iter_child_nodes(node)))]
 
 
-def facts_of(source: str | None, module: str) -> list[tuple]:
-    """All facts of one file."""
-    v = _Visitor((source or "").replace("\r\n", "\n").replace("\r", "\n"), module)
+def facts_of(source: str | None, module: str, kinds: frozenset[str] = KINDS) -> list[tuple]:
+    """The facts of one file, of the kinds wanted. A file beyond what the interpreter's parser can nest gives what one gives
+    that doesn't parse."""
+    v = _Visitor((source or "").replace("\r\n", "\n").replace("\r", "\n"), module, kinds)
     if source is None:
         v.add("error", value="no text")
         return v.rows
@@ -153,7 +163,12 @@ def facts_of(source: str | None, module: str) -> list[tuple]:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(v.source)
+        if "import" in kinds:
+            v.imports(tree)
+        v.body(tree.body, [], None)
+        return v.rows
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        v.rows, v.n, v.under = [], 0, 0
         v.add("error", value=str(e)[:200], line=getattr(e, "lineno", None))
         stack: list[tuple[int, str, str]] = []
         for i, line in enumerate(v.source.decode().split("\n"), 1):
@@ -182,14 +197,12 @@ def facts_of(source: str | None, module: str) -> list[tuple]:
                     if w:
                         v.add("import", name=w[-1], value=w[0], type="module", line=i)
         return v.rows
-    v.imports(tree)
-    v.body(tree.body, [], None)
-    return v.rows
 
 
-def facts(files: DataFrame) -> DataFrame:
-    """(file_path, module, FIELDS...) of the Python rows of (rel_path, file_path, repo, ext, text); modules begin with the
-    repository's name, so that names of different repositories differ."""
+def facts(files: DataFrame, kinds: Iterable[str] = KINDS) -> DataFrame:
+    """(file_path, module, FIELDS...) of the Python rows of (rel_path, file_path, repo, ext, text), of the kinds wanted; modules
+    begin with the repository's name, so that names of different repositories differ."""
+    kinds = frozenset(kinds)
     module = F.concat_ws(".", "repo", N.module_name(F.col("rel_path")))
     src = files.where("ext = '.py' and file_path is not null").select("file_path", module.alias("module"), "text")
 
@@ -197,7 +210,7 @@ def facts(files: DataFrame) -> DataFrame:
         for b in batches:
             paths, mods, rows = [], [], []
             for p, m, t in zip(*(c.to_pylist() for c in b.columns)):
-                found = facts_of(t, m)
+                found = facts_of(t, m, kinds)
                 rows += found
                 paths += [p] * len(found)
                 mods += [m] * len(found)

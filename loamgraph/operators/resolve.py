@@ -4,12 +4,12 @@ symbols. Inherited methods are looked up with the imports of the file that defin
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgraph.session import cut
-
-MAX_LEVELS = 32
+from loamgraph.session import cut, drop_dir
 
 
 def symbol_table(facts: DataFrame) -> DataFrame:
@@ -54,24 +54,34 @@ def resolve_simple(names: DataFrame, symtab: DataFrame, imports: DataFrame) -> D
     return j.select("file_path", "module", "name", F.coalesce(target, F.col("name")).alias("target"), target.isNotNull().alias("resolved"), F.when(F.coalesce(high, F.lit(False)), "high").when(target.isNotNull(), "medium").otherwise("low").alias("confidence"))
 
 
-def first_bases(facts: DataFrame, symtab: DataFrame, imports: DataFrame) -> DataFrame:
-    """(cls, base): the first base of each class that is a known class."""
-    b = facts.where("kind = 'base'").select("file_path", "module", F.col("value").alias("name"), "fqn", "pos")
-    r = b.join(resolve_simple(b, symtab, imports), ["file_path", "module", "name"]).join(symtab.where("type = 'class'").select(F.col("fqn").alias("target")), "target").where("target <> fqn")
+def uses(facts: DataFrame, kinds: list[str]) -> DataFrame:
+    """(kind, file_path, module, fqn, parent, pos, var, name): places where a name is used. `var` is what an assignment binds."""
+    f = facts.where(F.col("kind").isin(kinds))
+    own = F.when(F.col("kind") == "decorator", F.col("name")).otherwise(F.col("value"))
+    return f.select("kind", "file_path", "module", "fqn", "parent", "pos", F.when(F.col("kind") == "assign", F.col("name")).alias("var"), own.alias("name"))
+
+
+def first_bases(named: DataFrame, symtab: DataFrame) -> DataFrame:
+    """(cls, base): the first base of each class that is a known class; `named` are resolved uses."""
+    r = named.where("kind = 'base'").join(symtab.where("type = 'class'").select(F.col("fqn").alias("target")), "target").where("target <> fqn")
     return r.groupBy(F.col("fqn").alias("cls")).agg(F.min_by("target", "pos").alias("base"))
 
 
-def ancestors(bases: DataFrame, levels: int = MAX_LEVELS) -> DataFrame:
-    """(cls, up array<string>): the chain of first bases, nearest first, at most `levels - 1` of them, up to where it would come
-    back to the class. Chains double each round, so a round more doubles the levels."""
-    chain, _ = cut(bases.select("cls", F.array("base").alias("up")), "chain")
+def ancestors(bases: DataFrame) -> DataFrame:
+    """(cls, up array<string>): the chain of first bases, nearest first, to its end or up to where it would come back to one
+    that it has. Chains double each round until none grows, however deep they are."""
+    done = lambda: (F.size("up") < F.lit(length)) | F.col("closed")
+    chain, path = cut(bases.select("cls", F.array("base").alias("up"), (F.col("cls") == F.col("base")).alias("closed")), "chain")
     length = 1
-    while length < levels:
+    while not chain.where(~done()).isEmpty():
         more = chain.select(F.col("cls").alias("tail"), F.col("up").alias("rest"))
-        chain, _ = cut(chain.withColumn("tail", F.element_at("up", -1)).join(more, "tail", "left").select("cls", F.when(F.col("rest").isNull() | (F.size("up") < length), F.col("up")).otherwise(F.concat("up", "rest")).alias("up")), "chain")
+        joined = chain.withColumn("tail", F.when(~done(), F.element_at("up", -1))).join(more, "tail", "left").withColumn("all", F.when(F.col("rest").isNull(), F.col("up")).otherwise(F.concat("up", "rest")))
+        old = path
+        chain, path = cut(joined.select("cls", F.array_distinct("all").alias("up"), (F.col("closed") | (F.size(F.array_distinct("all")) < F.size("all"))).alias("closed")), "chain")
+        drop_dir(bases.sparkSession, old)
         length *= 2
     back = F.array_position("up", F.col("cls")).cast("int")
-    return chain.select("cls", F.slice("up", F.lit(1), F.when(back > 0, back - 1).otherwise(F.lit(levels - 1))).alias("up"))
+    return chain.select("cls", F.when(back > 0, F.slice("up", F.lit(1), back - 1)).otherwise(F.col("up")).alias("up"))
 
 
 def resolve_self(wanted: DataFrame, symtab: DataFrame, bases: DataFrame) -> DataFrame:
@@ -83,57 +93,84 @@ def resolve_self(wanted: DataFrame, symtab: DataFrame, bases: DataFrame) -> Data
     return w.join(nearest, ["cls", "attr"], "left").select("cls", "attr", F.coalesce("target", F.concat_ws(".", "cls", "attr")).alias("target"))
 
 
-def bindings(facts: DataFrame, symtab: DataFrame, imports: DataFrame) -> DataFrame:
-    """(file_path, fn, var, pos, cls): assignments of calls that make an object of a known class."""
-    a = facts.where("kind = 'assign'").select("file_path", "module", F.col("fqn").alias("fn"), F.col("name").alias("var"), F.col("value").alias("name"), "pos")
-    r = a.join(resolve_simple(a, symtab, imports), ["file_path", "module", "name"])
-    return r.join(symtab.where("type = 'class'").select(F.col("fqn").alias("target")), "target").select("file_path", "fn", "var", "pos", F.col("target").alias("cls"))
+def bindings(named: DataFrame, symtab: DataFrame) -> DataFrame:
+    """(file_path, fn, var, pos, cls): assignments of calls that make an object of a known class; `named` are resolved uses."""
+    r = named.where("kind = 'assign'")
+    return r.join(symtab.where("type = 'class'").select(F.col("fqn").alias("target")), "target").select("file_path", F.col("fqn").alias("fn"), "var", "pos", F.col("target").alias("cls"))
 
 
-def bound(uses: DataFrame, bound_: DataFrame) -> DataFrame:
+def bound(uses_: DataFrame, bound_: DataFrame) -> DataFrame:
     """Adds `cls` to (file_path, fn, var, pos, ...): the last binding of the variable at or before the use."""
-    kind = "file_path string"
-    both = uses.withColumn("cls0", F.lit(None).cast("string")).withColumn("use", F.lit(1)).unionByName(bound_.select("file_path", "fn", "var", "pos", F.col("cls").alias("cls0"), F.lit(0).alias("use")), allowMissingColumns=True)
+    both = uses_.withColumn("cls0", F.lit(None).cast("string")).withColumn("use", F.lit(1)).unionByName(bound_.select("file_path", "fn", "var", "pos", F.col("cls").alias("cls0"), F.lit(0).alias("use")), allowMissingColumns=True)
     w = Window.partitionBy("file_path", "fn", "var").orderBy("pos", "use").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    del kind
     return both.withColumn("cls", F.last("cls0", ignorenulls=True).over(w)).where("use = 1").drop("cls0", "use")
 
 
-def in_context(sites: DataFrame, facts: DataFrame, symtab: DataFrame, imports: DataFrame) -> DataFrame:
-    """Resolves (file_path, module, fn, parent, pos, name): self and cls, then bound variables, then simple names."""
-    head, rest = F.substring_index("name", ".", 1), F.substring(F.col("name"), F.length(F.substring_index("name", ".", 1)) + 2, F.length("name"))
-    s = sites.withColumn("var", head).withColumn("attr", rest)
+def in_context(named: DataFrame, symtab: DataFrame) -> DataFrame:
+    """The calls and returns among resolved uses, with what self, cls and bound variables make of them: self and cls first,
+    then variables, then what the plain name gave."""
+    rest = F.substring(F.col("name"), F.length(F.substring_index("name", ".", 1)) + 2, F.length("name"))
+    s = named.where("kind in ('call', 'return')").withColumn("var", F.substring_index("name", ".", 1)).withColumn("attr", rest)
     own = F.col("var").isin("self", "cls") & (F.col("attr") != "")
-    selves = s.where(own)
-    known = resolve_self(selves.where("parent is not null").select(F.col("parent").alias("cls"), "attr"), symtab, first_bases(facts, symtab, imports)).select(F.col("cls").alias("parent"), "attr", "target")
-    a = selves.join(known, ["parent", "attr"], "left").withColumn("resolved", F.col("parent").isNotNull()).withColumn("confidence", F.when(F.col("parent").isNotNull(), "high").otherwise("low")).withColumn("target", F.coalesce("target", "name"))
-    others = bound(s.where(~own), bindings(facts, symtab, imports))
+    selves = s.where(own).drop("target", "resolved", "confidence")
+    known = resolve_self(selves.where("parent is not null").select(F.col("parent").alias("cls"), "attr"), symtab, first_bases(named, symtab)).select(F.col("cls").alias("parent"), "attr", "target")
+    inside = F.col("parent").isNotNull()
+    a = selves.join(known, ["parent", "attr"], "left").withColumn("resolved", inside).withColumn("confidence", F.when(inside, "high").otherwise("low")).withColumn("target", F.coalesce("target", "name"))
+    others = bound(s.where(~own).withColumnRenamed("fqn", "fn"), bindings(named, symtab)).withColumnRenamed("fn", "fqn")
     via = F.col("cls").isNotNull() & (F.col("attr") != "")
-    b = others.where(via).withColumn("target", F.concat_ws(".", "cls", "attr")).withColumn("resolved", F.lit(True)).withColumn("confidence", F.lit("high"))
-    plain = others.where(~via)
-    c = plain.join(resolve_simple(plain, symtab, imports), ["file_path", "module", "name"])
-    cols = ["file_path", "module", "fn", "parent", "pos", "name", "target", "resolved", "confidence"]
-    return a.select(cols).unionByName(b.select(cols)).unionByName(c.select(cols))
+    b = others.withColumn("target", F.when(via, F.concat_ws(".", "cls", "attr")).otherwise(F.col("target"))).withColumn("resolved", F.col("resolved") | via).withColumn("confidence", F.when(via, "high").otherwise(F.col("confidence")))
+    cols = ["kind", "file_path", "fqn", "pos", "target", "resolved", "confidence"]
+    return a.select(cols).unionByName(b.select(cols))
 
 
-def edges(facts: DataFrame) -> DataFrame:
-    """(source, target, relation, resolved, confidence, file_path, pos): all seven relations of the graph."""
-    facts, _ = cut(facts, "facts")
-    symtab, _ = cut(symbol_table(facts), "symtab")
-    imports = import_table(facts)
+NEEDS = {"contains": ["contains"], "imports": ["import"], "inherits": ["base"], "decorates": ["decorator"]}
+SEMANTIC = ("calls", "instantiates", "returns")
+RELATIONS = (*NEEDS, *SEMANTIC)
+
+
+def kinds_for(relations: Iterable[str] = RELATIONS) -> list[str]:
+    """The kinds of facts that these relations are made of."""
+    kinds = {k for r in relations for k in NEEDS.get(r, ["base", "assign", "call", "return"])}
+    return sorted(kinds | ({"symbol", "import"} if kinds - {"contains", "import"} else set()))
+
+
+def resolved_uses(facts: DataFrame, kinds: list[str], symtab: DataFrame, imports: DataFrame) -> DataFrame:
+    """The uses of these kinds with target, resolved and confidence of their plain names. All names of a file are resolved
+    in one pass, each once."""
+    named = uses(facts, kinds)
+    plain = named.where("name not like 'self.%' and name not like 'cls.%' or kind in ('base', 'decorator', 'assign')")
+    return named.join(resolve_simple(plain, symtab, imports), ["file_path", "module", "name"], "left")
+
+
+def edges(facts: DataFrame, relations: Iterable[str] = RELATIONS) -> DataFrame:
+    """(source, target, relation, resolved, confidence, file_path, pos): the wanted relations of the graph."""
+    relations = list(relations)
+    kinds = kinds_for(relations)
+    facts, _ = cut(facts.where(F.col("kind").isin(kinds)).drop("text", "docstring", "returns"), "facts")
+    cols = ["source", "target", "relation", "resolved", "confidence", "file_path", "pos"]
     none_b, none_s = F.lit(None).cast("boolean"), F.lit(None).cast("string")
-    contains = facts.where("kind = 'contains'").select(F.coalesce("parent", "file_path").alias("source"), F.col("fqn").alias("target"), F.lit("contains").alias("relation"), none_b.alias("resolved"), none_s.alias("confidence"), "file_path", "pos")
-    imported = imports.where("type = 'symbol'").select(F.col("file_path").alias("source"), F.col("imported_fqn").alias("target"), F.lit("imports").alias("relation"), F.lit(True).alias("resolved"), F.lit("high").alias("confidence"), "file_path", F.col("ord").alias("pos"))
-    named = facts.where("kind in ('base', 'decorator')").select("file_path", "module", "kind", "fqn", "pos", F.when(F.col("kind") == "base", F.col("value")).otherwise(F.col("name")).alias("name"))
-    r = named.join(resolve_simple(named, symtab, imports), ["file_path", "module", "name"])
-    base = F.col("kind") == "base"
-    heads = r.select(F.when(base, F.col("fqn")).otherwise(F.col("target")).alias("source"), F.when(base, F.col("target")).otherwise(F.col("fqn")).alias("target"), F.when(base, "inherits").otherwise("decorates").alias("relation"), "resolved", "confidence", "file_path", "pos")
-    sites = facts.where("kind in ('call', 'return')").select("file_path", "module", "kind", F.col("fqn").alias("fn"), "parent", "pos", F.col("value").alias("name"))
-    done = in_context(sites.drop("kind"), facts, symtab, imports).join(sites.select("file_path", "pos", "kind"), ["file_path", "pos"])
-    done = done.join(symtab.where("type = 'class'").select(F.col("fqn").alias("target"), F.lit(True).alias("is_class")), "target", "left")
-    relation = F.when(F.col("kind") == "return", "returns").when(F.col("is_class"), "instantiates").otherwise("calls")
-    used = done.where("kind = 'call' or resolved").select(F.col("fn").alias("source"), "target", relation.alias("relation"), "resolved", "confidence", "file_path", "pos")
-    return contains.unionByName(imported).unionByName(heads).unionByName(used)
+    out = []
+    if "contains" in relations:
+        out.append(facts.where("kind = 'contains'").select(F.coalesce("parent", "file_path").alias("source"), F.col("fqn").alias("target"), F.lit("contains").alias("relation"), none_b.alias("resolved"), none_s.alias("confidence"), "file_path", "pos"))
+    imports = import_table(facts)
+    if "imports" in relations:
+        out.append(imports.where("type = 'symbol'").select(F.col("file_path").alias("source"), F.col("imported_fqn").alias("target"), F.lit("imports").alias("relation"), F.lit(True).alias("resolved"), F.lit("high").alias("confidence"), "file_path", F.col("ord").alias("pos")))
+    used = [k for k in kinds if k in ("base", "decorator", "assign", "call", "return")]
+    if used:
+        symtab, _ = cut(symbol_table(facts), "symtab")
+        named, _ = cut(resolved_uses(facts, used, symtab, imports), "named")
+        base = F.col("kind") == "base"
+        if "inherits" in relations or "decorates" in relations:
+            heads = named.where("kind in ('base', 'decorator')").select(F.when(base, F.col("fqn")).otherwise(F.col("target")).alias("source"), F.when(base, F.col("target")).otherwise(F.col("fqn")).alias("target"), F.when(base, "inherits").otherwise("decorates").alias("relation"), "resolved", "confidence", "file_path", "pos")
+            out.append(heads.where(F.col("relation").isin(relations)))
+        if set(SEMANTIC) & set(relations):
+            done = in_context(named, symtab).join(symtab.where("type = 'class'").select(F.col("fqn").alias("target"), F.lit(True).alias("is_class")), "target", "left")
+            relation = F.when(F.col("kind") == "return", "returns").when(F.col("is_class"), "instantiates").otherwise("calls")
+            out.append(done.where("kind = 'call' or resolved").select(F.col("fqn").alias("source"), "target", relation.alias("relation"), "resolved", "confidence", "file_path", "pos").where(F.col("relation").isin(relations)))
+    whole = out[0].select(cols)
+    for x in out[1:]:
+        whole = whole.unionByName(x.select(cols))
+    return whole
 
 
 def call_stats(edges_: DataFrame) -> DataFrame:

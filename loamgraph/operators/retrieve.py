@@ -150,11 +150,12 @@ def score(question: Column, intent: Column, symbol: Column, relation: Column, ba
     return F.coalesce(base, F.lit(0.5)) + F.when(named, 0.4).otherwise(zero) + F.when(aligned, 0.3).otherwise(zero)
 
 
-def ranked(ctx: DataFrame, q: DataFrame, size: int | None = SIZE) -> DataFrame:
+def ranked(ctx: DataFrame, q: DataFrame, size: int | None = SIZE, stated: bool = True) -> DataFrame:
     """Context rows scored, each (file, symbol, relation) of a question once (the first), best first; nulls are equal."""
     key = Window.partitionBy("qid", "file_path", "symbol_name", "relation").orderBy("seq", "text", "line")
     once = ctx.withColumn("__k", F.row_number().over(key)).where("__k = 1").drop("__k")
-    scored = once.join(F.broadcast(q.select("qid", "question", "intent")), "qid")  # a stated list of questions
+    asked = q.select("qid", "question", "intent")
+    scored = once.join(F.broadcast(asked) if stated else asked, "qid")  # a stated list of questions is small, a table may not be
     scored = scored.withColumn("ranking_score", F.round(score(F.col("question"), F.col("intent"), F.col("symbol_name"), F.col("relation"), F.col("score")), 6))
     if size is None:
         return scored

@@ -9,14 +9,19 @@ from pyspark.sql import functions as F
 
 from loamgraph.operators import index as I
 
-MAX_TERMS = 1000
+BLOCK_TERMS = 1000
 
 
 def _hits(df: DataFrame, terms: list[str], columns: list[Column]) -> DataFrame:
-    """Adds `term` for each term that is a substring of one of the columns."""
-    if len(terms) > MAX_TERMS:
-        raise ValueError(f"at most {MAX_TERMS} terms at a time; go on in blocks")
-    wanted = F.array(*[F.lit(t) for t in dict.fromkeys(terms)]).cast("array<string>")
+    """Adds `term` for each term that is a substring of one of the columns. Longer lists go in blocks, a scan for each."""
+    terms = list(dict.fromkeys(terms))
+    if len(terms) > BLOCK_TERMS:
+        blocks = [_hits(df, terms[i : i + BLOCK_TERMS], columns) for i in range(0, len(terms), BLOCK_TERMS)]
+        out = blocks[0]
+        for x in blocks[1:]:
+            out = out.unionByName(x)
+        return out
+    wanted = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
     low = [F.lower(c) for c in columns]
 
     def test(t: Column) -> Column:
@@ -86,6 +91,7 @@ def python_block(text: Column, line: Column) -> Column:
     return F.when((line >= 1) & (line <= F.size(lines)), F.array_join(F.slice(lines, line, n), "\n")).otherwise("")
 
 
-def symbol_chunks(symbols: DataFrame, names: list[str], limit: int = 5) -> DataFrame:
-    """Exact own names, scored 1."""
-    return first(symbols.where(F.col("name").isin(list(dict.fromkeys(names)))).withColumn("term", F.col("name")), "term", ["ord", "chunk_id"], limit).select(*SYMBOL, F.lit(1.0).alias("score"), "text")
+def symbol_chunks(symbols: DataFrame, names: list[str] | DataFrame, limit: int = 5) -> DataFrame:
+    """Exact own names, scored 1. Names are a stated list, or a table with the column term of any size."""
+    found = symbols.join(names.select("term").distinct(), F.col("name") == F.col("term")) if isinstance(names, DataFrame) else symbols.where(F.col("name").isin(list(dict.fromkeys(names)))).withColumn("term", F.col("name"))
+    return first(found, "term", ["ord", "chunk_id"], limit).select(*SYMBOL, F.lit(1.0).alias("score"), "text")

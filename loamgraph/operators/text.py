@@ -37,7 +37,7 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators:
                 length -= len(window[0]) + (len(sep) if len(window) > 1 else 0)
                 window = window[1:]
         length += len(part) + (len(sep) if window else 0)
-        window = [*window, part] if len(window) < 8 else window + [part]
+        window.append(part)
     flush()
     return out
 

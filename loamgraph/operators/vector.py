@@ -7,6 +7,9 @@ the queries', or of norm 0 or not finite, are left out; equal cosines (to 10 dec
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -18,22 +21,69 @@ from loamgraph.operators.search import first
 
 DIM = 384
 BLOCK = 2048
+WORDS = re.compile(r"[a-z0-9]+")
+
+
+def hash_counts(low: str | None, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
+    """(dimensions, counts) of the words of a text in lower case."""
+    at = np.fromiter((_bucket(w, dim) for w in WORDS.findall(low or "")), np.int64)
+    return np.unique(at, return_counts=True)
+
+
+@functools.lru_cache(maxsize=200_000)
+def _bucket(word: str, dim: int) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
+
+
+def hash_model(texts: list[str], dim: int = DIM) -> np.ndarray:
+    """Dense vectors of texts (lower-cased here); without words the vector is 0."""
+    out = np.zeros((len(texts), dim))
+    for i, t in enumerate(texts):
+        at, n = hash_counts((t or "").lower(), dim)
+        out[i, at] = n / max(1.0, np.sqrt((n * n).sum()))
+    return out
 
 
 def hash_embed(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
-    """(key, bucket, weight): the nonzero entries of each text's vector."""
-    words = F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), lambda w: w != "")
-    bucket = (F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long") % dim).cast("int")
-    tf = df.select(F.col(key).alias("key"), F.explode(words).alias("w")).select("key", bucket.alias("bucket")).groupBy("key", "bucket").agg(F.count("*").alias("tf"))
-    norm = tf.groupBy("key").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    return tf.join(norm, "key").select("key", "bucket", (F.col("tf") / F.col("norm")).alias("weight"))
+    """(key, bucket, weight): the nonzero entries of each text's vector, row by row: nothing is shuffled."""
+    src = df.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("low"))
+
+    def run(batches):
+        for b in batches:
+            found = [hash_counts(t, dim) for t in b.column("low").to_pylist()]
+            sizes = np.array([len(n) for _, n in found], np.int64)
+            weights = [n / np.sqrt((n * n).sum()) for _, n in found]
+            flat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(np.repeat(np.arange(len(found)), sizes))), pa.array(flat([x for x, _ in found], np.int32)), pa.array(flat(weights, np.float64))], ["key", "bucket", "weight"])
+
+    return src.mapInArrow(run, f"key {src.schema['key'].dataType.simpleString()}, bucket int, weight double")
 
 
 def hash_topk(corpus: DataFrame, key: str, text: str, queries: DataFrame, k: int, dim: int = DIM) -> DataFrame:
     """(query, rank, key, cosine) for a stated, short list of queries (query, question): the k rows of largest cosine (to 6
-    decimals, then by key) among those that share a dimension. The queries' few dimensions are broadcast."""
-    q = hash_embed(queries, "query", "question", dim).select(F.col("key").alias("query"), "bucket", F.col("weight").alias("qw"))
-    hits = hash_embed(corpus, key, text, dim).join(F.broadcast(q), "bucket").groupBy("query", "key").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("cosine"))
+    decimals, then by key) among those that share a dimension. Each batch keeps its own k best per query."""
+    asked = [(r["query"], r["question"]) for r in queries.select("query", "question").collect()]  # a stated list
+    names, q = [n for n, _ in asked], hash_model([t for _, t in asked], dim)
+    src = corpus.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.lower(F.col(text)).alias("low"))
+    kind = src.schema["key"].dataType.simpleString()
+
+    def best(batches):
+        for b in batches:
+            lows = b.column("low").to_pylist()
+            c = np.zeros((len(names), len(lows)))
+            for j, t in enumerate(lows):
+                at, n = hash_counts(t, dim)
+                if len(n):
+                    c[:, j] = q[:, at] @ (n / np.sqrt((n * n).sum()))
+            c = np.round(c, 6)
+            rows, cols = [], []
+            for i in range(len(names)):
+                order = np.nonzero((c[i] > 0) & (c[i] >= (np.partition(c[i], -k)[-k] if c.shape[1] > k else 0)))[0]
+                rows += [i] * len(order)
+                cols += list(order)
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in rows], pa.int64()), b.column("key").take(pa.array(cols, pa.int64())), pa.array(c[rows, cols] if rows else [], pa.float64())], ["query", "key", "cosine"])
+
+    hits = src.mapInArrow(best, f"query bigint, key {kind}, cosine double")
     return first(hits, "query", [F.col("cosine").desc(), "key"], k).select("query", "rank", F.col("key").alias(key), "cosine")
 
 
@@ -56,6 +106,12 @@ def _unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return d[ok] / n[ok, None], ok
 
 
+def _first(at: np.ndarray, cosines: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Of the places `at`, which hold all that can be among the k best, the k best: by cosine, then by id."""
+    own = ids[at]
+    return at[np.lexsort((own.astype(str) if isinstance(own[0], str) else own.astype(np.int64), -cosines[at]))[:k]]
+
+
 def topk(corpus: DataFrame, id_col: str, vec_col: str, queries: list[tuple[str, list[float]]], k: int = 5) -> DataFrame:
     """(query, rank, id, cosine) for a stated list of (name, vector)."""
     spark = corpus.sparkSession
@@ -75,8 +131,10 @@ def topk(corpus: DataFrame, id_col: str, vec_col: str, queries: list[tuple[str,
                 ids = np.array(b.column(0).to_pylist(), object)[good]
                 c = np.concatenate([keep_c, np.round(q @ v.T, 10)], 1)
                 i = np.concatenate([keep_i, np.broadcast_to(ids, (len(q), len(ids)))], 1)
-                o = np.stack([np.lexsort((i[r].astype(str) if i.dtype == object and len(i[r]) and isinstance(i[r][0], str) else i[r].astype(np.int64), -c[r]))[:k] for r in range(len(q))]) if c.shape[1] else np.zeros((len(q), 0), int)
-                keep_c, keep_i = np.take_along_axis(c, o, 1), np.take_along_axis(i, o, 1)
+                if c.shape[1]:
+                    least = np.partition(c, -min(k, c.shape[1]), 1)[:, -min(k, c.shape[1])]
+                    o = np.stack([_first(np.nonzero(c[r] >= least[r])[0], c[r], i[r], min(k, c.shape[1])) for r in range(len(q))])
+                    keep_c, keep_i = np.take_along_axis(c, o, 1), np.take_along_axis(i, o, 1)
             rows = [(names[r], keep_i[r, j], keep_c[r, j]) for r in range(len(q)) for j in range(keep_c.shape[1])]
             cols = list(zip(*rows)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], id_type), pa.array(cols[2], pa.float64())], ["query", "id", "cosine"])

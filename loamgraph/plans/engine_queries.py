@@ -174,10 +174,10 @@ def decorator_index(spark, d):
 @query(f"""with {_EDG}, inh as (select source, target, min(ord) as ord from edg where relation = 'inherits' and source is not null and target is not null group by 1, 2), cls as (select source as fqn, min(ord) as first from inh group by 1),
  suf as (select fqn, first, array_to_string(list_slice(p, i, len(p)), '.') as suffix from (select fqn, first, string_split(fqn, '.') as p, unnest(range(1, len(string_split(fqn, '.')) + 1)) as i from cls)),
  own as (select suffix, fqn as owner from suf qualify row_number() over (partition by suffix order by first, fqn) = 1),
- sub as (select owner as fqn, array_to_string(list_sort(list(distinct source)), ',') as subclasses from inh join own on target = suffix group by 1), bas as (select source as fqn, array_to_string(list_sort(list(distinct target)), ',') as base_classes from inh group by 1)
- select fqn, base_classes, coalesce(subclasses, '') as subclasses from bas left join sub using (fqn)""")
+ sub as (select distinct owner as fqn, source as other from inh join own on target = suffix)
+ select source as fqn, 'base' as role, target as other from inh union all select fqn, 'subclass', other from sub""")
 def class_hierarchy(spark, d):
-    return I.class_hierarchy(table(spark, d, "edges")).select("fqn", F.array_join("base_classes", ",").alias("base_classes"), F.array_join("subclasses", ",").alias("subclasses"))
+    return I.class_links(table(spark, d, "edges"))
 
 
 # searches ---------------------------------------------------------------------------------------------------------------
@@ -240,9 +240,10 @@ def python_block(spark, d):
     return s.join(f, "file_path").select("fqn", "file_path", "line", S.python_block(F.col("source"), F.col("line")).alias("block"))
 
 
-@query(f"with {_SYM} select name as term, fqn, file, cast(1.0 as double) as score from sym where name in ('merge_cursor', 'CacheLedger', 'pack_orbit', 'refresh_ledger') qualify row_number() over (partition by name order by ord, chunk_id) <= 5")
+@query(f"with {_SYM} select name as term, fqn, file, cast(1.0 as double) as score from sym where name in (select name from sym where type = 'class') qualify row_number() over (partition by name order by ord, chunk_id) <= 5")
 def symbol_lookup(spark, d):
-    return S.symbol_chunks(_sym(spark, d), ["merge_cursor", "CacheLedger", "pack_orbit", "refresh_ledger"]).select("term", "fqn", "file", "score")
+    s = _sym(spark, d)
+    return S.symbol_chunks(s, s.where("type = 'class'").select(F.col("name").alias("term"))).select("term", "fqn", "file", "score")
 
 
 # vectors ------------------------------------------------------------------------------------------------------------------
@@ -477,28 +478,33 @@ def retrieve_context(spark, d):
 
 
 # one strategy at a time, in SQL too
-@query(f"""with {_EDG}, {_SYM}, tg as (select unnest(['atlas_mono.core.log.get_logger', 'BaseModel', 'object', 'Exception']) as target), dep as (select edg.target, 'reverse_' || relation as relation, sym.file as file_path, sym.fqn as symbol_name, sym.type as chunk_type, edg.ord from edg join tg using (target) join sym on edg.source = sym.fqn),
+@query(f"""with {_EDG}, {_SYM}, {_SYMS}, dep as (select edg.target, 'reverse_' || relation as relation, sym.file as file_path, sym.fqn as symbol_name, sym.type as chunk_type, edg.ord from edg join s on edg.target = s.symbol join sym on edg.source = sym.fqn),
  once as (select * from dep qualify row_number() over (partition by target, file_path, symbol_name, relation order by ord) = 1), sc as (select *, round(0.5 + case when contains('who calls ' || lower(target), lower(symbol_name)) or contains('who calls ' || lower(target), lower(string_split(symbol_name, '.')[-1])) then 0.4 else 0 end + case when relation in ('reverse_calls', 'reverse_inherits', 'reverse_imports') then 0.3 else 0 end, 6) as ranking_score from once)
  select target, file_path, symbol_name, relation, cast(ranking_score as double) as ranking_score from sc qualify row_number() over (partition by target order by ranking_score desc, ord, file_path, symbol_name, relation) <= 12""")
 def dependency_rank(spark, d):
-    names = ["atlas_mono.core.log.get_logger", "BaseModel", "object", "Exception"]
-    q = spark.createDataFrame([(i, f"who calls {n}", "DEPENDENCY", n) for i, n in enumerate(names)], "qid long, question string, intent string, target string")
-    deps = G.reverse_dependencies(table(spark, d, "edges"), q.select(F.col("target").alias("symbol")), _sym(spark, d))
+    """Who depends on each class of the graph: a question per class."""
+    q = _classes(spark, d).distinct().where("symbol is not null").select(F.col("symbol").alias("qid"), F.concat(F.lit("who calls "), "symbol").alias("question"), F.lit("DEPENDENCY").alias("intent"))
+    deps = G.reverse_dependencies(table(spark, d, "edges"), q.select(F.col("qid").alias("symbol")), _sym(spark, d))
     none = F.lit(None)
-    ctx = F.broadcast(q.select("qid", "target")).join(deps, "target").select("qid", F.col("file").alias("file_path"), F.col("fqn").alias("symbol_name"), F.col("type").alias("chunk_type"), "relation", none.cast("string").alias("graph_source"), none.cast("double").alias("score"), "line", none.cast("string").alias("text"), F.col("ord").alias("seq"))
-    return R.ranked(ctx, q).join(F.broadcast(q.select("qid", "target")), "qid").select("target", "file_path", "symbol_name", "relation", "ranking_score")
+    ctx = deps.select(F.col("target").alias("qid"), F.col("file").alias("file_path"), F.col("fqn").alias("symbol_name"), F.col("type").alias("chunk_type"), "relation", none.cast("string").alias("graph_source"), none.cast("double").alias("score"), "line", none.cast("string").alias("text"), F.col("ord").alias("seq"))
+    return R.ranked(ctx, q, stated=False).select(F.col("qid").alias("target"), "file_path", "symbol_name", "relation", "ranking_score")
 
 
 # texts and clients --------------------------------------------------------------------------------------------------------
-@query()
+@query("select doc_id, count(distinct w) as words, true as within_size, true as numbered, case when length(t) <= 1000 then md5(t) end as whole from (select doc_id, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') as t, unnest(regexp_extract_all(text, '[A-Za-z]+')) as w from documents) group by doc_id, t")
 def text_chunks(spark, d):
-    return T.text_chunks(table(spark, d, "documents"), "doc_id")
+    """What the chunks of each document hold: all its words, none beyond the size, numbered from 0; a short text is one chunk."""
+    c = T.text_chunks(table(spark, d, "documents"), "doc_id")
+    words = c.select("doc_id", "chunk_id", "text", F.explode_outer(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("w"))
+    own = words.groupBy("doc_id").agg(F.count_distinct("w").alias("words"), (F.max(F.length("text")) <= T.SIZE).alias("within_size"), (F.max("chunk_id") + 1 == F.count_distinct("chunk_id")).alias("numbered"), F.when(F.max("chunk_id") == 0, F.md5(F.min("text"))).alias("whole"))
+    return own
 
 
-@query()
+@query("select count(*) as short_documents, cast(sum(length(t)) as bigint) as chars from (select regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') as t from documents where regexp_matches(text, '\\S')) where length(t) <= 1000")
 def text_chunk_stats(spark, d):
-    c = T.text_chunks(table(spark, d, "documents"), "doc_id")
-    return c.agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("chunks"), F.max(F.length("text")).alias("longest"), F.max_by(F.substring("text", 1, 300), F.struct(-F.col("doc_id"), -F.col("chunk_id"))).alias("preview"))
+    """Documents of one chunk, and their characters."""
+    c = T.text_chunks(table(spark, d, "documents"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("chars"))
+    return c.where("n = 1").agg(F.count("*").alias("short_documents"), F.sum("chars").alias("chars"))
 
 
 @query("select count(*) as documents, cast(count(*) filter (where trim(text) <> '') as bigint) as with_text, cast(sum(length(text)) as bigint) as chars from documents")
@@ -517,56 +523,15 @@ def last_assistant_turn(spark, d):
 
 
 # parsing ------------------------------------------------------------------------------------------------------------------
-def _facts(spark, d):
-    return P.facts(table(spark, d, "files"))
-
-
-@query()
-def ast_chunks(spark, d):
-    return P.chunks(_facts(spark, d)).select("file_path", "fqn", "name", "type", "line", "text", "docstring")
-
-
-@query()
-def import_extract(spark, d):
-    return RS.import_table(_facts(spark, d))
-
-
-@query()
-def symbol_table(spark, d):
-    return RS.symbol_table(_facts(spark, d)).select("fqn", "name", "type", "file_path", "parent")
-
-
-@query()
-def raw_calls(spark, d):
-    return P.raw_calls(_facts(spark, d))
-
-
-def _edges_of(*relations):
-    def f(spark, d):
-        return RS.edges(_facts(spark, d)).where(F.col("relation").isin(*relations))
-
-    return f
-
-
-for _name in ("contains", "imports", "inherits", "decorates", "calls", "instantiates", "returns"):
-    QUERIES[f"edges_{_name}"] = _edges_of(_name)
-    QUERIES[f"edges_{_name}"].__name__ = f"edges_{_name}"
-
-
-@query()
-def call_resolution_stats(spark, d):
-    return RS.call_stats(RS.edges(_facts(spark, d)))
-
-
+# over the files themselves; SQL can't parse, so the same operators are compared over rendered sources (`rendered_queries`)
 @query()
-def parsed_nodes(spark, d):
-    return RS.nodes(_facts(spark, d))
+def files_chunks(spark, d):
+    return P.chunks(P.facts(table(spark, d, "files"), ["chunk"])).select("file_path", "fqn", "name", "type", "line", "text", "docstring")
 
 
 @query()
-def var_types(spark, d):
-    facts = _facts(spark, d)
-    return RS.bindings(facts, RS.symbol_table(facts), RS.import_table(facts))
+def files_edges(spark, d):
+    return RS.edges(P.facts(table(spark, d, "files"), RS.kinds_for()))
 
 
 # names of edges, resolved against the table of symbols: SQL says the same
@@ -587,13 +552,19 @@ def resolve_simple(spark, d):
 
 
 @query(f"""with recursive {_EDG}, {_SYM}, base as (select cls, min_by(target, ord) as base from (select source as cls, target, ord from edg where relation = 'inherits' and source is not null and target in (select fqn from sym where type = 'class') and target <> source) group by 1),
- want as (select s.fqn as cls, m.attr from (select distinct fqn from sym where type = 'class') s, (select unnest(['__init__', 'rebuild_profile', 'collect_draft', 'merge_segment']) as attr) m),
- walk as (select cls, attr, cls as at, 0 as level from want union all select w.cls, w.attr, b.base, w.level + 1 from walk w join base b on b.cls = w.at where w.level < 31 and b.base <> w.cls and not exists (select 1 from sym x where x.fqn = w.at || '.' || w.attr)),
- hit as (select w.cls, w.attr, min_by(x.fqn, w.level) as target from walk w join sym x on x.fqn = w.at || '.' || w.attr group by 1, 2)
+ meth as (select regexp_replace(fqn, '\\.[^.]*$', '') as owner, regexp_extract(fqn, '[^.]*$') as attr from sym where type = 'method'), cls as (select distinct fqn from sym where type = 'class'),
+ want as (select fqn as cls, attr from cls join meth on owner = fqn union select b.cls, attr from cls join base b on b.cls = fqn join meth on owner = b.base union select b.cls, attr from cls join base b on b.cls = fqn join base c on c.cls = b.base join meth on owner = c.base union select fqn, 'no_such_method' from cls),
+ walk as (select cls, attr, cls as place, [cls] as seen from want union all select w.cls, w.attr, b.base, list_append(w.seen, b.base) from walk w join base b on b.cls = w.place where not list_contains(w.seen, b.base) and not exists (select 1 from sym x where x.fqn = w.place || '.' || w.attr)),
+ hit as (select w.cls, w.attr, min_by(x.fqn, len(w.seen)) as target from walk w join sym x on x.fqn = w.place || '.' || w.attr group by 1, 2)
  select w.cls, w.attr, coalesce(h.target, w.cls || '.' || w.attr) as target from want w left join hit h using (cls, attr)""")
 def resolve_self_method(spark, d):
+    """self.x in every class, for the methods that it, its base and the base's base define, and for one that nobody has."""
     sym, edges = _sym(spark, d), I.latest_edges(table(spark, d, "edges"))
-    classes = sym.where("type = 'class'")
-    bases = edges.where("relation = 'inherits' and source is not null and target <> source").join(classes.select(F.col("fqn").alias("target")), "target").groupBy(F.col("source").alias("cls")).agg(F.min_by("target", "ord").alias("base"))
-    wanted = classes.select(F.col("fqn").alias("cls"), F.explode(F.array(*[F.lit(x) for x in ("__init__", "rebuild_profile", "collect_draft", "merge_segment")])).alias("attr"))
+    classes = sym.where("type = 'class'").select(F.col("fqn").alias("cls"))
+    bases = edges.where("relation = 'inherits' and source is not null and target <> source").join(classes.select(F.col("cls").alias("target")), "target").groupBy(F.col("source").alias("cls")).agg(F.min_by("target", "ord").alias("base"))
+    methods = sym.where("type = 'method'").select(F.regexp_replace("fqn", "\\.[^.]*$", "").alias("at"), N.last_part(F.col("fqn")).alias("attr"))
+    one = bases.join(classes, "cls").select("cls", F.col("base").alias("at"))
+    two = one.join(bases.select(F.col("cls").alias("at"), F.col("base").alias("up")), "at").select("cls", F.col("up").alias("at"))
+    around = classes.select("cls", F.col("cls").alias("at")).unionByName(one).unionByName(two)
+    wanted = around.join(methods, "at").select("cls", "attr").unionByName(classes.withColumn("attr", F.lit("no_such_method")))
     return RS.resolve_self(wanted, sym, bases)

@@ -69,10 +69,14 @@ def drop_dir(spark: SparkSession, path: str) -> None:
 
 def cut(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
     """Writes `df` as a table in the shared folder and reads it back: lineage ends there and a lost executor costs
-    nothing that was written. Returns the table and its folder, for `drop_dir` once nothing reads it."""
+    nothing that was written. Returns the table and its folder, for `drop_dir` once nothing reads it; a folder that a result
+    still reads when a function returns goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}_{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path
 
 

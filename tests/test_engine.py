@@ -259,3 +259,56 @@ def test_stores(spark, tmp_path):
     assert v.by_symbol("S").count() == 2
     v.drop()
     assert v.current() is None and v.read().count() == 0
+
+
+def test_long_expressions(spark):
+    """Chains far deeper than the interpreter's own calls may nest give all their calls; nothing fails."""
+    chain = "def f():\n    return " + " + ".join(f"g{i}()" for i in range(5000)) + "\n"
+    elifs = "if a:\n    pass\n" + "".join(f"elif b{i}:\n    def h{i}(): pass\n" for i in range(1500))
+    closed = "def g():\n    return " + "(" * 3000 + "x()" + ")" * 3000 + "\n"
+    rows = [(None, f"{n}.py", f"{n}.py", ".py", t) for n, t in [("chain", chain), ("elifs", elifs), ("closed", closed), ("odd", "def h(): return 'x\ud800'.encode('utf-8', 'surrogatepass') if False else 1\n".encode("utf-8", "replace").decode())]]
+    files = spark.createDataFrame(rows, "repo string, rel_path string, file_path string, ext string, text string")
+    facts = P.facts(files).cache()
+    n = {(r.file_path, r.kind): r["count"] for r in facts.groupBy("file_path", "kind").count().collect()}
+    assert n["chain.py", "call"] == 5000 and n["elifs.py", "chunk"] == 1500 and n["closed.py", "error"] == 1 and n["closed.py", "symbol"] == 1
+    assert RS.edges(facts).where("relation = 'calls' and file_path = 'chain.py'").count() == 5000
+    assert {r.kind for r in P.facts(files, ["import", "contains"]).select("kind").distinct().collect()} == {"contains"}
+
+
+def test_deep_bases(spark):
+    """Methods are found however many bases up; cycles of bases end."""
+    src = "class C0:\n    def m(self): pass\n" + "".join(f"class C{i}(C{i - 1}):\n    pass\n" for i in range(1, 150)) + "class C150(C149):\n    def go(self):\n        self.m()\nclass X(Y):\n    def a(self):\n        self.b()\nclass Y(X):\n    def b(self):\n        self.c()\n"
+    files = spark.createDataFrame([(None, "a.py", "a.py", ".py", src)], "repo string, rel_path string, file_path string, ext string, text string")
+    got = {(r.source, r.target) for r in RS.edges(P.facts(files), ["calls"]).collect()}
+    assert got == {("a.C150.go", "a.C0.m"), ("a.X.a", "a.Y.b"), ("a.Y.b", "a.Y.c")}
+
+
+def test_many_terms(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_TERMS", 2)
+    sym = spark.createDataFrame([(f"m.f{i}", f"f{i}", "function", "f", 1, i, i, "") for i in range(5)], "fqn string, name string, type string, file string, line int, ord long, chunk_id long, text string")
+    assert {(r.term, r.fqn) for r in S.search_symbols(sym, [f"F{i}" for i in range(5)]).collect()} == {(f"F{i}", f"m.f{i}") for i in range(5)}
+
+
+def test_class_hierarchy(spark):
+    from loamgraph.operators import index as I
+
+    e = spark.createDataFrame([(1, "m.A", "Base", "inherits", 1), (2, "m.B", "m.A", "inherits", 2), (3, "m.C", "A", "inherits", 3)], "edge_id long, source string, target string, relation string, ord long")
+    rows = I.class_hierarchy(e, spark.createDataFrame([("m.A",)], "fqn string")).collect()
+    assert [(r.fqn, r.base_classes, r.subclasses) for r in rows] == [("m.A", ["Base"], ["m.B", "m.C"])]
+
+
+def test_rendered_sources(spark, small):
+    import glob
+
+    import duckdb
+
+    from loamgraph.plans import rendered_queries as Q
+
+    c = duckdb.connect()
+    for p in glob.glob(f"{small}/*.parquet"):
+        c.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    for name in ("ast_chunks", "edges_calls", "var_types"):
+        got = Q.QUERIES[name](spark, small)
+        cols = sorted(got.columns)
+        key = lambda r: tuple(str(x) for x in r)
+        assert sorted(map(key, got.select(cols).collect())) == sorted(map(key, c.sql(f"select {', '.join(cols)} from ({Q.SQL[name]})").fetchall())), name
