@@ -32,6 +32,7 @@ from loamgraph.session import cut, drop_dir
 
 MAX_ROUNDS = 64  # 2^64 is beyond any depth
 SIBLINGS_PER_BUCKET = 50_000
+SPAN = 1024
 
 
 def _key(c: str) -> F.Column:
@@ -162,11 +163,25 @@ def paths(labels: DataFrame) -> DataFrame:
     return labels.select("relation", "id", "head", "pos").join(whole, "head", "left").select("relation", "id", F.when(F.col("pos").isNotNull(), F.concat("prefix", F.slice("seg", F.lit(1), F.col("pos") + 1))).alias("path"))
 
 
-def descendants(labels: DataFrame, of: DataFrame) -> DataFrame:
-    """(relation, id, descendant) for the (relation, id) rows of `of`: every node's ancestors are on its path, so this
-    is an equi-join on the path's entries and its size is that of its result."""
-    pairs = paths(labels).where("path is not null").select("relation", F.col("id").alias("descendant"), F.explode("path").alias("id")).where("id <> descendant")
-    return pairs.join(of.select("relation", "id").distinct(), ["relation", "id"]).select("relation", "id", "descendant")
+def descendants(labels: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(relation, id, descendant) of all nodes, or of the (relation, id) rows of `of`. The descendants of a node are an interval of
+    preorder numbers of its tree. Intervals are cut into spans of at most `SPAN` numbers, each number of a span meets the one node
+    that has it by an equi-join: what is moved has the size of the result, and no key is hot, as a number has one node."""
+    tree = labels.where("depth >= 0").select("relation", "id", "root", "pre", "size")
+    wanted = tree if of is None else tree.join(of.select("relation", "id").distinct(), ["relation", "id"])
+    last = F.col("pre") + F.col("size") - 1
+    spans = wanted.where("size > 1").select("relation", "id", "root", last.alias("last"), F.explode(F.sequence(F.col("pre") + 1, last, F.lit(SPAN).cast("long"))).alias("first"))
+    spans = spans.repartition(int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions")), "relation", "id", "first")  # a large tree's spans to many tasks
+    numbers = spans.select("relation", "id", "root", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + SPAN - 1, F.col("last")))).alias("pre"))
+    return numbers.join(tree.select("relation", "root", "pre", F.col("id").alias("descendant")), ["relation", "root", "pre"]).select("relation", "id", "descendant")
+
+
+def dropped_links(links: DataFrame) -> DataFrame:
+    """(relation, child, parent, kept): the links that a hierarchy of single parents leaves out, each once, with the parent that
+    was kept instead."""
+    once = links.select("relation", "child", "parent").where("relation is not null and child is not null and parent is not null").distinct()
+    kept = once.groupBy("relation", "child").agg(F.min("parent").alias("kept"))
+    return once.join(kept, ["relation", "child"]).where("parent <> kept").select("relation", "child", "parent", "kept")
 
 
 def edge_links(edges: DataFrame) -> DataFrame:

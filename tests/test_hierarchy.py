@@ -80,3 +80,13 @@ def test_no_bucket_holds_all_siblings(spark, monkeypatch):
 def test_edge_links(spark, resolved, kept):
     e = spark.createDataFrame([("contains", "p", "c", resolved)], "relation string, source string, target string, resolved boolean")
     assert H.edge_links(e).count() == kept
+
+
+def test_all_descendants_and_dropped_links(spark, monkeypatch):
+    monkeypatch.setattr(H, "SPAN", 3)
+    rows = [("c", f"k{i}", "hub") for i in range(8)] + [("c", f"m{i}", "k3") for i in range(5)] + [("c", "m1", "zz"), ("c", "m1", "zz"), ("i", "x", "y"), ("i", "y", "x")]
+    labels = H.hierarchy(links(spark, rows))
+    want = {(r, a, x) for (r, x), v in brute(rows).items() if v[2] for a in v[2][:-1]}
+    got = [tuple(r) for r in H.descendants(labels).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert [tuple(r) for r in H.dropped_links(links(spark, rows)).collect()] == [("c", "m1", "zz", "k3")]

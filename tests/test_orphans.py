@@ -64,3 +64,32 @@ def test_plan_has_no_cross_join(spark, small):
 
     plan = O.orphans(table(spark, small, "edges"), table(spark, small, "nodes"))._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_state_in_any_batches(spark):
+    """Deltas in one batch, in many, and in another order give the same state and the same current orphans."""
+    rng = random.Random(5)
+    nodes = [(rng.choice("abcdef"), rng.choice([0, 100, 400]), rng.choice([None, 150, 500])) for _ in range(12)]
+    edges = [(i, rng.choice("abcdez"), rng.choice("abyz"), "calls", True, rng.choice([10, 120, 450])) for i in range(20)]
+    edges += edges[:5]  # delivered again, in a later batch too
+
+    def after(batches):
+        state = O.no_state(spark)
+        for e, n in batches:
+            state = state.apply(*tables(spark, e, n))
+        return sorted(map(tuple, state.keys.collect()), key=str), sorted(map(tuple, O.current(state.keys).collect()))
+
+    once = after([(edges, nodes)])
+    assert once == after([(edges[:9], nodes[:3]), (edges[9:], nodes[3:])]) == after([([], nodes[6:]), (edges[12:], []), (edges[:12], nodes[:6])])
+    alive = {i for i, _, _ in nodes if sum(a is not None and (b is None or b > a) for x, a, b in nodes if x == i) > sum(b is not None and b > a for x, a, b in nodes if x == i)}
+    want = {}
+    for e in {e[0]: e for e in edges}.values():
+        for x in e[1:3]:
+            if x not in alive:
+                want[x] = want.get(x, 0) + 1
+    assert {r.id: r.refs for r in O.current_orphans(*tables(spark, edges, nodes)).collect()} == want and sorted(want.values()) == sorted(r[2] for r in once[1])
+
+
+def test_references_taken_back(spark):
+    refs = spark.createDataFrame([(1, 2, day(5))], "k1 long, k2 long, ts timestamp_ntz")
+    assert O.current(O.merge(O.reference_deltas(refs))).count() == 1 and O.current(O.merge(O.reference_deltas(refs), O.reference_deltas(refs, -1))).count() == 0
