@@ -1,7 +1,7 @@
 import itertools
+import random
 
-from hypothesis import given, settings
-from hypothesis import strategies as st
+import pytest
 
 from loamgraph.llm import packing as P
 from loamgraph.llm.tokens import count_tokens
@@ -31,25 +31,41 @@ def fewest(sizes, capacity):
     return best
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 20), min_size=1, max_size=8))
-def test_plan_is_close_to_the_fewest(sizes):
-    hist = {s: sizes.count(s) for s in sizes}
-    plan = P.plan(hist, 20)
+def packed_right(plan, sizes, capacity):
     used = sorted(itertools.chain.from_iterable(list(f) * n for f, n in plan))
-    assert used == sorted(sizes) and all(sum(f) <= 20 for f, _ in plan)
-    assert sum(n for _, n in plan) <= fewest(sorted(sizes, reverse=True), 20) + 1
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.integers(1, 40), st.lists(st.integers(1, 20), min_size=1, max_size=7))
-def test_best_filling_is_exact(room, sizes):
-    import numpy as np
-
-    counts = {s: sizes.count(s) for s in sizes}
-    got = sum(P.best_filling(room, np.array(sorted(counts, reverse=True)), counts))
-    want = max((sum(c) for r in range(len(sizes) + 1) for c in itertools.combinations(sizes, r) if sum(c) <= room), default=0)
-    assert got == want
+    return used == sorted(sizes) and all(sum(f) <= capacity for f, _ in plan)
+
+
+def test_plan_is_the_fewest():
+    """Three thousand random cases against trying all ways."""
+    rng = random.Random(3)
+    for _ in range(3000):
+        capacity = rng.choice([10, 20, 30, 50, 100])
+        low = rng.choice([1, 1, capacity // 6])
+        sizes = [rng.randint(max(1, low), rng.choice([capacity, capacity * 2 // 3, capacity // 2])) for _ in range(rng.randint(1, 9))]
+        plan, proven = P.solve({s: sizes.count(s) for s in sizes}, capacity)
+        assert proven and packed_right(plan, sizes, capacity)
+        assert sum(n for _, n in plan) == fewest(sorted(sizes, reverse=True), capacity), (capacity, sizes)
+
+
+@pytest.mark.parametrize("capacity,sizes,want", [(30, [3, 5, 8, 10, 10, 10, 16, 16, 19, 19], 4), (100, [51, 27, 26, 23, 23, 24, 49, 2, 2, 34, 33, 33], None), (60, [20, 20, 20, 15] * 3 + [7, 11, 13, 29, 31] * 2, None)])
+def test_exact_mode_runs_to_the_proof(capacity, sizes, want):
+    plan, proven = P.solve({s: sizes.count(s) for s in sizes}, capacity, nodes=None)
+    assert proven and packed_right(plan, sizes, capacity)
+    assert sum(n for _, n in plan) == (want or fewest(sorted(sizes, reverse=True), capacity))
+
+
+def test_many_items_and_a_limit():
+    rng = random.Random(4)
+    hist = {s: rng.randint(1, 100_000) for s in rng.sample(range(1, 2049), 700)}
+    plan, proven = P.solve(hist)
+    total = {}
+    for f, n in plan:
+        for s in f:
+            total[s] = total.get(s, 0) + n
+    assert total == hist and all(sum(f) <= 2048 for f, _ in plan) and len(plan) < 20_000
+    assert sum(n for _, n in plan) <= P.lower_bound(hist, 2048) * 1.01
+    assert P.solve({7: 5, 5: 3, 3: 4}, 12, nodes=0)[0] and P.solve({}, 12) == ([], True)
 
 
 def test_table(spark):
