@@ -1,8 +1,10 @@
 """Credentials embedded in source code: found through a trigram index, masked in place.
 
-Each detection rule is a regular expression; its required trigrams are derived from it (`trigrams`), the index over the
-pieces of all files says which files can match which rules at all, and only those are searched. What a rule matches is then
-judged: placeholders, references to other places, hashes, ids, paths, public keys and embedded data are no credentials.
+1. `index`: the inverted trigram index over the pieces of all files, in segments, written once to the shared folder. It holds postings, not texts.
+2. `candidates`: each detection rule is a regular expression; the trigrams that it requires are derived from it (`trigrams`), their postings
+   intersected; what is left are keys of files and the rules that can match them.
+3. `verified`: the candidates' texts, and no others, are searched with the rules that can match. What a rule matches is then
+   judged: placeholders, references to other places, hashes, ids, paths, public keys and embedded data are no credentials.
 Masking replaces every character of the credential by X, so that quotes, lines, lengths and therefore syntax stay.
 
 Defined results: null and empty texts hold nothing; repeated rows are searched each; lines are counted from 1 and
@@ -18,14 +20,17 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.llm import trigrams
+from loamgraph.session import cut
 
 # Forms of credentials that are publicly documented or plainly marked, and words of names and placeholders.
-VENDOR = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{40,}|glpat-[\w-]{20,}|xox[abeoprs]-[\w-]{20,}|[a-z]{2,6}_(?:live|prod)_[A-Za-z0-9]{20,}|zbt-[0-9a-f]{8}-[A-Za-z0-9]{24,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{36}|ya29\.[\w-]{20,}|SG\.[\w-]{16,}\.[\w-]{16,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,})(?![A-Za-z0-9])"
+VENDOR = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{40,}|glpat-[\w-]{20,}|xox[abeoprs]-[\w-]{20,}|[a-z]{2,6}_(?:live|prod)_[A-Za-z0-9]{20,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{36}|ya29\.[\w-]{20,}|SG\.[\w-]{16,}\.[\w-]{16,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,})(?![A-Za-z0-9])"
+ISSUED = r"(?<![A-Za-z0-9-])[a-z]{2,5}-[0-9a-f]{8}-[A-Za-z0-9]{24,}(?![A-Za-z0-9-])"  # an issuer, the number of the key, the key
 PEM = r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
 URL = r"[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s:/@\"'`<>]*+:([^\s/@\"'`<>]{3,}+)@(?=[\w\[])"
 HEADER = r"(?i)(?<![a-z])(?:basic|bearer|token|apikey)[ \t]+([A-Za-z0-9+/._~\-]{16,}={0,2})"
@@ -35,7 +40,7 @@ CONNECTION = r"(?i)(?<=[;\"'?&`])[ \t]*(?:password|pwd|passwd|secret|sharedacces
 SPOKEN = r"(?i)(?<![\w-])(?:pw|pwd|pass|passwd|password|passphrase|passcode|secret|token|api[ -]?key)[ \t]+(?:is|was|=|:|->)[ \t]+[\"'`]?([^\s\"'`,;]{6,}+)|(?<![\w-])(?:pw|pwd|pass|passwd|password|passphrase):[ \t]*([^\s\"'`,;]{6,}+)"
 LOGIN = r"(?i)(?:login|log in|credentials?|creds|account|sign in)\b[^\n]{0,60}?[: \t][ \t]*[\w.@-]{2,40}[ \t]*(?:/|:|\|)[ \t]*([^\s\"'`/]{6,}+)"
 CURL = r"(?i)(?:-u|--user)[ =][\"']?[\w.@-]{1,60}:([^\s\"'`]{6,}+)"
-RULES = {"vendor": VENDOR, "pem": PEM, "url": URL, "header": HEADER, "keyed": KEYED, "connection": CONNECTION, "spoken": SPOKEN, "login": LOGIN, "curl": CURL}
+RULES = {"vendor": VENDOR, "issued": ISSUED, "pem": PEM, "url": URL, "header": HEADER, "keyed": KEYED, "connection": CONNECTION, "spoken": SPOKEN, "login": LOGIN, "curl": CURL}
 COMPILED = {k: re.compile(v) for k, v in RULES.items()}
 
 PASSWORD_PARTS = frozenset("password passwd passphrase pass pwd pw passcode pswd".split())
@@ -111,6 +116,11 @@ def vendor_usable(v: str) -> bool:
     return not re.search(r"(?i)example|xxxxx|\*\*\*|0{8}|1234567890|abcdefgh", v) and entropy(v) > 2.5
 
 
+def issued_usable(v: str) -> bool:
+    key = v.rpartition("-")[2]
+    return vendor_usable(v) and all(any(test(c) for c in key) for test in (str.isdigit, str.islower, str.isupper)) and entropy(key) > 3.5
+
+
 def _basic(v: str) -> bool:
     """A basic authorization decodes to user:password."""
     try:
@@ -129,6 +139,10 @@ def find(text: str, ext: str, mask: int = -1) -> list[Hit]:
         for m in COMPILED["vendor"].finditer(text):
             if vendor_usable(m[0]) and not text[: m.start()].endswith("base64,"):
                 add("vendor", *m.span())
+    if on["issued"]:
+        for m in COMPILED["issued"].finditer(text):
+            if issued_usable(m[0]):
+                add("issued", *m.span())
     if on["pem"]:
         for m in COMPILED["pem"].finditer(text):
             end = text.find("-----END", m.end())
@@ -184,13 +198,15 @@ def find(text: str, ext: str, mask: int = -1) -> list[Hit]:
                 x = re.compile(r"[^\s#;,]+(?:[#;,](?=[^\s])[^\s#;,]*)*").match(text, at)
                 if x and usable(x[0], kind) and (config or any(c.isdigit() for c in x[0])):
                     add("keyed", *x.span())
-    if on["vendor"]:  # a token split over lines under any name
+    if on["vendor"] or on["issued"]:  # a token split over lines under any name
         for p in PIECES.finditer(text):
             if "\n" in p[0]:
                 spans = [x.span(x.lastindex) for x in STRING.finditer(text, p.start(), p.end())]
                 value = "".join(text[a:b] for a, b in spans)
                 if COMPILED["vendor"].fullmatch(value) and vendor_usable(value):
                     hits.append(Hit("vendor", spans[0][0], tuple(spans)))
+                elif COMPILED["issued"].fullmatch(value) and issued_usable(value):
+                    hits.append(Hit("issued", spans[0][0], tuple(spans)))
     hits.sort(key=lambda h: (h.start, h.rule))
     return hits
 
@@ -211,50 +227,88 @@ def masked(text: str, hits: list[Hit]) -> str:
 INDEX = trigrams.Index([trigrams.required(p) for p in RULES.values()])
 
 
+KEY = ["k1", "k2"]
+
+
 def _texts(files: DataFrame) -> DataFrame:
-    return files.where("text is not null").select("file_id", "file_path", F.lower(F.coalesce("ext", F.regexp_extract("file_path", r"(\.[^./]+)$", 1))).alias("ext"), "text")
+    """The files that have a text, under a 128-bit key of what they are and hold; rows that agree in all share it."""
+    ext = F.lower(F.coalesce("ext", F.regexp_extract("file_path", r"(\.[^./]+)$", 1)))
+    return files.where("text is not null").select("file_id", "file_path", ext.alias("ext"), "text", F.xxhash64("file_id", "file_path", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "file_path", "file_id").alias("k2"))
 
 
 def index(files: DataFrame) -> DataFrame:
-    """(trigram, file_id, piece): the postings of the trigrams that some rule needs."""
+    """(k1, k2, pieces, trigrams, postings), arrays: a row per segment, which is a batch of files: their keys and numbers of pieces,
+    the trigrams that occur among those some rule needs, and the bitmap of pieces of each."""
 
     def run(batches):
         for b in batches:
-            rows = [(t, i, n) for i, text in zip(b.column("file_id").to_pylist(), b.column("text").to_pylist()) for n, e in enumerate(INDEX.entries(text)) for t, bit in INDEX.bit.items() if e & bit]
-            cols = list(zip(*rows)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["trigram", "file_id", "piece"])
+            pieces, bits = INDEX.segment(b.column("text"))
+            there = np.flatnonzero(bits.any(0))
+            one = lambda values, kind: pa.array([values], pa.list_(kind))
+            yield pa.RecordBatch.from_arrays(
+                [one(b.column("k1").to_numpy(), pa.int64()), one(b.column("k2").to_numpy(), pa.int64()), one(pieces.astype(np.int32), pa.int32()), one([INDEX.needed[i] for i in there], pa.string()), one([np.packbits(bits[:, i]).tobytes() for i in there], pa.binary())],
+                ["k1", "k2", "pieces", "trigrams", "postings"],
+            )
 
-    return _texts(files).mapInArrow(run, "trigram string, file_id bigint, piece int")
+    return _texts(files).select(*KEY, "text").mapInArrow(run, "k1 array<bigint>, k2 array<bigint>, pieces array<int>, trigrams array<string>, postings array<binary>")
 
 
-def credentials(files: DataFrame) -> DataFrame:
-    """(file_id, file_path, line_no, rule): each place once per rule."""
+def candidates(postings: DataFrame) -> DataFrame:
+    """(k1, k2, mask, pieces): the files that some rule can match, from the index alone; bit i of the mask is rule i."""
 
     def run(batches):
         for b in batches:
-            rows = []
-            for i, path, ext, text in zip(*(c.to_pylist() for c in b.columns)):
-                mask = INDEX.candidates(text)
-                if mask:
-                    rows += [(i, path, line, rule) for line, rule in sorted({(text.count("\n", 0, h.start) + 1, h.rule) for h in find(text, ext or "", mask)})]
-            cols = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], ["file_id", "file_path", "line_no", "rule"])
+            for k1, k2, pieces, trigrams_, bitmaps in zip(*(b.column(c) for c in ("k1", "k2", "pieces", "trigrams", "postings"))):
+                pieces = np.asarray(pieces.values)
+                n = int(pieces.sum())
+                lists = {t: np.unpackbits(np.frombuffer(x, np.uint8))[:n].astype(bool) for t, x in zip(trigrams_.as_py(), bitmaps.as_py())}
+                masks = INDEX.masks(pieces, lists)
+                some = np.flatnonzero(masks)
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(k1.values)[some]), pa.array(np.asarray(k2.values)[some]), pa.array(masks[some].astype(np.int32)), pa.array(pieces[some].astype(np.int32))], [*KEY, "mask", "pieces"])
 
-    return _texts(files).mapInArrow(run, "file_id bigint, file_path string, line_no int, rule string")
+    return postings.mapInArrow(run, "k1 bigint, k2 bigint, mask int, pieces int")
 
 
-def redacted(files: DataFrame) -> DataFrame:
-    """(file_id, file_path, found, text): the files with credentials, masked."""
+def verified(files: DataFrame, found: DataFrame, rows_of, schema: str) -> DataFrame:  # noqa: ANN001
+    """`rows_of(file_id, file_path, text, hits)` for each candidate file with hits."""
+    masks = found.groupBy(*KEY).agg(F.bit_or("mask").alias("mask"))  # equal files in several segments
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(batches):
         for b in batches:
             rows = []
-            for i, path, ext, text in zip(*(c.to_pylist() for c in b.columns)):
-                mask = INDEX.candidates(text)
-                hits = find(text, ext or "", mask) if mask else []
+            for i, path, ext, text, mask in zip(*(b.column(c).to_pylist() for c in ("file_id", "file_path", "ext", "text", "mask"))):
+                hits = find(text, ext or "", mask)
                 if hits:
-                    rows.append((i, path, len({h.start for h in hits}), masked(text, hits)))
-            cols = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], ["file_id", "file_path", "found", "text"])
+                    rows += rows_of(i, path, text, hits)
+            cols = list(zip(*rows)) or [[] for _ in names]
+            kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.strip().split(" ")[1]]) for c, x in zip(cols, schema.split(","))], names)
+
+    return _texts(files).join(masks, KEY).select("file_id", "file_path", "ext", "text", "mask").mapInArrow(run, schema)
+
+
+def _places(i, path, text, hits):  # noqa: ANN001
+    lines = sorted({(h.start, h.rule) for h in hits})
+    return sorted({(i, path, text.count("\n", 0, at) + 1, rule) for at, rule in lines})
+
+
+def credentials(files: DataFrame) -> DataFrame:
+    """(file_id, file_path, line_no, rule): each place once per rule."""
+    postings, _ = cut(index(files), "trigrams")
+    return verified(files, candidates(postings), _places, "file_id bigint, file_path string, line_no int, rule string")
+
+
+def redacted(files: DataFrame) -> DataFrame:
+    """(file_id, file_path, found, text): the files with credentials, masked."""
+    postings, _ = cut(index(files), "trigrams")
+    return verified(files, candidates(postings), lambda i, path, text, hits: [(i, path, len({h.start for h in hits}), masked(text, hits))], "file_id bigint, file_path string, found int, text string")
+
 
-    return _texts(files).mapInArrow(run, "file_id bigint, file_path string, found int, text string")
+def index_report(files: DataFrame) -> DataFrame:
+    """(rule, files, pieces, verified_files, verified_pieces): how much of all is verified for each rule, and for any."""
+    postings, _ = cut(index(files), "trigrams")
+    total = postings.agg(F.coalesce(F.sum(F.size("pieces")), F.lit(0)).alias("files"), F.coalesce(F.sum(F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("pieces"))
+    each = F.array(*[F.struct(F.lit(k).alias("rule"), (F.shiftright("mask", i).bitwiseAND(F.lit(1)) == 1).alias("can")) for i, k in enumerate(RULES)], F.struct(F.lit("any").alias("rule"), F.lit(True).alias("can")))
+    by = candidates(postings).select("pieces", F.explode(each).alias("x")).where("x.can").groupBy("x.rule").agg(F.count("*").alias("verified_files"), F.sum("pieces").alias("verified_pieces"))
+    return by.join(F.broadcast(total), how="left").select("rule", "files", "pieces", "verified_files", "verified_pieces")  # one row

@@ -36,6 +36,10 @@ def p3_redacted(spark, d):
     return credentials.redacted(table(spark, d, "files"))
 
 
+def p3_index(spark, d):
+    return credentials.index_report(table(spark, d, "files"))
+
+
 def p4_found(spark, d):
     return docpairs.pairs(table(spark, d, "chunks")).where("levels = 0").select("chunk_id")
 
@@ -84,7 +88,7 @@ QUERIES = {
     "p10_found": p10_found, "p10_composition": p10_composition,
     "p1_found": p1_found, "p1_report": p1_report, "p1_chunks": p1_chunks,
     "p2_found": p2_found, "p2_neighbours": p2_neighbours,
-    "p3_found": p3_found, "p3_redacted": p3_redacted,
+    "p3_found": p3_found, "p3_redacted": p3_redacted, "p3_index": p3_index,
     "p4_found": p4_found, "p4_pairs": p4_pairs,
     "p6_found": p6_found, "p6_files": p6_files,
     "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares,

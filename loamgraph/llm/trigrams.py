@@ -1,9 +1,10 @@
-"""Required trigrams of a regular expression, and a trigram index over pieces of texts.
+"""Required trigrams of a regular expression, and an inverted trigram index over pieces of texts.
 
 `required(pattern)` gives a formula that every matching text satisfies: trigrams joined by and/or, or True where nothing
-is known. Letter case is folded, so it holds for patterns of either kind. The index holds, for each piece of a text, one
-bit per trigram that some pattern needs: the postings of a trigram are the pieces with its bit, and intersecting
-postings is an `and` of bits, made where the piece is, without moving anything.
+is known. Two letters at a fixed distance, such as the dashes around eight digits, count as a trigram whose middle is the distance.
+Letter case is folded, so it holds for patterns of either kind. The index is kept in segments (a batch of texts): for each
+trigram that some pattern needs a posting list of pieces, as a bitmap. Rules are answered from the postings alone: within a
+text the postings of its pieces are joined (a match may reach over pieces), then intersected and united as the formula says.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ import re._constants as C
 import re._parser as P
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 Formula = bool | str | tuple
 MAX_STRINGS = 24
 PIECE = 65_536
-OVERLAP = 512  # longer than any literal run of a pattern
+FAR, FARTHEST = 0xE000, 64  # the middle of a pair at a distance is this character and so many on
+LIKE_ASCII = ("\u0130", "\u0131", "\u017f", "\u212a")  # fixed values: the letters that match an ASCII one when case is ignored
 
 
 def _and(parts: list[Formula]) -> Formula:
@@ -53,7 +57,8 @@ def _walk(seq) -> tuple[set[str] | None, Formula]:
     known: set[str] | None = {""}
     run: set[str] = {""}
     parts: list[Formula] = []
-    for op, arg in seq:
+    items = list(seq)
+    for at, (op, arg) in enumerate(items):
         strings: set[str] | None = None
         if op is C.LITERAL:
             strings = {chr(arg).lower()}
@@ -72,6 +77,9 @@ def _walk(seq) -> tuple[set[str] | None, Formula]:
             s, f = _walk(inner)
             if low:
                 parts.append(f)
+            after = items[at + 1] if at + 1 < len(items) else (None, None)
+            if low == high <= FARTHEST and s is None and len(inner) == 1 and inner[0][0] in (C.IN, C.ANY) and after[0] is C.LITERAL and run != {""} and all(run):
+                parts.append(_or([f"{r[-1]}{chr(FAR + low + 1)}{chr(after[1]).lower()}" for r in sorted(run)]))
             if s is not None and high == low:
                 strings = {""}
                 for _ in range(low):
@@ -110,38 +118,77 @@ def trigrams(f: Formula) -> set[str]:
 
 
 class Index:
-    """Index entries as bit masks over the needed trigrams. Text is looked at as bytes in lower case; a byte beyond ASCII
-    counts as its lower seven bits, which may add a candidate but never loses one (patterns' literals are ASCII)."""
+    """Segments and their answers. Text is looked at as UTF-8 bytes in ASCII lower case; a byte beyond ASCII counts as its lower
+    seven bits, which may add a candidate but never loses one (patterns' literals are ASCII). A text with one of the four
+    letters that match an ASCII one gets all postings."""
 
     def __init__(self, formulas: list[Formula]) -> None:
         self.formulas = formulas
         self.needed = sorted(set().union(*(trigrams(f) for f in formulas)))
-        self.bit = {t: 1 << i for i, t in enumerate(self.needed)}
+        self.at = {t: i for i, t in enumerate(self.needed)}
+        self.far = [(i, ord(t[0]), ord(t[1]) - FAR, ord(t[2])) for t, i in self.at.items() if ord(t[1]) >= FAR]
         self.table = np.full(1 << 21, -1, np.int16)
-        for i, t in enumerate(self.needed):
-            a, b, c = t.encode("ascii")
-            self.table[a | b << 7 | c << 14] = i
-
-    def entry(self, piece: str) -> int:
-        x = (np.frombuffer(piece.lower().encode("utf-8", "replace"), np.uint8) & 127).astype(np.int32)
-        if len(x) < 3:
-            return 0
-        hit = self.table[x[:-2] | x[1:-1] << 7 | x[2:] << 14]
-        mask = 0
-        for i in np.flatnonzero(np.bincount(hit[hit >= 0], minlength=1)):
-            mask |= 1 << int(i)
-        return mask
-
-    def entries(self, text: str) -> list[int]:
-        """One for each overlapping piece of a text."""
-        return [self.entry(text[i : i + PIECE + OVERLAP]) for i in range(0, max(1, len(text)), PIECE)]
-
-    def satisfied(self, entry: int, f: Formula) -> bool:
-        if isinstance(f, tuple):
-            return (all if f[0] == "and" else any)(self.satisfied(entry, x) for x in f[1:])
-        return True if f is True else bool(entry & self.bit[f])
+        for t, i in self.at.items():
+            if ord(t[1]) < FAR:
+                a, b, c = t.encode("ascii")
+                self.table[a | b << 7 | c << 14] = i
+        byte = np.arange(256)
+        self.fold = np.where((byte >= 65) & (byte <= 90), byte + 32, byte & 127).astype(np.uint8)
+
+    def segment(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces of each text, postings as [piece, trigram])."""
+        texts = texts.cast(pa.large_string())
+        n = len(texts)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros((0, len(self.needed)), bool)
+        off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+        off = off - off[0]
+        sizes = np.diff(off)
+        pieces = np.maximum(1, -(-sizes // PIECE))
+        first = np.concatenate([[0], np.cumsum(pieces)])
+        bits = np.zeros((int(first[-1]), len(self.needed)), bool)
+        x = self.fold[raw]
+
+        def post(where: np.ndarray, width: int, trigram) -> None:  # noqa: ANN001
+            text = np.searchsorted(off, where, side="right") - 1
+            inside = where + width <= off[text + 1]
+            where, text = where[inside], text[inside]
+            bits[first[text] + (where - off[text]) // PIECE, trigram[inside] if isinstance(trigram, np.ndarray) else trigram] = True
+
+        for lo in range(0, max(0, len(x) - 2), 1 << 20):
+            y = x[lo : lo + (1 << 20) + 2].astype(np.int32)
+            hit = self.table[y[:-2] | y[1:-1] << 7 | y[2:] << 14]
+            where = np.flatnonzero(hit >= 0)
+            post(where + lo, 3, hit[where].astype(np.int64))
+        for i, a, gap, b in self.far:
+            if len(x) > gap:
+                post(np.flatnonzero((x[:-gap] == a) & (x[gap:] == b)), gap + 1, i)
+        for letter in LIKE_ASCII:
+            for t in np.flatnonzero(np.asarray(pc.match_substring(texts, letter).fill_null(False))):
+                bits[first[t] : first[t + 1]] = True
+        return pieces, bits
+
+    def masks(self, pieces: np.ndarray, postings: dict[str, np.ndarray]) -> np.ndarray:
+        """Bit i of a text's mask: pattern i may match it. `postings` are boolean over pieces; a trigram without any may be missing."""
+        n = len(pieces)
+        if not n:
+            return np.zeros(0, np.int64)
+        starts = np.concatenate([[0], np.cumsum(pieces)[:-1]])
+        none, known = np.zeros(n, bool), {}
+
+        def value(f: Formula) -> np.ndarray:
+            if f is True:
+                return ~none
+            if isinstance(f, str):
+                if f not in known:
+                    known[f] = np.logical_or.reduceat(postings[f], starts) if f in postings else none
+                return known[f]
+            return (np.logical_and if f[0] == "and" else np.logical_or).reduce([value(x) for x in f[1:]])
+
+        return sum(value(f).astype(np.int64) << i for i, f in enumerate(self.formulas))
 
     def candidates(self, text: str) -> int:
-        """Bit i: pattern i may match some piece."""
-        entries = self.entries(text)
-        return sum(1 << i for i, f in enumerate(self.formulas) if any(self.satisfied(e, f) for e in entries))
+        """The mask of one text."""
+        pieces, bits = self.segment(pa.array([text.encode("utf-8", "replace").decode()]))
+        return int(self.masks(pieces, {t: bits[:, i] for t, i in self.at.items()})[0])

@@ -67,15 +67,39 @@ def test_table(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert sorted({(r.file_id, r.line_no) for r in C.credentials(df).collect()}) == [(1, 2), (4, 1), (5, 40001)]
     assert sorted(r.file_id for r in C.redacted(df).collect()) == [1, 1, 4, 5]
-    assert C.index(df).where("trigram = 'akia'").count() == 0 and C.index(df).where("file_id = 5").count() > 0
+    segments = C.index(df).collect()
+    assert sum(len(r.k1) for r in segments) == 5 and max(max(r.pieces) for r in segments) == 6 and all(len(r.trigrams) == len(r.postings) for r in segments)
+    report = {r.rule: r for r in C.index_report(df).collect()}
+    assert report["any"].files == 5 and report["any"].verified_files == 4 and report["vendor"].verified_pieces == 7
     assert C.credentials(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_pieces_and_far_letters():
+    """A formula may be satisfied over several pieces; letters that match ASCII ones lose nothing; pairs at a distance."""
+    i = T.Index([T.required("abc.*xyz"), T.required("(?i)kernels"), T.required("-[0-9a-f]{8}-")])
+    assert i.candidates("abc" + "." * 200_000 + "xyz") & 1 and not i.candidates("abc" + "." * 200_000) & 1
+    assert re.search("(?i)kernels", "\u212aERNEL\u017f") and i.candidates("\u212aERNEL\u017f") & 2
+    assert i.candidates("a-01234567-b") == 4 and i.candidates("a-0123456-b") == 0
+    pieces, bits = i.segment(T.pa.array(["ab", "c-0123", "4567-", "", None, "abcxyz"]))
+    assert list(pieces) == [1] * 6 and list(i.masks(pieces, {t: bits[:, k] for t, k in i.at.items()})) == [0, 0, 0, 0, 0, 1]  # nothing reaches over texts
+
+
+def test_issued_keys():
+    key = "Ml5h2Zf2EYGd0X6hvtsiCRHWxZlCFGrhFEYP45ik"
+    for t in (f'A = "qrx-82114d92-{key}"', f"value: qrx-82114d92-{key}", f'A = ("qrx-82114d92-{key[:9]}"\n  "{key[9:]}")'):
+        assert [h.rule for h in C.find(t, ".py", C.INDEX.candidates(t))] == ["issued"] and key[:8] not in C.masked(t, C.find(t, ".py"))
+    for t in ('A = "id-82114d92-ffffffffffffffffffffffffffff"', 'A = "82114d92-1111-2222-3333-444455556666"', 'A = "app-82114d92-abcdefghijabcdefghijabcdef"'):
+        assert C.find(t, ".py") == []
+
+
 LONG = "Xk7" + "q9Zt4Lw8Rb2Vn6Hs" * 40  # 643 characters
 LINE = "zTiWbFJKimFHRpjdS7IRtJ2S3UUmT6Y0QAbhIWzAKlVKGNc3ekWLaJJp/wa2Ubl/"
 
 
-@pytest.mark.parametrize("text", [f'CS = "Server=a;Password={LONG};Timeout=30"', f"# pw is {LONG}", f"# login for staging: admin / {LONG}", f"# curl -u deploy:{LONG} https://x", f'u = "https://app:{LONG}@db.test/x"', f'u = "https://{"user" * 30}:{LONG}@db.test/x"'])
+VERY_LONG = LONG * 41  # 26,363 characters
+
+
+@pytest.mark.parametrize("text", [f'CS = "Server=a;Password={VERY_LONG};Timeout=30"', f'u = "https://app:{VERY_LONG}@db.test/x"', f"# pw is {LONG[:300]}", f'CS = "Server=a;Password={LONG};Timeout=30"', f"# pw is {LONG}", f"# login for staging: admin / {LONG}", f"# curl -u deploy:{LONG} https://x", f'u = "https://app:{LONG}@db.test/x"', f'u = "https://{"user" * 30}:{LONG}@db.test/x"'])
 def test_long_values_are_masked_whole(text):
     m = C.masked(text, C.find(text, ".py", C.INDEX.candidates(text)))
     assert len(m) == len(text) and not any(LONG[i : i + 16] in m for i in range(len(LONG) - 16))
