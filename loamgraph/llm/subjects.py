@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +43,26 @@ FUNCTIONS = ("lexicon", "description", "section", "address", "source", "label")
 ALIASES = {"legal": "law", "food": "cooking", "sports": "sport", "health": "medicine", "medical": "medicine", "programming": "software", "farming": "agriculture", "travel": "transport", "transportation": "transport", "space": "astronomy", "banking": "finance", "money": "finance", "teaching": "education", "life science": "biology"}  # fixed values: other spellings of labels
 
 FENCE = re.compile(r"^\s*(?:```|~~~)")
-SPLIT = re.compile(r"(?<=[.!?])[\"')\]]*\s+")
+END = re.compile(r"[.!?][\"')\]]*\s+")
 CODE = re.compile(r"`[^`\n]*`|https?://\S+")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", re.UNICODE)
+ASCII_WORD = re.compile(r"[a-z]+(?:['-][a-z]+)*")
 HEADING = re.compile(r"^\s*#+\s+(.*)$")
 
 
+def _words(s: str) -> list[str]:
+    return ASCII_WORD.findall(s.lower()) if s.isascii() else [w.lower() for w in WORD.findall(s)]
+
+
+def _split(line: str) -> list[str]:
+    """Sentences of a line, without quotes and brackets after the last sign."""
+    out, at = [], 0
+    for m in END.finditer(line):
+        out.append(line[at : m.start() + 1])
+        at = m.end()
+    return [*out, line[at:]]
+
+
 def sentences(text: str | None) -> tuple[list[list[str]], list[list[str]]]:
     """(sentences, headings) as lists of lower-case words; code is left out."""
     out: list[list[str]] = []
@@ -57,19 +71,19 @@ def sentences(text: str | None) -> tuple[list[list[str]], list[list[str]]]:
         return out, heads
     fenced = False
     for line in text.splitlines():
-        if FENCE.match(line):
+        if ("```" in line or "~~~" in line) and FENCE.match(line):
             fenced = not fenced
             continue
         if fenced or not line.strip():
             continue
-        h = HEADING.match(line)
+        h = HEADING.match(line) if "#" in line else None
         if h:
-            heads.append([w.lower() for w in WORD.findall(h[1])])
+            heads.append(_words(h[1]))
             continue
-        for s in SPLIT.split(CODE.sub(" \x00 ", line)):
+        for s in _split(CODE.sub(" \x00 ", line) if "`" in line or "://" in line else line):
             s = s.strip()
             if s and s.rstrip("\"')]").endswith((".", "!", "?", ";", ":")):
-                out.append([w.lower() for w in WORD.findall(s)])
+                out.append(_words(s))
     return out, heads
 
 
@@ -77,75 +91,114 @@ def grams(words: list[str]) -> list[str]:
     return [" ".join(words[i : i + n]) for n in range(1, LONGEST + 1) for i in range(len(words) - n + 1)]
 
 
+def _incidences(docs: list[tuple[list[list[str]], frozenset[str]]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(sequences that occur in `LEAST_DOCS` documents or more, their support, and for each occurrence, once a sentence and in the order of
+    `grams`: sentence, sequence)."""
+    number: dict[str, int] = {}
+    g, s, d, n = [], [], [], 0
+    for i, (sents, _) in enumerate(docs):
+        for words in sents:
+            own = [number.setdefault(x, len(number)) for x in dict.fromkeys(grams(words))]
+            g += own
+            s += [n] * len(own)
+            d += [i] * len(own)
+            n += 1
+    g, s, d = np.array(g, np.int64), np.array(s, np.int64), np.array(d, np.int64)
+    support = np.bincount(np.unique(g * (len(docs) + 1) + d) // (len(docs) + 1), minlength=len(number)) if len(g) else np.zeros(0, np.int64)
+    kept = support >= LEAST_DOCS
+    new = np.cumsum(kept) - 1
+    ok = kept[g] if len(g) else np.zeros(0, bool)
+    return [x for x, k in zip(number, kept) if k], support[kept], s[ok], new[g[ok]] if len(g) else g
+
+
 def learn(docs: list[tuple[list[list[str]], frozenset[str]]], subjects: list[str], rounds: int = 5) -> dict[str, tuple[str, float]]:
     """{word sequence: (subject, share)} from (sentences, labels) of documents. A sentence belongs to each label of its document
     by as much as its three most telling sequences say."""
-    texts = [([list(dict.fromkeys(grams(s))) for s in sents], labels) for sents, labels in docs]
-    support: Counter = Counter(g for sents, _ in texts for g in {g for s in sents for g in s})
-    keep = {g for g, n in support.items() if n >= LEAST_DOCS}
-    texts = [([[g for g in s if g in keep] for s in sents], sorted(labels)) for sents, labels in texts]
+    names, support, sent, gram = _incidences(docs)
+    if not names:
+        return {}
+    labels = ["", *sorted({x for _, ls in docs for x in ls} - {""})]
+    at = {x: i for i, x in enumerate(labels)}
+    member = np.zeros((sum(len(x) for x, _ in docs), len(labels)))  # the labels of a sentence's document; none is the first
+    n = 0
+    for sents, ls in docs:
+        member[n : n + len(sents), [at[x] for x in ls] or [0]] = 1
+        n += len(sents)
+
+    def counted(g: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(g, shares[:, k], len(names)) for k in range(len(labels))], 1)
+
     # documents of one label, or none, say the same in every round
-    fixed: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-    for sents, labels in texts:
-        if len(labels) < 2:
-            x = labels[0] if labels else ""
-            for s in sents:
-                for g in s:
-                    fixed[g][x] += 1.0
-    texts = [t for t in texts if len(t[1]) > 1]
-    share = lambda c: {x: v / z for z in [sum(c.values())] for x, v in c.items()}
-    weight = {g: share(c) for g, c in fixed.items()}
-    telling = {g: max(w.values()) for g, w in weight.items()}
-    first = True
-    for _ in range(rounds):
-        counts: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-        for sents, labels in texts:
-            even = {x: 1 / len(labels) for x in labels}
-            for s in sents:
-                shares = even
-                strong = [] if first else sorted((g for g in s if telling.get(g, 0.0) > 0.3), key=lambda g: -telling[g])[:3]
-                if strong:
-                    score = {x: sum(math.log(weight[g].get(x, 0.0) + 0.03) for g in strong) for x in labels}
-                    top = max(score.values())
-                    e = {x: math.exp(v - top) for x, v in score.items()}
-                    z = sum(e.values())
-                    shares = {x: v / z for x, v in e.items()}
-                for g in s:
-                    c = counts[g]
-                    for x, v in shares.items():
-                        c[x] += v
-        for g, c in counts.items():
-            both = dict(fixed[g]) if g in fixed else {}
-            for x, v in c.items():
-                both[x] = both.get(x, 0.0) + v
-            weight[g] = share(both)
-            telling[g] = max(weight[g].values())
-        first = False
+    several = member.sum(1) > 1
+    open_ = several[sent]
+    fixed = counted(gram[~open_], member[sent[~open_]])
+    sent, gram = sent[open_], gram[open_]
+    rows, sent = np.unique(sent, return_inverse=True)
+    own = member[rows]
+    shares = own / np.maximum(own.sum(1, keepdims=True), 1)
+    weight = fixed / np.maximum(fixed.sum(1, keepdims=True), 1e-300)
+    for i in range(rounds):
+        if i and len(sent):
+            telling = weight.max(1)
+            strong = np.flatnonzero(telling[gram] > 0.3)
+            strong = strong[np.lexsort((strong, -telling[gram[strong]], sent[strong]))]
+            rank = np.arange(len(strong)) - np.searchsorted(sent[strong], sent[strong])
+            strong = strong[rank < 3]
+            score = np.zeros_like(own)
+            np.add.at(score, sent[strong], np.log(weight[gram[strong]] + 0.03))
+            score = np.where(own > 0, score, -np.inf)
+            e = np.exp(score - score.max(1, keepdims=True))
+            shares = e / e.sum(1, keepdims=True)  # where nothing is telling all scores are 0, hence the shares even
+        both = fixed + counted(gram, shares[sent])
+        weight = both / both.sum(1, keepdims=True)
     # words that go with every subject are those of sentence patterns; a phrase neither begins nor ends with one
-    common = {g for g, w in weight.items() if " " not in g and support[g] >= COMMON_DOCS and max(w.values()) < COMMON_SHARE}
+    top = weight.max(1)
+    common = {g for g, n, w in zip(names, support, top) if " " not in g and n >= COMMON_DOCS and w < COMMON_SHARE}
     out = {}
-    for g, w in weight.items():
-        if g.split(" ", 1)[0] in common or g.rsplit(" ", 1)[-1] in common:
-            continue
-        best = max(w, key=lambda x: (w[x], x))
-        if best in subjects and w[best] >= (PURITY if " " in g else PURITY_WORD):
-            out[g] = (best, w[best])
+    for g, w, share in zip(names, weight, top):
+        if share >= (PURITY if " " in g else PURITY_WORD) and g.split(" ", 1)[0] not in common and g.rsplit(" ", 1)[-1] not in common:
+            best = max(labels[k] for k in np.flatnonzero(w == share))
+            if best in subjects:
+                out[g] = (best, float(share))
     return out
 
 
-def concerned(sentence: list[str], lexicon: dict[str, tuple[str, float]]) -> set[str]:
+class Lexicon:
+    """Word sequences by their first word, so that a sentence is tried only where one can begin."""
+
+    def __init__(self, phrases: dict[str, tuple[str, float]]) -> None:
+        self.phrases, self.sizes = phrases, {}
+        for p in phrases:
+            words = p.split(" ")
+            self.sizes.setdefault(words[0], set()).add(len(words))
+
+    def __bool__(self) -> bool:
+        return bool(self.phrases)
+
+
+def concerned(sentence: list[str], lexicon: Lexicon) -> set[str]:
     """Subjects of a sentence: longest sequences first, no word twice; a subject with less than half the weight of the
     strongest one is a chance word of that one's phrase."""
-    score: dict[str, float] = defaultdict(float)
-    used, n = [False] * len(sentence), len(sentence)
-    for size in range(min(LONGEST, n), 0, -1):
-        for i in range(n - size + 1):
-            if not any(used[i : i + size]):
-                hit = lexicon.get(" ".join(sentence[i : i + size]))
-                if hit:
-                    score[hit[0]] += hit[1] * size
-                    used[i : i + size] = [True] * size
-    top = max(score.values(), default=0.0)
+    sizes, phrases, hits = lexicon.sizes, lexicon.phrases, []
+    for i, w in enumerate(sentence):
+        if w in sizes:
+            for size in sizes[w]:
+                hit = phrases.get(w if size == 1 else " ".join(sentence[i : i + size]))
+                if hit and i + size <= len(sentence):
+                    hits.append((-size, i, hit))
+    if not hits:
+        return set()
+    if len(hits) == 1:
+        return {hits[0][2][0]}
+    hits.sort(key=lambda h: h[:2])
+    score: dict[str, float] = {}
+    used: set[int] = set()
+    for size, i, (subject, weight) in hits:
+        words = range(i, i - size)
+        if used.isdisjoint(words):
+            score[subject] = score.get(subject, 0.0) - weight * size
+            used.update(words)
+    top = max(score.values())
     return {s for s, v in score.items() if v >= top / 2}
 
 
@@ -235,20 +288,19 @@ def assign(docs: DataFrame, subjects: DataFrame, labels: DataFrame, label_rows:
     facts, _ = cut(d.where("text is not null").select("doc_id", "repo", "source").join(meant, "doc_id"), "facts")
     total, *each_ = facts.agg(F.count("*"), *(F.count_if(F.array_contains("meant", s)) for s in names)).first()
     base = dict(zip(names, each_))
-    shared = spark.sparkContext.broadcast((lexicon, words))
+    shared = spark.sparkContext.broadcast((Lexicon(lexicon), words))
 
     def vote(batches):
         lexicon, words = shared.value
         for b in batches:
             keys, votes, shares = [], [], []
-            for text, lab in zip(*(b.column(c).to_pylist() for c in ("text", "labels"))):
+            for text in b.column("text").to_pylist():
                 sents, heads = sentences(text)
                 per = [concerned(s, lexicon) for s in sents]
                 any_ = sum(bool(x) for x in per)
                 count = Counter(s for x in per for s in x)
                 said = Counter(words[w] for s in sents for w in s if w in words)
                 titled = {s for h in heads for s in concerned(h, lexicon)}
-                meant = {normal_label(x, known) for x in lab or []} - {None}
                 row, sh = [], []
                 for s in names:
                     share = count[s] / any_ if any_ else 0.0
@@ -256,9 +308,9 @@ def assign(docs: DataFrame, subjects: DataFrame, labels: DataFrame, label_rows:
                         1 if any_ and share >= SHARE else -1,
                         1 if said[s] and said[s] == max(said.values()) else 0,
                         1 if s in titled else 0,
-                        0,  # address and source are added where they are joined
+                        0,  # address, source and label are added where they are joined
+                        0,
                         0,
-                        0 if not meant else 1 if s in meant else -1,
                     )
                     row.append(sum((x + 1) * 3**j for j, x in enumerate(v)))
                     sh.append(share)
@@ -268,12 +320,13 @@ def assign(docs: DataFrame, subjects: DataFrame, labels: DataFrame, label_rows:
             yield pa.RecordBatch.from_arrays([*keep, pa.array(votes, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float64()))], ["doc_id", "repo", "source", "lang", "votes", "shares"])
 
     doc_type = d.schema["doc_id"].dataType.simpleString()
-    src = d.join(by_doc, "doc_id", "left").where("text is not null").select(*cols, "labels")
-    voted, _ = cut(src.mapInArrow(vote, f"doc_id {doc_type}, repo string, source string, lang string, votes array<int>, shares array<double>"), "votes")
+    voted, _ = cut(d.where("text is not null").mapInArrow(vote, f"doc_id {doc_type}, repo string, source string, lang string, votes array<int>, shares array<double>"), "votes")
     if total:
         for j, value in ((FUNCTIONS.index("address"), "repo"), (FUNCTIONS.index("source"), "source")):
             known_votes = tendencies(facts, value, names, total, base)
             voted = voted.join(known_votes, value, "left").withColumn("votes", F.coalesce(F.expr(f"zip_with(votes, {value}_votes, (x, y) -> x + y * {3**j})"), "votes")).drop(f"{value}_votes")
+        own = F.expr(f"zip_with(votes, names, (x, s) -> x + {3 ** FUNCTIONS.index('label')} * case when meant is null then 0 when array_contains(meant, s) then 1 else -1 end)")
+        voted = voted.withColumn("names", F.array(*map(F.lit, names))).join(meant, "doc_id", "left").withColumn("votes", own).drop("names", "meant")
         voted, _ = cut(voted, "votes")
     each = voted.select("doc_id", "repo", "source", "lang", F.posexplode(F.arrays_zip("votes", "shares")).alias("i", "v")).select("doc_id", "repo", "source", "lang", "i", F.col("v.votes").alias("pattern"), F.col("v.shares").alias("share"))
     table = each.groupBy("i", "pattern").agg(F.count("*").alias("n")).collect()  # at most subjects x 3^6 rows

@@ -65,7 +65,7 @@ def test_empty(spark):
 def test_quarter():
     lex = {"patent claims": ("law", 1.0), "relay batons": ("sport", 1.0)}
     sents, heads = S.sentences("# Patent claims\nRows about patent claims arrive. " + "Rows about relay batons arrive. " * 3 + "See it. `patent claims` stay.")
-    per = [S.concerned(s, lex) for s in sents]
+    per = [S.concerned(s, S.Lexicon(lex)) for s in sents]
     assert heads == [["patent", "claims"]] and [sorted(p) for p in per] == [["law"], ["sport"], ["sport"], ["sport"], [], []]
 
 
