@@ -1,20 +1,24 @@
 """The k most similar vectors for every vector: a forest of random-projection trees.
 
 1. Fit: a bounded sample of the usable vectors (`sample_rows`) grows `trees` trees; each split is the hyperplane between
-   two random points, cut at the sample's median. The depth follows the number of rows, so a leaf holds about `leaf_rows`
-   of all rows. The trees are a few MB at most (sample_rows bounds them) and are sent to the tasks.
-2. Route: every vector is stored in its own leaf of each tree. The `probes` further leaves that it asks as well are those
-   that a queue shared by all trees gives out first: the branches not taken with the smallest margin.
-3. Search: `block_leaves` neighbouring leaves of a tree are one group, so that a vector moves once however many of them it
-   asks. In each leaf a block of exact cosines in single precision preselects, double precision reranks.
+   two random points, moved by a few steps of 2-means, cut at the sample's median. The depth follows the number of rows, so a leaf holds at most
+   about `leaf_rows` of them, a few hundred. The trees are a few MB at most (sample_rows bounds them) and are sent to the tasks.
+2. Route: every vector is stored in its own leaf of each tree. The leaves that it asks as well are those
+   that a queue shared by all trees gives out first: the branches not taken, the one with the smallest margin first, `probes` of them.
+   `block_leaves` neighbouring leaves of a tree are one group, which is one task, so that a vector moves once however many of
+   them it asks; it goes to at most `away` groups beyond its own.
+3. Search: in each leaf a block of exact cosines in single precision preselects, double precision reranks. A leaf that holds several times
+   `leaf_rows`, as the sample allows no deeper trees, is a forest of its own: it is grown from its own rows and searched through a queue in the same way.
 4. Merge: the lists of one vector from several leaves give its k best.
 
 Every row is indexed and every row gets its neighbours. Copies: rows whose directions agree to 6 decimals have a cosine of
 1 with each other, so of more than k + 1 such rows only the k + 1 smallest ids are searched for; the others have the same
 neighbours as the last of those and get them by a join. Of more than k + 1 rows with exactly one direction, whatever
 their lengths, only the k + 1 smallest ids are stored, as no list has room for more. So a direction that a third of all rows
-share never makes a quadratic leaf. Rows left over in an oversized leaf (`max_leaf`) are split further in the task, by
-the same kind of split.
+share never makes a quadratic leaf.
+
+Ids move as 64-bit keys. Whether two ids share a key is tested for all of them; if so, the keys are made again with
+another seed.
 
 Defined results: null vectors, vectors of another length than `dim`, with null, NaN or infinite entries or of norm 0
 take no part, nor do null ids; a repeated id counts once (its smallest vector hash); order is by cosine rounded to 10
@@ -31,13 +35,14 @@ from pyspark.sql import functions as F
 K = 5
 DIM = 64
 TREES = 2
-PROBES = 4
+PROBES = 32
 PROBE_MARGIN = 0.12
-LEAF_ROWS = 6000
-BLOCK_LEAVES = 8
-MAX_LEAF = 24_000
-SAMPLE_ROWS = 32_768
+AWAY = 2
+LEAF_ROWS = 600
+BLOCK_LEAVES = 128
+SAMPLE_ROWS = 131_072
 MIN_SAMPLE_PER_LEAF = 8
+MOST_SALTS = 64  # two ids of a billion share a key in one of 37 tries
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int = DIM) -> DataFrame:
@@ -82,12 +87,13 @@ class Forest:
             node[at] = 2 * own + 1 + right
         return node, margins, others
 
-    def route(self, x: np.ndarray, probes: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def route(self, x: np.ndarray, probes: int, margin: float, block: int = 1, away: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, leaf, own): `own` marks the leaves that store the row, the others are only asked. The queue of a row
         holds the branches not taken in any tree; the one with the smallest margin comes out, and the branches not taken
-        below it go in, none before the branch that led there."""
+        below it go in, none before the branch that led there. `block` neighbouring leaves of a tree lie together; a leaf that comes out counts as a
+        probe, but is asked only while it lies with one asked before, or is in one of the first `away` further blocks."""
         n, trees, inner = len(x), len(self.w), 2**self.depth - 1
-        rows, leaves, own, margins, others = [], [], [], [], []
+        rows, leaves, own, margins, others, met = [], [], [], [], [], []
         for t in range(trees):
             leaf, m, o = self.descend(x, np.full(n, t), np.zeros(n, np.int64))
             rows.append(np.arange(n))
@@ -95,8 +101,10 @@ class Forest:
             own.append(np.ones(n, bool))
             margins.append(m)
             others.append(o * trees + t)
+            met.append((leaf - inner) // block * trees + t)
         if self.depth and n:
-            m, o = np.concatenate(margins, 1), np.concatenate(others, 1)
+            m, o, blocks = np.concatenate(margins, 1), np.concatenate(others, 1), np.stack(met, 1)
+            left = np.full(n, probes if away is None else away)
             for _ in range(probes):
                 at = m.argmin(1)
                 least = m[np.arange(n), at]
@@ -106,9 +114,16 @@ class Forest:
                 branch = o[near, at[near]]
                 m[near, at[near]] = np.inf
                 leaf, below, off = self.descend(x[near], branch % trees, branch // trees)
-                rows.append(near)
-                leaves.append((leaf - inner) * trees + branch % trees)
-                own.append(np.zeros(len(near), bool))
+                place = (leaf - inner) // block * trees + branch % trees
+                new = ~(blocks[near] == place[:, None]).any(1)
+                asked = ~new | (left[near] > 0)
+                left[near[new & asked]] -= 1
+                rows.append(near[asked])
+                leaves.append(((leaf - inner) * trees + branch % trees)[asked])
+                own.append(np.zeros(int(asked.sum()), bool))
+                added = np.full(n, -1)
+                added[near[asked]] = place[asked]
+                blocks = np.concatenate([blocks, added[:, None]], 1) if away is None or (new & asked).any() else blocks
                 more, where = np.full((n, self.depth), np.inf, np.float32), np.zeros((n, self.depth), np.int64)
                 more[near], where[near] = np.maximum(below, least[near, None]), off * trees + (branch % trees)[:, None]
                 m, o = np.concatenate([m, more], 1), np.concatenate([o, where], 1)
@@ -227,40 +242,51 @@ def _order(ids: list[str] | np.ndarray) -> np.ndarray:
     return order
 
 
-def search_leaf(v: np.ndarray, ids: list[str] | np.ndarray, own: np.ndarray, k: int, max_leaf: int, seed: int = 7, asks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The k best stored rows of one leaf for each of its rows, or of those that ask. A leaf where more than `max_leaf` rows
-    ask is split until its parts fit."""
-    unit = _unit(v)
-    order = _order(ids)
-    best, cos = np.full((len(v), k), -1, np.int64), np.full((len(v), k), -2.0)
-    rng, stack = np.random.default_rng(seed), [np.arange(len(v))]
-    while stack:
-        rows = stack.pop()
-        asking = rows if asks is None else rows[asks[rows]]
-        if len(asking) > max_leaf:
-            x = unit[rows].astype(np.float32)
-            w, b = split(x, rng)
-            right = x @ w > b
-            if right.any() and not right.all():
-                stack += [rows[right], rows[~right]]
-                continue
-        stored = rows[own[rows]]
-        if len(stored) and len(asking):
-            best[asking], cos[asking] = _topk(unit, unit, asking, stored, order, k)
-    return best, cos
+def _merge(best: np.ndarray, cos: np.ndarray, at: np.ndarray, more: np.ndarray, more_cos: np.ndarray, order: np.ndarray) -> None:
+    """The rows `at` of two lists of k are joined in place; no point is in both."""
+    b, c = np.concatenate([best[at], more], 1), np.concatenate([cos[at], more_cos], 1)
+    o = np.lexsort((order[b], -c), axis=1)[:, : best.shape[1]]
+    best[at], cos[at] = np.take_along_axis(b, o, 1), np.take_along_axis(c, o, 1)
+
+
+def search_leaf(unit: np.ndarray, order: np.ndarray, asking: np.ndarray, stored: np.ndarray, k: int, leaf_rows: int, probes: int, margin: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """For the rows `asking` their k best of the rows `stored`, never themselves: (rows, cosines), -1 where there are fewer. More than four
+    times `leaf_rows` stored rows are searched through a tree of their own."""
+    best, cos = np.full((len(asking), k), -1, np.int64), np.full((len(asking), k), -2.0)
+    if not len(asking) or not len(stored):
+        return best, cos
+    if len(stored) > 4 * leaf_rows:
+        x = unit[stored].astype(np.float32)
+        tree = Forest(x, -(-len(stored) // leaf_rows), 1, seed)
+        _, home, _ = tree.route(x, 0, margin)
+        if len(np.unique(home)) > 1:
+            row, leaf, _ = tree.route(unit[asking].astype(np.float32), probes, margin)
+            for g in np.unique(leaf):
+                own = row[leaf == g]
+                some = search_leaf(unit, order, asking[own], stored[home == g], k, len(stored), probes, margin, seed)
+                _merge(best, cos, own, *some, order)
+            return best, cos
+    return _topk(unit, unit, asking, stored, order, k)
 
 
 def _search(
-    df: DataFrame, id_col: str, vec_col: str, k: int = K, dim: int = DIM, trees: int = TREES, probes: int = PROBES, margin: float = PROBE_MARGIN, leaf_rows: int = LEAF_ROWS, block_leaves: int = BLOCK_LEAVES, max_leaf: int = MAX_LEAF, sample_rows: int = SAMPLE_ROWS, seed: int = 11
+    df: DataFrame, id_col: str, vec_col: str, k: int = K, dim: int = DIM, trees: int = TREES, probes: int = PROBES, margin: float = PROBE_MARGIN, away: int | None = AWAY, leaf_rows: int = LEAF_ROWS, block_leaves: int = BLOCK_LEAVES, sample_rows: int = SAMPLE_ROWS, seed: int = 11
 ) -> tuple[DataFrame, DataFrame]:
     """(key, near_key, rank, cosine) and (key, id): the lists by 64-bit keys of the ids, and what the keys stand for."""
     spark = df.sparkSession
     base = usable(df, id_col, vec_col, dim).withColumn("h", F.xxhash64("v"))
-    again = base.groupBy(F.xxhash64("id").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key")
-    if not again.isEmpty():
-        keyed = base.withColumn("key", F.xxhash64("id"))
-        once = keyed.join(again, "key", "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("h"))).where("r = 1")
-        base = keyed.join(again, "key", "left_anti").select("id", "v", "h").unionByName(once.select("id", "v", "h"))
+    for salt in range(MOST_SALTS):
+        own_key = lambda c, salt=salt: F.xxhash64(c) if not salt else F.xxhash64(F.lit(salt), c)
+        again = base.groupBy(own_key("id").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key")
+        if again.isEmpty():
+            break
+        keyed = base.withColumn("key", own_key("id"))
+        if keyed.join(again, "key", "left_semi").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").isEmpty():
+            once = keyed.join(again, "key", "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("h"))).where("r = 1")
+            base = keyed.join(again, "key", "left_anti").select("id", "v", "h").unionByName(once.select("id", "v", "h"))
+            break
+    else:
+        raise RuntimeError("no seed gives each id a key of its own")
     # directions: exactly, and to so many decimals that the cosine of two equal ones is 1 at 10 decimals
     scale, odd = 1e6 if dim < 100 else 1e7, np.random.default_rng(seed).integers(-(2**62), 2**62, dim) * 2 + 1
 
@@ -299,7 +325,7 @@ def _search(
         for b in batches:
             v, ids, key = _vectors(b.column("v"), dim), b.column("id"), np.asarray(b.column("key"))
             asks = np.asarray(b.column("asks").to_numpy(zero_copy_only=False))
-            row, leaf, own = f.route(_unit(v).astype(np.float32), probes, margin)
+            row, leaf, own = f.route(_unit(v).astype(np.float32), probes, margin, block_leaves, away)
             row, leaf, own = (x[own | asks[row]] for x in (row, leaf, own))
             group = leaf // trees // block_leaves * trees + leaf % trees
             blocks = []
@@ -319,35 +345,32 @@ def _search(
         row = np.concatenate([p[3] + n for p, n in zip(parts, start)])
         leaf, own, asks = (np.concatenate([p[i] for p in parts]) for i in (4, 5, 6))
         order = _order([x or "" for p in parts for x in p[1]])
-        rows, nears, coss = [], [], []
-        for x in np.unique(leaf):
-            at = np.nonzero(leaf == x)[0]
-            best, cos = search_leaf(v[row[at]], order[row[at]], own[at], k, max_leaf, asks=asks[at])
-            ok = best >= 0
-            rows.append(np.broadcast_to(row[at][:, None], ok.shape)[ok])
-            nears.append(row[at][best[ok]])
-            coss.append(cos[ok])
-        rows, nears, coss = np.concatenate(rows), np.concatenate(nears), np.concatenate(coss)
-        _, first = np.unique(rows * len(key) + nears, return_index=True)  # each neighbour once, then the k best of all leaves
-        first = first[np.lexsort((order[nears[first]], -coss[first], rows[first]))]
-        rows, nears, coss = rows[first], nears[first], coss[first]
-        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        rows, nears, coss, rank = (x[rank < k] for x in (rows, nears, coss, rank))
+        order = np.append(order, len(order))  # for places that hold no row
+        unit = _unit(v)
+        best, cos = np.full((len(key), k), -1, np.int64), np.full((len(key), k), -2.0)
+        by = np.argsort(leaf, kind="stable")
+        for at in np.split(by, np.flatnonzero(np.diff(leaf[by])) + 1):
+            asking = row[at[asks[at]]]
+            # a tree stores a point in one leaf, so no list has it twice
+            some = search_leaf(unit, order, asking, row[at[own[at]]], k, leaf_rows, probes, margin)
+            _merge(best, cos, asking, *some, order)
+        rows, rank = np.nonzero(best >= 0)
+        nears, coss = best[rows, rank], cos[rows, rank]
         asked, n = np.unique(rows, return_counts=True)
         off = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
         near = pa.ListArray.from_arrays(off, pa.StructArray.from_arrays([pa.array(-coss), pa.array(rank.astype(np.int32)), pa.array(key[nears])], ["c", "r", "key"]))
         return pa.Table.from_arrays([pa.array(key[asked]), near], ["key", "near"])
 
-    routed = searched.select("id", F.xxhash64("id").alias("key"), "v", "asks").mapInArrow(route, "group int, block binary")
+    routed = searched.select("id", own_key("id").alias("key"), "v", "asks").mapInArrow(route, "group int, block binary")
     hits = routed.groupBy("group").applyInArrow(search, "key bigint, near array<struct<c double, r int, key bigint>>")
     merged = hits.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
     # one entry per neighbour, the best k: lists hold at most k times the leaves asked
     distinct = F.aggregate("near", F.array().cast("array<struct<c:double,r:int,key:bigint>>"), lambda acc, x: F.when((F.size(acc) >= k) | F.exists(acc, lambda y: y["key"] == x["key"]), acc).otherwise(F.concat(acc, F.array(x))))
     found = merged.select("key", F.posexplode(distinct).alias("rank0", "x")).select("key", F.col("x.key").alias("near_key"), (F.col("rank0") + 1).alias("rank"), (-F.col("x.c")).alias("cosine"))
     if rest is not None:
-        like = rest.join(last, ["h", "near"]).select(F.xxhash64("id").alias("copy"), F.xxhash64("like").alias("key"))
+        like = rest.join(last, ["h", "near"]).select(own_key("id").alias("copy"), own_key("like").alias("key"))
         found = found.unionByName(like.join(found, "key").select(F.col("copy").alias("key"), "near_key", "rank", "cosine"))
-    return found, base.select(F.xxhash64("id").alias("key"), "id")
+    return found, base.select(own_key("id").alias("key"), "id")
 
 
 def neighbours(df: DataFrame, id_col: str, vec_col: str, **options) -> DataFrame:

@@ -93,9 +93,11 @@ QUERIES = {
     "p6_found": p6_found, "p6_files": p6_files,
     "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares,
 }
-# all pairs: for the sizes at which SQL is compared, where the forest has one leaf and is exact
-SQL: dict[str, str] = {
-    "p2_found": """with c as (select point_id as id, cast(vector as double[]) as v from vectors where len(vector) = 64 and point_id is not null and len(list_filter(vector, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0),
+_VEC = """with c as (select point_id as id, cast(vector as double[]) as v from vectors where len(vector) = 64 and point_id is not null and len(list_filter(vector, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0),
  n as (select id, v, sqrt(list_dot_product(v, v)) as n from c), p as (select a.id, b.id as other, round(list_dot_product(a.v, b.v) / (a.n * b.n), 10) as cosine from n a join n b on a.id <> b.id),
- k as (select id, other from p qualify row_number() over (partition by id order by cosine desc, other) <= 5) select distinct least(id, other) as point_lo, greatest(id, other) as point_hi from k""",
+ k as (select id, other, cosine, row_number() over (partition by id order by cosine desc, other) as rank from p qualify row_number() over (partition by id order by cosine desc, other) <= 5)"""
+# all pairs, at the size at which SQL is compared; there the forest has four leaves a tree
+SQL: dict[str, str] = {
+    "p2_found": f"{_VEC} select distinct least(id, other) as point_lo, greatest(id, other) as point_hi from k",
+    "p2_neighbours": f"{_VEC} select id, other as neighbour, cast(rank as integer) as rank, cosine from k",
 }

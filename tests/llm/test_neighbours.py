@@ -54,9 +54,14 @@ def test_recall_of_the_forest(spark):
 
 def test_oversized_leaf_is_split():
     rng = np.random.default_rng(3)
-    v = rng.standard_normal((500, 8)).astype(np.float32)
-    best, cos = N.search_leaf(v, [f"{i:03}" for i in range(500)], np.ones(500, bool), 3, 100)
-    assert (best >= 0).all() and (np.diff(cos, axis=1) <= 0).all()
+    unit, every = N._unit(rng.standard_normal((2000, 8)).astype(np.float32)), np.arange(2000)
+    order = np.append(every, 2000)
+    best, cos = N.search_leaf(unit, order, every, every, 3, 100, 8, 0.5)
+    assert (best >= 0).all() and (best != every[:, None]).all() and (np.diff(cos, axis=1) <= 0).all()
+    exact, _ = N.search_leaf(unit, order, every, every, 3, 2000, 8, 0.5)
+    assert np.mean([len(set(a) & set(b)) / 3 for a, b in zip(best, exact)]) > 0.9
+    few, _ = N.search_leaf(unit, order, every[:7], every[:2], 3, 100, 8, 0.5)
+    assert few[:3].tolist() == [[1, -1, -1], [0, -1, -1], sorted([0, 1], key=lambda j: -unit[2] @ unit[j]) + [-1]]
 
 
 def test_route_of_empty_batch():
@@ -79,9 +84,13 @@ def test_queue_gives_out_several_leaves():
     x = rng.standard_normal((4000, 8)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     f = N.Forest(x, 64, 2, 1)
-    rows, leaves, own = f.route(x[:200], N.PROBES, N.PROBE_MARGIN)
+    rows, leaves, own = f.route(x[:200], 14, 9.0)
     asked = [set(leaves[rows == i]) for i in range(200)]
-    assert [len(s) for s in asked] == list(np.bincount(rows, minlength=200)) and max(map(len, asked)) == 6  # no leaf twice
+    assert [len(s) for s in asked] == list(np.bincount(rows, minlength=200)) and min(map(len, asked)) == max(map(len, asked)) == 16  # no leaf twice
+    near, places, _ = f.route(x[:200], 14, 9.0, 8, 1)
+    assert all({*places[near == i]} <= asked[i] for i in range(200))
+    groups = [{(p // 2 // 8, p % 2) for p in places[near == i]} for i in range(200)]
+    assert max(map(len, groups)) == 3 and np.mean([len(places[near == i]) for i in range(200)]) > 4
     assert all((leaves[(rows == i) & own] % 2).tolist() == [0, 1] for i in range(200))
     every = f.route(x[:3], 2 * 64, 9.0)
     assert all(len(set(every[1][every[0] == i])) == 128 for i in range(3))
@@ -111,8 +120,8 @@ def test_ties_beyond_the_preselection():
     rng = np.random.default_rng(7)
     v = np.concatenate([np.outer(rng.uniform(0.1, 9, 300), rng.integers(1, 9, 64)), rng.standard_normal((200, 64))]).astype(np.float32)
     ids = [f"{i:03}" for i in rng.permutation(500)]
-    best, _ = N.search_leaf(v, ids, np.ones(500, bool), 5, 1000)
     u = N._unit(v)
+    best, _ = N.search_leaf(u, np.append(N._order(ids), 500), np.arange(500), np.arange(500), 5, 1000, 1, 0.1)
     c = np.round(u @ u.T, 10)
     for i in range(500):
         assert [ids[j] for j in best[i]] == [ids[j] for j in sorted((j for j in range(500) if j != i), key=lambda j: (-c[i, j], ids[j]))[:5]], i
@@ -121,7 +130,18 @@ def test_ties_beyond_the_preselection():
 def test_one_direction_makes_no_quadratic_leaf(spark, monkeypatch):
     asked, topk = [], N._topk
     monkeypatch.setattr(N, "_topk", lambda q, p, qi, pi, order, k: asked.append(len(qi)) or topk(q, p, qi, pi, order, k))
-    n, own = 300, np.ones(300, bool)
-    v = np.outer(np.arange(1, n + 1), np.ones(8)).astype(np.float32)
-    best, _ = N.search_leaf(v, [f"{i:03}" for i in range(n)], own, 3, 100, asks=np.arange(n) < 4)
-    assert asked == [4] and best[3].tolist() == [0, 1, 2] and (best[4:] == -1).all()
+    n = 300
+    unit = N._unit(np.outer(np.arange(1, n + 1), np.ones(8)).astype(np.float32))
+    best, _ = N.search_leaf(unit, np.arange(n + 1), np.arange(4), np.arange(n), 3, 20, 8, 0.1)
+    assert asked == [4] and best[3].tolist() == [0, 1, 2]
+
+
+def test_keys_are_made_again_when_two_ids_share_one(spark, monkeypatch):
+    """With keys of one bit ids share keys under every seed: no result instead of a wrong one. With more the next seed serves."""
+    hash_ = N.F.xxhash64
+    monkeypatch.setattr(N.F, "xxhash64", lambda *c: hash_(*c) if isinstance(c[0], str) and c[0] == "v" else N.F.pmod(hash_(*c), N.F.lit(2)))
+    rows = [(f"p{i}", [1.0 + i] * 7 + [1.0]) for i in range(9)]
+    with pytest.raises(RuntimeError):
+        run(spark, rows)
+    monkeypatch.setattr(N.F, "xxhash64", lambda *c: N.F.lit(5).cast("long") if len(c) == 1 and isinstance(c[0], str) and c[0] == "id" else hash_(*c))
+    assert run(spark, rows) == brute(rows, 3)
