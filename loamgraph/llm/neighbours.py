@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 K = 5
 DIM = 64
 TREES = 2
-PROBES = 32
+PROBES = 24
 PROBE_MARGIN = 0.12
 AWAY = 2
 LEAF_ROWS = 600
@@ -160,23 +160,38 @@ def _vectors(col: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return np.asarray(a.flatten(), dtype=np.float32).reshape(len(a), dim)
 
 
-def _pack(key: np.ndarray, ids: pa.Array, v: np.ndarray, row: np.ndarray, leaf: np.ndarray, own: np.ndarray, asks: np.ndarray) -> bytes:
-    """Vectors of one group and the leaves they ask (`row` numbers the vectors), compressed; bytes of equal weight together."""
-    planes = np.ascontiguousarray(v, np.float32).view(np.uint8).reshape(len(v), -1, 4)
-    cols = [pa.Array.from_buffers(pa.binary(v.shape[1]), len(v), [None, pa.py_buffer(np.ascontiguousarray(planes[:, :, i]))]) for i in range(4)]
+def _streams(*tables: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    for t in (pa.table([pa.array(key), ids, *cols], ["key", "id", "0", "1", "2", "3"]), pa.table([pa.array(row.astype(np.int32)), pa.array(leaf.astype(np.int32)), pa.array(own), pa.array(asks)], ["row", "leaf", "own", "asks"])):
+    for t in tables:
         with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_table(t)
     return sink.getvalue().to_pybytes()
 
 
+def _pack(key: np.ndarray, ids: pa.Array, v: np.ndarray, asks: np.ndarray, row: np.ndarray, leaf: np.ndarray, own: np.ndarray) -> bytes:
+    """Vectors of one group, whether they ask, and the leaves of the group that store them or are asked (`row` numbers the vectors, `leaf`
+    the leaves of the group), compressed; bytes of equal weight together, a small number for a leaf."""
+    planes = np.ascontiguousarray(v, np.float32).view(np.uint8).reshape(len(v), -1, 4)
+    cols = [pa.Array.from_buffers(pa.binary(v.shape[1]), len(v), [None, pa.py_buffer(np.ascontiguousarray(planes[:, :, i]))]) for i in range(4)]
+    home = np.full(len(v), -1, np.int16)
+    home[row[own]] = leaf[own]
+    row, leaf = row[~own], leaf[~own]
+    order = np.lexsort((leaf, row))
+    others = np.bincount(row, minlength=len(v)).astype(np.uint16)
+    small = np.uint8 if not len(leaf) or leaf.max() < 256 else np.uint16
+    return _streams(pa.table([pa.array(key), ids, *cols, pa.array(asks), pa.array(home), pa.array(others)], ["key", "id", "0", "1", "2", "3", "asks", "home", "others"]), pa.table([pa.array(leaf[order].astype(small))], ["leaf"]))
+
+
 def _unpack(block: bytes, dim: int) -> tuple[np.ndarray, list[str | None], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, ids, vectors, and for each leaf that stores or is asked by a vector: row, leaf, own, asks)."""
     source = pa.BufferReader(block)
-    t, asks = pa.ipc.open_stream(source).read_all().combine_chunks(), pa.ipc.open_stream(source).read_all()
+    t, leaf = pa.ipc.open_stream(source).read_all().combine_chunks(), pa.ipc.open_stream(source).read_all().column("leaf")
     planes = [np.frombuffer(c.buffers()[1], np.uint8)[: len(c) * dim].reshape(len(c), dim) for c in (t.column(str(i)).chunk(0) for i in range(4))]
     v = np.ascontiguousarray(np.stack(planes, 2)).view(np.float32)[:, :, 0]
-    return np.asarray(t.column("key")), t.column("id").to_pylist(), v, np.asarray(asks.column("row")), np.asarray(asks.column("leaf")), np.asarray(asks.column("own")), np.asarray(asks.column("asks"))
+    home, asks = np.asarray(t.column("home")), np.asarray(t.column("asks"))
+    stored, asking = np.flatnonzero(home >= 0), np.repeat(np.arange(len(v)), np.asarray(t.column("others")))
+    own = np.arange(len(stored) + len(asking)) < len(stored)
+    return np.asarray(t.column("key")), t.column("id").to_pylist(), v, np.concatenate([stored, asking]), np.concatenate([home[stored], np.asarray(leaf).astype(np.int16)]), own, np.concatenate([asks[stored], np.ones(len(asking), bool)])
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -335,7 +350,7 @@ def _search(
                 stored = np.zeros(len(rows), bool)
                 stored[again[own[at]]] = True
                 names = ids.take(pa.array(rows, mask=~stored))  # only stored rows are put in order
-                blocks.append((int(g), _pack(key[rows], names, v[rows], again, leaf[at], own[at], asks[row[at]])))
+                blocks.append((int(g), _pack(key[rows], names, v[rows], asks[rows], again, leaf[at] // trees % block_leaves, own[at])))
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], ["group", "block"])
 
     def search(t: pa.Table) -> pa.Table:
