@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 
 EMPTY, EPS = 0, 1
-MEMO_LIMIT = 1_500_000  # entries; beyond it a worker starts afresh, with the same results
+MEMO_LIMIT = 1_500_000  # entries; beyond it they are made again, with the same results
 
 _TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*')|([A-Za-z_]\w*)|(<!)|([=|;\[\]{}()>]))")
 
@@ -195,6 +195,8 @@ class Grammar:
             v = EMPTY if token in t[1] else self.derive(t[2], token)
         else:
             v = EMPTY
+        if len(self.memo) > MEMO_LIMIT:  # within one odd file, too, nothing grows without bound but its terms
+            self.memo.clear()
         self.memo[key] = v
         return v
 

@@ -18,7 +18,7 @@ PY_TOKEN = re.compile(
 )
 BLANK_LINE = re.compile(r"([ \t\f]*)(?:#[^\r\n]*)?(\r\n|\n|\r|\Z)")
 INDENT = re.compile(r"[ \t\f]*")
-MOST_OPEN, MOST_INDENTS = 200, 100  # limits of the language's own tokenizer
+MOST_OPEN, MOST_INDENTS = 200, 100  # limits of Python's own tokenizer
 AFTER_NUMBER = re.compile(r"(?:and|else|for|if|in|is|not|or)\b|(?![\w])")
 
 

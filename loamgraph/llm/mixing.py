@@ -8,7 +8,7 @@ taken through a pseudorandom permutation of the source's blocks (one per pass ov
 
 Defined results: only sources with a target are used, names compared exactly; null and blank texts have no tokens; a
 source without documents, or whose capped size is below its target, gives what it has, the others share the rest in
-proportion to their targets (never beyond their caps); repeated target rows count once (the largest share); shares that are null or not
+proportion to their targets (never beyond their caps); repeated target rows count once (the largest share, then the tightest cap); shares that are null or not
 positive give nothing; `max_repeats` null is no cap, below 1 gives nothing; the last block of a source may be shorter;
 empty tables give an empty mix.
 """
@@ -26,15 +26,22 @@ from loamgraph.session import cut
 BLOCK = 512
 SHARD_BLOCKS = 256
 SEED = 97
-EXACT = 10**9  # beyond it numpy draws no hypergeometric numbers; the split is then proportional
+EXACT = 10**9  # numpy draws hypergeometric numbers below it
 
 
-def quotas(tokens: dict[str, int], targets: list[tuple[str, float, int | None]], total: int | None = None) -> dict[str, int]:
-    """Tokens that each source gives. `total` is the size of the mix; None: all tokens of the sources with a target."""
-    want = {}
+def goals_of(targets: list[tuple[str, float, int | None]]) -> dict[str, tuple[float, int | None]]:
+    """(share, cap) of each source: of repeated targets the largest share counts, of equal ones the tightest cap."""
+    want: dict[str, tuple[float, int | None]] = {}
+    tight = lambda cap: cap if cap is not None else float("inf")
     for s, share, cap in targets:
-        if s is not None and share and share > 0 and (s not in want or share > want[s][0]):
+        if s is not None and share and share > 0 and (s not in want or (share, -tight(cap)) > (want[s][0], -tight(want[s][1]))):
             want[s] = (share, cap)
+    return want
+
+
+def quotas(tokens: dict[str, int], targets: list[tuple[str, float, int | None]], total: int | None = None) -> dict[str, int]:
+    """Tokens that each source gives. `total` is the size of the mix; None: all tokens of the sources with a target."""
+    want = goals_of(targets)
     room = {s: (tokens.get(s, 0) * max(0, cap) if cap is not None else (float("inf") if tokens.get(s, 0) else 0)) for s, (_, cap) in want.items()}
     total = sum(tokens.get(s, 0) for s in want) if total is None else total
     out, open_, rest = dict.fromkeys(want, 0.0), set(want), float(total)
@@ -53,14 +60,19 @@ def quotas(tokens: dict[str, int], targets: list[tuple[str, float, int | None]],
 
 
 def _draw(colours: np.ndarray, n: int, seed: tuple[int, ...]) -> np.ndarray:
-    """How many of each colour are among n of all."""
-    total = int(colours.sum())
-    if total < EXACT:
-        return np.random.default_rng(seed).multivariate_hypergeometric(colours, n, method="marginals")
-    out = np.array([int(c) * n // total for c in colours], dtype=np.int64)
-    order = sorted(range(len(colours)), key=lambda i: -((int(colours[i]) * n) % total))
-    for i in order[: n - int(out.sum())]:
-        out[i] += 1
+    """How many of each colour are among n of all, drawn without putting back: colour by colour, each a hypergeometric number
+    given those before it. Beyond numpy's bound its normal limit is drawn, whose error there is below that of rounding."""
+    rng, out, total = np.random.default_rng(seed), np.zeros(len(colours), np.int64), int(colours.sum())
+    for i, good in enumerate(map(int, colours)):
+        bad = total - good
+        if good < EXACT and bad < EXACT:
+            x = int(rng.hypergeometric(good, bad, n)) if total and n else 0
+        else:
+            p = good / total
+            x = round(rng.normal(n * p, (n * p * (1 - p) * (total - n) / (total - 1)) ** 0.5))
+        out[i] = min(max(x, n - bad, 0), n, good)
+        n -= int(out[i])
+        total = bad
     return out
 
 
@@ -127,7 +139,7 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     give = quotas(tokens, goals, total)
     names = [s for s in names if give.get(s)]
     have = np.array([-(-tokens[s] // block) for s in names], np.int64)
-    caps = {s: c for s, _, c in goals}
+    caps = {s: c for s, (_, c) in goals_of(goals).items()}
     # whole passes of a source end with its short block, so a count of blocks follows from passes and what is left
     blocks = np.array([give[s] // tokens[s] * h + round((give[s] % tokens[s]) / block) for s, h in zip(names, have)], np.int64)
     blocks = np.array([min(b, h * caps[s]) if caps.get(s) is not None else b for s, b, h in zip(names, blocks, have)], np.int64)
@@ -163,7 +175,8 @@ def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     by = mixed.groupBy("source", "pass").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("blocks")).groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("blocks").alias("blocks"), F.count("*").cast("int").alias("repeats"))
     total = by.agg(F.sum("tokens").alias("total"))
     zero = F.lit(0)
-    goals = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    top = F.struct("target_share", F.coalesce(-F.col("max_repeats"), F.lit(-(2**31) + 1)).alias("m"), "max_repeats")  # as in `quotas`: the largest share counts, of equal ones the tightest cap
+    goals = targets.where("source is not null").groupBy("source").agg(F.max(top).alias("t")).select("source", "t.target_share", "t.max_repeats")
     return (
         goals.join(by, "source", "left").join(F.broadcast(total), how="left")  # one row
         .select("source", "target_share", "max_repeats", F.coalesce("tokens", zero).alias("tokens"), F.coalesce("blocks", zero).alias("blocks"), F.coalesce("repeats", zero).alias("repeats"), F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)).alias("reached_share"))

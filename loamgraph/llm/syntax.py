@@ -11,6 +11,7 @@ from __future__ import annotations
 import ast
 import functools
 import re
+import sys
 import warnings
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "jsx", ".ts": "typesc
 CONFLICT = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?:\s|$)")
 GENERIC = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\b)")  # beside elements, type parameters of a function show themselves so
 ANGLES = re.compile(r">{1,3}=?")
-OPENING, CLOSING = frozenset(("(", "[", "{", "HEAD")), frozenset((")", "]", "}", "TAIL"))
+CALLS_PER_CHARACTER = 40  # more than one token of any grammar nests
 RESTRICTED = frozenset(("return", "break", "continue", "yield"))
 
 
@@ -117,7 +118,6 @@ class _Script:
         state, at, newline, last = g.fresh(), 0, False, ""
         braces: list[str] = []  # "" an ordinary brace, "`" one of a template
         tags: list[str] = []
-        depth = 0
         opening = None  # OPEN or CLOSE while its name is awaited
         if text.startswith("﻿"):
             at = 1
@@ -247,9 +247,6 @@ class _Script:
                         kind, end = "REGEX", m.end()
             if not nxt:
                 return Verdict(False, "token", at)
-            depth += 1 if kind in OPENING else -1 if kind in CLOSING else 0
-            if depth + len(tags) > lexers.MOST_OPEN:
-                return Verdict(False, "token", at)
             if kind in ("{", "HEAD"):
                 braces.append("`" if kind == "HEAD" else "")
             elif kind == "TAIL" or (kind == "}" and braces):
@@ -260,14 +257,28 @@ class _Script:
         return Verdict(False, "truncated", n)
 
 
-def check(text: str, language: str) -> Verdict:
-    """Whether a text belongs to a language, and where it leaves it."""
+def _judged(text: str, language: str) -> Verdict:
     if language == "python":
-        v = _python(text)
-    elif language == "json":
-        v = _json(text)
-    else:
-        v = _Script(text, language).verdict()
+        return _python(text)
+    if language == "json":
+        return _json(text)
+    return _Script(text, language).verdict()
+
+
+def check(text: str, language: str) -> Verdict:
+    """Whether a text belongs to a language, and where it leaves it. Derivatives of texts nested very deep nest as many calls of
+    the interpreter, which are then allowed; the terms of the attempt are forgotten, as it may have left some half done."""
+    try:
+        v = _judged(text, language)
+    except RecursionError:
+        grammar(language)._reset()
+        usual = sys.getrecursionlimit()
+        sys.setrecursionlimit(usual + CALLS_PER_CHARACTER * (len(text) + 1000))
+        try:
+            v = _judged(text, language)
+        finally:
+            sys.setrecursionlimit(usual)
+            grammar(language)._reset()
     if not v.valid and v.reason == "token" and CONFLICT.match(text[text.rfind("\n", 0, v.at) + 1 :]):
         return Verdict(False, "conflict", v.at)
     return v
@@ -296,10 +307,7 @@ def verdicts(files: DataFrame) -> DataFrame:
             langs, ok, reasons, lines, toks = [], [], [], [], []
             for ext, text in zip(b.column("ext").to_pylist(), b.column("text").to_pylist()):
                 lang = LANGUAGES[ext]
-                try:
-                    v = confirmed(text, lang, check(text, lang))
-                except RecursionError:
-                    v = Verdict(False, "token", 0)
+                v = confirmed(text, lang, check(text, lang))
                 langs.append(lang)
                 ok.append(v.valid)
                 reasons.append(v.reason or None)

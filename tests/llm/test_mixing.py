@@ -77,3 +77,27 @@ def test_empty(spark):
     some = spark.createDataFrame([("a", 1.0, None)], TARGETS)
     assert M.mix(docs, targets).count() == 0 and M.mix(docs, some).count() == 0
     assert M.mix_report(M.mix(docs, some), some).first().reached_share == 0
+
+
+def test_draws_of_any_size():
+    """Totals beyond numpy's bound are drawn, not split in proportion; sums and bounds always hold."""
+    for colours, n in (([5, 0, 7], 6), ([3 * 10**9, 10**9, 5], 2 * 10**9), ([10**12, 10**12, 10**6], 10**9), ([0, 0], 0), ([4, 4], 8)):
+        c = np.array(colours, np.int64)
+        draws = [M._draw(c, n, (1, i)) for i in range(50)]
+        assert all(d.sum() == n and (d >= 0).all() and (d <= c).all() for d in draws)
+        if n > 10 and n < c.sum():
+            assert len({tuple(d) for d in draws}) > 20
+            p = float(c[0]) / float(c.sum())
+            mean, sd = n * p, (n * p * (1 - p) * (1 - n / float(c.sum()))) ** 0.5
+            assert abs(np.mean([d[0] for d in draws]) - mean) < sd and 0.5 < np.std([d[0] for d in draws]) / sd < 2
+    blocks = np.array([6 * 10**9, 3 * 10**9], np.int64)
+    counts, before = M.shard_counts(blocks, 9 * 10**9 // 256, 256, 12_345_678)
+    assert counts.sum() == 256 and before.sum() == 256 * 12_345_678
+
+
+def test_repeated_targets_agree(spark):
+    goals = [("a", 0.5, 4), ("a", 0.5, 2), ("a", 0.2, None), ("b", 0.5, None)]
+    assert M.goals_of(goals) == {"a": (0.5, 2), "b": (0.5, None)}
+    rows = spark.createDataFrame(goals, "source string, target_share double, max_repeats int")
+    empty = spark.createDataFrame([], "source string, pass int, tokens long")
+    assert sorted(tuple(r)[:3] for r in M.mix_report(empty, rows).collect()) == [("a", 0.5, 2), ("b", 0.5, None)]

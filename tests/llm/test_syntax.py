@@ -108,3 +108,13 @@ def test_table(spark):
     rep = {(r.repo, r.language): (r.files, r.invalid) for r in S.report(df).collect()}
     assert rep["r", "python"] == (3, 3)
     assert S.verdicts(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("language", ["javascript", "tsx", "json"])
+def test_deep_nesting(language):
+    """Scripts and data may nest as deep as they like; after such a text others are judged as before."""
+    for n in (201, 2500):
+        forms = ["[" * n + "]" * n, '{"a":' * n + "1" + "}" * n] if language == "json" else ["x = " + "(" * n + "a" + ")" * n, "{" * n + "}" * n, "f(" * n + ")" * n, "x = " + "{a: [" * n + "]}" * n]
+        assert [f[:20] for f in forms if not S.check(f, language).valid] == []
+        assert not S.check("[" * n + "]" * (n - 1), language).valid and not S.check("[" * n + ")" + "]" * (n - 1), language).valid
+    assert S.check("[1]", language).valid and not S.check("[1", language).valid
