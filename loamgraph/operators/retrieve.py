@@ -6,7 +6,7 @@ rows carry `seq`, their place in what the strategy gave, which decides ties as i
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +29,7 @@ STRATEGY = {
     "FILE_LOOKUP": ("File Index", 0.99, 0.2), "IMPORT_LOOKUP": ("Import Index", 0.99, 0.2), "DECORATOR_LOOKUP": ("Decorator Index", 0.99, 0.2), "KEYWORD_SEARCH": ("Repository Search", 0.9, 0.1),
     "SYMBOL_LOOKUP": ("Symbol Index", 0.95, 0.1), "CALL_FLOW": ("Semantic Call Graph", 0.9, 0.4), "ARCHITECTURE": ("Knowledge Graph", 0.85, 0.85), "DEPENDENCY": ("Reverse Graph Traversal", 0.9, 0.3), "GENERAL": ("Vector Search", 0.7, 0.7),
 }  # fixed values: access path and confidence with and without results, by intent
+FURTHER = {"SYMBOL_LOOKUP": "Vector Search (Fallback)", "CALL_FLOW": "Graph Expansion (Calls)", "ARCHITECTURE": "Vector Search", "GENERAL": "Graph Expansion"}  # fixed values: what a strategy adds; the first two only when no symbol, or one, was found
 SIZE = 12
 
 
@@ -48,25 +49,35 @@ def _row(df: DataFrame, **cols) -> DataFrame:
     return df.select("qid", *[(cols.get(c) if c in cols else F.lit(None)).cast(kinds[c]).alias(c) for c in CONTEXT[1:]])
 
 
+Embed = Callable[[list[str]], Sequence[Sequence[float]]]
+
+
 class Tables:
     """What retrieval reads. Symbols and edges are read by many strategies: their de-duplicated form is written once to the
-    shared folder instead of being made again in each plan."""
+    shared folder instead of being made again in each plan, or was written when the index was made (`once`). `vectors` (point_id, embedding) are the
+    embeddings made then, by `embed`, of the chunks with these ids; without them the lexical hash is made on the way."""
 
-    def __init__(self, files: DataFrame, symbols: DataFrame, imports: DataFrame, decorators: DataFrame, edges: DataFrame) -> None:
-        self.files, self.imports, self.decorators = files, imports, decorators
-        self.symbols, _ = cut(symbols, "symbols")
-        self.edges, _ = cut(latest_edges(edges).select("edge_id", "source", "target", "relation", "ord"), "edges")
+    def __init__(self, files: DataFrame, symbols: DataFrame, imports: DataFrame, decorators: DataFrame, edges: DataFrame, once: bool = False, vectors: DataFrame | None = None, embed: Embed = V.hash_model) -> None:
+        self.files, self.imports, self.decorators, self.vectors, self.embed = files, imports, decorators, vectors, embed
+        self.symbols = symbols if once else cut(symbols, "symbols")[0]
+        self.edges = edges if once else cut(latest_edges(edges).select("edge_id", "source", "target", "relation", "ord"), "edges")[0]
 
 
-def retrieve_context(symbols: DataFrame, q: DataFrame) -> DataFrame:
+def retrieve_context(symbols: DataFrame, q: DataFrame, vectors: DataFrame | None = None, embed: Embed = V.hash_model) -> DataFrame:
     """(qid, rank, fqn, name, type, file, line, score, text) for questions (qid, question, k): definitions whose own name is
     the first capitalised word, with score 1; where there are none, the k nearest by vector."""
     named = q.withColumn("term", F.regexp_extract("question", "[A-Z][A-Za-z0-9_]*", 0))
     names = [r["term"] for r in named.where("term <> ''").select("term").distinct().collect()]  # of a stated list of questions
     cols = ["qid", "rank", "fqn", "name", "type", "file", "line", "score", "text"]
     exact = S.symbol_chunks(symbols, names).join(F.broadcast(named), "term").select(cols)
-    rest = q.join(F.broadcast(exact.select("qid").distinct()), "qid", "left_anti")
-    near = V.hash_topk(symbols, "chunk_id", "text", rest.select(F.col("qid").alias("query"), "question"), 5).join(F.broadcast(rest.select(F.col("qid").alias("query"), "k")), "query").where("rank <= k")
+    rest = q.join(F.broadcast(exact.select("qid").distinct()), "qid", "left_anti").select(F.col("qid").alias("query"), "question", "k")
+    if vectors is None:
+        hits = V.hash_topk(symbols, "chunk_id", "text", rest.select("query", "question"), 5)
+    else:
+        asked = [(r["query"], r["question"]) for r in rest.collect()]  # of a stated list of questions
+        dense = embed([t for _, t in asked]) if asked else []
+        hits = V.topk(vectors, "point_id", "embedding", [(str(i), list(map(float, v))) for (i, _), v in zip(asked, dense)], 5).select(F.col("query").cast("long").alias("query"), "rank", F.col("id").cast("long").alias("chunk_id"), "cosine")
+    near = hits.join(F.broadcast(rest.select("query", "k")), "query").where("rank <= k")
     vector = symbols.join(F.broadcast(near), "chunk_id").select(F.col("query").alias("qid"), "rank", "fqn", "name", "type", "file", "line", F.col("cosine").alias("score"), "text")  # at most k rows a question
     return exact.unionByName(vector)
 
@@ -125,7 +136,7 @@ def context(t: Tables, q: DataFrame) -> DataFrame:
         met = {r["qid"] for r in hits.where(c("qid").isin(list(lookups))).select("qid").distinct().collect()}
         wanted += [(i, r["question"], 2) for i, r in lookups.items() if i not in met]
     if wanted:
-        found, _ = cut(retrieve_context(t.symbols, spark.createDataFrame(wanted, "qid long, question string, k int")), "hits")
+        found, _ = cut(retrieve_context(t.symbols, spark.createDataFrame(wanted, "qid long, question string, k int"), t.vectors, t.embed), "hits")
         out.append(_row(found, file_path=c("file"), symbol_name=c("name"), chunk_type=c("type"), score=c("score"), line=c("line"), text=c("text"), seq=F.lit(3_000_000) + c("rank")))
         ids = [r["qid"] for r in by.get("GENERAL", [])]
         if ids:
@@ -170,11 +181,13 @@ def metrics(rows: DataFrame) -> DataFrame:
 
 
 def confidence(q: DataFrame, rows: DataFrame) -> DataFrame:
-    """(qid, intent, strategy, confidence): confidence depends on whether the strategy found anything (for dependencies: more
-    than one row, for call flows: graph rows)."""
-    found = rows.groupBy("qid").agg(F.count("*").alias("n"), F.count("graph_source").alias("g"))
+    """(qid, intent, strategies array<string>, confidence): confidence depends on whether the strategy found anything (for dependencies: more
+    than one row, for call flows: graph rows). Rows from symbols have `seq` below a million."""
+    found = rows.groupBy("qid").agg(F.count("*").alias("n"), F.count("graph_source").alias("g"), F.count_if(F.col("seq") < 1_000_000).alias("s"))
     j = q.select("qid", "intent").join(found, "qid", "left")
-    n, g = F.coalesce("n", F.lit(0)), F.coalesce("g", F.lit(0))
+    n, g, s = (F.coalesce(c, F.lit(0)) for c in ("n", "g", "s"))
     ok = F.when(F.col("intent") == "CALL_FLOW", g > 0).when(F.col("intent") == "DEPENDENCY", n > 1).otherwise(n > 0)
     pick = lambda i: F.coalesce(*[F.when(F.col("intent") == k, F.lit(v[i])) for k, v in STRATEGY.items()])
-    return j.select("qid", "intent", pick(0).alias("strategy"), F.when(ok, pick(1)).otherwise(pick(2)).alias("confidence"))
+    adds = F.when(F.col("intent") == "SYMBOL_LOOKUP", s == 0).when(F.col("intent") == "CALL_FLOW", s > 0).otherwise(True)
+    further = F.coalesce(*[F.when((F.col("intent") == k) & adds, F.lit(v)) for k, v in FURTHER.items()])
+    return j.select("qid", "intent", F.array_compact(F.array(pick(0), further)).alias("strategies"), F.when(ok, pick(1)).otherwise(pick(2)).alias("confidence"))

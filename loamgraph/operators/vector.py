@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -87,8 +87,8 @@ def hash_topk(corpus: DataFrame, key: str, text: str, queries: DataFrame, k: int
     return first(hits, "query", [F.col("cosine").desc(), "key"], k).select("query", "rank", F.col("key").alias(key), "cosine")
 
 
-def embed_with(df: DataFrame, text: str, model: Callable[[list[str]], list[list[float]]]) -> DataFrame:
-    """Adds `embedding` by a model that takes and gives batches; null texts are embedded as empty ones."""
+def embed_with(df: DataFrame, text: str, model: Callable[[list[str]], Sequence[Sequence[float]]] = hash_model) -> DataFrame:
+    """Adds `embedding` by a model that takes and gives batches (the lexical hash, if none is given); null texts are embedded as empty ones."""
 
     def run(batches):
         for b in batches:

@@ -424,11 +424,12 @@ def orchestrate_rank(spark, d):
     return _ranked(spark, d)[1].select("qid", "rank", "intent", "file_path", "symbol_name", "chunk_type", "relation", "graph_source", "ranking_score")
 
 
-@query(f"""with {_CTX}, n as (select qid, count(*) as n, count(graph_source) as g from ctx group by 1), j as (select qid, intent, coalesce(n, 0) as n, coalesce(g, 0) as g from qt left join n using (qid))
- select qid, intent, case intent {' '.join(f"when '{k}' then '{v[0]}'" for k, v in R.STRATEGY.items())} end as strategy, cast(case intent {' '.join(f"when '{k}' then case when {'g > 0' if k == 'CALL_FLOW' else 'n > 1' if k == 'DEPENDENCY' else 'n > 0'} then {v[1]} else {v[2]} end" for k, v in R.STRATEGY.items())} end as double) as confidence from j""")
+@query(f"""with {_CTX}, n as (select qid, count(*) as n, count(graph_source) as g, count(*) filter (where seq < 1000000) as s from ctx group by 1), j as (select qid, intent, coalesce(n, 0) as n, coalesce(g, 0) as g, coalesce(s, 0) as s from qt left join n using (qid))
+ select qid, intent, case intent {' '.join(f"when '{k}' then '{v[0]}'" for k, v in R.STRATEGY.items())} end || case when intent = 'SYMBOL_LOOKUP' and s = 0 then '|Vector Search (Fallback)' when intent = 'CALL_FLOW' and s > 0 then '|Graph Expansion (Calls)' when intent = 'ARCHITECTURE' then '|Vector Search' when intent = 'GENERAL' then '|Graph Expansion' else '' end as strategies,
+ cast(case intent {' '.join(f"when '{k}' then case when {'g > 0' if k == 'CALL_FLOW' else 'n > 1' if k == 'DEPENDENCY' else 'n > 0'} then {v[1]} else {v[2]} end" for k, v in R.STRATEGY.items())} end as double) as confidence from j""")
 def intent_strategy(spark, d):
     q = _asked(spark)
-    return R.confidence(q, R.context(_tables(spark, d), q))
+    return R.confidence(q, R.context(_tables(spark, d), q)).withColumn("strategies", F.array_join("strategies", "|"))
 
 
 @query(f"""with {_CTX}, k as (select qid, case when chunk_type = 'file' then 'file' when contains(relation, 'decorated') then 'decorator' when coalesce(line, 0) <> 0 then 'symbol' else 'vector' end as kind from once)

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loamgraph.session import drop_dir
+
 NODES = "id string, type string, file_path string"
 EDGES = "source string, target string, relation string, resolved boolean, confidence string, file_path string, ord long"
 INDEXES = {
@@ -70,8 +72,15 @@ def load_indexes(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out
 
 
+POINTS = "point_id string, embedding array<float>, text string, file_path string, chunk_type string, symbol_name string"
+
+
 class VectorStore:
-    """Vectors under a folder: create, upsert by point id, search, drop."""
+    """Vectors under a folder: create, upsert by point id, search, drop. An upsert writes its points only, as a further part; of a point that
+    is in several parts the last one counts. `compact` makes one part of them, and an upsert does so by itself when there are `PARTS`.
+    A pointer names the parts of the current version, so a reader never sees half of one."""
+
+    PARTS = 16
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -81,24 +90,24 @@ class VectorStore:
         p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def current(self) -> tuple[str, int] | None:
-        """(folder of the current version, dimensions)."""
+    def current(self) -> tuple[int, list[str]] | None:
+        """(dimensions, parts of the current version, oldest first)."""
         p, fs = self._pointer()
         if not fs.exists(p):
             return None
-        name, dim = self.spark.read.text(f"{self.path}/CURRENT").first()[0].split()
-        return (f"{self.path}/{name}" if name != "-" else "", int(dim))
+        dim, *parts = self.spark.read.text(f"{self.path}/CURRENT").first()[0].split()
+        return int(dim), parts
 
-    def _move(self, name: str, dim: int) -> None:
+    def _move(self, dim: int, parts: list[str]) -> None:
         p, fs = self._pointer()
         out = fs.create(p, True)
-        out.write(bytearray(f"{name} {dim}".encode()))
+        out.write(bytearray(" ".join([str(dim), *parts]).encode()))
         out.close()
 
     def create(self, dim: int) -> None:
         """Nothing happens if it is there already."""
         if self.current() is None:
-            self._move("-", dim)
+            self._move(dim, [])
 
     def drop(self) -> None:
         p, fs = self._pointer()
@@ -106,22 +115,43 @@ class VectorStore:
 
     def read(self) -> DataFrame:
         now = self.current()
-        if not now or not now[0]:
-            return self.spark.createDataFrame([], "point_id string, embedding array<float>, text string, file_path string, chunk_type string, symbol_name string")
-        return self.spark.read.parquet(now[0])
+        if not now or not now[1]:
+            return self.spark.createDataFrame([], POINTS)
+        parts = [self.spark.read.parquet(f"{self.path}/{x}") for x in now[1]]
+        if len(parts) == 1:
+            return parts[0]
+        whole = parts[0].withColumn("__n", F.lit(0))
+        for i, x in enumerate(parts[1:], 1):
+            whole = whole.unionByName(x.withColumn("__n", F.lit(i)))
+        w = Window.partitionBy("point_id").orderBy(F.col("__n").desc())
+        return whole.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__n", "__r")
 
     def upsert(self, points: DataFrame) -> None:
-        """Adds points; those with an id that is there replace it. Vectors of other dimensions are refused."""
+        """Adds points; those with an id that is there replace it. Of several new points with one id the one with the largest text, then
+        path, counts. Vectors of other dimensions are refused."""
         now = self.current()
         if now is None:
             raise ValueError("create the store first")
-        new = points.select("point_id", F.col("embedding").cast("array<float>").alias("embedding"), "text", "file_path", "chunk_type", "symbol_name").dropDuplicates(["point_id"])
-        if not new.where(F.coalesce(F.size("embedding"), F.lit(-1)) != now[1]).isEmpty():
-            raise ValueError(f"vectors must have {now[1]} dimensions")
-        old = self.read()
+        new = points.where("point_id is not null").select("point_id", F.col("embedding").cast("array<float>").alias("embedding"), "text", "file_path", "chunk_type", "symbol_name")
+        if not new.where(F.coalesce(F.size("embedding"), F.lit(-1)) != now[0]).isEmpty():
+            raise ValueError(f"vectors must have {now[0]} dimensions")
+        w = Window.partitionBy("point_id").orderBy(*[F.col(c).desc_nulls_last() for c in ("text", "file_path", "symbol_name", "chunk_type", "embedding")])
+        name = f"v_{uuid.uuid4().hex}"
+        new.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r").write.parquet(f"{self.path}/{name}")
+        self._move(now[0], [*now[1], name])
+        if len(now[1]) + 1 >= self.PARTS:
+            self.compact()
+
+    def compact(self) -> None:
+        """One part instead of several; the old ones are removed once the pointer has moved."""
+        now = self.current()
+        if now is None or len(now[1]) < 2:
+            return
         name = f"v_{uuid.uuid4().hex}"
-        old.join(new.select("point_id"), "point_id", "left_anti").select(new.columns).unionByName(new).write.parquet(f"{self.path}/{name}")
-        self._move(name, now[1])
+        self.read().write.parquet(f"{self.path}/{name}")
+        self._move(now[0], [name])
+        for old in now[1]:
+            drop_dir(self.spark, f"{self.path}/{old}")
 
     def search(self, vector: list[float], k: int = 5) -> DataFrame:
         from loamgraph.operators.vector import topk

@@ -193,10 +193,15 @@ def test_engine_end_to_end(spark, tmp_path):
     e = Engine.from_tree(spark, FIX, str(tmp_path), "demo")
     assert {r.what: r.n for r in e.summary().collect()}["files"] == 5
     a = e.chat("demo.pkg.core.helper used by whom")
-    assert a["intent"] == "DEPENDENCY" and any(s["relation"] == "reverse_calls" for s in a["sources"])
+    assert a["intent"] == "DEPENDENCY" and a["strategies"] == ["Reverse Graph Traversal"] and any(s["relation"] == "reverse_calls" for s in a["sources"])
     assert e.search("symbols", "Base").count() >= 1 and e.search("files", "core").count() == 1 and e.search("text", "helper").count() >= 1
     assert e.neighbours("demo.pkg.core.Base").count() > 2
     assert e.documents(2)[0] == 5 and len(e.documents(2)[1]) == 2 and e.text_pieces()["chunks"] >= 4 and e.code_chunks(n=2)[0] > 8
+    assert e.vectors.read().count() == e.symbols.count() and any((x["score"] or 0) > 0 for x in e.hybrid("Tell me about helper")) and [x["name"] for x in e.symbol("Base")] == ["Base"]
+    again = Engine.open(spark, str(tmp_path))
+    assert [x["symbol_name"] for x in again.hybrid("Tell me about helper")] == [x["symbol_name"] for x in e.hybrid("Tell me about helper")]
+    plain = Engine.from_tables(spark, str(tmp_path))  # without stored vectors: hashed on the way, with the same result
+    assert [x["symbol_name"] for x in plain.hybrid("Tell me about helper")] == [x["symbol_name"] for x in e.hybrid("Tell me about helper")]
     assert e.embed("a b")[0] == V.DIM and e.health()["status"] == "ok" and e.graph()[0].count() > 5
 
 
@@ -312,3 +317,46 @@ def test_rendered_sources(spark, small):
         cols = sorted(got.columns)
         key = lambda r: tuple(str(x) for x in r)
         assert sorted(map(key, got.select(cols).collect())) == sorted(map(key, c.sql(f"select {', '.join(cols)} from ({Q.SQL[name]})").fetchall())), name
+
+
+def test_index_pipeline(spark, tmp_path):
+    """Counts of a run; classes of its errors; vectors of another model are searched with that model."""
+    import shutil as sh
+
+    from loamgraph import api
+
+    def fetch(url, to):
+        sh.copytree(FIX, to)
+        return to
+
+    two = lambda texts: [[1.0 + t.count("helper"), 1.0] for t in texts]
+    got = api.Engine.index(spark, "https://github.com/acme/demo/", str(tmp_path / "w"), str(tmp_path / "o"), fetch, embed=two)
+    assert got["success"] and got["repository"] == "acme/demo" and got["documents"] == 5 and got["indexed"] == got["chunks"] > 8 and got["graph_nodes"] > 8 and got["graph_edges"] > 8
+    e = api.Engine.open(spark, str(tmp_path / "o"), embed=two)
+    assert e.vectors.current()[0] == 2 and "helper" in e.hybrid("tell of helper, helper, helper")[0]["text"]
+    assert api.Engine.index(spark, "https://example.com/a/b", "w", "o")["error"] == "clone_failed"
+    for message, kind in [("git is not available on this machine", "git_missing"), ("lost connection", "store_unavailable"), ("odd", "indexing_failed")]:
+
+        def fail(url, to, message=message):
+            raise RuntimeError(message)
+
+        assert api.Engine.index(spark, "https://github.com/a/b", "w", "o", fail) == {"success": False, "error": kind, "details": message}
+    (tmp_path / "ro").mkdir()
+    (tmp_path / "ro" / "f").write_text("x")
+    os.chmod(tmp_path / "ro" / "f", 0o400)
+    api.remove_tree(str(tmp_path / "ro"))
+    api.remove_tree(str(tmp_path / "ro"))
+    assert not (tmp_path / "ro").exists()
+
+
+def test_store_parts(spark, tmp_path, monkeypatch):
+    """Of a point in several parts the last counts; many parts become one."""
+    from loamgraph.sources import store as ST
+
+    monkeypatch.setattr(ST.VectorStore, "PARTS", 3)
+    v = ST.VectorStore(spark, str(tmp_path / "v"))
+    v.create(1)
+    for i in range(4):
+        v.upsert(spark.createDataFrame([("a", [float(i)], f"t{i}", "f", "c", "s"), ("a", [9.0], None, "f", "c", "s"), (f"b{i}", [1.0], "x", "f", "c", "s"), (None, [1.0], "x", "f", "c", "s")], ST.POINTS))
+    assert {r.point_id: r.text for r in v.read().collect()} == {"a": "t3", "b0": "x", "b1": "x", "b2": "x", "b3": "x"}
+    assert len(v.current()[1]) == 2 and len([x for x in os.listdir(tmp_path / "v") if x.startswith("v_")]) == 2
