@@ -5,9 +5,11 @@ from __future__ import annotations
 import base64
 import functools
 import os
+import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # parameter of every operator that counts tokens
@@ -21,7 +23,7 @@ def encoding(vocabulary: str = VOCABULARY):
     """The tokenizer of a vocabulary file, once per worker."""
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
+    with open(vocabulary if os.path.exists(vocabulary) else SparkFiles.get(os.path.basename(vocabulary)), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
     return tiktoken.Encoding(os.path.basename(vocabulary), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -36,8 +38,18 @@ def count_tokens(text: str | None, vocabulary: str = VOCABULARY) -> int:
         return len(encoding(vocabulary).encode_ordinary(text.encode("utf-8", "replace").decode()))
 
 
+def ship(spark: SparkSession, vocabulary: str) -> None:
+    """On a cluster the driver's vocabulary file goes to the workers, once a session; they read it there unless they have the path themselves."""
+    sc = spark.sparkContext
+    sent = sc.__dict__.setdefault("_vocabularies", set())
+    if vocabulary not in sent and not re.match(r"local(\[|$)", sc.master):
+        sc.addFile(vocabulary)
+        sent.add(vocabulary)
+
+
 def with_tokens(df: DataFrame, text_col: str, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
     """`keep`, `n_tokens` (int) and `text_hash` of every row; the text itself goes no further than the Python worker."""
+    ship(df.sparkSession, vocabulary)
     src = df.select(*[F.col(c) for c in keep], F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("__text"))
 
     def run(batches):
