@@ -5,12 +5,13 @@ Input: links `(relation, child, parent)`, a multiset. Result of `hierarchy`: one
 heavy-child-first preorder of its tree, so that the descendants of a node are exactly the nodes of the same root whose
 `pre` lies in `[pre + 1, pre + size - 1]`.
 
-Plan, all in joins and aggregates whose number grows with the logarithm of the depth, never with the depth:
+Plan, all in joins and aggregates whose number grows with the logarithm of the depth, never with the depth. Nodes without children,
+most of all, stay out of the rounds: they count for their parents at the beginning and get their labels from them at the end.
 
 1. cycle separation and subtree sizes: pointer doubling. After round k a node points 2^k ancestors up; those that point
-   nowhere are in a tree. If a round finishes no further node, the rest is on or below a cycle, because a node deeper
+   nowhere are in a tree and leave the rounds. If a round finishes no further node, the rest is on or below a cycle, because a node deeper
    than 2^(k+1) would have an ancestor at every smaller depth. The same pointers sum the sizes.
-2. heavy child of each parent: the largest subtree (ties: largest id); chains by pointer jumping along heavy edges.
+2. heavy child of each parent: the largest subtree (ties: largest key); chains by pointer jumping along heavy edges.
 3. chains form a tree of depth <= log2(n); pointer jumping over it adds up depth and preorder offsets.
 
 Names are long and every round moves them, so all rounds work on 16-byte keys (a hash of relation and name); names come back
@@ -51,55 +52,66 @@ def parents(links: DataFrame) -> DataFrame:
     )
 
 
-class _Rounds:
-    """Keeps the table of the last round only."""
+class _Tables:
+    """The tables written on the way to one result; dropped together when it is written."""
 
-    def __init__(self) -> None:
-        self.paths: list[str] = []
+    def __init__(self, spark) -> None:  # noqa: ANN001
+        self.spark, self.paths = spark, []
 
-    def step(self, df: DataFrame, keep: bool = False) -> DataFrame:
-        out, path = cut(df, "hier")
-        if not keep:
-            for p in self.paths:
-                drop_dir(df.sparkSession, p)
-            self.paths = []
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = cut(df, name)
         self.paths.append(path)
         return out
 
+    def drop(self) -> None:
+        for p in self.paths:
+            drop_dir(self.spark, p)
+        self.paths = []
 
-def _sizes(nodes: DataFrame) -> DataFrame:
-    """(key, up, size, cyclic)."""
-    r = _Rounds()
-    state = r.step(nodes.select("key", "up", F.col("up").alias("anc"), F.lit(1).cast("long").alias("size")))
-    left = state.where("anc is not null").count()
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
+def _sizes(nodes: DataFrame, t: _Tables) -> DataFrame:
+    """(key, size) of the nodes that lie in a tree, from (key, up, size). Only nodes that still point somewhere are moved; what
+    finished nodes are sent later is added up at the end."""
+    parts = [nodes.where("up is null").select("key", "size")]
+    open_ = nodes.where("up is not null").select("key", F.col("up").alias("anc"), "size")
+    left = open_.count()
     for _ in range(MAX_ROUNDS):
         if not left:
             break
-        open_ = state.where("anc is not null")
-        add = open_.groupBy(F.col("anc").alias("key")).agg(F.sum("size").alias("add"))
-        over = state.select(F.col("key").alias("anc"), F.col("anc").alias("anc2"))
-        moved = open_.join(over, "anc").select("key", "up", F.col("anc2").alias("anc"), "size")
-        state = r.step(moved.unionByName(state.where("anc is null")).join(add, "key", "left").select("key", "up", "anc", (F.col("size") + F.coalesce("add", F.lit(0))).alias("size")))
-        before, left = left, state.where("anc is not null").count()
+        sent = open_.groupBy(F.col("anc").alias("key")).agg(F.sum("size").alias("add"))
+        over = open_.select(F.col("key").alias("anc"), F.col("anc").alias("anc2"))
+        moved = open_.join(over, "anc", "left").select("key", F.col("anc2").alias("anc"), "size")
+        zero = F.lit(0).cast("long")
+        step = t.cut(moved.join(sent, "key", "full").select("key", "anc", (F.coalesce("size", zero) + F.coalesce("add", zero)).alias("size")), "sizes")
+        parts.append(step.where("anc is null").select("key", "size"))
+        open_ = step.where("anc is not null")
+        before, left = left, open_.count()
         if left == before:
             break
-    return state.select("key", "up", "size", F.col("anc").isNotNull().alias("cyclic"))
+    return _union(parts).groupBy("key").agg(F.sum("size").alias("size"))
 
 
-def _jump(df: DataFrame, sums: list[str]) -> DataFrame:
-    """Pointer jumping over (key, up): `up` null means the row is its own top. Gives `top` and the `sums` added on the way."""
-    r = _Rounds()
+def _jump(df: DataFrame, sums: list[str], t: _Tables) -> DataFrame:
+    """Pointer jumping over (key, up): `up` null means the row is its own top. Gives `top` and the `sums` added on the way. A round
+    writes only the rows that weren't at their top before."""
     own = F.col("up").isNull()
-    state = r.step(df.select("key", F.coalesce("up", "key").alias("top"), own.alias("done"), *[F.when(own, F.lit(0)).otherwise(F.col(s)).cast("long").alias(s) for s in sums]))
+    state = t.cut(df.select("key", F.coalesce("up", "key").alias("top"), own.alias("done"), *[F.when(own, F.lit(0)).otherwise(F.col(s)).cast("long").alias(s) for s in sums]), "jump")
+    done, open_ = [state.where("done")], state.where("not done")
     for _ in range(MAX_ROUNDS):
-        if state.where("not done").isEmpty():
+        if open_.isEmpty():
             break
-        t = state.select(F.col("key").alias("top"), F.col("top").alias("top2"), F.col("done").alias("done2"), *[F.col(s).alias(f"{s}2") for s in sums])
-        state = r.step(
-            state.where("not done").join(t, "top").select("key", F.col("top2").alias("top"), F.col("done2").alias("done"), *[(F.col(s) + F.col(f"{s}2")).alias(s) for s in sums])
-            .unionByName(state.where("done"))
-        )
-    return state.select("key", "top", *sums)
+        over = _union([*done, open_]).select(F.col("key").alias("top"), F.col("top").alias("top2"), F.col("done").alias("done2"), *[F.col(s).alias(f"{s}2") for s in sums])
+        state = t.cut(open_.join(over, "top").select("key", F.col("top2").alias("top"), F.col("done2").alias("done"), *[(F.col(s) + F.col(f"{s}2")).alias(s) for s in sums]), "jump")
+        done.append(state.where("done"))
+        open_ = state.where("not done")
+    return _union(done).select("key", "top", *sums)
 
 
 def _sibling_offsets(light: DataFrame, n: int) -> DataFrame:
@@ -119,27 +131,49 @@ def _sibling_offsets(light: DataFrame, n: int) -> DataFrame:
 def hierarchy(links: DataFrame) -> DataFrame:
     """(relation, id, parent, root, depth, size, pos, pre, key, up, head); see the module's description. `key`, `up` and `head` are the
     keys of the node, its parent and the head of its chain."""
-    nodes, _ = cut(parents(links), "nodes")
-    sized, _ = cut(_sizes(nodes), "sized")
-    tree = sized.where("not cyclic").drop("cyclic")
-    heavy = tree.where("up is not null").groupBy("up").agg(F.max_by("key", F.struct("size", "key")).alias("heavy"), F.max("size").alias("heavy_size"))
+    t = _Tables(links.sparkSession)
+    nodes = t.cut(parents(links), "nodes")
+    narrow = nodes.select("key", "up")
+    inner = narrow.where("up is not null").select(F.col("up").alias("key")).distinct().withColumn("inner", F.lit(True))
+    flagged = t.cut(narrow.join(inner, "key", "left").select("key", "up", (F.coalesce("inner", F.lit(False)) | F.col("up").isNull()).alias("inner")), "flagged")
+    leaves = flagged.where("not inner").select("key", "up")
+    one = F.lit(1).cast("long")
+    below = leaves.groupBy(F.col("up").alias("key")).agg(F.count("*").alias("n"))
+    inner = t.cut(flagged.where("inner").join(below, "key", "left").select("key", "up", (one + F.coalesce("n", F.lit(0))).alias("size")), "inner")
+    rounds = _Tables(links.sparkSession)
+    tree = t.cut(inner.select("key", "up").join(_sizes(inner, rounds), "key"), "tree")
+    rounds.drop()
+
+    kids = tree.where("up is not null").select("key", "up", "size").unionByName(leaves.select("key", "up", one.alias("size")))
+    heavy = t.cut(kids.groupBy("up").agg(F.max(F.struct("size", "key")).alias("h")).select("up", F.col("h.key").alias("heavy"), F.col("h.size").alias("heavy_size")), "heavy")
     marked = tree.join(heavy.select(F.col("heavy").alias("key"), F.lit(True).alias("is_heavy")), "key", "left")
-    on_chain = _jump(marked.select("key", F.when(F.col("is_heavy"), F.col("up")).alias("up"), F.lit(1).alias("pos")), ["pos"])
-    chained, _ = cut(tree.join(on_chain, "key").select("key", "up", "size", F.col("top").alias("head"), "pos"), "chained")
+    on_chain = _jump(marked.select("key", F.when(F.col("is_heavy"), F.col("up")).alias("up"), F.lit(1).alias("pos")), ["pos"], rounds)
+    chained = t.cut(tree.join(on_chain, "key").select("key", "up", "size", F.col("top").alias("head"), "pos"), "chained")
+    rounds.drop()
 
-    light = chained.where("key = head and up is not null")
-    offsets = _sibling_offsets(light.select("key", "up", "size"), light.count())
+    light = kids.join(heavy, "up").where("key <> heavy").select("key", "up", "size")
+    offsets = t.cut(_sibling_offsets(light, light.count()), "offsets")
     at = chained.select(F.col("key").alias("up"), F.col("head").alias("chain"), F.col("pos").alias("ppos"))
     chains = (
-        light.select("key", "up").join(at, "up").join(heavy.select("up", "heavy_size"), "up").join(offsets, "key")
+        chained.where("key = head and up is not null").select("key", "up").join(at, "up").join(heavy.select("up", "heavy_size"), "up").join(offsets, "key")
         .select("key", F.col("chain").alias("up"), (F.col("ppos") + 1).alias("depth"), (F.col("ppos") + 1 + F.col("heavy_size") + F.col("before")).alias("pre"))
         .unionByName(chained.where("key = head and up is null").select("key", "up", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("pre")))
     )
-    tops = _jump(chains, ["depth", "pre"]).select(F.col("key").alias("head"), F.col("top").alias("root_key"), F.col("depth").alias("hdepth"), F.col("pre").alias("hpre"))
-    roots = tops.select("root_key").distinct().join(nodes.select(F.col("key").alias("root_key"), F.col("id").alias("root")), "root_key")
-    named = tops.join(roots, "root_key")  # one row per chain
-    whole = chained.join(named, "head").select("key", "root", (F.col("hdepth") + F.col("pos")).cast("int").alias("depth"), "size", F.col("pos").cast("int").alias("pos"), (F.col("hpre") + F.col("pos")).alias("pre"), "head")
-    return nodes.join(whole, "key", "left").select("relation", "id", "parent", F.coalesce("root", F.lit("")).alias("root"), F.coalesce("depth", F.lit(-1)).alias("depth"), "size", "pos", "pre", "key", "up", "head")
+    tops = _jump(chains, ["depth", "pre"], rounds).select(F.col("key").alias("head"), F.col("top").alias("root_key"), F.col("depth").alias("hdepth"), F.col("pre").alias("hpre"))
+    labels = t.cut(chained.join(tops, "head").select("key", "root_key", (F.col("hdepth") + F.col("pos")).alias("depth"), "size", "pos", (F.col("hpre") + F.col("pos")).alias("pre"), "head"), "labels")
+    rounds.drop()
+    above = labels.select(F.col("key").alias("up"), "root_key", F.col("depth").alias("pdepth"), F.col("pos").alias("ppos"), F.col("pre").alias("ppre"), F.col("head").alias("phead"))
+    last = F.col("key") == F.col("heavy")
+    ends = (
+        leaves.join(above, "up").join(heavy, "up").join(offsets, "key", "left")
+        .select("key", "root_key", (F.col("pdepth") + 1).alias("depth"), one.alias("size"), F.when(last, F.col("ppos") + 1).otherwise(F.lit(0)).alias("pos"), (F.col("ppre") + 1 + F.when(last, F.lit(0)).otherwise(F.col("heavy_size") + F.col("before"))).alias("pre"), F.when(last, F.col("phead")).otherwise(F.col("key")).alias("head"))
+    )
+    roots = labels.where("key = root_key").select("root_key").join(nodes.select(F.col("key").alias("root_key"), F.col("id").alias("root")), "root_key")
+    whole = labels.unionByName(ends).join(roots, "root_key")
+    named = nodes.join(whole, "key", "left").select("relation", "id", "parent", F.coalesce("root", F.lit("")).alias("root"), F.coalesce(F.col("depth").cast("int"), F.lit(-1)).alias("depth"), "size", F.col("pos").cast("int").alias("pos"), "pre", "key", "up", "head")
+    out, _ = cut(named, "hierarchy")
+    t.drop()
+    return out
 
 
 def paths(labels: DataFrame) -> DataFrame:
