@@ -91,6 +91,9 @@ def test_scan(spark):
     from loamgraph.sources.tree import read_tree
 
     assert "pkg/tests/test_x.py" in {r.rel_path for r in read_tree(spark, FIX, prune=False).collect()}
+    for n in (1, 2, 50):  # from one task for all to one for each folder
+        got = [(r.rel_path, r.content) for r in read_tree(spark, "file://" + FIX, True, n).orderBy("ord").collect()]
+        assert [p for p, _ in got] == sorted(rows) and all(c == rows[p].content for p, c in got)
 
 
 @pytest.fixture(scope="module")
