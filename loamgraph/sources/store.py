@@ -85,6 +85,20 @@ class VectorStore:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
+    @classmethod
+    def connect(cls, spark: SparkSession, *paths: str) -> VectorStore:
+        """A store at the first of the paths whose file system answers; a later one is what to fall back to."""
+        why: Exception | None = None
+        for path in paths:
+            store = cls(spark, path)
+            try:
+                p, fs = store._pointer()
+                fs.exists(p)
+                return store
+            except Exception as e:  # noqa: BLE001
+                why = e
+        raise ConnectionError(f"no connection to any of {', '.join(paths)}") from why
+
     def _pointer(self):  # noqa: ANN202
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")

@@ -356,6 +356,9 @@ def test_store_parts(spark, tmp_path, monkeypatch):
     """Of a point in several parts the last counts; many parts become one."""
     from loamgraph.sources import store as ST
 
+    assert ST.VectorStore.connect(spark, "nosuch://host/v", str(tmp_path / "w")).path == str(tmp_path / "w")
+    with pytest.raises(ConnectionError):
+        ST.VectorStore.connect(spark, "nosuch://host/v")
     monkeypatch.setattr(ST.VectorStore, "PARTS", 3)
     v = ST.VectorStore(spark, str(tmp_path / "v"))
     v.create(1)
