@@ -205,9 +205,9 @@ def _topk(q: np.ndarray, p: np.ndarray, qi: np.ndarray, pi: np.ndarray, order: n
     points by id. Preselection in single precision takes the best of each group of columns, so that the selection reads
     the block once. Where the last one kept is within the error of single precision of the k-th best (many ties), the row
     is done in double precision over all columns."""
-    qf, pf = q.astype(np.float32), p[pi].astype(np.float32)
+    pf = p[pi].astype(np.float32)
     best, cos = np.full((len(qi), k), -1, np.int64), np.full((len(qi), k), -2.0)
-    keep, g = min(len(pi), k + 4), 64
+    keep, g = min(len(pi), k + 4), 8
     error = 2 * ((q.shape[1] + 4) * 2.0**-24 + 1e-10)  # of a difference of two cosines, at most
     exact = None
     step = max(1, min(512, 12_000_000 // max(1, len(pi))))
@@ -215,7 +215,7 @@ def _topk(q: np.ndarray, p: np.ndarray, qi: np.ndarray, pi: np.ndarray, order: n
     for lo in range(0, len(qi), step):
         rows = qi[lo : lo + step]
         s = np.full((len(rows), cols), -9, np.float32)
-        np.matmul(qf[rows], pf.T, out=s[:, : len(pi)]) if cols == len(pi) else s.__setitem__((slice(None), slice(0, len(pi))), qf[rows] @ pf.T)
+        s[:, : len(pi)] = q[rows].astype(np.float32) @ pf.T
         if cols // g > 2 * keep:  # the groups with the keep largest maxima hold the keep largest entries
             blocks = s.reshape(len(rows), g, cols // g)
             top = np.argpartition(-blocks.max(1), keep - 1, axis=1)[:, :keep]
