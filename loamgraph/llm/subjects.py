@@ -186,10 +186,9 @@ def concerned(sentence: list[str], lexicon: Lexicon) -> set[str]:
                 hit = phrases.get(w if size == 1 else " ".join(sentence[i : i + size]))
                 if hit and i + size <= len(sentence):
                     hits.append((-size, i, hit))
-    if not hits:
-        return set()
-    if len(hits) == 1:
-        return {hits[0][2][0]}
+    subjects = {h[2][0] for h in hits}
+    if len(subjects) < 2:
+        return subjects
     hits.sort(key=lambda h: h[:2])
     score: dict[str, float] = {}
     used: set[int] = set()
@@ -290,10 +289,14 @@ def assign(docs: DataFrame, subjects: DataFrame, labels: DataFrame, label_rows:
     base = dict(zip(names, each_))
     shared = spark.sparkContext.broadcast((Lexicon(lexicon), words))
 
+    at = {s: i for i, s in enumerate(names)}
+    none = sum(3**j for j in range(1, len(FUNCTIONS)))  # the lexicon says no, the others nothing; address, source and label are added where they are joined
+
     def vote(batches):
+        """Votes as one number: digit j, of base three, is the vote of function j plus one."""
         lexicon, words = shared.value
         for b in batches:
-            keys, votes, shares = [], [], []
+            votes, shares = [], []
             for text in b.column("text").to_pylist():
                 sents, heads = sentences(text)
                 per = [concerned(s, lexicon) for s in sents]
@@ -301,19 +304,15 @@ def assign(docs: DataFrame, subjects: DataFrame, labels: DataFrame, label_rows:
                 count = Counter(s for x in per for s in x)
                 said = Counter(words[w] for s in sents for w in s if w in words)
                 titled = {s for h in heads for s in concerned(h, lexicon)}
-                row, sh = [], []
-                for s in names:
-                    share = count[s] / any_ if any_ else 0.0
-                    v = (
-                        1 if any_ and share >= SHARE else -1,
-                        1 if said[s] and said[s] == max(said.values()) else 0,
-                        1 if s in titled else 0,
-                        0,  # address, source and label are added where they are joined
-                        0,
-                        0,
-                    )
-                    row.append(sum((x + 1) * 3**j for j, x in enumerate(v)))
-                    sh.append(share)
+                row, sh = [none] * len(names), [0.0] * len(names)
+                for s, n in count.items():
+                    sh[at[s]] = n / any_
+                    row[at[s]] += 2 * (n / any_ >= SHARE)
+                most = max(said.values(), default=0)
+                for s, n in said.items():
+                    row[at[s]] += 3 * (n == most)
+                for s in titled:
+                    row[at[s]] += 9
                 votes.append(row)
                 shares.append(sh)
             keep = [b.column(c) for c in ("doc_id", "repo", "source", "lang")]
