@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.llm.tokens import VOCABULARY, buckets, running, with_tokens
@@ -173,11 +173,11 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
 def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target: share wanted and reached, tokens, blocks and the most often that a block occurs."""
     by = mixed.groupBy("source", "pass").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("blocks")).groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("blocks").alias("blocks"), F.count("*").cast("int").alias("repeats"))
-    total = by.agg(F.sum("tokens").alias("total"))
+    total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # as many rows as targets
     zero = F.lit(0)
     top = F.struct("target_share", F.coalesce(-F.col("max_repeats"), F.lit(-(2**31) + 1)).alias("m"), "max_repeats")  # as in `quotas`: the largest share counts, of equal ones the tightest cap
     goals = targets.where("source is not null").groupBy("source").agg(F.max(top).alias("t")).select("source", "t.target_share", "t.max_repeats")
     return (
-        goals.join(by, "source", "left").join(F.broadcast(total), how="left")  # one row
+        goals.join(by, "source", "left").withColumn("total", total)
         .select("source", "target_share", "max_repeats", F.coalesce("tokens", zero).alias("tokens"), F.coalesce("blocks", zero).alias("blocks"), F.coalesce("repeats", zero).alias("repeats"), F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)).alias("reached_share"))
     )
