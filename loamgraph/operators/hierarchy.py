@@ -14,8 +14,8 @@ most of all, stay out of the rounds: they count for their parents at the beginni
 2. heavy child of each parent: the largest subtree (ties: largest key); chains by pointer jumping along heavy edges.
 3. chains form a tree of depth <= log2(n); pointer jumping over it adds up depth and preorder offsets.
 
-Names are long and every round moves them, so all rounds work on 16-byte keys (a hash of relation and name); names come back
-in two joins at the end.
+Names are long and every round moves them: parents are found by 16-byte keys (a hash of relation and name), nodes are then numbered,
+the numbers written, and all rounds work on numbers; names come back in two joins at the end.
 
 Defined results: rows with a null relation or end are ignored; repeated links count once; a node with several
 parents keeps the smallest parent id; a node linked to itself is a cycle; nodes on or below a cycle get root '', depth -1
@@ -130,10 +130,12 @@ def _sibling_offsets(light: DataFrame, n: int) -> DataFrame:
 
 def hierarchy(links: DataFrame) -> DataFrame:
     """(relation, id, parent, root, depth, size, pos, pre, key, up, head); see the module's description. `key`, `up` and `head` are the
-    keys of the node, its parent and the head of its chain."""
+    numbers of the node, its parent and the head of its chain; they, and the order of siblings of equal size in `pre`, differ from run to run."""
     t = _Tables(links.sparkSession)
-    nodes = t.cut(parents(links), "nodes")
-    narrow = nodes.select("key", "up")
+    nodes = t.cut(parents(links).withColumn("n", F.monotonically_increasing_id()), "nodes")
+    number = nodes.select(F.col("key").alias("up"), F.col("n").alias("un"))
+    none = F.lit(None).cast("long")
+    narrow = t.cut(nodes.where("up is not null").join(number, "up").select(F.col("n").alias("key"), F.col("un").alias("up")).unionByName(nodes.where("up is null").select(F.col("n").alias("key"), none.alias("up"))), "numbers")
     inner = narrow.where("up is not null").select(F.col("up").alias("key")).distinct().withColumn("inner", F.lit(True))
     flagged = t.cut(narrow.join(inner, "key", "left").select("key", "up", (F.coalesce("inner", F.lit(False)) | F.col("up").isNull()).alias("inner")), "flagged")
     leaves = flagged.where("not inner").select("key", "up")
@@ -160,17 +162,17 @@ def hierarchy(links: DataFrame) -> DataFrame:
         .unionByName(chained.where("key = head and up is null").select("key", "up", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("pre")))
     )
     tops = _jump(chains, ["depth", "pre"], rounds).select(F.col("key").alias("head"), F.col("top").alias("root_key"), F.col("depth").alias("hdepth"), F.col("pre").alias("hpre"))
-    labels = t.cut(chained.join(tops, "head").select("key", "root_key", (F.col("hdepth") + F.col("pos")).alias("depth"), "size", "pos", (F.col("hpre") + F.col("pos")).alias("pre"), "head"), "labels")
+    labels = t.cut(chained.join(tops, "head").select("key", "up", "root_key", (F.col("hdepth") + F.col("pos")).alias("depth"), "size", "pos", (F.col("hpre") + F.col("pos")).alias("pre"), "head"), "labels")
     rounds.drop()
     above = labels.select(F.col("key").alias("up"), "root_key", F.col("depth").alias("pdepth"), F.col("pos").alias("ppos"), F.col("pre").alias("ppre"), F.col("head").alias("phead"))
     last = F.col("key") == F.col("heavy")
     ends = (
         leaves.join(above, "up").join(heavy, "up").join(offsets, "key", "left")
-        .select("key", "root_key", (F.col("pdepth") + 1).alias("depth"), one.alias("size"), F.when(last, F.col("ppos") + 1).otherwise(F.lit(0)).alias("pos"), (F.col("ppre") + 1 + F.when(last, F.lit(0)).otherwise(F.col("heavy_size") + F.col("before"))).alias("pre"), F.when(last, F.col("phead")).otherwise(F.col("key")).alias("head"))
+        .select("key", "up", "root_key", (F.col("pdepth") + 1).alias("depth"), one.alias("size"), F.when(last, F.col("ppos") + 1).otherwise(F.lit(0)).alias("pos"), (F.col("ppre") + 1 + F.when(last, F.lit(0)).otherwise(F.col("heavy_size") + F.col("before"))).alias("pre"), F.when(last, F.col("phead")).otherwise(F.col("key")).alias("head"))
     )
-    roots = labels.where("key = root_key").select("root_key").join(nodes.select(F.col("key").alias("root_key"), F.col("id").alias("root")), "root_key")
+    roots = labels.where("key = root_key").select("root_key").join(nodes.select(F.col("n").alias("root_key"), F.col("id").alias("root")), "root_key")
     whole = labels.unionByName(ends).join(roots, "root_key")
-    named = nodes.join(whole, "key", "left").select("relation", "id", "parent", F.coalesce("root", F.lit("")).alias("root"), F.coalesce(F.col("depth").cast("int"), F.lit(-1)).alias("depth"), "size", F.col("pos").cast("int").alias("pos"), "pre", "key", "up", "head")
+    named = nodes.drop("key", "up").withColumnRenamed("n", "key").join(whole, "key", "left").select("relation", "id", "parent", F.coalesce("root", F.lit("")).alias("root"), F.coalesce(F.col("depth").cast("int"), F.lit(-1)).alias("depth"), "size", F.col("pos").cast("int").alias("pos"), "pre", "key", "up", "head")
     out, _ = cut(named, "hierarchy")
     t.drop()
     return out
