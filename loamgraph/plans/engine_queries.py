@@ -496,9 +496,9 @@ def dependency_rank(spark, d):
 def text_chunks(spark, d):
     """What the chunks of each document hold: all its words, none beyond the size, numbered from 0; a short text is one chunk."""
     c = T.text_chunks(table(spark, d, "documents"), "doc_id")
-    words = c.select("doc_id", "chunk_id", "text", F.explode_outer(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("w"))
-    own = words.groupBy("doc_id").agg(F.count_distinct("w").alias("words"), (F.max(F.length("text")) <= T.SIZE).alias("within_size"), (F.max("chunk_id") + 1 == F.count_distinct("chunk_id")).alias("numbered"), F.when(F.max("chunk_id") == 0, F.md5(F.min("text"))).alias("whole"))
-    return own
+    words = c.select("doc_id", "chunk_id", F.length("text").alias("n"), F.when(F.col("chunk_id") == 0, F.md5("text")).alias("first"), F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("w"))
+    both = F.size(F.array_distinct(F.flatten(F.collect_list("w"))))  # the words of one document
+    return words.groupBy("doc_id").agg(both.cast("long").alias("words"), (F.max("n") <= T.SIZE).alias("within_size"), (F.max("chunk_id") + 1 == F.count("*")).alias("numbered"), F.when(F.max("chunk_id") == 0, F.max("first")).alias("whole"))
 
 
 @query("select count(*) as short_documents, cast(sum(length(t)) as bigint) as chars from (select regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') as t from documents where regexp_matches(text, '\\S')) where length(t) <= 1000")
