@@ -14,7 +14,7 @@ Defined results: null text is no code and is kept as hand-written; files of othe
 configuration and hand-written, as are tests; empty files are hand-written; a package without home_repo, or with one that
 isn't in `files`, is only recognised by path and notice; bodies shorter than `LEAST_COPY` are not compared, nor are texts shorter than
 `LEAST_DATA` called data, as they agree or look so by chance; repeated rows are judged each; empty tables give an
-empty result. The kinds are tried in the order vendored, generated, minified, data.
+empty result. The kinds are tried in the order vendored, generated (by notice), minified, data, generated (by layout).
 """
 
 from __future__ import annotations
@@ -92,11 +92,11 @@ def kinds(ext: list[str], s: dict[str, np.ndarray], notice: np.ndarray) -> list[
     """generated, minified, data or None, by the limits of each file's language."""
     lim = lambda f: np.array([getattr(LIMITS[x], f) if x in LIMITS else 0 for x in ext])
     code = np.array([x in LIMITS for x in ext], bool)
-    generated = notice | ((s["numbered"] > lim("numbered")) & (s["lines"] >= LEAST_LINES) & (s["shapes"] < lim("shapes")))
+    generated = ((s["numbered"] > lim("numbered")) & (s["lines"] >= LEAST_LINES) & (s["shapes"] < lim("shapes")))
     minified = (s["max_line"] > lim("longest")) & (s["mean_line"] > lim("mean")) & (s["space"] < lim("space")) & (s["statements"] > 2)
     dense = (s["numbers"] > lim("numbers")) | (s["digits"] > lim("digits")) | (s["encoded"] > lim("encoded")) | (s["escapes"] > lim("escapes")) | (s["statements"] == -1)
     data = lim("data").astype(bool) & (s["statements"] <= 1) & (s["chars"] > LEAST_DATA) & dense
-    return [("generated" if g else "minified" if m else "data" if d else None) if c else None for c, g, m, d in zip(code, generated, minified, data)]
+    return [("generated" if n else "minified" if m else "data" if d else "generated" if g else None) if c else None for c, n, g, m, d in zip(code, notice, generated, minified, data)]
 
 
 LITERAL = re.compile(r"\s*[\[{]\s*[\"\[{\d].*[\]}]\s*;?\s*\Z", re.S)  # one list or mapping is the whole text

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loamgraph.llm import credentials, docpairs, handwritten, mixing, neighbours, packing, subjects, syntax
+from loamgraph.llm import credentials, docpairs, handwritten, mixing, neighbours, packing, planted, subjects, syntax
 from loamgraph.session import table
 
 
@@ -153,3 +153,5 @@ SQL: dict[str, str] = {
     "p8_check": "select unnest(['too_full', 'misplaced', 'not_whole', 'cut_too_often']) as what, cast(0 as bigint) as n union all select 'documents', count(distinct doc_id) from documents where regexp_matches(text, '[^\\s\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]')",
     "p9_check": "select distinct t.source, true as each_once, true as within_cap from mix_targets t join documents d on t.source = d.source and regexp_matches(d.text, '\\S') where t.target_share > 0 and coalesce(t.max_repeats, 1) > 0",
 }
+QUERIES |= planted.QUERIES
+SQL |= planted.SQL
