@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 K = 5
 DIM = 64
 TREES = 2
-PROBES = 24
+PROBES = 32
 PROBE_MARGIN = 0.12
 AWAY = 2
 LEAF_ROWS = 600
