@@ -1,7 +1,7 @@
 """Filling fixed-capacity containers with items, by bin completion.
 
 Sizes are whole numbers up to the capacity, so however many items there are, they form at most `capacity` kinds. The
-histogram of sizes (bounded by the capacity) goes to the driver; there, `solve` searches: best fit, in falling order of size, is the first
+histogram of sizes (bounded by the capacity) goes to the driver; there, `solve` searches: the better of best fit, in falling order of size, and of completing the largest size again and again is the first
 incumbent. If it has more containers than the lower bound, branch and bound follows: a branch takes the largest size left and each undominated
 filling around it in turn, those that waste least first, as often as the counts allow and then once; it ends where the
 waste so far, or the bound of what is left, shows that it can't have fewer containers than the incumbent, or where the same
@@ -128,10 +128,36 @@ def fillings(room: int, counts: dict[int, int], slack: int, steps: list[int], mo
     return [f for _, f in sorted(out, key=lambda x: (x[0], len(x[1])))]
 
 
+def completed(counts: dict[int, int], capacity: int, steps: int = 500) -> Plan:
+    """The largest size left gets the first filling found that wastes little (at most `steps` steps for each of a few allowances of
+    waste, else the largest that fit), as often as the counts allow, which uses up a size each time."""
+    left, out = dict(counts), []
+    while left:
+        big = max(left)
+        rest = dict(left)
+        rest[big] -= 1
+        if not rest[big]:
+            del rest[big]
+        room, found = capacity - big, []
+        for slack in (0, 1, 4, 16, 64):
+            found = found or fillings(room, rest, min(slack, room), [steps], 1)
+        # else the fullest of the containers that best fit would make of the room
+        filling = (big, *(found[0] if found else max((f for f, _ in best_fit({s: n for s, n in rest.items() if s <= room}, room)), key=sum, default=())))
+        times = min(left[s] // filling.count(s) for s in set(filling))
+        for s in set(filling):
+            left[s] -= filling.count(s) * times
+            if not left[s]:
+                del left[s]
+        out.append((filling, times))
+    return out
+
+
 def solve(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES) -> tuple[Plan, bool]:
     """([(sizes of a container, number of such containers)], whether no packing has fewer containers) for {size: count}."""
     start = {int(s): int(n) for s, n in histogram.items() if n > 0}
     best, bound = best_fit(start, capacity), lower_bound(start, capacity)
+    if sum(n for _, n in best) > bound:
+        best = min(best, completed(start, capacity), key=lambda plan: sum(n for _, n in plan))
     total = sum(s * n for s, n in start.items())
     fewest = sum(n for _, n in best)
     steps = [nodes if nodes is not None else 1 << 62]
