@@ -43,11 +43,12 @@ def _key(c: str) -> F.Column:
 def parents(links: DataFrame) -> DataFrame:
     """(key, up, relation, id, parent): one row per node; up and parent null at a root."""
     links = links.select("relation", "child", "parent").where("relation is not null and child is not null and parent is not null")
+    none = F.lit(None).cast("string")
+    ends = F.array(F.struct(F.col("child").alias("id"), F.col("parent").alias("parent")), F.struct(F.col("parent").alias("id"), none.alias("parent")))  # links are read once
     return (
-        links.select("relation", F.col("child").alias("id"), "parent")
-        .unionByName(links.select("relation", F.col("parent").alias("id"), F.lit(None).cast("string").alias("parent")))
-        .groupBy("relation", "id")
-        .agg(F.min("parent").alias("parent"))
+        links.select("relation", F.explode(ends).alias("x"))
+        .groupBy("relation", F.col("x.id").alias("id"))
+        .agg(F.min("x.parent").alias("parent"))
         .select(_key("id").alias("key"), _key("parent").alias("up"), "relation", "id", "parent")
     )
 
