@@ -123,14 +123,14 @@ def in_context(named: DataFrame, symtab: DataFrame) -> DataFrame:
     return a.select(cols).unionByName(b.select(cols))
 
 
-NEEDS = {"contains": ["contains"], "imports": ["import"], "inherits": ["base"], "decorates": ["decorator"]}
+NEEDS = {"contains": ["contains"], "imports": ["import"], "inherits": ["base"], "decorates": ["decorator"], "returns": ["base", "assign", "return"]}
 SEMANTIC = ("calls", "instantiates", "returns")
-RELATIONS = (*NEEDS, *SEMANTIC)
+RELATIONS = ("contains", "imports", "inherits", "decorates", *SEMANTIC)
 
 
 def kinds_for(relations: Iterable[str] = RELATIONS) -> list[str]:
     """The kinds of facts that these relations are made of."""
-    kinds = {k for r in relations for k in NEEDS.get(r, ["base", "assign", "call", "return"])}
+    kinds = {k for r in relations for k in NEEDS.get(r, ["base", "assign", "call"])}
     return sorted(kinds | ({"symbol", "import"} if kinds - {"contains", "import"} else set()))
 
 
