@@ -28,37 +28,65 @@ def resolve_simple(names: DataFrame, symtab: DataFrame, imports: DataFrame) -> D
     """(file_path, module, name) -> target, resolved, confidence. In order: a full name; an import of the first part; a
     wildcard import; the own module; the only symbol whose dotted name ends so; else the name itself, unresolved."""
     n = names.select("file_path", "module", "name").distinct().withColumn("head", F.substring_index("name", ".", 1))
-    sym = symtab.select("fqn")
-    plain = imports.where("local_name <> '*'").select("file_path", F.col("local_name").alias("head"), "imported_fqn")
+    plain = imports.where("local_name <> '*'").select("file_path", F.col("local_name").alias("head"), F.col("imported_fqn").alias("via"))
     wild = imports.where("local_name = '*'").select("file_path", F.col("imported_fqn").alias("wild"))
+    j = n.join(plain, ["file_path", "head"], "left").join(wild, "file_path", "left")
+    return _tiers(j, symtab.select("fqn", F.lit(None).cast("string").alias("type"))).select("file_path", "module", "name", "target", "resolved", "confidence")
+
+
+def suffixes(symtab: DataFrame) -> DataFrame:
+    """(name, whole, owners, low, high): for each full name and proper dotted suffix of one, whether it is a full name, how many
+    symbols end so, and the first and the last of them. `whole`, `low` and `high` are (fqn, is_class)."""
     parts = F.split("fqn", r"\.")
-    suffix = (
-        sym.select("fqn", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("name"))
-        .where("name <> ''").groupBy("name").agg(F.min("fqn").alias("only"), F.count("*").alias("owners")).where("owners = 1").select("name", "only")
+    it = F.struct("fqn", F.coalesce(F.col("type") == "class", F.lit(False)).alias("is_class"))
+    each = symtab.select(it.alias("s"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, i, F.size(parts)), ".").alias("name"), (i > 1).alias("part")))).alias("e"))
+    mine = lambda x: F.when(F.col("e.part"), x)
+    return (
+        each.where("e.name <> '' or not e.part").groupBy(F.col("e.name").alias("name"))
+        .agg(F.max(F.when(~F.col("e.part"), F.col("s"))).alias("whole"), F.count(mine(F.col("s"))).alias("owners"), F.min(mine(F.col("s"))).alias("low"), F.max(mine(F.col("s"))).alias("high"))
     )
-    j = (
-        n.join(sym.select(F.col("fqn").alias("name"), F.lit(True).alias("a")), "name", "left")
-        .join(plain, ["file_path", "head"], "left")
-        .join(wild, "file_path", "left")
-        .withColumn("c_name", F.concat_ws(".", "wild", "name")).withColumn("d_name", F.concat_ws(".", F.when(F.col("module") != "", F.col("module")), "name"))
+
+
+def _tiers(names: DataFrame, symtab: DataFrame) -> DataFrame:
+    """Adds target, resolved, confidence and is_class (null where unknown) to (module, name, head, via, wild, ...) and takes head, via and
+    wild away. Each row moves once: what the wildcard's or the own module has is a symbol that ends with the name, so up to two such symbols
+    tell it; only names that end more symbols are looked up in full."""
+    c_name, d_name = F.concat_ws(".", "wild", "name"), F.concat_ws(".", F.when(F.col("module") != "", F.col("module")), "name")
+    j = names.join(suffixes(symtab), "name", "left")
+    open_ = F.coalesce((F.col("owners") > 2) & F.col("whole").isNull() & F.col("via").isNull(), F.lit(False))
+    at = lambda x: F.when(F.col("low.fqn") == x, F.col("low")).when(F.col("high.fqn") == x, F.col("high"))
+    few = j.where(~open_).withColumn("c", F.when(F.col("wild").isNotNull(), at(c_name))).withColumn("d", at(d_name))
+    sym = symtab.select(F.col("fqn").alias("at"), F.struct("fqn", F.coalesce(F.col("type") == "class", F.lit(False)).alias("is_class")).alias("s"))
+    many = j.where(open_)
+    for at_, full in (("c", F.when(F.col("wild").isNotNull(), c_name)), ("d", d_name)):
+        many = many.withColumn("at", F.coalesce(full, F.concat(F.lit("."), "name", F.lit(".")))).join(sym.withColumnRenamed("s", at_), "at", "left").drop("at")
+    both = few.unionByName(many)
+    b = F.concat(F.col("via"), F.substring(F.col("name"), F.length("head") + 1, F.length("name")))
+    only = F.when(F.col("owners") == 1, F.col("low"))
+    imported = F.col("via").isNotNull()
+    own = F.coalesce("c", "d")
+    target = F.when(F.col("whole").isNotNull(), F.col("name")).when(imported, b).otherwise(F.coalesce(own["fqn"], only["fqn"]))
+    high = F.col("whole").isNotNull() | imported | own.isNotNull()
+    known = F.when(F.col("whole").isNotNull(), F.col("whole.is_class")).when(~imported, F.coalesce(own["is_class"], only["is_class"], F.lit(False)))
+    return both.select(
+        *[c for c in names.columns if c not in ("head", "via", "wild")], F.coalesce(target, F.col("name")).alias("target"), target.isNotNull().alias("resolved"),
+        F.when(high, "high").when(target.isNotNull(), "medium").otherwise("low").alias("confidence"), known.alias("is_class"),
     )
-    j = (
-        j.join(sym.select(F.col("fqn").alias("c_name"), F.lit(True).alias("c")), "c_name", "left")
-        .join(sym.select(F.col("fqn").alias("d_name"), F.lit(True).alias("d")), "d_name", "left")
-        .join(suffix, "name", "left")
-    )
-    b = F.concat(F.col("imported_fqn"), F.substring(F.col("name"), F.length("head") + 1, F.length("name")))
-    c_ok = F.col("c") & F.col("wild").isNotNull()
-    target = F.when(F.col("a"), F.col("name")).when(F.col("imported_fqn").isNotNull(), b).when(c_ok, F.col("c_name")).when(F.col("d"), F.col("d_name")).when(F.col("only").isNotNull(), F.col("only"))
-    high = F.col("a") | F.col("imported_fqn").isNotNull() | c_ok | F.col("d")
-    return j.select("file_path", "module", "name", F.coalesce(target, F.col("name")).alias("target"), target.isNotNull().alias("resolved"), F.when(F.coalesce(high, F.lit(False)), "high").when(target.isNotNull(), "medium").otherwise("low").alias("confidence"))
 
 
 def uses(facts: DataFrame, kinds: list[str]) -> DataFrame:
-    """(kind, file_path, module, fqn, parent, pos, var, name): places where a name is used. `var` is what an assignment binds."""
+    """(kind, file_path, module, fqn, parent, pos, var, name, via, wild): places where a name is used. `var` is what an assignment
+    binds; via and wild are what the file's imports say of the name's first part."""
     f = facts.where(F.col("kind").isin(kinds))
     own = F.when(F.col("kind") == "decorator", F.col("name")).otherwise(F.col("value"))
-    return f.select("kind", "file_path", "module", "fqn", "parent", "pos", F.when(F.col("kind") == "assign", F.col("name")).alias("var"), own.alias("name"))
+    return f.select("kind", "file_path", "module", "fqn", "parent", "pos", F.when(F.col("kind") == "assign", F.col("name")).alias("var"), own.alias("name"), F.col("returns").alias("via"), F.col("text").alias("wild"))
+
+
+def with_class(named: DataFrame, symtab: DataFrame) -> DataFrame:
+    """Fills is_class where it isn't known yet: whether the target is a known class."""
+    classes = symtab.where("type = 'class'").select(F.col("fqn").alias("target"), F.lit(True).alias("k"))
+    asked = named.where("is_class is null").join(classes, "target", "left").withColumn("is_class", F.coalesce("k", F.lit(False))).drop("k")
+    return named.where("is_class is not null").unionByName(asked)
 
 
 def first_bases(named: DataFrame, symtab: DataFrame) -> DataFrame:
@@ -95,8 +123,8 @@ def resolve_self(wanted: DataFrame, symtab: DataFrame, bases: DataFrame) -> Data
 
 def bindings(named: DataFrame, symtab: DataFrame) -> DataFrame:
     """(file_path, fn, var, pos, cls): assignments of calls that make an object of a known class; `named` are resolved uses."""
-    r = named.where("kind = 'assign'")
-    return r.join(symtab.where("type = 'class'").select(F.col("fqn").alias("target")), "target").select("file_path", F.col("fqn").alias("fn"), "var", "pos", F.col("target").alias("cls"))
+    r = with_class(named.where("kind = 'assign'"), symtab).where("is_class")
+    return r.select("file_path", F.col("fqn").alias("fn"), "var", "pos", F.col("target").alias("cls"))
 
 
 def bound(uses_: DataFrame, bound_: DataFrame) -> DataFrame:
@@ -112,15 +140,15 @@ def in_context(named: DataFrame, symtab: DataFrame) -> DataFrame:
     rest = F.substring(F.col("name"), F.length(F.substring_index("name", ".", 1)) + 2, F.length("name"))
     s = named.where("kind in ('call', 'return')").withColumn("var", F.substring_index("name", ".", 1)).withColumn("attr", rest)
     own = F.col("var").isin("self", "cls") & (F.col("attr") != "")
-    selves = s.where(own).drop("target", "resolved", "confidence")
+    selves = s.where(own).drop("target", "resolved", "confidence").withColumn("is_class", F.lit(None).cast("boolean"))
     known = resolve_self(selves.where("parent is not null").select(F.col("parent").alias("cls"), "attr"), symtab, first_bases(named, symtab)).select(F.col("cls").alias("parent"), "attr", "target")
     inside = F.col("parent").isNotNull()
     a = selves.join(known, ["parent", "attr"], "left").withColumn("resolved", inside).withColumn("confidence", F.when(inside, "high").otherwise("low")).withColumn("target", F.coalesce("target", "name"))
-    others = bound(s.where(~own).withColumnRenamed("fqn", "fn"), bindings(named, symtab)).withColumnRenamed("fn", "fqn")
-    via = F.col("cls").isNotNull() & (F.col("attr") != "")
-    b = others.withColumn("target", F.when(via, F.concat_ws(".", "cls", "attr")).otherwise(F.col("target"))).withColumn("resolved", F.col("resolved") | via).withColumn("confidence", F.when(via, "high").otherwise(F.col("confidence")))
-    cols = ["kind", "file_path", "fqn", "pos", "target", "resolved", "confidence"]
-    return a.select(cols).unionByName(b.select(cols))
+    others = bound(s.where(~own & (F.col("attr") != "")).withColumnRenamed("fqn", "fn"), bindings(named, symtab)).withColumnRenamed("fn", "fqn")
+    via = F.col("cls").isNotNull()
+    b = others.withColumn("is_class", F.when(~via, F.col("is_class"))).withColumn("target", F.when(via, F.concat_ws(".", "cls", "attr")).otherwise(F.col("target"))).withColumn("resolved", F.col("resolved") | via).withColumn("confidence", F.when(via, "high").otherwise(F.col("confidence")))
+    cols = ["kind", "file_path", "fqn", "pos", "target", "resolved", "confidence", "is_class"]
+    return a.select(cols).unionByName(b.select(cols)).unionByName(s.where(~own & (F.col("attr") == "")).select(cols))  # a name without parts has no variable before it
 
 
 NEEDS = {"contains": ["contains"], "imports": ["import"], "inherits": ["base"], "decorates": ["decorator"], "returns": ["base", "assign", "return"]}
@@ -134,19 +162,18 @@ def kinds_for(relations: Iterable[str] = RELATIONS) -> list[str]:
     return sorted(kinds | ({"symbol", "import"} if kinds - {"contains", "import"} else set()))
 
 
-def resolved_uses(facts: DataFrame, kinds: list[str], symtab: DataFrame, imports: DataFrame) -> DataFrame:
-    """The uses of these kinds with target, resolved and confidence of their plain names. All names of a file are resolved
-    in one pass, each once."""
-    named = uses(facts, kinds)
-    plain = named.where("name not like 'self.%' and name not like 'cls.%' or kind in ('base', 'decorator', 'assign')")
-    return named.join(resolve_simple(plain, symtab, imports), ["file_path", "module", "name"], "left")
+def resolved_uses(facts: DataFrame, kinds: list[str], symtab: DataFrame) -> DataFrame:
+    """The uses of these kinds with target, resolved and confidence of their plain names, and is_class where it is known by then."""
+    named = uses(facts, kinds).withColumn("head", F.substring_index("name", ".", 1))
+    own = F.expr("(name like 'self.%' or name like 'cls.%') and kind not in ('base', 'decorator', 'assign')")
+    return _tiers(named.where(~own), symtab).unionByName(named.where(own).drop("head", "via", "wild"), allowMissingColumns=True)
 
 
 def edges(facts: DataFrame, relations: Iterable[str] = RELATIONS) -> DataFrame:
     """(source, target, relation, resolved, confidence, file_path, pos): the wanted relations of the graph."""
     relations = list(relations)
     kinds = kinds_for(relations)
-    facts, _ = cut(facts.where(F.col("kind").isin(kinds)).drop("text", "docstring", "returns"), "facts")
+    facts, _ = cut(facts.where(F.col("kind").isin(kinds)).drop("docstring"), "facts")
     cols = ["source", "target", "relation", "resolved", "confidence", "file_path", "pos"]
     none_b, none_s = F.lit(None).cast("boolean"), F.lit(None).cast("string")
     out = []
@@ -158,13 +185,15 @@ def edges(facts: DataFrame, relations: Iterable[str] = RELATIONS) -> DataFrame:
     used = [k for k in kinds if k in ("base", "decorator", "assign", "call", "return")]
     if used:
         symtab, _ = cut(symbol_table(facts), "symtab")
-        named, _ = cut(resolved_uses(facts, used, symtab, imports), "named")
+        named, _ = cut(resolved_uses(facts, used, symtab), "named")
         base = F.col("kind") == "base"
         if "inherits" in relations or "decorates" in relations:
             heads = named.where("kind in ('base', 'decorator')").select(F.when(base, F.col("fqn")).otherwise(F.col("target")).alias("source"), F.when(base, F.col("target")).otherwise(F.col("fqn")).alias("target"), F.when(base, "inherits").otherwise("decorates").alias("relation"), "resolved", "confidence", "file_path", "pos")
             out.append(heads.where(F.col("relation").isin(relations)))
         if set(SEMANTIC) & set(relations):
-            done = in_context(named, symtab).join(symtab.where("type = 'class'").select(F.col("fqn").alias("target"), F.lit(True).alias("is_class")), "target", "left")
+            done = in_context(named, symtab)
+            if {"calls", "instantiates"} & set(relations):
+                done = with_class(done, symtab)
             relation = F.when(F.col("kind") == "return", "returns").when(F.col("is_class"), "instantiates").otherwise("calls")
             out.append(done.where("kind = 'call' or resolved").select(F.col("fqn").alias("source"), "target", relation.alias("relation"), "resolved", "confidence", "file_path", "pos").where(F.col("relation").isin(relations)))
     whole = out[0].select(cols)

@@ -193,7 +193,7 @@ def var_types(spark, d):
 
     facts = _facts(spark, d, "symbol", "import", "assign")
     sym = RS.symbol_table(facts)
-    b = RS.bindings(RS.resolved_uses(facts, ["assign"], sym, RS.import_table(facts)), sym)
+    b = RS.bindings(RS.resolved_uses(facts, ["assign"], sym), sym)
     nth = F.row_number().over(Window.partitionBy("file_path", "fn").orderBy("pos"))
     return b.select(F.regexp_extract("fn", r"\.c(\d+)$", 1).cast("long").alias("c_custkey"), nth.alias("nth"), "var", "cls")
 

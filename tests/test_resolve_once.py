@@ -18,6 +18,15 @@ def _facts(spark, kinds):
     return P.facts(spark.createDataFrame([(None, p, p, ".py", t) for p, t in FILES], "repo string, rel_path string, file_path string, ext string, text string"), kinds)
 
 
+def test_names_are_resolved_in_one_move(spark):
+    facts = _facts(spark, RS.kinds_for(["calls"]))
+    got = {(r.file_path, r.name, r.target, r.confidence, r.is_class) for r in RS.resolved_uses(facts, ["call"], RS.symbol_table(facts)).collect()}
+    assert got == {
+        ("a.py", "K", "w.K", "high", True), ("a.py", "c.go", "b.go", "high", None), ("a.py", "one", "d.one", "medium", False), ("a.py", "x.go", "x.go", "low", False),
+        ("d.py", "go", "w.go", "high", False), ("d.py", "K", "w.K", "high", True), ("d.py", "none", "none", "low", False), ("e.py", "go", "go", "low", False), ("e.py", "one", "d.one", "medium", False),
+    }
+
+
 def test_returns_need_no_calls(spark):
     assert "call" not in RS.kinds_for(["returns"]) and "return" not in RS.kinds_for(["calls"])
     alone, among = RS.edges(_facts(spark, RS.kinds_for(["returns"])), ["returns"]), RS.edges(_facts(spark, P.KINDS)).where(F.col("relation") == "returns")
