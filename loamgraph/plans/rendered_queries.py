@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.operators import parse as P
 from loamgraph.operators import resolve as RS
-from loamgraph.session import table
+from loamgraph.session import cut, table
 
 TABLES = ("region", "nation", "supplier", "part", "customer", "orders", "lineitem")
 
@@ -191,9 +191,10 @@ def var_types(spark, d):
     """Bindings of variables to classes, in order."""
     from pyspark.sql import Window
 
-    facts = _facts(spark, d, "symbol", "import", "assign")
-    sym = RS.symbol_table(facts)
-    b = RS.bindings(RS.resolved_uses(facts, ["assign"], sym), sym)
+    facts, _ = cut(_facts(spark, d, "symbol", "import", "assign").drop("docstring"), "facts")
+    sym, _ = cut(RS.symbol_table(facts), "symtab")
+    named, _ = cut(RS.resolved_uses(facts, ["assign"], sym), "named")
+    b = RS.bindings(named, sym)
     nth = F.row_number().over(Window.partitionBy("file_path", "fn").orderBy("pos"))
     return b.select(F.regexp_extract("fn", r"\.c(\d+)$", 1).cast("long").alias("c_custkey"), nth.alias("nth"), "var", "cls")
 
